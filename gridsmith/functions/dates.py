@@ -8,33 +8,30 @@ from pyspark.sql import functions as F
 from gridsmith.functions import vocabulary as V
 from gridsmith.functions.text import strip
 
-# Accepted layouts, day first or ISO, with the zone suffix that is cut off.
+# Accepted layouts, day first or ISO, with the zone suffix that is cut off. A clock may
+# follow an ISO date or a date with slashes.
 YEAR = r"((?!0000)[0-9]{4})"
-ZONE = r"(?:\s*(?:Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2}))?$"
 CLOCK = r"([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:\.[0-9]+)?)?"
-DAY_FIRST = r"(?Ui)^([0-9]{1,2})([/.-])([0-9]{1,2})\2" + YEAR + ZONE
-DAY_FIRST_CLOCK = r"(?Ui)^([0-9]{1,2})/([0-9]{1,2})/" + YEAR + r"\s+" + CLOCK + ZONE
-ISO = r"(?Ui)^" + YEAR + r"-([0-9]{1,2})-([0-9]{1,2})" + ZONE
-ISO_CLOCK = r"(?Ui)^" + YEAR + r"-([0-9]{1,2})-([0-9]{1,2})[T ]" + CLOCK + ZONE
+ZONE = r"(?:\s*(?:Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2}))?$"
+DAY_FIRST = (
+    r"(?Ui)^([0-9]{1,2})(?:/([0-9]{1,2})/" + YEAR + r"(?:\s+" + CLOCK + r")?"
+    r"|([.-])([0-9]{1,2})\7" + YEAR + r")" + ZONE
+)
+ISO = r"(?Ui)^" + YEAR + r"-([0-9]{1,2})-([0-9]{1,2})(?:[T ]" + CLOCK + r")?" + ZONE
+LOOKS_DATED = r"^[0-9]{1,4}[/.-][0-9]{1,2}[/.-][0-9]"
 
 
 def parse_datetime(c: Column) -> Column:
     """Wall-clock timestamp, NULL when the text is no valid date.
 
-    Each layout is rewritten to ISO by one replacement and cast once, instead of extracting up
-    to six groups. The cheap test on the first characters keeps prose away from the regexes.
+    Two replacements rewrite any layout to ``~Y-M-D h:m:s`` with empty places for what is missing;
+    those are cut and the rest is cast once. A cheap test of the first characters keeps prose away
+    from the long patterns.
     """
-    def clock(layout: str, order: str) -> Column:
-        # "0$6" is "0" without a seconds group and "0SS" with one; the extra zero is dropped.
-        return F.regexp_replace(F.regexp_replace(c, layout, order + " $4:$5:0$6"), r":0([0-9]{2})$", ":$1")
-
-    iso = (
-        F.when(c.rlike(ISO), F.regexp_replace(c, ISO, "$1-$2-$3"))
-        .when(c.rlike(DAY_FIRST), F.regexp_replace(c, DAY_FIRST, "$4-$3-$1"))
-        .when(c.rlike(ISO_CLOCK), clock(ISO_CLOCK, "$1-$2-$3"))
-        .when(c.rlike(DAY_FIRST_CLOCK), clock(DAY_FIRST_CLOCK, "$3-$2-$1"))
-    )
-    return F.when(c.rlike(r"^[0-9]{1,4}[/.-][0-9]{1,2}[/.-][0-9]"), iso.try_cast("timestamp_ntz"))
+    dated = F.when(c.rlike(LOOKS_DATED), c)
+    rewritten = F.regexp_replace(dated, DAY_FIRST, "~$3$9-$2$8-$1 $4:$5:$6")
+    rewritten = F.regexp_replace(rewritten, ISO, "~$1-$2-$3 $4:$5:$6")
+    return F.regexp_extract(rewritten, "^~(.*?)[ :]*$", 1).try_cast("timestamp_ntz")
 
 
 def has_time(ts: Column) -> Column:
@@ -45,3 +42,7 @@ def parse_bool(c: Column) -> Column:
     """1, 0 or NULL for a known word, in any case."""
     word = F.lower(strip(c))
     return F.when(word.isin(V.TRUE_WORDS), 1).when(word.isin(V.FALSE_WORDS), 0)
+
+
+def is_bool(c: Column) -> Column:
+    return F.lower(strip(c)).isin(V.TRUE_WORDS + V.FALSE_WORDS)

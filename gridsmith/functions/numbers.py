@@ -1,6 +1,8 @@
 """Numbers in Vietnamese, US, plain and comma-decimal style; percentages and amounts.
 
-Every reader is NULL where the text is not in its style. All are built-in expressions.
+Cells are expected without whitespace at their ends. Every reader is NULL where the text is not in
+its style. Each is one chain of pattern tests around a single cast, which keeps the generated code
+of wide projections small enough for the JIT compiler.
 """
 
 from __future__ import annotations
@@ -12,75 +14,124 @@ from gridsmith.functions import vocabulary as V
 from gridsmith.functions.text import strip
 
 
-def _read(c: Column, pattern: str, source: str = "", target: str = "") -> Column:
-    digits = F.translate(c, source, target) if source else c
-    return F.when(c.rlike(pattern), digits.try_cast("double"))
+def _point_text(c: Column) -> Column:
+    """Commas group digits, a point starts the decimals."""
+    return F.translate(c, ",", "")
+
+
+def _comma_text(c: Column) -> Column:
+    """Points group digits, a comma starts the decimals."""
+    return F.translate(c, ",.", ".")
+
+
+def is_vn(c: Column) -> Column:
+    return c.contains(".") & c.rlike(V.VN_NUMBER)
+
+
+def is_us(c: Column) -> Column:
+    return c.contains(",") & c.rlike(V.US_NUMBER)
+
+
+def is_plain(c: Column) -> Column:
+    return c.rlike(V.PLAIN_NUMBER)
+
+
+def is_comma_decimal(c: Column) -> Column:
+    return c.contains(",") & c.rlike(V.COMMA_DECIMAL)
 
 
 def vn_number(c: Column) -> Column:
     """``1.234.567,89``: dots group, a comma starts the decimals."""
-    return _read(c, V.VN_NUMBER, ",.", ".")
+    return F.when(is_vn(c), _comma_text(c)).try_cast("double")
 
 
 def us_number(c: Column) -> Column:
     """``1,234,567.89``."""
-    return _read(c, V.US_NUMBER, ",", "")
+    return F.when(is_us(c), _point_text(c)).try_cast("double")
 
 
 def plain_number(c: Column) -> Column:
     """``-12`` or ``12.5``; no exponent, no leading plus or dot."""
-    return _read(c, V.PLAIN_NUMBER)
+    return F.when(is_plain(c), c).try_cast("double")
 
 
 def comma_decimal(c: Column) -> Column:
     """``10,5``."""
-    return _read(c, V.COMMA_DECIMAL, ",", ".")
+    return F.when(is_comma_decimal(c), _comma_text(c)).try_cast("double")
+
+
+def point_reading(c: Column) -> Column:
+    return _point_text(c).try_cast("double")
+
+
+def comma_reading(c: Column) -> Column:
+    return _comma_text(c).try_cast("double")
+
+
+def round6(v: Column) -> Column:
+    """Six decimal places by arithmetic, much cheaper than decimal rounding. From 9e9 on a double has no
+    seventh decimal to round."""
+    return F.when(F.abs(v) < 9e9, F.rint(v * 1e6) / 1e6).otherwise(v)
+
+
+def is_whole(v: Column) -> Column:
+    """Whole after rounding to six places, and exact as a double."""
+    return (F.abs(v - F.rint(v)) < 5e-7) & (F.abs(v) < float(2**53))
+
+
+def number_in_style(c: Column, style: str) -> Column:
+    """Read with the column's voted style first; in any other style a single comma is a decimal
+    comma before it is a thousands mark."""
+    plain, comma, us, vn = (
+        lambda w: w(is_plain(c), c), lambda w: w(is_comma_decimal(c), _comma_text(c)),
+        lambda w: w(is_us(c), _point_text(c)), lambda w: w(is_vn(c), _comma_text(c)))
+    order = {"vn": (vn, comma, plain, us), "us": (us, plain, comma, vn)}.get(style, (plain, comma, us, vn))
+    chain = None
+    for reading in order:
+        chain = reading(F.when if chain is None else chain.when)
+    return chain.try_cast("double")
 
 
 def number_auto(c: Column) -> Column:
-    """Style unknown: a single comma is a decimal comma before it is a thousands mark."""
-    return F.coalesce(plain_number(c), comma_decimal(c), us_number(c), vn_number(c))
+    """Style unknown."""
+    return number_in_style(c, "mixed")
 
 
 def grouped_or_plain(c: Column) -> Column:
     """The reading used under a percent or currency mark: grouped styles first."""
-    return F.coalesce(vn_number(c), us_number(c), plain_number(c))
-
-
-def number_in_style(c: Column, style: Column) -> Column:
-    """Read with the column's voted style first, then as if the style were unknown."""
-    return (
-        F.when(style == "vn", F.coalesce(vn_number(c), comma_decimal(c), number_auto(c)))
-        .when(style == "us", F.coalesce(us_number(c), number_auto(c)))
-        .otherwise(number_auto(c))
-    )
+    return F.when(is_vn(c), _comma_text(c)).when(is_us(c) | is_plain(c), _point_text(c)).try_cast("double")
 
 
 def number_style(c: Column) -> Column:
     """The one style a cell counts for in the style vote; NULL when it is no number."""
-    return (
-        F.when(c.rlike(V.PLAIN_NUMBER), "plain")
-        .when(c.rlike(V.US_NUMBER), "us")
-        .when(c.rlike(V.VN_NUMBER) | c.rlike(V.COMMA_DECIMAL), "vn")
-    )
+    return F.when(is_plain(c), "plain").when(is_us(c), "us").when(is_vn(c) | is_comma_decimal(c), "vn")
+
+
+def is_percentage(c: Column) -> Column:
+    return c.endswith("%") & c.rlike(V.PERCENT)
 
 
 def percentage(c: Column) -> Column:
     """``12.5 %`` as the fraction 0.125; a decimal comma without grouping is not read."""
-    body = strip(F.translate(c, "%", ""))
-    return F.when(c.rlike(V.PERCENT), F.round(grouped_or_plain(body) / 100, 6))
+    body = F.when(is_percentage(c), strip(F.translate(c, "%", "")))
+    return round6(grouped_or_plain(body) / 100)
+
+
+def is_currency(c: Column) -> Column:
+    return c.rlike(V.AMOUNT)
 
 
 def currency_value(c: Column) -> Column:
-    body = strip(F.regexp_replace(c, V.CURRENCY_MARK, ""))
-    return F.when(c.rlike(V.AMOUNT) & c.rlike(V.CURRENCY_MARK), grouped_or_plain(body))
+    """The amount without its mark; NULL without a mark."""
+    body = F.when(is_currency(c), strip(F.regexp_replace(c, V.CURRENCY_MARK, "")))
+    return grouped_or_plain(body)
 
 
 def currency(c: Column) -> Column:
     """``struct(value, symbol)``; NULL without a currency mark or a readable amount."""
     value = currency_value(c)
     symbol = F.regexp_extract(c, V.CURRENCY_MARK, 0)
-    return F.when(value.isNotNull(), F.struct(value.alias("value"), symbol.alias("symbol")))
+    return F.when(is_currency(c), F.struct(value.alias("value"), symbol.alias("symbol")))
 
 
 def has_leading_zero(c: Column) -> Column:
@@ -90,6 +141,4 @@ def has_leading_zero(c: Column) -> Column:
 def loose_number(c: Column) -> Column:
     """Last reading for a leftover cell of a numeric column: sign, bare dot and exponent allowed."""
     return F.when(
-        c.rlike(r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf(inity)?)$"),
-        c.try_cast("double"),
-    )
+        c.rlike(r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf(inity)?)$"), c).try_cast("double")

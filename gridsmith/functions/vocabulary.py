@@ -21,8 +21,16 @@ VN_NUMBER = r"^-?[0-9]{1,3}(\.[0-9]{3})+(,[0-9]+)?$"
 US_NUMBER = r"^-?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"
 PLAIN_NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"
 COMMA_DECIMAL = r"^-?[0-9]+,[0-9]+$"
-PERCENT = r"(?U)^-?[0-9.,]+\s*%$"
-AMOUNT = r"(?Ui)^[$€£¥₫]?\s*-?[0-9.,]+\s*(?:đồng|đ|VND|VNĐ|USD|\$|€|£)?$"
+GROUPED_OR_PLAIN = (
+    r"-?(?:[0-9]{1,3}(?:\.[0-9]{3})+(?:,[0-9]+)?|[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)"
+)
+PERCENT = r"(?U)^" + GROUPED_OR_PLAIN + r"\s*%$"
+MARK_BEFORE = r"[$€£¥₫]"
+MARK_AFTER = r"(?:đồng|VND|VNĐ|USD|\$|€|£)"
+AMOUNT = (
+    r"(?Ui)^(?:" + MARK_BEFORE + r"\s*" + GROUPED_OR_PLAIN + r"\s*" + MARK_AFTER + r"?|"
+    + GROUPED_OR_PLAIN + r"\s*" + MARK_AFTER + r")$"
+)
 CURRENCY_MARK = r"(?Ui)[$€£¥₫]|đồng|VND|VNĐ|USD"
 LEADING_ZERO = r"^0[0-9]+$"
 

@@ -11,42 +11,29 @@ from gridsmith.functions import dates, numbers, text
 from gridsmith.functions import vocabulary as V
 
 
-def _readings(df: DataFrame, keep: list[str], cell: str) -> DataFrame:
-    """Read each cell once per number style and once as a date; later steps only combine these."""
-    c = F.col(cell)
-    digit_first = c.rlike(r"^-?[0-9]")
-    return df.select(
-        *keep, cell,
-        dates.parse_datetime(c).alias("ts"),
-        F.when(digit_first, numbers.plain_number(c)).alias("plain"),
-        F.when(digit_first, numbers.comma_decimal(c)).alias("comma"),
-        F.when(digit_first, numbers.us_number(c)).alias("us"),
-        F.when(digit_first, numbers.vn_number(c)).alias("vn"),
-    )
-
-
 def classified(df: DataFrame, keep: list[str], cell: str = "cell", bool_digits: bool = True) -> DataFrame:
-    """Readings plus ``class``: the first of date, bool, percentage, currency, number, text."""
+    """Add what later steps combine: ``ts``, the number patterns that fit, and ``class``: the first of
+    date, bool, percentage, currency, number, text. ``cell`` has no whitespace at its ends."""
     c = F.col(cell)
-    boolean = dates.parse_bool(c)
-    if not bool_digits:
-        boolean = F.when(~c.isin("0", "1"), boolean)
-    number = F.coalesce("plain", "comma", "us", "vn")
-    return _readings(df, keep, cell).withColumn(
+    # Prose skips all number patterns by its first character.
+    digit_first = F.ascii(c).between(48, 57) | (F.ascii(c) == 45)
+    tested = df.select(
+        *keep, cell, dates.parse_datetime(c).alias("ts"),
+        *[(digit_first & fits(c)).alias(k) for k, fits in (
+            ("plain", numbers.is_plain), ("comma", numbers.is_comma_decimal),
+            ("us", numbers.is_us), ("vn", numbers.is_vn))])
+    boolean = dates.is_bool(c) if bool_digits else dates.is_bool(c) & ~c.isin("0", "1")
+    return tested.withColumn(
         "class",
         F.when(c.isNull() | (c == ""), None)
         .when(F.col("ts").isNotNull(), "date")
-        .when(boolean.isNotNull(), "bool")
-        .when(numbers.percentage(c).isNotNull(), "percentage")
-        .when(numbers.currency_value(c).isNotNull(), "currency")
-        .when(number.isNotNull(), "number")
+        .when(boolean, "bool")
+        .when(F.col("plain") | F.col("comma") | F.col("us") | F.col("vn"), "number")
+        .when(numbers.is_percentage(c), "percentage")
+        .when(numbers.is_currency(c), "currency")
         .otherwise("text"))
 
 
-def _whole(v: Column) -> Column:
-    return (v == F.floor(v)) & (F.abs(v) < F.lit(float(2**53)))
-
-
 def profile(df: DataFrame, cells: list[str], table: list[str] | None = None,
             bool_digits: bool = True) -> DataFrame:
     """One row per table and column: class counts, number style and voted type.
@@ -58,23 +45,25 @@ def profile(df: DataFrame, cells: list[str], table: list[str] | None = None,
     long = df.select(*table, *[text.strip(F.col(c)).alias(c) for c in cells]).unpivot(
         table, cells, "column", "cell")
     keys = [*table, "column"]
-    is_number = F.col("class") == "number"
-    marked = classified(long, keys, "cell", bool_digits).select(
-        "*",
-        F.when(is_number, F.round(F.coalesce("vn", "comma", "plain", "us"), 6)).alias("as_vn"),
-        F.when(is_number, F.round(F.coalesce("us", "plain", "comma", "vn"), 6)).alias("as_us"),
-        F.when(is_number, F.round(F.coalesce("plain", "comma", "us", "vn"), 6)).alias("as_auto"))
-    plain, us = F.col("plain").isNotNull(), F.col("us").isNotNull()
-    vn = F.col("vn").isNotNull() | F.col("comma").isNotNull()
+    plain, comma, us, vn = (F.col(k) for k in ("plain", "comma", "us", "vn"))
+    # A number has at most two readings, by what its commas mean.
+    number = F.when(F.col("class") == "number", F.col("cell"))
+    read = classified(long, keys, "cell", bool_digits).select(
+        "*", numbers.point_reading(number).alias("point"), numbers.comma_reading(number).alias("decimal_comma"))
+    marked = read.select("*", numbers.is_whole(F.col("point")).alias("w_point"),
+                         numbers.is_whole(F.col("decimal_comma")).alias("w_comma"))
+    w_point, w_comma = F.col("w_point"), F.col("w_comma")
     counted = marked.groupBy(*keys).agg(
         F.count("cell").alias("n"),
-        F.count_if(F.col("cell") != "").alias("n_styled"),
+        F.count("class").alias("n_styled"),
         *[F.count_if(F.col("class") == k).alias(f"n_{k}")
           for k in ("date", "bool", "percentage", "currency", "number", "text")],
         F.count_if(plain).alias("n_plain"),
         F.count_if(~plain & us).alias("n_us"),
-        F.count_if(~plain & ~us & vn).alias("n_vn"),
-        *[F.bool_and(_whole(F.col(f"as_{k}"))).alias(f"whole_{k}") for k in ("vn", "us", "auto")],
+        F.count_if(~plain & ~us & (vn | comma)).alias("n_vn"),
+        F.bool_and(F.when(vn | comma, w_comma).otherwise(w_point)).alias("whole_vn"),
+        F.bool_and(F.when(us | plain, w_point).otherwise(w_comma)).alias("whole_us"),
+        F.bool_and(F.when(plain, w_point).when(comma | ~us, w_comma).otherwise(w_point)).alias("whole_auto"),
         F.coalesce(F.bool_or(numbers.has_leading_zero(F.col("cell"))), F.lit(False)).alias("leading_zero"),
         F.coalesce(F.bool_or(dates.has_time(F.col("ts"))), F.lit(False)).alias("has_time"),
     )
@@ -108,7 +97,7 @@ def converted(c: Column, kind: str, style: str, has_time: bool, typed_dates: boo
               typed_bools: bool = False) -> Column:
     """One column in its voted type; cells that do not fit become NULL (text in date columns stays)."""
     if kind in ("int", "float"):
-        return F.coalesce(F.round(numbers.number_in_style(c, F.lit(style)), 6), numbers.loose_number(c))
+        return F.coalesce(numbers.number_in_style(c, style), numbers.loose_number(c))
     if kind == "percentage":
         return F.coalesce(numbers.percentage(c), numbers.loose_number(c))
     if kind == "currency":
@@ -142,11 +131,16 @@ def apply_types(df: DataFrame, votes: Iterable[Row], typed_dates: bool = False,
         col = converted(text.strip(F.col(name)), v["type"], v["style"], v["has_time"], typed_dates, typed_bools)
         meta = {"semantic": v["type"]} if v["type"] in ("currency", "percentage") else {}
         out.append(col.alias(name, metadata=meta) if meta else col.alias(name))
-    whole = [n for n in df.columns if n in by_column and by_column[n]["type"] == "int"]
-    # The whole numbers are cast in a second projection, so that each cell is read only once.
-    return df.select(*out).select(*[
-        F.when(_whole(F.col(n)), F.col(n).cast("bigint")).alias(n) if n in whole else F.col(n)
-        for n in df.columns])
+    kinds = {n: by_column[n]["type"] for n in df.columns if n in by_column}
+
+    def finished(name: str) -> Column:
+        c = F.col(name)
+        if kinds.get(name) == "int":
+            return F.when(numbers.is_whole(c), F.rint(c).cast("bigint")).alias(name)
+        return numbers.round6(c).alias(name) if kinds.get(name) == "float" else c
+
+    # Numbers are rounded or cast in a second projection, so that each cell is read only once.
+    return df.select(*out).select(*[finished(n) for n in df.columns])
 
 
 def drop_duplicates(df: DataFrame, cells: list[str], order: list[str] | None = None,

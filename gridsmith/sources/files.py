@@ -16,7 +16,7 @@ from gridsmith.functions import vocabulary as V
 # positions are then mapped to the characters that Windows-1252 has there.
 LATIN1_CONTROLS = bytes(range(0x80, 0xA0)).decode("latin-1")
 WINDOWS_CHARACTERS = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace")
-BYTE_ORDER_MARK = "﻿"
+BYTE_ORDER_MARK = "\ufeff"
 
 
 def _encoding(head: bytes, whole: bool) -> str:

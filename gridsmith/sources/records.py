@@ -18,7 +18,7 @@ REPARSED_SCHEMA = "index bigint, db_id string, sql string, result string"
 def _is_array(spark: SparkSession, path: str) -> bool:
     """One JSON array, as against one object per line: told by the first character."""
     head = spark.read.text(path).where(F.trim("value") != "").limit(1).first()
-    return bool(head) and head.value.lstrip("﻿ \t").startswith("[")
+    return bool(head) and head.value.lstrip("\ufeff \t").startswith("[")
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
