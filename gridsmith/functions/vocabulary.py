@@ -31,6 +31,9 @@ AMOUNT = (
     r"(?Ui)^(?:" + MARK_BEFORE + r"\s*" + GROUPED_OR_PLAIN + r"\s*" + MARK_AFTER + r"?|"
     + GROUPED_OR_PLAIN + r"\s*" + MARK_AFTER + r")$"
 )
+NUMERIC_LOOKING = (
+    r"(?:" + MARK_BEFORE + r"\s*)?" + GROUPED_OR_PLAIN + r"(?:\s*(?:%|" + MARK_AFTER + r"))?|-?[0-9]+,[0-9]+"
+)
 CURRENCY_MARK = r"(?Ui)[$€£¥₫]|đồng|VND|VNĐ|USD"
 LEADING_ZERO = r"^0[0-9]+$"
 

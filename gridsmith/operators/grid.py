@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridsmith.functions import numbers, text
+from gridsmith.functions import text
 from gridsmith.functions import vocabulary as V
 from gridsmith.operators.ordering import carried, null_safe
 
@@ -55,6 +55,11 @@ def drop_empty_columns(grid: DataFrame, facts: list | None = None) -> DataFrame:
     return grid.drop(*[c for c in cells if c not in filled])
 
 
+def _holds_number(texts: Column) -> Column:
+    """Some cell looks like a number, a percentage or an amount: one search over the joined row."""
+    return F.array_join(texts, "\x01").rlike(r"(?Ui)(?:^|\x01)(?:" + V.NUMERIC_LOOKING + r")(?=$|\x01)")
+
+
 def classify_rows(grid: DataFrame, strict: bool = False, cells: list[str] | None = None) -> DataFrame:
     """Add ``row_type``: empty, title, data, header_candidate or ambiguous.
 
@@ -63,14 +68,9 @@ def classify_rows(grid: DataFrame, strict: bool = False, cells: list[str] | None
     cells = cells or cell_columns(grid)
     n_filled = sum((F.col(c).isNotNull().cast("int") for c in cells), F.lit(0))
     stripped = F.array(*[text.blank_to_null(F.col(c)) for c in cells])
-    n_unique = F.size(F.array_compact(F.array_distinct(stripped)))
-    if strict:
-        has_number = F.lit(False)
-    else:
-        def numeric(c: str) -> Column:
-            s = text.strip(F.col(c))
-            return F.coalesce(numbers.number_auto(s), numbers.percentage(s), numbers.currency_value(s)).isNotNull()
-        has_number = F.greatest(F.lit(False), *[numeric(c) for c in cells])
+    facts = grid.select("*", n_filled.alias("_filled"), F.array_compact(stripped).alias("_texts")).select(
+        "*", F.size(F.array_distinct("_texts")).alias("_unique"),
+        F.lit(False).alias("_number") if strict else _holds_number(F.col("_texts")).alias("_number"))
     row_type = (
         F.when(F.col("_filled") == 0, "empty")
         .when(~F.col("_number") & (F.col("_unique") <= 2)
@@ -79,10 +79,7 @@ def classify_rows(grid: DataFrame, strict: bool = False, cells: list[str] | None
         .when((F.col("_unique") >= 2) & (F.col("_filled") >= 2), "header_candidate")
         .otherwise("ambiguous")
     )
-    return (
-        grid.select("*", n_filled.alias("_filled"), n_unique.alias("_unique"), has_number.alias("_number"))
-        .withColumn("row_type", row_type).drop("_filled", "_unique", "_number")
-    )
+    return facts.withColumn("row_type", row_type).drop("_filled", "_texts", "_unique", "_number")
 
 
 def head_rows(grid: DataFrame, table: list[str] = TABLE, order: list[str] = ORDER) -> DataFrame:
