@@ -25,12 +25,16 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records with their 0-based ``pos``, from JSON lines or from one JSON array.
 
     Lines are split over tasks and numbered by split; an array is one document and cannot be.
+    Positions continue over the files of a folder, in name order.
     Fields declared as text keep nested JSON as text.
     """
     if _is_array(spark, path):
         text = spark.read.text(path, wholetext=True)
-        return text.select(F.posexplode(F.from_json("value", f"array<struct<{_as_struct(schema)}>>")).alias(
-            "pos", "r")).select(F.col("pos").cast("bigint").alias("pos"), "r.*")
+        items = text.select(
+            F.col("_metadata.file_path").alias("_file"),
+            F.posexplode(F.from_json("value", f"array<struct<{_as_struct(schema)}>>")).alias("_seq", "r"))
+        rows = items.select("r.*", "_file", "_seq")
+        return positions(rows, [], [["_file"]], ["_seq"], "pos").drop("_file", "_seq")
     rows = spark.read.schema(schema).json(path).select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"))
