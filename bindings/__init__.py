@@ -8,7 +8,7 @@ from importlib import import_module
 
 from bindings.registry import ORACLES, QUERIES
 
-for _name in ("cells", "votes", "grids", "files", "describing", "asking", "batching"):
+for _name in ("cells", "votes", "grids", "files", "describing", "asking", "batching", "running", "scoring"):
     import_module(f"bindings.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]
