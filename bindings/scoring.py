@@ -11,7 +11,7 @@ from gridsmith.functions.statements import is_ordered
 from gridsmith.operators import score as S
 from gridsmith.operators.answers import UNPARSEABLE, answer_cells, parsed_answers, reparsed
 from gridsmith.plans import scoring as P
-from gridsmith.session import fresh_path
+from gridsmith.session import fresh_path, staged
 from gridsmith.sources import records
 
 
@@ -32,7 +32,7 @@ def order_rows(spark, sf):
 
 
 def gold_side(spark, sf):
-    """Answers and cells of customers, but for every fiftieth, which has no gold; every 41st failed."""
+    """Stored answers and cells of customers, but for every fiftieth, which has no gold; every 41st failed."""
     rows = order_rows(spark, sf).where("k % 50 <> 49")
     answers = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows")).select(
         F.col("k").alias("gold_id"), F.concat(F.lit("q"), F.col("k").cast("string")).alias("instance_id"),
@@ -40,7 +40,8 @@ def gold_side(spark, sf):
         F.when(F.col("k") % 41 == 40, "gold failed").alias("error"))
     cells = rows.where("k % 41 <> 40").select(F.col("k").alias("gold_id"), "row_idx", F.posexplode(F.array(
         _number(F.col("o_orderkey")), _number(F.col("o_totalprice")), _text(F.col("o_orderstatus")))).alias("col_idx", "c"))
-    return answers, cells.select("gold_id", "row_idx", "col_idx", "c.num", "c.str")
+    cells = cells.select("gold_id", "row_idx", "col_idx", "c.num", "c.str")
+    return staged(answers), staged(cells)
 
 
 MODELS = [("alpha", 0), ("beta", 4)]
@@ -72,7 +73,7 @@ def pred_side(spark, sf):
         F.when(F.col("way") != 8, n_rows).alias("n_rows"),
         F.when(F.col("way") == 5, 4).when(F.col("way") == 7, 2).otherwise(3).alias("n_cols"),
         F.when(F.col("way") == 8, "no such column").alias("error"))
-    return answers, cells
+    return staged(answers), staged(cells)
 
 
 WAYS = """WITH c AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1),

@@ -7,12 +7,15 @@ are compared, row by row, in a join spread over row positions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsmith.functions import vocabulary as V
 from gridsmith.functions.equality import values_equal
 from gridsmith.operators.ordering import positions
+from gridsmith.session import staged
 
 ROWS_PER_CHUNK = 1_000_000
 
@@ -80,25 +83,47 @@ def candidate_pairs(pairs: DataFrame, pred: DataFrame, gold: DataFrame, abs_tol:
         .select("pred_id", "gold_id", "ordered", "gcol", "pcol", "n"))
 
 
-def _placed(cells: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The wanted columns with ``rank`` per mode: row order as it is, or each column sorted."""
-    def pick(ordered: bool) -> DataFrame:
-        keys = wanted.where(F.col("ordered") == F.lit(ordered)).select(key, "col_idx").distinct()
-        return cells.select(key, "row_idx", "col_idx", "num", "str").join(keys, [key, "col_idx"], "left_semi")
+def _placed(cells: DataFrame, key: str, wanted: DataFrame, modes: set[tuple[bool, bool]]) -> DataFrame:
+    """The wanted columns with ``rank``: row order as it is, or each column sorted on its own.
 
-    in_order = pick(True).withColumn("rank", F.col("row_idx"))
-    sorted_alone = rank_cells(pick(False), key)
-    columns = [key, "col_idx", "rank", "num", "str"]
-    return in_order.select(*columns, F.lit(True).alias("ordered")).unionByName(
-        sorted_alone.select(*columns, F.lit(False).alias("ordered")))
+    ``modes`` says which of ordered and long columns occur at all, so that absent cases cost nothing.
+    """
+    columns = [key, "col_idx", "ordered", "rank", "num", "str"]
+
+    def pick(ordered: bool, long: bool | None = None) -> DataFrame:
+        keys = wanted.where(F.col("ordered") == F.lit(ordered))
+        if long is not None:
+            keys = keys.where(F.col("long") == F.lit(long))
+        keys = keys.select(key, "col_idx").distinct()
+        return cells.select(key, "row_idx", "col_idx", "num", "str").join(
+            keys, [key, "col_idx"], "left_semi").withColumn("ordered", F.lit(ordered))
+
+    parts = []
+    if any(ordered for ordered, _ in modes):
+        parts.append(pick(True).withColumn("rank", F.col("row_idx")))
+    if (False, False) in modes:
+        # At most ROWS_PER_CHUNK cells meet in a task here.
+        w = Window.partitionBy(key, "col_idx").orderBy(F.col("num").asc_nulls_last(), F.col("str").asc_nulls_last())
+        parts.append(pick(False, False).withColumn("rank", (F.row_number().over(w) - 1).cast("bigint")))
+    if (False, True) in modes:
+        parts.append(rank_cells(pick(False, True), key))
+    return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
 
 
 def matching_columns(pairs: DataFrame, pred: DataFrame, gold: DataFrame, abs_tol: float = V.ABS_TOLERANCE,
                      rel_tol: float = V.REL_TOLERANCE) -> DataFrame:
-    """``pred_id, gold_id, gcol, pcol``: the column pairs whose cells agree at every rank."""
-    candidates = candidate_pairs(pairs, pred, gold, abs_tol, rel_tol)
-    p = _placed(pred, "pred_id", candidates.select("pred_id", F.col("pcol").alias("col_idx"), "ordered"))
-    g = _placed(gold, "gold_id", candidates.select("gold_id", F.col("gcol").alias("col_idx"), "ordered"))
+    """``pred_id, gold_id, gcol, pcol``: the column pairs whose cells agree at every rank.
+
+    The candidate pairs, a few short rows per answer, are written to the shared folder: they are
+    needed on both sides and decide which kinds of ranking occur.
+    """
+    candidates = staged(candidate_pairs(pairs, pred, gold, abs_tol, rel_tol).withColumn(
+        "long", F.col("n") > ROWS_PER_CHUNK), "candidates")
+    modes = {(r["ordered"], r["long"]) for r in candidates.select("ordered", "long").distinct().collect()}
+    if not modes:
+        return candidates.select("pred_id", "gold_id", "gcol", "pcol")
+    p = _placed(pred, "pred_id", candidates.withColumnRenamed("pcol", "col_idx"), modes)
+    g = _placed(gold, "gold_id", candidates.withColumnRenamed("gcol", "col_idx"), modes)
     left = g.select("gold_id", F.col("col_idx").alias("gcol"), "ordered", "rank",
                     F.col("num").alias("gnum"), F.col("str").alias("gstr"))
     right = p.select("pred_id", F.col("col_idx").alias("pcol"), "ordered", "rank",

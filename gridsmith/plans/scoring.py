@@ -9,6 +9,7 @@ from gridsmith.functions import vocabulary as V
 from gridsmith.functions.statements import is_ordered
 from gridsmith.operators.answers import INVALID, UNPARSEABLE, answer_cells, parsed_answers, reparsed
 from gridsmith.operators.score import compare_results
+from gridsmith.session import staged
 
 NO_GOLD = "no gold found"
 
@@ -83,10 +84,10 @@ def first_failures(details: DataFrame, n: int = 5, by: str = "model", order: str
 def id_overlap(pred: DataFrame, gold: DataFrame, by: str = "model") -> DataFrame:
     """Per model: distinct gold ids it has a prediction for, and whether it can be scored at all."""
     ids = gold.select("instance_id").distinct()
-    n_gold = ids.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    n_gold = ids.count()
     seen = pred.select(by, "instance_id").distinct().join(ids.withColumn("_gold", F.lit(True)), "instance_id", "left")
     return seen.groupBy(by).agg(F.count("_gold").alias("matched")).select(
-        by, "matched", F.lit(n_gold).alias("gold"), (F.col("matched") > 0).alias("scored"))
+        by, "matched", F.lit(n_gold).cast("bigint").alias("gold"), (F.col("matched") > 0).alias("scored"))
 
 
 def score_files(files: dict[str, DataFrame], questions: DataFrame, gold: DataFrame, gold_cells: DataFrame) -> DataFrame:
@@ -100,6 +101,8 @@ def score_files(files: dict[str, DataFrame], questions: DataFrame, gold: DataFra
         parts.append(parsed_answers(rows, unreadable=UNPARSEABLE))
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     both = both.withColumn("pred_id", F.struct("model", "pos"))
-    known = id_overlap(both, gold).where("scored").select("model")
-    pred = both.join(known, "model", "left_semi")
-    return verdicts(pred.drop("answer_rows"), answer_cells(pred, "pred_id"), gold, gold_cells)
+    # The JSON texts are taken apart once; the cells are read several times from here on.
+    cells = staged(answer_cells(both, "pred_id"), "cells")
+    pred = staged(both.drop("answer_rows", "exec_answer"), "answers")
+    known = id_overlap(pred, gold).where("scored").select("model")
+    return verdicts(pred.join(known, "model", "left_semi"), cells, gold, gold_cells)
