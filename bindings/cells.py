@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.registry import case, comma_text, plain_text, query, table, us_text, vn_text
+from bindings.registry import case, comma_text, plain_text, query, wide, us_text, vn_text
 from gridsmith.functions import dates, numbers, text, vocabulary as V
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey"]
 
 
 def _priced(spark, sf, mess):
-    df = table(spark, sf, "lineitem").select(*LINE, "l_extendedprice")
+    df = wide(spark, sf, "lineitem").select(*LINE, "l_extendedprice")
     return df.select(*LINE, mess(F.col("l_extendedprice")).alias("cell"))
 
 
@@ -36,7 +36,7 @@ def us_numbers(spark, sf):
 def plain_numbers(spark, sf):
     """Every fifth part is written with an exponent, a plus or a bare dot, which are not plain."""
     sign = F.when(F.col("l_partkey") % 2 == 0, -1).otherwise(1)
-    df = table(spark, sf, "lineitem").select(*LINE, plain_text(F.col("l_extendedprice") * sign).alias("cell"))
+    df = wide(spark, sf, "lineitem").select(*LINE, plain_text(F.col("l_extendedprice") * sign).alias("cell"))
     odd = case(F.col("l_partkey") % 3, F.concat("cell", F.lit("e0")), F.concat(F.lit("+"), "cell"), ".5")
     cell = F.when(F.col("l_partkey") % 5 < 4, F.col("cell")).otherwise(odd)
     return df.select(*LINE, numbers.plain_number(cell).alias("value"))
@@ -46,7 +46,7 @@ def plain_numbers(spark, sf):
     SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 2 = 1 THEN l_extendedprice END AS value
     FROM lineitem""")
 def comma_decimals(spark, sf):
-    df = table(spark, sf, "lineitem")
+    df = wide(spark, sf, "lineitem")
     cell = F.when(F.col("l_linenumber") % 2 == 1, comma_text(F.col("l_extendedprice"))).otherwise(
         plain_text(F.col("l_extendedprice")))
     return df.select(*LINE, numbers.comma_decimal(cell).alias("value"))
@@ -60,7 +60,7 @@ def comma_decimals(spark, sf):
 def auto_numbers(spark, sf):
     price = F.col("l_extendedprice")
     cell = case(F.col("l_partkey") % 4, vn_text(price), us_text(price), plain_text(price), comma_text(price))
-    df = table(spark, sf, "lineitem").select(*LINE, cell.alias("cell"))
+    df = wide(spark, sf, "lineitem").select(*LINE, cell.alias("cell"))
     return df.select(*LINE, numbers.number_auto(F.col("cell")).alias("value"),
                      numbers.number_style(F.col("cell")).alias("style"))
 
@@ -76,7 +76,7 @@ def percentages(spark, sf):
         F.col("l_partkey") % 4, F.concat(F.round(pct).cast("int").cast("string"), F.lit("%")),
         F.concat(us_text(pct), F.lit(" %")), F.concat(plain_text(pct), F.lit("  %")),
         F.concat(comma_text(pct), F.lit("%")))
-    return table(spark, sf, "lineitem").select(*LINE, numbers.percentage(cell).alias("fraction"))
+    return wide(spark, sf, "lineitem").select(*LINE, numbers.percentage(cell).alias("fraction"))
 
 
 @query("currencies", """
@@ -92,7 +92,7 @@ def currencies(spark, sf):
         F.concat(F.lit("₫ "), plain_text(price)), F.concat(plain_text(price), F.lit("đ")), plain_text(price))
     found = numbers.currency(F.col("cell"))
     return (
-        table(spark, sf, "orders").select("o_orderkey", cell.alias("cell"))
+        wide(spark, sf, "orders").select("o_orderkey", cell.alias("cell"))
         .select("o_orderkey", found.alias("x")).select("o_orderkey", "x.value", "x.symbol"))
 
 
@@ -115,7 +115,7 @@ def parsed_dates(spark, sf):
         F.date_format(ts, "d.M.yyyy"), F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+07:00")),
         F.concat(F.date_format(ts, "yyyy-M-d HH:mm"), F.lit("Z")), F.concat(F.date_format(ts, "dd/MM/yyyy  HH:mm:ss"), F.lit(" UTC")),
         F.date_format(ts, "d/M/yyyy HH:mm"), F.concat(F.lit("30/02/"), F.date_format(ts, "yyyy")))
-    df = table(spark, sf, "events").select("event_id", cell.alias("cell"))
+    df = wide(spark, sf, "events").select("event_id", cell.alias("cell"))
     return df.select("event_id", dates.parse_datetime(F.col("cell")).alias("moment"))
 
 
@@ -127,7 +127,7 @@ def booleans(spark, sf):
     no = F.upper(case(F.col("doc_id") % len(V.FALSE_WORDS), *V.FALSE_WORDS))
     quality = F.when(F.col("quality") == 1, case(pick, *V.TRUE_WORDS)).otherwise(no)
     toxic = F.when(F.col("doc_id") % 8 == 7, "y").when(F.col("toxic") == 1, " Có ").otherwise("KHÔNG")
-    df = table(spark, sf, "labels").select("doc_id", quality.alias("q"), toxic.alias("t"))
+    df = wide(spark, sf, "labels").select("doc_id", quality.alias("q"), toxic.alias("t"))
     return df.select("doc_id", dates.parse_bool(F.col("q")).alias("quality"), dates.parse_bool(F.col("t")).alias("toxic"))
 
 
@@ -146,7 +146,7 @@ def unicode_nfc(spark, sf):
     apart = F.col("text")
     for whole, parts in DECOMPOSED.items():
         apart = F.replace(apart, F.lit(whole), F.lit(parts))
-    df = table(spark, sf, "documents").select(
+    df = wide(spark, sf, "documents").select(
         "doc_id", F.when(F.col("doc_id") % 3 < 2, apart).otherwise(F.col("text")).alias("cell"))
     return df.select("doc_id", text.nfc(F.col("cell")).alias("text"))
 
@@ -160,7 +160,7 @@ def whitespace(spark, sf):
     cell = case(
         pick, F.concat(F.lit(" "), "text", F.lit("\t")), F.concat(F.lit("  \n"), "text"),
         F.concat("text", F.lit("　\r\n")), F.col("text"), " \t   ")
-    return table(spark, sf, "conversations").select("conv_id", "turn", text.blank_to_null(cell).alias("text"))
+    return wide(spark, sf, "conversations").select("conv_id", "turn", text.blank_to_null(cell).alias("text"))
 
 
 @query("excel_errors", """
@@ -171,7 +171,7 @@ def excel_errors(spark, sf):
     token = case(pick, *V.EXCEL_ERRORS)
     cell = F.when(pick < 6, F.concat(F.lit(" "), F.upper(token))).when(pick < 12, token).when(
         pick == 12, "#REF").otherwise(F.col("o_orderpriority"))
-    return table(spark, sf, "orders").select("o_orderkey", text.excel_error_to_null(cell).alias("priority"))
+    return wide(spark, sf, "orders").select("o_orderkey", text.excel_error_to_null(cell).alias("priority"))
 
 
 @query("na_tokens", """
@@ -180,7 +180,7 @@ def excel_errors(spark, sf):
 def na_tokens(spark, sf):
     pick = F.col("c_custkey") % 16
     cell = F.when(pick < 8, F.upper(case(pick, *V.NA_TOKENS))).when(pick == 8, "--").otherwise(F.col("c_mktsegment"))
-    return table(spark, sf, "customer").select("c_custkey", text.na_to_null(cell).alias("segment"))
+    return wide(spark, sf, "customer").select("c_custkey", text.na_to_null(cell).alias("segment"))
 
 
 @query("leading_zeros", """
@@ -189,4 +189,4 @@ def na_tokens(spark, sf):
 def leading_zeros(spark, sf):
     key = F.col("o_custkey").cast("string")
     cell = case(F.col("o_orderkey") % 3, F.lpad(key, 6, "0"), F.concat(F.lit("1"), key), F.concat(F.lit("0."), key))
-    return table(spark, sf, "orders").select("o_orderkey", numbers.has_leading_zero(cell).alias("leading_zero"))
+    return wide(spark, sf, "orders").select("o_orderkey", numbers.has_leading_zero(cell).alias("leading_zero"))

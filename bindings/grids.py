@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.registry import case, query, table, vn_text
+from bindings.registry import case, query, wide, vn_text
 from gridsmith.functions import vocabulary as V
 from gridsmith.operators import grid as G
 from gridsmith.plans.cleaning import header_names
@@ -17,7 +17,7 @@ SECOND = ["đơn", "Khách", "bán", "đặt", "mua"]
 def customer_grids(spark, sf):
     """Customers by key modulo 4: title and header; title and two header rows; title only; header and
     an empty row. Data rows follow in order-key order."""
-    orders = table(spark, sf, "orders")
+    orders = wide(spark, sf, "orders")
     kind = F.col("o_custkey") % 4
     none = F.lit(None).cast("string")
 
@@ -141,7 +141,7 @@ def column_names(spark, sf):
     """Whole texts as header cells."""
     from gridsmith.functions import text
 
-    df = table(spark, sf, "conversations")
+    df = wide(spark, sf, "conversations")
     name = text.column_name(F.col("text"), F.col("turn"))
     return df.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), name.alias("name"))
 
@@ -152,7 +152,7 @@ def column_names(spark, sf):
     SELECT table_id, idx, CASE WHEN rn = 1 THEN base ELSE base || '_' || rn END AS name FROM n""")
 def unique_column_names(spark, sf):
     """Market segments of a nation's customers as repeated column names."""
-    names = table(spark, sf, "customer").select(
+    names = wide(spark, sf, "customer").select(
         F.col("c_nationkey").alias("table_id"), F.col("c_custkey").alias("idx"), F.lower("c_mktsegment").alias("name"))
     return G.unique_names(names)
 
@@ -179,7 +179,7 @@ def event_grid(spark, sf):
         "c2": F.when(blank, None).when(F.col("event_type") == "click", F.lit("  ")).otherwise(F.col("props")),
         "c3": F.lit(None).cast("string"),
     }
-    return table(spark, sf, "events").select(
+    return wide(spark, sf, "events").select(
         F.col("event_type").alias("table_id"), F.floor(key / 500).alias("block"), key.alias("seq"),
         *[c.alias(n) for n, c in cells.items()])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.registry import case, comma_text, plain_text, query, table, us_text, vn_text
+from bindings.registry import case, comma_text, plain_text, query, wide, us_text, vn_text
 from gridsmith.operators import typing as T
 from gridsmith.operators.cells import clean_cells
 
@@ -17,7 +17,7 @@ def styled(spark, sf):
     cell = case(
         tbl, vn_text(price), us_text(price), plain_text(price),
         F.when(turn, us_text(price)).otherwise(vn_text(price)), comma_text(price))
-    return table(spark, sf, "lineitem").select(tbl.cast("int").alias("tbl"), cell.alias("price"))
+    return wide(spark, sf, "lineitem").select(tbl.cast("int").alias("tbl"), cell.alias("price"))
 
 
 @query("number_styles", """
@@ -38,7 +38,7 @@ def number_styles(spark, sf):
 def messy_orders(spark, sf):
     """Orders as text: every column another type, with cells that do not fit."""
     key = F.col("o_orderkey")
-    return table(spark, sf, "orders").select(
+    return wide(spark, sf, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate",
         F.when(key % 10 == 9, "abc").otherwise((key + 2).cast("string")).alias("code"),
         F.when(key % 10 >= 6, "abc").otherwise((key + 2).cast("string")).alias("half"),
@@ -83,7 +83,7 @@ def whole_numbers(spark, sf):
     whole = F.col("l_quantity").cast("bigint") + 2
     cell = case(F.col("l_suppkey") % 3, whole.cast("string"), F.concat(whole.cast("string"), F.lit(".5")),
                 F.concat(whole.cast("string"), F.lit(".0")))
-    df = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 3).cast("int").alias("tbl"), cell.alias("quantity"))
+    df = wide(spark, sf, "lineitem").select((F.col("l_suppkey") % 3).cast("int").alias("tbl"), cell.alias("quantity"))
     return T.profile(df, ["quantity"], ["tbl"]).select("tbl", "type")
 
 
@@ -94,7 +94,7 @@ def whole_numbers(spark, sf):
 def time_parts(spark, sf):
     cell = F.when(F.col("user_id") % 4 == 1, F.date_format("ts", "yyyy-MM-dd")).otherwise(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-    df = table(spark, sf, "events").select((F.col("user_id") % 4).alias("tbl"), cell.alias("moment"))
+    df = wide(spark, sf, "events").select((F.col("user_id") % 4).alias("tbl"), cell.alias("moment"))
     return T.profile(df, ["moment"], ["tbl"]).select("tbl", "has_time")
 
 
@@ -106,7 +106,7 @@ def leading_zero_columns(spark, sf):
     """One padded code is enough to keep a whole column as text."""
     key = F.col("c_custkey")
     padded = F.when(F.col("c_nationkey") % 2 == 0, F.lpad(key.cast("string"), 6, "0")).otherwise((key + 100).cast("string"))
-    df = table(spark, sf, "customer").select("c_nationkey", padded.alias("code"))
+    df = wide(spark, sf, "customer").select("c_nationkey", padded.alias("code"))
     return T.profile(df, ["code"], ["c_nationkey"]).select("c_nationkey", "leading_zero", "type")
 
 
@@ -145,20 +145,20 @@ def styled_columns(spark, sf):
     SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY user_id, event_type""")
 def dedup_rows(spark, sf):
     """Events cut to two columns repeat often; the first copy's place is kept."""
-    df = table(spark, sf, "events").select("user_id", "event_type", F.col("event_id").alias("first_id"))
+    df = wide(spark, sf, "events").select("user_id", "event_type", F.col("event_id").alias("first_id"))
     return T.drop_duplicates(df, ["user_id", "event_type"], ["first_id"])
 
 
 @query("distinct_rows", "SELECT DISTINCT l_suppkey, l_returnflag, l_linestatus, l_quantity FROM lineitem")
 def distinct_rows(spark, sf):
     return T.drop_duplicates(
-        table(spark, sf, "lineitem"), ["l_suppkey", "l_returnflag", "l_linestatus", "l_quantity"])
+        wide(spark, sf, "lineitem"), ["l_suppkey", "l_returnflag", "l_linestatus", "l_quantity"])
 
 
 def messy_prices(spark, sf):
     """Line items with prices as Vietnamese text, NA tokens for some, every third row twice."""
     price = F.when(F.col("l_partkey") % 17 == 0, "n/a").otherwise(vn_text(F.col("l_extendedprice")))
-    rows = table(spark, sf, "lineitem").select(
+    rows = wide(spark, sf, "lineitem").select(
         *[F.col(c).cast("string").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
         "l_returnflag", price.alias("price"))
     copies = F.when(F.col("l_partkey") % 3 == 0, 2).otherwise(1)

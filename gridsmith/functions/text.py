@@ -41,32 +41,28 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
 
-def _udf_nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
-
-
-def _udf_fold(s: pd.Series) -> pd.Series:
-    return s.map(
-        lambda x: unicodedata.normalize("NFD", x).encode("ascii", "ignore").decode("ascii"),
-        na_action="ignore",
-    )
-
-
 def may_change_under_nfc(c: Column) -> Column:
     return c.rlike(MAY_CHANGE_UNDER_NFC)
 
 
 def nfc(c: Column) -> Column:
     """NFC. Only the cells that may change are sent to the Arrow function."""
-    # Built at call time: a pandas UDF needs a live session.
-    udf = F.pandas_udf(_udf_nfc, "string")
+    # A local function travels to the executors by value, so they need not have this package.
+    @F.pandas_udf("string")
+    def udf(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
     return F.coalesce(udf(F.when(may_change_under_nfc(c), c)), c)
 
 
 def ascii_fold(c: Column) -> Column:
     """Drop diacritics and every other non-ASCII character; d with stroke becomes d."""
+    @F.pandas_udf("string")
+    def udf(s: pd.Series) -> pd.Series:
+        return s.map(
+            lambda x: unicodedata.normalize("NFD", x).encode("ascii", "ignore").decode("ascii"), na_action="ignore")
+
     plain = F.translate(c, "đĐ", "dD")
-    udf = F.pandas_udf(_udf_fold, "string")
     non_ascii = plain.rlike(r"[^\x00-\x7F]")
     return F.when(non_ascii, udf(F.when(non_ascii, plain))).otherwise(plain)
 

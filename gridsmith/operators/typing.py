@@ -109,8 +109,8 @@ def converted(c: Column, kind: str, style: str, has_time: bool, typed_dates: boo
         ts = dates.parse_datetime(c)
         if typed_dates:
             return ts if has_time else ts.cast("date")
-        layout = "yyyy-MM-dd HH:mm:ss" if has_time else "yyyy-MM-dd"
-        return F.coalesce(F.date_format(ts, layout), c)
+        # Both casts print ISO; no formatter is needed.
+        return F.coalesce((ts if has_time else ts.cast("date")).cast("string"), c)
     return c
 
 

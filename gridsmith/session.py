@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -20,6 +20,8 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # Generated methods above this size are not compiled by the JVM; Spark then splits them.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
 
@@ -44,7 +46,17 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df, label: str = "stage"):
+def spread(df: DataFrame) -> DataFrame:
+    """Give a file scan at least as many partitions as there are cores.
+
+    Reading one small file is one task, which costly cell work would then leave the other cores
+    idle. A large scan has enough partitions and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: lineage ends at the files."""
     spark = df.sparkSession
     path = fresh_path(spark, label)

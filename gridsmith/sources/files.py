@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterator
 from urllib.parse import quote
 
 import pandas as pd
@@ -19,43 +18,48 @@ WINDOWS_CHARACTERS = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace")
 BYTE_ORDER_MARK = "\ufeff"
 
 
-def _encoding(head: bytes, whole: bool) -> str:
-    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return "UTF-16"
-    for cut in range(1 if whole else 4):
-        # A head may end inside a character of up to four bytes.
-        try:
-            head[: len(head) - cut].decode("utf-8")
-            return "UTF-8"
-        except UnicodeDecodeError:
-            continue
-    return "cp1252"
-
+def _head_sniffer():
+    """The function run by the executors; local, so that it travels by value."""
+    n_bytes, n_chars, delimiters = V.ENCODING_SAMPLE_BYTES, V.DELIMITER_SAMPLE_CHARS, V.DELIMITERS
 
-def _delimiter(sample: str) -> str:
-    try:
-        return csv.Sniffer().sniff(sample, delimiters=V.DELIMITERS).delimiter
-    except csv.Error:
-        return ","
+    def encoding_of(head: bytes) -> str:
+        if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+            return "UTF-16"
+        # A head that was cut may end inside a character of up to four bytes.
+        for cut in range(1 if len(head) < n_bytes else 4):
+            try:
+                head[: len(head) - cut].decode("utf-8")
+                return "UTF-8"
+            except UnicodeDecodeError:
+                continue
+        return "cp1252"
 
+    def delimiter_of(sample: str) -> str:
+        try:
+            return csv.Sniffer().sniff(sample, delimiters=delimiters).delimiter
+        except csv.Error:
+            return ","
 
-def _sniff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
+    def look(uri: str) -> tuple:
+        from pyarrow import fs
 
-    def one(uri: str) -> tuple:
         try:
             system, name = fs.FileSystem.from_uri(quote(uri, safe="%/:?=&+@,;~!$'()*"))
             with system.open_input_stream(name) as stream:
-                head = stream.read(V.ENCODING_SAMPLE_BYTES)
+                head = stream.read(n_bytes)
         except (OSError, ValueError) as error:
             return None, None, str(error)
-        encoding = _encoding(head, len(head) < V.ENCODING_SAMPLE_BYTES)
-        sample = head.decode(encoding, errors="replace")[: V.DELIMITER_SAMPLE_CHARS]
-        return encoding, _delimiter(sample.lstrip(BYTE_ORDER_MARK)), None
+        encoding = encoding_of(head)
+        sample = head.decode(encoding, errors="replace")[:n_chars].lstrip("\ufeff")
+        return encoding, delimiter_of(sample), None
+
+    def sniff(batches):
+        for batch in batches:
+            found = pd.DataFrame([look(uri) for uri in batch["uri"]], columns=["encoding", "sep", "error"])
+            found = found.astype(object).where(found.notna(), None)
+            yield pd.concat([batch.reset_index(drop=True), found], axis=1)
 
-    for batch in batches:
-        found = pd.DataFrame([one(uri) for uri in batch["uri"]], columns=["encoding", "sep", "error"])
-        yield pd.concat([batch.reset_index(drop=True), found.astype(object).where(found.notna(), None)], axis=1)
+    return sniff
 
 
 def sniff_heads(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -65,7 +69,7 @@ def sniff_heads(spark: SparkSession, path: str | list[str]) -> DataFrame:
     # The head reader wants an absolute URI; Spark prints local ones with a single slash.
     located = files.withColumn("uri", F.regexp_replace("file_id", "^file:/+", "file:///"))
     schema = "file_id string, path string, uri string, encoding string, sep string, error string"
-    return located.mapInPandas(_sniff, schema)
+    return located.mapInPandas(_head_sniffer(), schema)
 
 
 def _count(text: Column | str, char: str) -> Column:
