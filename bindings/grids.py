@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from bindings.registry import case, query, wide, vn_text
 from gridsmith.functions import vocabulary as V
 from gridsmith.operators import grid as G
-from gridsmith.plans.cleaning import header_names
+from gridsmith.plans.cleaning import header_names, typed_head
+from gridsmith.session import staged
 
 FIRST = ["Mã", "Khách", "Giá", "Ngày", "Giá"]
 SECOND = ["đơn", "Khách", "bán", "đặt", "mua"]
@@ -129,8 +130,10 @@ NAMES_SQL = CUSTOMERS + f"""
 @query("header_names", NAMES_SQL)
 def named_columns(spark, sf):
     """Header texts to final, unique column names, for all grids at once."""
-    grid = G.drop_empty_rows(customer_grids(spark, sf))
-    return header_names(grid, G.column_facts(grid))[2].select("table_id", "idx", "name")
+    grid = staged(G.drop_empty_rows(customer_grids(spark, sf)), "grid")
+    facts = staged(G.column_facts(grid), "facts")
+    head = staged(typed_head(grid, facts), "head")
+    return header_names(head, G.detect_header(head), facts).select("table_id", "idx", "name")
 
 
 @query("column_names", """

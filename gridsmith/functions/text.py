@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from gridsmith.functions import vocabulary as V
 
-# Characters that may change under NFC: combining marks, conjoining jamo, and the blocks holding
+# Characters that may change under NFC: combining marks, characters newer than the JVM, conjoining jamo, and the blocks holding
 # singletons (Greek extended, spaces and letterlike signs, compatibility ideographs). A string
 # free of them is already in NFC, so it never leaves the JVM.
 MAY_CHANGE_UNDER_NFC = (
-    r"[\p{M}\u0374\u037E\u0387\u0958-\u095F\u09DC-\u09DF\u0A33-\u0A5E\u0B5C\u0B5D\u0F43-\u0F69"
+    r"[\p{M}\p{Cn}\u0374\u037E\u0387\u0958-\u095F\u09DC-\u09DF\u0A33-\u0A5E\u0B5C\u0B5D\u0F43-\u0F69"
     r"\u1160-\u11FF\u1F71-\u1FFD\u2000\u2001\u2126\u212A\u212B\u2329\u232A\u2ADC\uF900-\uFAFF"
     r"\uFB1D-\uFB4E\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1F}]"
 )

@@ -12,7 +12,7 @@ from gridsmith.operators import grid as G
 from gridsmith.operators.cells import clean_cells
 from gridsmith.operators.typing import apply_types, drop_duplicates, profile
 from gridsmith.plans.submission import each
-from gridsmith.session import fresh_path
+from gridsmith.session import fresh_path, staged
 from gridsmith.sources.files import read_grid, sniff_files
 from gridsmith.sources.tables import publish
 
@@ -28,59 +28,67 @@ class Shape:
     nfc: list[str] = field(default_factory=list)
 
 
-def header_names(grid: DataFrame, facts: DataFrame, strict: bool = False,
-                 ascii_names: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(head, header, names)`` of all tables: the typed head rows, the header decision and one row
-    per surviving column with its final name. All three hold at most 30 rows per table."""
+def typed_head(grid: DataFrame, facts: DataFrame, strict: bool = False) -> DataFrame:
+    """The head rows of every table, at most 30, with their type; empty columns count as NULL."""
     cells = G.cell_columns(grid)
     filled = facts.where("filled").groupBy("table_id").agg(F.collect_set("cell").alias("_filled"))
     head = G.head_rows(grid).join(filled, "table_id").select(
         "table_id", *G.ORDER, "row_no",
         *[F.when(F.array_contains("_filled", F.lit(c)), F.col(c)).alias(c) for c in cells])
-    head = G.classify_rows(head, strict, cells)
-    header = G.detect_header(head)
-    merged = G.merge_header_rows(head, header, cells).select("table_id", "cell", "header_text")
+    return G.classify_rows(head, strict, cells)
+
+
+def header_names(head: DataFrame, header: DataFrame, facts: DataFrame, ascii_names: bool = False) -> DataFrame:
+    """One row per table and surviving column with its final, unique name."""
+    merged = G.merge_header_rows(head, header).select("table_id", "cell", "header_text")
     survivors = facts.where("filled").select(
         "table_id", "cell",
         (F.row_number().over(Window.partitionBy("table_id").orderBy("idx")) - 1).alias("idx"))
     names = survivors.join(merged, ["table_id", "cell"], "left")
-    return head, header, G.unique_names(G.clean_column_names(names, ascii_names))
+    return G.unique_names(G.clean_column_names(names, ascii_names))
 
 
 def table_shapes(grid: DataFrame, strict: bool = False, ascii_names: bool = False) -> dict[str, Shape]:
-    """The shape of every table of the grid, from one scan for the column facts and one for the heads."""
-    facts = G.column_facts(grid)
-    found = facts.collect()
-    known = grid.sparkSession.createDataFrame(found, facts.schema)
-    head, header, names = header_names(grid, known, strict, ascii_names)
-    starts = header.join(head, "table_id").where(F.col("row_no") == F.col("data_start"))
+    """The shape of every table of the grid, from one scan for the column facts and one for the heads;
+    the rest works on those two small tables."""
+    facts = staged(G.column_facts(grid), "facts")
+    head = staged(typed_head(grid, facts, strict), "head")
+    header = staged(G.detect_header(head), "header")
+    names = header_names(head, header, facts, ascii_names)
     shapes: dict[str, Shape] = {}
-    for r in names.orderBy("table_id", "idx").collect():
-        shapes.setdefault(r.table_id, Shape()).names[r.cell] = r.name
-    for r in found:
-        if r.filled and r.table_id in shapes:
-            if r.ditto:
-                shapes[r.table_id].ditto.append(r.cell)
-            if r.nfc:
-                shapes[r.table_id].nfc.append(r.cell)
-    several = {r.table_id for r in head.groupBy("table_id").count().where("count > 1").collect()}
-    for r in starts.select("table_id", "method", *G.ORDER).collect():
+    for r in names.join(facts.select("table_id", "cell", "ditto", "nfc"), ["table_id", "cell"]).orderBy(
+            "table_id", "idx").collect():
+        shape = shapes.setdefault(r.table_id, Shape())
+        shape.names[r.cell] = r.name
+        if r.ditto:
+            shape.ditto.append(r.cell)
+        if r.nfc:
+            shape.nfc.append(r.cell)
+    at = F.max_by(F.struct(*G.ORDER), F.when(F.col("row_no") == F.col("data_start"), 1))
+    starts = head.join(header, "table_id").groupBy("table_id", "method").agg(
+        at.alias("start"), F.count(F.lit(1)).alias("n"))
+    for r in starts.collect():
         shapes[r.table_id].method = r.method
-        if r.table_id in several:
-            shapes[r.table_id].start = (r.block, r.seq)
+        if r.n > 1 and r.start is not None:
+            shapes[r.table_id].start = (r.start.block, r.start.seq)
     return shapes
 
 
-def stage_grid(grid: DataFrame) -> str:
-    """Write the non-empty rows once, a folder per table, for the passes that follow.
+def by_table(df: DataFrame, label: str) -> DataFrame:
+    """Write rows to the shared folder, a subfolder per table, and read them back.
 
-    The raw files are parsed once, row numbers are fixed, and later reads are columnar and
-    pruned to one table.
+    Later passes are columnar, pruned to the table they want, and independent of the tasks that
+    computed the rows.
     """
-    path = fresh_path(grid.sparkSession, "grid")
-    G.drop_empty_rows(grid).withColumn("table_key", F.sha2("table_id", 256)).write.partitionBy(
-        "table_key").parquet(path)
-    return path
+    keyed = df.withColumn("table_key", F.sha2("table_id", 256))
+    path = fresh_path(df.sparkSession, label)
+    keyed.write.partitionBy("table_key").parquet(path)
+    return df.sparkSession.read.schema(keyed.schema).parquet(path)
+
+
+def stage_grid(grid: DataFrame) -> DataFrame:
+    """The non-empty rows: raw files are parsed once, and row numbers are fixed."""
+    return by_table(G.drop_empty_rows(grid), "grid")
 
 
 def cleaned_rows(grid: DataFrame, shapes: dict[str, Shape]) -> DataFrame:
@@ -110,7 +118,7 @@ def clean_table(spark: SparkSession, path: str, strict: bool = False, ascii_name
 
     ``keep_order`` adds ``block, seq``, the place of each row's first copy in the file.
     """
-    grid = spark.read.parquet(stage_grid(read_grid(spark, path))).drop("table_key")
+    grid = stage_grid(read_grid(spark, path)).drop("table_key")
     shapes = table_shapes(grid, strict, ascii_names)
     usable = {t: s for t, s in shapes.items() if s.start}
     if not usable:
@@ -134,18 +142,13 @@ def clean_corpus(spark: SparkSession, path: str, target: str | None = None, over
     without it tables go to the catalog. A file that fails is a status row, the others go on.
     """
     sniffed = sniff_files(spark, path).collect()
-    staged_path = stage_grid(read_grid(spark, path, sniffed))
-    grid = spark.read.parquet(staged_path)
-    shapes = table_shapes(grid.drop("table_key"), strict, ascii_names)
+    grid = stage_grid(read_grid(spark, path, sniffed)).drop("table_key")
+    shapes = table_shapes(grid, strict, ascii_names)
     usable = {t: s for t, s in shapes.items() if s.start}
     votes: dict[str, list[Row]] = {}
-    clean_path = fresh_path(spark, "clean")
     if usable:
-        rows = cleaned_rows(grid.drop("table_key"), usable)
-        cells = [c for c in rows.columns if c not in ("table_id", *G.ORDER)]
-        rows.withColumn("table_key", F.sha2("table_id", 256)).write.partitionBy("table_key").parquet(clean_path)
-        clean = spark.read.parquet(clean_path)
-        for v in profile(clean, cells, ["table_id"], bool_digits).collect():
+        clean = by_table(cleaned_rows(grid, usable), "clean")
+        for v in profile(clean, G.cell_columns(clean), ["table_id"], bool_digits).collect():
             votes.setdefault(v["table_id"], []).append(v)
     named = spark.createDataFrame([(f["path"],) for f in sniffed], "path string").select(
         "path", text.table_name(F.col("path")).alias("name")).collect()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import csv
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,20 +56,25 @@ def _head_sniffer():
     def sniff(batches):
         for batch in batches:
             found = pd.DataFrame([look(uri) for uri in batch["uri"]], columns=["encoding", "sep", "error"])
-            found = found.astype(object).where(found.notna(), None)
-            yield pd.concat([batch.reset_index(drop=True), found], axis=1)
+            found.insert(0, "path", [unquote(uri) for uri in batch["uri"]])
+            found.insert(0, "file_id", list(batch["file_id"]))
+            yield found.astype(object).where(found.notna(), None)
 
     return sniff
 
 
+def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file_id, uri`` of the files under a path, empty ones included; nothing is read."""
+    names = spark.read.format("binaryFile").load(path).inputFiles()
+    listed = spark.createDataFrame([(n,) for n in names], "uri string")
+    # The file names that scans report have a single slash after the scheme of local files.
+    return listed.select(F.regexp_replace("uri", "^file:/+", "file:/").alias("file_id"), "uri")
+
+
 def sniff_heads(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file_id, path, uri, encoding, sep, error`` from the head of each file, read by the executors."""
-    files = spark.read.format("binaryFile").load(path).select(
-        F.col("_metadata.file_path").alias("file_id"), "path")
-    # The head reader wants an absolute URI; Spark prints local ones with a single slash.
-    located = files.withColumn("uri", F.regexp_replace("file_id", "^file:/+", "file:///"))
-    schema = "file_id string, path string, uri string, encoding string, sep string, error string"
-    return located.mapInPandas(_head_sniffer(), schema)
+    """``file_id, path, encoding, sep, error`` from the head of each file, read by the executors."""
+    schema = "file_id string, path string, encoding string, sep string, error string"
+    return list_files(spark, path).mapInPandas(_head_sniffer(), schema)
 
 
 def _count(text: Column | str, char: str) -> Column:
