@@ -6,13 +6,10 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
-from pyspark.errors import PySparkException
-
 
 def message(error: Exception) -> str:
-    if isinstance(error, PySparkException) and error.getCondition():
-        return str(error).split("\n")[0]
-    return str(error).split("\n")[0] or type(error).__name__
+    """The first line that says something; never empty, as an empty text would read as no error."""
+    return str(error).strip().split("\n")[0] or type(error).__name__
 
 
 def each(items: Iterable[Any], job: Callable[[Any], Any], workers: int = 4) -> list[tuple[Any, Any, str | None]]:
