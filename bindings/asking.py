@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from bindings.registry import query, table
 from gridsmith.operators import questions as Q
-from gridsmith.operators.ordering import positions
+from gridsmith.operators.ordering import numbered
 
 
 def questions(spark, sf):
     """User turns as questions of seven databases, some with explicit ids, files or evidence."""
     turns = table(spark, sf, "conversations").where("role = 'user'")
-    pos = positions(turns, [], [["conv_id"]], ["turn"], "pos")
+    pos = numbered(turns.withColumn("_at", F.col("conv_id") * 1000 + F.col("turn")), "_at", "pos")
     pick = F.col("pos") % 5
     return pos.select(
         "pos", F.concat(F.lit("db_"), (F.col("conv_id") % 7).cast("string")).alias("db_id"),

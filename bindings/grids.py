@@ -3,6 +3,7 @@ rows, and events with blank rows, blank columns and ditto marks."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bindings.registry import case, query, wide, vn_text
@@ -150,13 +151,15 @@ def column_names(spark, sf):
 
 
 @query("unique_names", """
-    WITH n AS (SELECT c_nationkey AS table_id, c_custkey AS idx, lower(c_mktsegment) AS base,
-                      row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS rn FROM customer)
-    SELECT table_id, idx, CASE WHEN rn = 1 THEN base ELSE base || '_' || rn END AS name FROM n""")
+    WITH o AS (SELECT l_orderkey AS table_id, lower(l_returnflag) AS base, row_number() OVER (
+                 PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_partkey, l_suppkey) AS idx FROM lineitem),
+    n AS (SELECT *, row_number() OVER (PARTITION BY table_id, base ORDER BY idx) AS rn FROM o)
+    SELECT table_id, CAST(idx AS INTEGER) AS idx, CASE WHEN rn = 1 THEN base ELSE base || '_' || rn END AS name FROM n""")
 def unique_column_names(spark, sf):
-    """Market segments of a nation's customers as repeated column names."""
-    names = wide(spark, sf, "customer").select(
-        F.col("c_nationkey").alias("table_id"), F.col("c_custkey").alias("idx"), F.lower("c_mktsegment").alias("name"))
+    """The return flags of an order's few lines as repeated column names of one table."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag", "l_partkey", "l_suppkey")
+    names = wide(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("table_id"), F.row_number().over(w).alias("idx"), F.lower("l_returnflag").alias("name"))
     return G.unique_names(names)
 
 

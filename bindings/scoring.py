@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bindings.registry import case, query, table
@@ -10,6 +9,7 @@ from gridsmith.functions.equality import values_equal
 from gridsmith.functions.statements import is_ordered
 from gridsmith.operators import score as S
 from gridsmith.operators.answers import UNPARSEABLE, answer_cells, parsed_answers, reparsed
+from gridsmith.operators.ordering import positions
 from gridsmith.plans import scoring as P
 from gridsmith.session import fresh_path, staged
 from gridsmith.sources import records
@@ -24,11 +24,12 @@ def _text(c):
 
 
 def order_rows(spark, sf):
-    w = Window.partitionBy("o_custkey")
-    return table(spark, sf, "orders").select(
+    """Orders with their place among, and the number of, their customer's orders."""
+    orders = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("k"), "o_orderkey", "o_totalprice", "o_orderstatus",
-        (F.row_number().over(w.orderBy("o_orderkey")) - 1).cast("bigint").alias("row_idx"),
-        F.count(F.lit(1)).over(w).alias("n"))
+        F.floor(F.col("o_orderkey") / 1_000_000).alias("_chunk"))
+    placed = positions(orders, ["k"], [["_chunk"]], ["o_orderkey"], "row_idx").drop("_chunk")
+    return placed.join(orders.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k")
 
 
 def gold_side(spark, sf):

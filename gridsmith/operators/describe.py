@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,40 +46,32 @@ def quoted(c: Column) -> Column:
     return F.when(c.contains("'") & ~c.contains('"'), double).otherwise(single)
 
 
-def _long(df: DataFrame, order: list[str], render: Callable[[Column, str], Column]) -> DataFrame:
-    names = [n for n in df.columns if n not in order]
-    kinds = dict(df.dtypes)
-    return df.select(F.struct(*order).alias("_at"), F.explode(F.array(*[
-        F.struct(F.lit(i).alias("idx"), F.lit(n).alias("column"), render(F.col(f"`{n}`"), kinds[n]).alias("value"))
-        for i, n in enumerate(names)])).alias("x")).select("_at", "x.*")
-
-
-def example_values(df: DataFrame, order: list[str], n: int = 3, head: int = 10_000) -> DataFrame:
+def example_values(df: DataFrame, order: list[str], n: int = 3) -> DataFrame:
     """``idx, column, rank, value``: the first ``n`` distinct non-NULL values of every column.
 
-    Most columns show ``n`` distinct values within their first rows, so those are looked up
-    first; only the columns that do not are grouped over the whole table. These have few distinct
-    values as a rule, so the map-side half of that aggregate leaves little to shuffle, and a
-    column of distinct long texts is never shuffled at all.
+    One pass per rank: each finds, for all columns at once, the earliest value not found before.
+    A task passes on one value per column, so columns of long distinct texts cost no shuffle and
+    no column is ever grouped by its values.
     """
-    def first_distinct(part: DataFrame) -> DataFrame:
-        seen = _long(part, order, lambda c, kind: plain_text(c, kind)).where("value IS NOT NULL")
-        firsts = seen.groupBy("idx", "column", "value").agg(F.min("_at").alias("_at"))
-        w = Window.partitionBy("idx").orderBy("_at")
-        return firsts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-
     names = [c for c in df.columns if c not in order]
-    spark = df.sparkSession
-    top = first_distinct(df.orderBy(*order).limit(head)).select("idx", "column", "rank", "value")
-    known = spark.createDataFrame(top.collect(), top.schema)
-    full = {r["column"] for r in known.where(F.col("rank") == n).select("column").collect()}
-    rest = [c for c in names if c not in full]
-    if not rest:
-        return known
-    more = first_distinct(df.select(*order, *rest)).select("column", "rank", "value")
-    places = spark.createDataFrame([(i, c) for i, c in enumerate(names)], "idx int, column string")
-    return known.where(F.col("column").isin(list(full))).unionByName(
-        more.join(places, "column").select("idx", "column", "rank", "value"))
+    kinds = dict(df.dtypes)
+    at = F.struct(*order)
+    texts = df.select(at.alias("_at"), *[plain_text(F.col(f"`{c}`"), kinds[c]).alias(f"v{i}") for i, c in enumerate(names)])
+    found: list[tuple[int, str, int, str]] = []
+    open_columns = list(range(len(names)))
+    for rank in range(1, n + 1):
+        if not open_columns:
+            break
+
+        def fresh(i: int) -> Column:
+            known = [v for j, _, _, v in found if j == i]
+            c = F.col(f"v{i}")
+            return c.isNotNull() & ~c.isin(known) if known else c.isNotNull()
+
+        first = texts.agg(*[F.min_by(f"v{i}", F.when(fresh(i), F.col("_at"))).alias(f"v{i}") for i in open_columns]).first()
+        found += [(i, names[i], rank, first[f"v{i}"]) for i in open_columns if first[f"v{i}"] is not None]
+        open_columns = [i for i in open_columns if first[f"v{i}"] is not None]
+    return df.sparkSession.createDataFrame(found, "idx int, column string, rank int, value string")
 
 
 def sample_rows(df: DataFrame, order: list[str], n: int = 3) -> DataFrame:

@@ -22,7 +22,8 @@ def positions(df: DataFrame, group: list[str], levels: list[list[str]], order: l
     """Add ``name``: the 0-based position of each row in its group, by ``levels`` then ``order``.
 
     Rows are shuffled once, by group and all levels; the offsets come from counts that are
-    combined map-side first.
+    combined map-side first and meet the rows in the same partitioning. Keys must not be NULL:
+    a NULL-safe join would need a partitioning of its own, a second shuffle of all rows.
     """
     keys = group + [k for level in levels for k in level]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -36,17 +37,12 @@ def positions(df: DataFrame, group: list[str], levels: list[list[str]], order: l
         before = Window.partitionBy(*parent).orderBy(*levels[depth]).rowsBetween(
             Window.unboundedPreceding, -1)
         part = totals.select(*chunk, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(f"_off{depth}"))
-        offsets = offsets.alias("l").join(part.alias("r"), null_safe("l", "r", chunk)).select(
-            "l.*", f"r._off{depth}")
+        offsets = offsets.join(part, chunk)
         base = base + F.col(f"_off{depth}")
     offsets = offsets.select(*keys, base.alias("_base"))
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return (
-        df.withColumn("_local", local).alias("l")
-        .join(offsets.alias("r"), null_safe("l", "r", keys))
-        .select("l.*", (F.col("r._base") + F.col("l._local") - 1).alias(name))
-        .drop("_local")
-    )
+    placed = df.withColumn("_local", local).join(offsets, keys)
+    return placed.select(*df.columns, (F.col("_base") + F.col("_local") - 1).alias(name))
 
 
 def numbered(df: DataFrame, order: str, name: str, chunk_rows: int = 1_000_000) -> DataFrame:
@@ -73,6 +69,6 @@ def carried(df: DataFrame, values: dict[str, Column], table: list[str], block: l
     ends = ends.select(
         *table, *block,
         *[F.last(f"_e_{n}", ignorenulls=True).over(block_w).alias(f"_c_{n}") for n in values])
-    return local.alias("l").join(ends.alias("r"), null_safe("l", "r", table + block)).select(
-        *[F.col(f"l.{c}") for c in df.columns],
-        *[F.coalesce(F.col(f"l._l_{n}"), F.col(f"r._c_{n}")).alias(n) for n in values])
+    # The same keys as the window's, so the rows are not shuffled again.
+    return local.join(ends, table + block).select(
+        *df.columns, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in values])

@@ -20,6 +20,18 @@ from gridsmith.session import staged
 ROWS_PER_CHUNK = 1_000_000
 
 
+def row_block(place: str) -> Column:
+    """Blocks of rows as part of a join key: a long column is spread over as many tasks as it has
+    blocks, a short one has a single block."""
+    return F.floor(F.col(place) / ROWS_PER_CHUNK)
+
+
+def with_blocks(columns: DataFrame) -> DataFrame:
+    """One row per column of ``n`` cells and block of rows."""
+    last = F.floor((F.col("n") - 1) / ROWS_PER_CHUNK)
+    return columns.withColumn("_rows", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+
+
 def rank_cells(cells: DataFrame, key: str) -> DataFrame:
     """Add ``rank``: place of each cell when its column is sorted on its own, NULL last.
 
@@ -31,11 +43,11 @@ def rank_cells(cells: DataFrame, key: str) -> DataFrame:
     magnitude = F.signum("num") * F.floor(F.log1p(F.abs("num")) * 4096)
     bucket = F.coalesce(magnitude, F.pmod(F.xxhash64("str"), F.lit(4096)).cast("double"), F.lit(0.0))
     keyed = cells.select(
-        "*", kind.alias("_kind"), bucket.alias("_bucket"),
-        F.floor(F.col("row_idx") / ROWS_PER_CHUNK).alias("_rows"))
+        "*", kind.alias("_kind"), bucket.alias("_bucket"), F.coalesce("num", F.lit(0.0)).alias("_num"),
+        F.coalesce("str", F.lit("")).alias("_str"), row_block("row_idx").alias("_rows"))
     ranked = positions(
-        keyed, [key, "col_idx"], [["_kind", "_bucket"], ["num", "str", "_rows"]], ["row_idx"], "rank")
-    return ranked.drop("_kind", "_bucket", "_rows")
+        keyed, [key, "col_idx"], [["_kind", "_bucket"], ["_num", "_str", "_rows"]], ["row_idx"], "rank")
+    return ranked.select(*cells.columns, "rank")
 
 
 def column_summary(cells: DataFrame, key: str) -> DataFrame:
@@ -94,9 +106,10 @@ def _placed(cells: DataFrame, key: str, wanted: DataFrame, modes: set[tuple[bool
         keys = wanted.where(F.col("ordered") == F.lit(ordered))
         if long is not None:
             keys = keys.where(F.col("long") == F.lit(long))
-        keys = keys.select(key, "col_idx").distinct()
-        return cells.select(key, "row_idx", "col_idx", "num", "str").join(
-            keys, [key, "col_idx"], "left_semi").withColumn("ordered", F.lit(ordered))
+        keys = with_blocks(keys.select(key, "col_idx", "n").distinct())
+        chosen = cells.select(key, "row_idx", "col_idx", "num", "str", row_block("row_idx").alias("_rows")).join(
+            keys, [key, "col_idx", "_rows"], "left_semi")
+        return chosen.drop("_rows").withColumn("ordered", F.lit(ordered))
 
     parts = []
     if any(ordered for ordered, _ in modes):
@@ -128,7 +141,9 @@ def matching_columns(pairs: DataFrame, pred: DataFrame, gold: DataFrame, abs_tol
                     F.col("num").alias("gnum"), F.col("str").alias("gstr"))
     right = p.select("pred_id", F.col("col_idx").alias("pcol"), "ordered", "rank",
                      F.col("num").alias("pnum"), F.col("str").alias("pstr"))
-    aligned = left.join(candidates, ["gold_id", "gcol", "ordered"]).join(right, ["pred_id", "pcol", "ordered", "rank"])
+    paired = left.withColumn("_rows", row_block("rank")).join(
+        with_blocks(candidates), ["gold_id", "gcol", "ordered", "_rows"])
+    aligned = paired.join(right, ["pred_id", "pcol", "ordered", "rank"])
     same = values_equal(F.col("pnum"), F.col("pstr"), F.col("gnum"), F.col("gstr"), abs_tol, rel_tol)
     return (
         aligned.groupBy("pred_id", "gold_id", "gcol", "pcol", "n")

@@ -13,6 +13,7 @@ from gridsmith.functions import vocabulary as V
 
 # Windows-1252 is not a charset of the CSV reader. It is read as Latin-1 and the 32 control
 # positions are then mapped to the characters that Windows-1252 has there.
+WHOLE_FILE_BLOCK_ROWS = 1_000_000
 LATIN1_CONTROLS = bytes(range(0x80, 0xA0)).decode("latin-1")
 WINDOWS_CHARACTERS = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace")
 BYTE_ORDER_MARK = "\ufeff"
@@ -124,7 +125,7 @@ def _record_width(spark: SparkSession, paths: list[str], encoding: str, sep: str
 def read_grid(spark: SparkSession, path: str | list[str], sniffed: list | None = None) -> DataFrame:
     """``table_id, block, seq, c0..cN`` for all files: one scan per encoding and delimiter.
 
-    ``table_id`` is the file, ``block`` the byte offset of the split and ``seq`` rises within it, so
+    ``table_id`` is the file, ``block`` the byte offset of the split (or a block of rows) and ``seq`` rises within it, so
     ``(block, seq)`` is the row order of the file although many tasks read it. The width is given
     to the reader, which would otherwise take it from the first row, often a title; surplus
     columns turn out empty and are dropped later.
@@ -153,10 +154,13 @@ def read_grid(spark: SparkSession, path: str | list[str], sniffed: list | None =
                 c = F.ltrim(c, F.lit(BYTE_ORDER_MARK))
             return F.nullif(c, F.lit("")).alias(name)
 
+        seq = F.monotonically_increasing_id()
+        # A file that cannot be split is cut into blocks of rows instead of bytes.
+        row_block = F.floor(seq.bitwiseAND(F.lit((1 << 33) - 1)) / WHOLE_FILE_BLOCK_ROWS)
         part = grid.select(
             F.col("_metadata.file_path").alias("table_id"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("seq"),
+            (row_block if whole else F.col("_metadata.file_block_start")).alias("block"),
+            seq.alias("seq"),
             *[cell(c) for c in cells])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:

@@ -21,12 +21,6 @@ def test_positions_with_a_hot_group_and_a_hot_key(spark):
     assert {r.i: r["at"] for r in got} == expected
 
 
-def test_positions_with_null_groups(spark):
-    df = spark.createDataFrame([(None, 2), (None, 1), ("a", 3)], "g string, i int")
-    got = {(r.g, r.i): r["at"] for r in positions(df, ["g"], [["i"]], ["i"], "at").collect()}
-    assert got == {(None, 1): 0, (None, 2): 1, ("a", 3): 0}
-
-
 def test_numbering_and_minibatches(spark):
     df = spark.range(0, 3000, 3).withColumnRenamed("id", "pos")
     assert {r.pos: r["at"] for r in numbered(df, "pos", "at", 100).collect()} == {i * 3: i for i in range(1000)}
