@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -143,9 +144,15 @@ def apply_types(df: DataFrame, votes: Iterable[Row], typed_dates: bool = False,
     return df.select(*out).select(*[finished(n) for n in df.columns])
 
 
+# Two order columns are packed into one decimal: a struct in the aggregate would force Spark to sort
+# every row before combining copies, a decimal is combined in a hash table.
+_PACK = Decimal(1 << 63)
+
+
 def drop_duplicates(df: DataFrame, cells: list[str], order: list[str] | None = None,
                     keep: list[str] | None = None) -> DataFrame:
-    """Equal rows once, with the order key of the first one if ``order`` is given.
+    """Equal rows once, with the order key of the first one if ``order`` (one or two non-negative whole
+    numbers) is given.
 
     The copies meet in the map-side half of the aggregate, so a row repeated in a third of the
     table crosses the network once per task.
@@ -153,5 +160,11 @@ def drop_duplicates(df: DataFrame, cells: list[str], order: list[str] | None = N
     keys = (keep or []) + cells
     if not order:
         return df.select(*keys).distinct()
-    first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
-    return first.select(*keys, *[F.col(f"_first.{o}").alias(o) for o in order])
+    if len(order) == 1:
+        return df.groupBy(*keys).agg(F.min(order[0]).alias(order[0]))
+    major, minor = order
+    packed = F.col(major).cast("decimal(19,0)") * F.lit(_PACK) + F.col(minor)
+    first = df.groupBy(*keys).agg(F.min(packed.cast("decimal(38,0)")).alias("_first"))
+    rest = F.pmod(F.col("_first"), F.lit(_PACK))
+    return first.select(
+        *keys, ((F.col("_first") - rest) / F.lit(_PACK)).cast("bigint").alias(major), rest.cast("bigint").alias(minor))
