@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindings.registry import query, table, vn_text
@@ -71,8 +74,8 @@ def raw_grid_windows(spark, sf):
     return files.read_grid(spark, path, sniffed).select("c0", "c1")
 
 
-def _messy_customers(spark, sf):
-    """Customers under a title line, with dittos, NA tokens and copies, in several files."""
+def _messy_customers(spark, sf, n_files=4):
+    """Customers with NA tokens, spreadsheet errors and copies, in several files with a header each."""
     path = fresh_path(spark, "csv")
     c = table(spark, sf, "customer")
     key = F.col("c_custkey")
@@ -83,18 +86,28 @@ def _messy_customers(spark, sf):
         F.when(key % 2 == 0, "Có").otherwise("Không").alias("Hoạt động"),
         F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (key % 300).cast("int")), "dd/MM/yyyy").alias("Ngày tạo"),
         F.explode(F.sequence(F.lit(1), F.when(key % 4 == 0, 2).otherwise(1))).alias("_copy"))
-    rows = rows.drop("_copy").repartitionByRange(4, "Mã khách").sortWithinPartitions("Mã khách")
+    rows = rows.drop("_copy").repartitionByRange(n_files, "Mã khách").sortWithinPartitions("Mã khách")
     _write_delimited(rows, path, ";")
     return path
 
 
-@query("cleaned_files", """
+CUSTOMER_SQL = """
     SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS mã_khách, c_name AS tên_khách,
            CASE WHEN c_custkey % 6 <> 5 THEN round(c_acctbal + 1000, 2) END AS số_dư_vnđ,
            CASE WHEN c_custkey % 9 <> 7 THEN round((c_custkey % 50) / 100.0, 6)::DOUBLE END AS chiết_khấu,
            CAST(1 - c_custkey % 2 AS INTEGER) AS hoạt_động,
            strftime(DATE '2024-01-01' + CAST(c_custkey % 300 AS INTEGER), '%Y-%m-%d') AS ngày_tạo
-    FROM customer""")
+    FROM customer"""
+
+
+@query("cleaned_table", CUSTOMER_SQL)
+def cleaned_table(spark, sf):
+    """Two files, each cleaned on its own as one table."""
+    names = files.list_files(spark, _messy_customers(spark, sf, 2)).collect()
+    return reduce(DataFrame.unionByName, [cleaning.clean_table(spark, r.uri) for r in names])
+
+
+@query("cleaned_files", CUSTOMER_SQL)
 def cleaned_files(spark, sf):
     """Every file of the folder to a published table: header, dittos, tokens, types, copies; all read back."""
     out = fresh_path(spark, "published")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bindings.registry import case, comma_text, plain_text, query, wide, us_text, vn_text
 from gridsmith.operators import typing as T
 from gridsmith.operators.cells import clean_cells
+from gridsmith.session import staged
 
 
 def styled(spark, sf):
@@ -122,7 +123,7 @@ def leading_zero_columns(spark, sf):
     FROM orders""")
 def typed_columns(spark, sf):
     """Clean, vote, convert: the order table back from its text form."""
-    clean = clean_cells(messy_orders(spark, sf).select("o_orderkey", *MESSY), MESSY)
+    clean = staged(clean_cells(messy_orders(spark, sf).select("o_orderkey", *MESSY), MESSY), "clean")
     return T.apply_types(clean, T.profile(clean, MESSY).collect())
 
 
@@ -178,7 +179,8 @@ def cleaned_revenue(spark, sf):
     """Messy price list to revenue: clean, vote, convert, deduplicate, aggregate."""
     messy = messy_prices(spark, sf)
     cells = messy.columns
-    clean = clean_cells(messy, cells, nfc_cells=[])
+    # Read twice, by the profile and by the conversion, so it is written once.
+    clean = staged(clean_cells(messy, cells, nfc_cells=[]), "clean")
     typed = T.apply_types(clean, T.profile(clean, cells).collect())
     distinct = T.drop_duplicates(typed, cells)
     return distinct.groupBy("l_returnflag").agg(

@@ -103,17 +103,18 @@ def cleaned_rows(grid: DataFrame, shapes: dict[str, Shape]) -> DataFrame:
 
 
 def typed_table(rows: DataFrame, shape: Shape, votes: list[Row], typed_dates: bool = False,
-                keep_order: bool = False) -> DataFrame:
+                typed_bools: bool = False, keep_order: bool = False) -> DataFrame:
     """One table's clean rows to its typed, deduplicated rows under the final names."""
     cells = list(shape.names)
     order = G.ORDER if keep_order else []
-    typed = apply_types(rows.select(*order, *cells), votes, typed_dates)
+    typed = apply_types(rows.select(*order, *cells), votes, typed_dates, typed_bools)
     distinct = drop_duplicates(typed, cells, order or None)
     return distinct.select(*[F.col(c).alias(n) for c, n in shape.names.items()], *order)
 
 
 def clean_table(spark: SparkSession, path: str, strict: bool = False, ascii_names: bool = False,
-                bool_digits: bool = True, typed_dates: bool = False, keep_order: bool = False) -> DataFrame:
+                bool_digits: bool = True, typed_dates: bool = False, typed_bools: bool = False,
+                keep_order: bool = False) -> DataFrame:
     """One messy file to a typed table; no columns when there are no data rows.
 
     ``keep_order`` adds ``block, seq``, the place of each row's first copy in the file.
@@ -126,7 +127,7 @@ def clean_table(spark: SparkSession, path: str, strict: bool = False, ascii_name
     (table_id, shape), = usable.items()
     rows = cleaned_rows(grid, usable)
     votes = profile(rows, list(shape.names), bool_digits=bool_digits).collect()
-    return typed_table(rows, shape, votes, typed_dates, keep_order)
+    return typed_table(rows, shape, votes, typed_dates, typed_bools, keep_order)
 
 
 STATUS = "path string, table_name string, status string, error string, n_columns int"
