@@ -56,7 +56,8 @@ def carried(df: DataFrame, values: dict[str, Column], table: list[str], block: l
     """Per new column, the last non-NULL of its expression in earlier rows of the same table.
 
     ``block`` cuts a table into order-consistent pieces. Each block is scanned on its own; the
-    last value of every block is then carried over the blocks, one short row per block.
+    last value of every block is then carried over the blocks, one short row per block. Table and
+    block must not be NULL.
     """
     local_w = Window.partitionBy(*table, *block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     sort_key = F.struct(*order)

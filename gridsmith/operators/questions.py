@@ -15,6 +15,7 @@ DEFAULT_TEMPLATE = (
     "Tables:\n{DATABASE SCHEMA}\n\nQuestion:\n{EVIDENCE}{QUESTION}\n\n"
     "Return exactly the columns asked for, in a fenced block:\n```\n-- Your SQL query\n```\n"
 )
+# Fixed value: the error of a question whose table is not there.
 NO_TABLE = "SQLite conversion failed"
 
 

@@ -16,14 +16,22 @@ def classified(df: DataFrame, keep: list[str], cell: str = "cell", bool_digits:
     """Add what later steps combine: ``ts``, the number patterns that fit, and ``class``: the first of
     date, bool, percentage, currency, number, text. ``cell`` has no whitespace at its ends."""
     c = F.col(cell)
-    # Prose skips all number patterns by its first character.
+    # Most numbers are all digits, which a trim finds without any pattern. Other cells that do not
+    # start like a number skip the number patterns.
+    whole = F.when((c != "") & (F.btrim(c, F.lit("0123456789")) == ""), c).try_cast("bigint")
     digit_first = F.ascii(c).between(48, 57) | (F.ascii(c) == 45)
-    tested = df.select(
-        *keep, cell, dates.parse_datetime(c).alias("ts"),
-        *[(digit_first & fits(c)).alias(k) for k, fits in (
-            ("plain", numbers.is_plain), ("comma", numbers.is_comma_decimal),
-            ("us", numbers.is_us), ("vn", numbers.is_vn))])
-    boolean = dates.is_bool(c) if bool_digits else dates.is_bool(c) & ~c.isin("0", "1")
+    cast = df.select(*keep, cell, whole.alias("whole"))
+    is_int = F.col("whole").isNotNull()
+    maybe = ~is_int & digit_first
+    tested = cast.select(
+        "*", F.when(maybe, dates.parse_datetime(c)).alias("ts"),
+        (is_int | maybe & ~c.contains(",") & numbers.is_plain(c)).alias("plain"),
+        *[(maybe & fits(c)).alias(k) for k, fits in (
+            ("comma", numbers.is_comma_decimal), ("us", numbers.is_us), ("vn", numbers.is_vn))])
+    longest = max(len(w) for w in V.TRUE_WORDS + V.FALSE_WORDS)
+    boolean = (F.length(c) <= longest) & dates.is_bool(c)
+    if not bool_digits:
+        boolean = boolean & ~c.isin("0", "1")
     return tested.withColumn(
         "class",
         F.when(c.isNull() | (c == ""), None)
@@ -47,10 +55,14 @@ def profile(df: DataFrame, cells: list[str], table: list[str] | None = None,
         table, cells, "column", "cell")
     keys = [*table, "column"]
     plain, comma, us, vn = (F.col(k) for k in ("plain", "comma", "us", "vn"))
-    # A number has at most two readings, by what its commas mean.
-    number = F.when(F.col("class") == "number", F.col("cell"))
+    # A number has at most two readings, by what its commas mean, and each is made only where a
+    # pattern allows it: a cast that fails is far dearer than one that does not take place.
+    is_int, is_number = F.col("whole").isNotNull(), F.col("class") == "number"
+    point = F.when(is_number & is_int, F.col("whole").cast("double")).when(
+        is_number & (plain | us), numbers.point_reading(F.col("cell")))
+    decimal_comma = F.when(is_number & (vn | comma), numbers.comma_reading(F.col("cell")))
     read = classified(long, keys, "cell", bool_digits).select(
-        "*", numbers.point_reading(number).alias("point"), numbers.comma_reading(number).alias("decimal_comma"))
+        "*", point.alias("point"), decimal_comma.alias("decimal_comma"))
     marked = read.select("*", numbers.is_whole(F.col("point")).alias("w_point"),
                          numbers.is_whole(F.col("decimal_comma")).alias("w_comma"))
     w_point, w_comma = F.col("w_point"), F.col("w_comma")
@@ -65,7 +77,7 @@ def profile(df: DataFrame, cells: list[str], table: list[str] | None = None,
         F.bool_and(F.when(vn | comma, w_comma).otherwise(w_point)).alias("whole_vn"),
         F.bool_and(F.when(us | plain, w_point).otherwise(w_comma)).alias("whole_us"),
         F.bool_and(F.when(plain, w_point).when(comma | ~us, w_comma).otherwise(w_point)).alias("whole_auto"),
-        F.coalesce(F.bool_or(numbers.has_leading_zero(F.col("cell"))), F.lit(False)).alias("leading_zero"),
+        F.coalesce(F.bool_or(F.col("cell").startswith("0") & numbers.has_leading_zero(F.col("cell"))), F.lit(False)).alias("leading_zero"),
         F.coalesce(F.bool_or(dates.has_time(F.col("ts"))), F.lit(False)).alias("has_time"),
     )
     return vote(counted)
