@@ -4,7 +4,7 @@ from importlib import import_module
 
 from gridsmith.llm.base import ORACLES, QUERIES
 
-for _name in ("mixing", "warc"):
+for _name in ("decontamination", "line_dedup", "mixing", "near_dedup", "warc"):
     import_module(f"gridsmith.llm.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]
