@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import repeat
+from operator import eq
 
 import numpy as np
 import xxhash
@@ -32,3 +34,64 @@ def majority(hashes: np.ndarray, block: int = 1 << 16) -> int:
         part = np.ascontiguousarray(hashes[i:i + block], "<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+
+
+CACHE: dict[str, np.ndarray] = {}
+SCRIPT_PLANES = 0x30000  # beyond them no letters are assigned for living scripts
+
+
+def letter_flags() -> np.ndarray:
+    if "letters" not in CACHE:
+        CACHE["letters"] = np.array([chr(i).isalpha() for i in range(SCRIPT_PLANES)] + [False])
+    return CACHE["letters"]
+
+
+def spectrum(text: str, longest: int, dim_bits: int) -> np.ndarray:
+    """The set of hashed character n-grams, n from 1 to ``longest``: sorted places below 2^dim_bits.
+
+    Letters count in lower case; everything between them is one blank.
+    """
+    codes = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = np.where(letter_flags()[np.minimum(codes, SCRIPT_PLANES)], codes, 32)
+    blank = codes == 32
+    codes = codes[~(blank & np.roll(blank, 1)) | (np.arange(len(codes)) == 0)].astype(np.uint64)
+    seen = np.zeros(1 << dim_bits, bool)
+    rolled = np.zeros(len(codes), np.uint64)
+    for n in range(1, longest + 1):
+        if len(codes) < n:
+            break
+        rolled = rolled[:len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1:]
+        mixed = (rolled ^ (rolled >> np.uint64(29)) ^ np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15)
+        seen[(mixed >> np.uint64(64 - dim_bits)).astype(np.int64)] = True
+    return np.flatnonzero(seen).astype(np.int32)
+
+
+STATISTICS = 20
+
+
+def statistics(text: str | None) -> np.ndarray:
+    """Shares, lengths and repetitions of a whole text; all 0 for an empty one."""
+    out = np.zeros(STATISTICS)
+    raw = text.encode("utf-8", "surrogatepass") if text else b""
+    words = raw.split()
+    if not words:
+        return out
+    n, n_words = len(raw), len(words)
+    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    upper, lower, digits = counts[65:91].sum(), counts[97:123].sum(), counts[48:58].sum()
+    other = counts[128:].sum()
+    blanks = counts[32] + counts[9:14].sum()
+    lengths = np.fromiter(map(len, words), np.int64, n_words)
+    often = Counter(words)
+    lines = raw.split(b"\n")
+    share = counts[counts > 0] / n
+    ends = counts[ord(".")] + counts[ord("?")] + counts[ord("!")]
+    out[:] = (
+        np.log1p(n), np.log1p(n_words), np.sqrt(upper / n), (lower + other) / n, np.sqrt(digits / n), blanks / n,
+        np.sqrt(counts[ord(".")] / n), np.sqrt(counts[ord(",")] / n), np.sqrt(counts[ord("!")] / n),
+        np.sqrt((n - upper - lower - digits - other - blanks - counts[ord(".")] - counts[ord(",")] - counts[ord("!")]) / n),
+        np.log1p(lengths.mean()), np.log1p(lengths.std()), np.log1p(lengths.max()),
+        len(often) / n_words, np.log(len(often)) / np.log(n_words + 1), max(often.values()) / n_words,
+        sum(map(eq, words, words[1:])) / n_words, np.log1p(ends / n_words * 10),
+        1 - len(set(lines)) / len(lines), -(share * np.log2(share)).sum())
+    return out
