@@ -7,6 +7,7 @@ from itertools import repeat
 from operator import eq
 
 import numpy as np
+import regex
 import xxhash
 
 
@@ -95,3 +96,68 @@ def statistics(text: str | None) -> np.ndarray:
         sum(map(eq, words, words[1:])) / n_words, np.log1p(ends / n_words * 10),
         1 - len(set(lines)) / len(lines), -(share * np.log2(share)).sum())
     return out
+
+
+def weighted_simhash(text: str | None, block: int = 1 << 15) -> int:
+    """Signed-bit votes of the words and neighbouring pairs of a text, as a signed 64-bit number.
+
+    A term votes with ``1 + ln(count)``, a pair, which says more, with twice that.
+    """
+    words = words_of(text)
+    if not words:
+        return 0
+    single = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    pair = (single[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ ((single[1:] << np.uint64(31)) | (single[1:] >> np.uint64(33)))
+    pair = (pair ^ (pair >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    pair ^= pair >> np.uint64(32)
+    votes = np.zeros(64)
+    for terms, weight in ((single, 1.0), (pair, 2.0)):
+        distinct, counts = np.unique(terms, return_counts=True)
+        strength = (weight * (1 + np.log(counts))).astype(np.float32)
+        for i in range(0, len(distinct), block):
+            part = np.ascontiguousarray(distinct[i:i + block], "<u8").view(np.uint8).reshape(-1, 8)
+            bits = np.unpackbits(part, axis=1, bitorder="little").astype(np.float32)
+            some = strength[i:i + block]
+            votes += 2.0 * (some @ bits) - some.sum()
+    return int(np.packbits(votes > 0, bitorder="little").view("<i8")[0])
+
+
+def token_spans(text: str) -> tuple[list[str], list[int], list[int]]:
+    """Runs of letters and digits in lower case, and where each starts and ends."""
+    found = [(m.group().lower(), m.start(), m.end()) for m in regex.finditer(r"[\p{L}\p{N}]+", text)]
+    return [f[0] for f in found], [f[1] for f in found], [f[2] for f in found]
+
+
+def banded_alignment(template: list[str], tokens: list[str], start: int, band: int) -> tuple[int, int, int]:
+    """Most template tokens that match in order near the diagonal from ``start``; the first and last place.
+
+    Template token i may only meet text tokens within ``band`` places of ``start + i``; either
+    side may skip tokens. Of equal alignments the shortest span counts.
+    """
+    width = 2 * band + 1
+    none = (0, -1, -1)  # matches, minus the first place, last place
+
+    def better(a, b):
+        if a[0] != b[0]:
+            return a if a[0] > b[0] else b
+        return a if a[0] == 0 or a[1] + a[2] * -1 >= b[1] + b[2] * -1 else b
+
+    row = [none] * width
+    for i, word in enumerate(template):
+        new = [none] * width
+        for o in range(width):
+            j = start + i + o - band
+            best = better(row[o + 1], none) if o + 1 < width else none  # template token skipped
+            if o:
+                best = better(best, new[o - 1])  # text token skipped
+            if 0 <= j < len(tokens) and tokens[j] == word:
+                n, first, _ = row[o]
+                best = better((n + 1, first if n else -j, j), best)
+            else:
+                best = better(row[o], best)
+            new[o] = best
+        row = new
+    best = none
+    for cell in row:
+        best = better(cell, best)
+    return best[0], -best[1], best[2]
