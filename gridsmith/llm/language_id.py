@@ -121,6 +121,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") ->
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1), from the whole text alone.
 
     A NULL text, one without a letter, and every text under an absent model are ``und`` with score 0.
+    Rows are judged on their own; other columns pass through, but for those that the result names.
     """
     @F.arrow_udf("lang_pred string, score double")
     def guess(texts: pa.Array) -> pa.Array:
@@ -135,7 +136,9 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") ->
         return pa.StructArray.from_arrays([pa.array(names), pa.array(scores)], ["lang_pred", "score"])
 
     readable = F.when(has_letter(F.col(text)), F.col(text))
-    return docs.withColumn("_guess", guess(readable)).select(*docs.columns, "_guess.lang_pred", "_guess.score")
+    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rows = docs.select(F.struct(*rest).alias("doc"), guess(readable).alias("guess"))
+    return rows.select("doc.*", "guess.*")
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

@@ -86,7 +86,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, coverage:
     points ``span_start`` and ``span_end``; each place with at least ``coverage`` is a row. Every
     run of GRAM words of whole texts is looked up in the index, so no shared run of
     GRAM + WINDOW - 1 words is missed. Equal texts are aligned on the same hits, found once.
-    NULL and empty texts hold nothing; repeated rows give repeated results; extra columns stay.
+    NULL and empty texts hold nothing; repeated rows give repeated results; other columns stay,
+    but for those that the result names.
     """
     spark = docs.sparkSession
     templates = dict(TEMPLATES if templates is None else templates)
@@ -118,9 +119,10 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, coverage:
             ("template", pa.string()), ("matched", pa.int32()), ("length", pa.int32()), ("coverage", pa.float64()),
             ("span_start", pa.int32()), ("span_end", pa.int32())])))
 
-    rows = docs.select("*", *keys).join(staged(hits, "license-hits"), ["_t1", "_t2"])
-    rows = rows.select(*docs.columns, F.explode(align("text", "_hits")).alias("_found"))
-    return rows.select(*docs.columns, "_found.*")
+    names = [f.name for f in found.elementType.fields]
+    rest = [c for c in docs.columns if c not in names]
+    rows = docs.select(F.struct(*rest).alias("doc"), "text", *keys).join(staged(hits, "license-hits"), ["_t1", "_t2"])
+    return rows.select("doc", F.explode(align("text", "_hits")).alias("found")).select("doc.*", "found.*")
 
 
 def clusters(hits: list[dict], band: int) -> list[tuple[str, int]]:
