@@ -1,4 +1,4 @@
-"""Questions made of user turns; prompts."""
+"""Questions made of conversation turns; prompts."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from gridsmith.operators.ordering import numbered
 
 
 def questions(spark, sf):
-    """User turns as questions of seven databases, some with explicit ids, files or evidence."""
-    turns = table(spark, sf, "conversations").where("role = 'user'")
+    """Turns as questions of seven databases, some with explicit ids, files or evidence."""
+    turns = table(spark, sf, "conversations")
     pos = numbered(turns.withColumn("_at", F.col("conv_id") * 1000 + F.col("turn")), "_at", "pos")
     pick = F.col("pos") % 5
     return pos.select(
@@ -30,7 +30,7 @@ def questions(spark, sf):
 
 BASE = """WITH q AS (
       SELECT (row_number() OVER (ORDER BY conv_id, turn) - 1)::BIGINT AS pos, conv_id, turn, 'db_' || (conv_id % 7) AS db_id, text AS question
-      FROM conversations WHERE role = 'user'),
+      FROM conversations),
     n AS (SELECT *, CASE WHEN pos % 5 = 4 THEN 'given.csv' ELSE db_id || '.csv' END AS csv_file,
              CASE WHEN pos % 5 = 3 THEN '' WHEN pos % 5 >= 2 THEN ' hint ' || turn ELSE '' END AS evidence,
              CASE WHEN pos % 5 = 1 THEN 'id-' || pos ELSE db_id || '_' || pos END AS instance_id FROM q) """

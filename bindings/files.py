@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bindings.registry import query, table, vn_text
 from gridsmith.plans import cleaning
-from gridsmith.session import fresh_path
+from gridsmith.session import file_system, fresh_path
 from gridsmith.sources import files, records, tables
 
 DELIMITERS = [",", ";", "\t", "|"]
@@ -32,12 +32,13 @@ def _order_files(spark, sf):
 
 @query("sniffed_files", """
     SELECT 'd' || (o_custkey % 4) AS folder, [',', ';', chr(9), '|'][o_custkey % 4 + 1] AS sep, 'UTF-8' AS encoding,
-           false AS quoted_newlines FROM orders GROUP BY o_custkey % 4""")
+           false AS quoted_newlines, 4 AS width, CAST(NULL AS VARCHAR) AS error, 3::BIGINT AS files FROM orders GROUP BY o_custkey % 4""")
 def sniffed_files(spark, sf):
     base = _order_files(spark, sf)
     found = files.sniff_files(spark, [f"{base}/d{i}" for i in range(4)])
-    return found.select(
-        F.regexp_extract("path", r"/(d[0-9])/[^/]*$", 1).alias("folder"), "sep", "encoding", "quoted_newlines").distinct()
+    return found.groupBy(
+        F.regexp_extract("path", r"/(d[0-9])/[^/]*$", 1).alias("folder"), "sep", "encoding", "quoted_newlines", "width",
+        "error").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query("raw_grid", """
@@ -69,9 +70,38 @@ def raw_grid_windows(spark, sf):
         F.col("doc_id").cast("string").alias("doc_id"),
         F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" " + control)).alias("text"))
     docs.repartition(8, "doc_id").write.option("sep", "|").option("escape", '"').option("encoding", "ISO-8859-1").csv(path)
-    sniffed = [r for r in files.sniff_files(spark, path).collect()]
-    # Files without any non-ASCII letter in the head sniff the same way here: each line has the sign.
-    return files.read_grid(spark, path, sniffed).select("c0", "c1")
+    return files.read_grid(spark, path).select("c0", "c1")
+
+
+@query("late_windows_text", """
+    SELECT CAST(doc_id AS VARCHAR) AS c0, translate(replace(text, chr(10), ' '), 'áéíóúñçèêäöüßàâëîïôùûœÄÖÜÉÈÊÇÑÁÍÓÚ', repeat('x', 37)) AS c1
+    FROM documents WHERE doc_id >= 0 UNION ALL SELECT 'last', 'café 5 €'""")
+def late_windows_text(spark, sf):
+    """Texts without accents, and one Windows-1252 line after all of them: far beyond any head."""
+    path = fresh_path(spark, "csv")
+    accents = "áéíóúñçèêäöüßàâëîïôùûœÄÖÜÉÈÊÇÑÁÍÓÚ"
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"),
+        F.translate(F.replace("text", F.lit("\n"), F.lit(" ")), accents, "x" * len(accents)).alias("text"), "doc_id")
+    euro = bytes([0x80]).decode("latin-1")
+    last = spark.range(1).select(F.lit("last"), F.lit(f"café 5 {euro}"), F.lit(None).cast("bigint"))
+    rows = docs.toDF("c0", "c1", "at").unionByName(last.toDF("c0", "c1", "at"))
+    # Four files, the special line at the end of the last.
+    rows.repartitionByRange(4, F.col("at").asc_nulls_last()).sortWithinPartitions(F.col("at").asc_nulls_last()).drop("at").write.option(
+        "sep", "|").option("escape", '"').option("encoding", "ISO-8859-1").csv(path)
+    return files.read_grid(spark, path).select("c0", "c1")
+
+
+@query("quoted_commas", """
+    SELECT CAST(doc_id AS VARCHAR) AS c0, replace(text, chr(10), ' ') AS c1, lang AS c2, 3 AS width FROM documents""")
+def quoted_commas(spark, sf):
+    """Prose in a comma file: the commas inside quoted cells make no columns."""
+    path = fresh_path(spark, "csv")
+    table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"), "lang").repartition(
+        8, "doc_id").write.option("escape", '"').csv(path)
+    grid = files.read_grid(spark, path)
+    return grid.select("c0", "c1", "c2", F.lit(len(grid.columns) - 3).alias("width"))
 
 
 def _messy_customers(spark, sf, n_files=4):
@@ -132,6 +162,49 @@ def cleaning_status(spark, sf):
     return both.groupBy("status", "n_columns").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("missing_input_file", """
+    SELECT 'published' AS status, CAST(NULL AS VARCHAR) AS error, 4::BIGINT AS n FROM customer HAVING count(*) > 0
+    UNION ALL SELECT 'failed', 'file not found', 2 FROM customer HAVING count(*) > 0""")
+def missing_input_file(spark, sf):
+    """Two requested files that are not there are status rows; the folder is cleaned all the same."""
+    path = _messy_customers(spark, sf)
+    gone = [f"{path}/gone-{i}.csv" for i in range(2)]
+    status = cleaning.clean_corpus(spark, [path, *gone], fresh_path(spark, "published"))
+    error = F.regexp_extract("error", "^file not found", 0)
+    return status.groupBy("status", F.when(F.col("error").isNotNull(), error).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("colliding_names", """
+    SELECT c_custkey, c_name, 'failed,failed,published' AS statuses FROM customer WHERE c_custkey % 3 = 0""")
+def colliding_names(spark, sf):
+    """Three files of one table name: the first by path is published, whole and alone."""
+    base, out = fresh_path(spark, "csv"), fresh_path(spark, "published")
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name")
+    for i, name in enumerate(("a-b.csv", "a.b.csv", "a_b.csv")):
+        part = f"{base}/part{i}"
+        _write_delimited(customers.where(F.col("c_custkey") % 3 == i).repartition(1), part, ";")
+        system, source = file_system(spark, spark.read.format("binaryFile").load(part).inputFiles()[0])
+        system.rename(source, file_system(spark, f"{base}/{name}")[1])
+    status = cleaning.clean_corpus(spark, f"{base}/*.csv", out).agg(
+        F.array_join(F.array_sort(F.collect_list("status")), ",")).first()[0]
+    return spark.read.parquet(f"{out}/a_b").withColumn("statuses", F.lit(status))
+
+
+@query("empty_table_twice", """
+    SELECT p_partkey, p_name, 'error,error,published,skipped' AS runs FROM part""")
+def empty_table_twice(spark, sf):
+    """An empty table is an error each time and leaves nothing; then the table itself is published."""
+    path = fresh_path(spark, "published")
+    part = table(spark, sf, "part").select("p_partkey", "p_name")
+    runs = []
+    for rows in (part.where("p_partkey < 0"), part.where("p_partkey < 0"), part, part):
+        try:
+            runs.append(tables.publish(rows, "part", path=path))
+        except ValueError:
+            runs.append("error")
+    return spark.read.parquet(path).withColumn("runs", F.lit(",".join(runs)))
+
+
 @query("published_table", """
     SELECT p_partkey, p_name, p_retailprice, 'skipped' AS second_run FROM part""")
 def published_table(spark, sf):
@@ -157,11 +230,11 @@ def first_table(spark, sf):
 QUESTION_FILE_SQL = """
     SELECT (row_number() OVER (ORDER BY conv_id, turn) - 1)::BIGINT AS pos, 'db_' || (conv_id % 7) AS db_id, text AS question,
            CASE WHEN turn % 3 = 0 THEN 'hint ' || turn END AS external_knowledge
-    FROM conversations WHERE role = 'user'"""
+    FROM conversations"""
 
 
 def question_records(spark, sf):
-    return table(spark, sf, "conversations").where("role = 'user'").select(
+    return table(spark, sf, "conversations").select(
         "conv_id", "turn", F.concat(F.lit("db_"), (F.col("conv_id") % 7).cast("string")).alias("db_id"),
         F.col("text").alias("question"),
         F.when(F.col("turn") % 3 == 0, F.concat(F.lit("hint "), F.col("turn").cast("string"))).alias("external_knowledge"))
@@ -180,13 +253,49 @@ def questions_file(spark, sf):
 def questions_array(spark, sf):
     """The same questions as JSON arrays, one per conversation; positions continue over the files."""
     path = fresh_path(spark, "questions")
-    per_file = question_records(spark, sf).groupBy("conv_id").agg(F.to_json(F.transform(
+    _array_files(question_records(spark, sf), path)
+    return records.read_questions(spark, path).select("pos", "db_id", "question", "external_knowledge")
+
+
+def _array_files(rows, path):
+    """A JSON array per conversation, a few turns each, in a file of its own."""
+    per_file = rows.groupBy("conv_id").agg(F.to_json(F.transform(
         F.array_sort(F.collect_list(F.struct("turn", "db_id", "question", "external_knowledge"))),
         lambda q: F.struct(q["db_id"].alias("db_id"), q["question"].alias("question"),
                            q["external_knowledge"].alias("external_knowledge")))).alias("value"))
     per_file.withColumn("conv", F.format_string("%08d", "conv_id")).select("conv", "value").write.partitionBy(
         "conv").option("lineSep", "\n").text(path)
-    return records.read_questions(spark, path).select("pos", "db_id", "question", "external_knowledge")
+
+
+@query("mixed_question_folder", QUESTION_FILE_SQL.replace("ORDER BY conv_id, turn", "ORDER BY conv_id % 2, conv_id, turn"))
+def mixed_question_folder(spark, sf):
+    """Line files and array files side by side: each is read in its own layout."""
+    path = fresh_path(spark, "questions")
+    rows = question_records(spark, sf)
+    rows.where("conv_id % 2 = 0").repartitionByRange(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn").drop(
+        "conv_id", "turn").write.json(f"{path}/lines")
+    _array_files(rows.where("conv_id % 2 = 1"), f"{path}/second")
+    return records.read_questions(spark, [f"{path}/lines", f"{path}/second"]).select(
+        "pos", "db_id", "question", "external_knowledge")
+
+
+@query("broken_question_file", """
+    SELECT count(*) FILTER (turn % 3 <> 2) AS good, count(*) FILTER (turn % 3 = 2) + 1 AS broken, true AS refused FROM conversations""")
+def broken_question_file(spark, sf):
+    """Every third turn is no JSON, and one array has a comma too many: all are reported, none is lost."""
+    path = fresh_path(spark, "questions")
+    turns = table(spark, sf, "conversations")
+    line = F.to_json(F.struct(F.col("text").alias("question")))
+    turns.select(F.when(F.col("turn") % 3 == 2, F.concat(F.lit("{"), line)).otherwise(line).alias("value")).write.text(f"{path}/lines")
+    turns.agg(F.concat(F.lit("["), F.max(line), F.lit(",]")).alias("value")).write.text(f"{path}/array")
+    both = [f"{path}/lines", f"{path}/array"]
+    try:
+        records.read_questions(spark, both).agg(F.max("question")).collect()
+        refused = False
+    except Exception as error:  # noqa: BLE001 - the job names the file
+        refused = "no valid JSON in" in str(error)
+    return records.read_questions(spark, both, broken="report").agg(
+        F.count_if(F.col("corrupt").isNull()).alias("good"), F.count("corrupt").alias("broken")).withColumn("refused", F.lit(refused))
 
 
 @query("prediction_files", """

@@ -3,10 +3,12 @@ rows, and events with blank rows, blank columns and ditto marks."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from bindings.registry import case, query, wide, vn_text
+from bindings.registry import case, query, table, vn_text
 from gridsmith.functions import vocabulary as V
 from gridsmith.operators import grid as G
 from gridsmith.plans.cleaning import header_names, typed_head
@@ -19,7 +21,7 @@ SECOND = ["đơn", "Khách", "bán", "đặt", "mua"]
 def customer_grids(spark, sf):
     """Customers by key modulo 4: title and header; title and two header rows; title only; header and
     an empty row. Data rows follow in order-key order."""
-    orders = wide(spark, sf, "orders")
+    orders = table(spark, sf, "orders")
     kind = F.col("o_custkey") % 4
     none = F.lit(None).cast("string")
 
@@ -145,7 +147,7 @@ def column_names(spark, sf):
     """Whole texts as header cells."""
     from gridsmith.functions import text
 
-    df = wide(spark, sf, "conversations")
+    df = table(spark, sf, "conversations")
     name = text.column_name(F.col("text"), F.col("turn"))
     return df.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), name.alias("name"))
 
@@ -158,7 +160,7 @@ def column_names(spark, sf):
 def unique_column_names(spark, sf):
     """The return flags of an order's few lines as repeated column names of one table."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag", "l_partkey", "l_suppkey")
-    names = wide(spark, sf, "lineitem").select(
+    names = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("table_id"), F.row_number().over(w).alias("idx"), F.lower("l_returnflag").alias("name"))
     return G.unique_names(names)
 
@@ -185,7 +187,7 @@ def event_grid(spark, sf):
         "c2": F.when(blank, None).when(F.col("event_type") == "click", F.lit("  ")).otherwise(F.col("props")),
         "c3": F.lit(None).cast("string"),
     }
-    return wide(spark, sf, "events").select(
+    return table(spark, sf, "events").select(
         F.col("event_type").alias("table_id"), F.floor(key / 500).alias("block"), key.alias("seq"),
         *[c.alias(n) for n, c in cells.items()])
 
@@ -204,12 +206,18 @@ def column_flags(spark, sf):
 
 
 @query("surviving_columns", """
-    SELECT event_id AS seq, CAST(event_id AS VARCHAR) AS c0, CAST(user_id AS VARCHAR) AS c1 FROM events
-    WHERE event_type = 'click' AND event_id % 5 <> 0 AND event_id % 7 <> 3 AND event_id % 11 <> 6""")
+    SELECT event_type AS table_id, event_id AS seq, CAST(event_id AS VARCHAR) AS c0,
+           CASE WHEN event_id % 7 = 3 THEN CASE event_id % 5 WHEN 1 THEN '"' WHEN 2 THEN '''' WHEN 3 THEN 'nt' ELSE 'nt.' END
+                WHEN event_id % 11 <> 6 THEN CAST(user_id AS VARCHAR) END AS c1,
+           CASE WHEN event_type <> 'click' THEN props END AS c2
+    FROM events WHERE event_id % 5 <> 0""")
 def surviving_columns(spark, sf):
-    """One table's grid without its empty columns (rows with marks or gaps are left out here)."""
-    one = event_grid(spark, sf).where("table_id = 'click'").where("seq % 7 <> 3 AND seq % 11 <> 6")
-    return G.drop_empty_columns(G.drop_empty_rows(one)).drop("table_id", "block")
+    """Every table's grid without its empty columns: clicks lose one more than the others."""
+    grid = G.drop_empty_rows(event_grid(spark, sf))
+    facts = G.column_facts(grid).collect()
+    kept = [G.drop_empty_columns(grid.where(F.col("table_id") == t), [r for r in facts if r.table_id == t])
+            for t in sorted({r.table_id for r in facts})]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kept).drop("block")
 
 
 DITTO_SQL = """

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsmith.session import spread
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,11 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for queries whose time goes into cell work: scanned by all cores."""
-    return spread(table(spark, sf_dir, name))
-
-
 def case(selector: Column, *choices: Column | str | None) -> Column:
     """The i-th choice for selector value i."""
     out = None

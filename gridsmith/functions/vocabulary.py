@@ -42,8 +42,7 @@ HEADER_SCAN_ROWS = 30
 MAX_HEADER_ROWS = 6
 VOTE_THRESHOLD = 0.7
 
-# File head sizes and candidate delimiters of the sniffer.
-ENCODING_SAMPLE_BYTES = 65536
+# Head size and candidate delimiters of the sniffer.
 DELIMITER_SAMPLE_CHARS = 8192
 DELIMITERS = ",;\t|"
 

@@ -140,7 +140,8 @@ def clean_corpus(spark: SparkSession, path: str, target: str | None = None, over
 
     Sniffing, shapes and profiles are computed for all files in the same few jobs; only the
     final write is one job per table, as every table has its own schema. ``target`` is a folder;
-    without it tables go to the catalog. A file that fails is a status row, the others go on.
+    without it tables go to the catalog. A file that fails, a path that is not there, and a file
+    whose table name an earlier one has are status rows; the others go on.
     """
     sniffed = sniff_files(spark, path).collect()
     grid = stage_grid(read_grid(spark, path, sniffed)).drop("table_key")
@@ -154,10 +155,18 @@ def clean_corpus(spark: SparkSession, path: str, target: str | None = None, over
     named = spark.createDataFrame([(f["path"],) for f in sniffed], "path string").select(
         "path", text.table_name(F.col("path")).alias("name")).collect()
     names = {r["path"]: r["name"] for r in named}
+    # Equal names are settled before anything is written: the first file by path has it.
+    owner: dict[str, str] = {}
+    for f in sorted(sniffed, key=lambda f: f["path"]):
+        if not f["error"]:
+            owner.setdefault(names[f["path"]], f["path"])
 
     def write(file: Row) -> tuple[str, int]:
         if file["error"]:
             raise ValueError(file["error"])
+        first = owner[names[file["path"]]]
+        if first != file["path"]:
+            raise ValueError(f"table name {names[file['path']]} is taken by {first}")
         shape = usable.get(file["file_id"])
         if shape is None:
             raise ValueError(f"no data after cleaning: {names[file['path']]}")

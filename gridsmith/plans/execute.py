@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from gridsmith.operators.questions import gold_sql
 from gridsmith.plans.submission import each
 from gridsmith.session import fresh_path
 
-CELLS = "part int, seq bigint, col_idx int, num double, str string"
+CELLS = "part string, seq bigint, col_idx int, num double, str string"
+SCAN_NODES = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation"}
 SHARED_SETTINGS = ["spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.shuffle.partitions"]
 
 
@@ -31,13 +34,47 @@ def open_database(spark: SparkSession, tables: dict[str, str | DataFrame]) -> Sp
         session.conf.set(key, spark.conf.get(key))
     for name, path in tables.items():
         session.read.parquet(path).createOrReplaceTempView(name)
+    session.conf.set("spark.sql.runSQLOnFiles", "false")
     return session
 
 
+# What a last semicolon may be followed by, and the texts in which one means nothing.
+LEXEMES = re.compile(r"""(?P<blank>\s+|--[^\n]*|/\*.*?\*/)|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|.""", re.DOTALL)
+
+
 def as_query(sql: str) -> str:
-    """The text as a subquery: a statement that is no query cannot be parsed there, so views and
-    files are safe from it."""
-    return f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n)"
+    """The text as a subquery: a statement that is no query cannot be parsed there. A last semicolon
+    is cut, also one before comments."""
+    end = None
+    for m in LEXEMES.finditer(sql):
+        if m.group("blank") is None:
+            end = (m.start() if end is None else end) if m.group() == ";" else None
+    return f"SELECT * FROM (\n{sql[:end].strip()}\n)"
+
+
+def plan_nodes(plan) -> list:
+    """All nodes of an analysed plan, subqueries in expressions included."""
+    out, open_plans = [], [plan]
+    while open_plans:
+        node = open_plans.pop()
+        out.append(node)
+        for group in (node.children(), node.subqueries()):
+            open_plans += [group.apply(i) for i in range(group.size())]
+    return out
+
+
+def analysed(session: SparkSession, sql: str) -> tuple[DataFrame, bool]:
+    """The statement as a DataFrame, and whether it only scans, filters and projects one table.
+
+    Its tables must be the database's own: no files and no tables of other databases.
+    """
+    result = session.sql(as_query(sql))
+    nodes = plan_nodes(result._jdf.queryExecution().analyzed())
+    kinds = [n.getClass().getSimpleName() for n in nodes]
+    for node, kind in zip(nodes, kinds, strict=True):
+        if kind == "HiveTableRelation" or kind == "LogicalRelation" and node.catalogTable().isDefined():
+            raise PermissionError("the statement reads a table of another database")
+    return result, set(kinds) <= SCAN_NODES and kinds.count("LogicalRelation") == 1
 
 
 def run_queries(spark: SparkSession, queries: DataFrame, databases: dict[str, dict[str, str]],
@@ -45,7 +82,8 @@ def run_queries(spark: SparkSession, queries: DataFrame, databases: dict[str, di
     """Run ``instance_id, db_id, sql`` and return ``(answers, cells)``.
 
     ``answers`` is ``instance_id, n_rows, n_cols, error``; ``cells`` is ``instance_id, row_idx, col_idx,
-    num, str`` with rows in result order. Every distinct text runs once, distributed, and writes its
+    num, str`` with rows in result order; a statement that only scans, filters and projects gives its
+    rows in the order in which the table stores them, whichever task reads which file. Every distinct text runs once, distributed, and writes its
     cells to the shared folder; the driver holds one status per text and no result row.
     """
     base = fresh_path(spark, "answers")
@@ -56,17 +94,17 @@ def run_queries(spark: SparkSession, queries: DataFrame, databases: dict[str, di
         number, db_id, sql = item
         if db_id not in opened:
             raise LookupError(f"database not found: {db_id}")
-        result = opened[db_id].sql(as_query(sql))
+        result, scan = analysed(opened[db_id], sql)
         kinds = [kind for _, kind in result.dtypes]
         flat = result.toDF(*[f"c{i}" for i in range(len(kinds))])
         cells = F.array(*[cell_value(F.col(f"c{i}"), kind) for i, kind in enumerate(kinds)])
         # The id is partition number and row number in one: rows keep their place in the result.
-        placed = flat.select(F.monotonically_increasing_id().alias("id"), cells.alias("cells"))
-        placed.select(
-            F.shiftright("id", 33).cast("int").alias("part"),
-            F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("seq"),
-            F.posexplode("cells").alias("col_idx", "cell"),
-        ).select("part", "seq", "col_idx", "cell.num", "cell.str").write.parquet(f"{base}/query={number}")
+        number_of = F.monotonically_increasing_id()
+        number20 = lambda c: F.lpad(c.cast("string"), 20, "0")
+        stored = F.concat_ws(" ", F.input_file_name(), number20(F.input_file_block_start()))
+        part = stored if scan else number20(F.shiftright(number_of, 33))
+        placed = flat.select(part.alias("part"), number_of.alias("seq"), cells.alias("cells"))
+        placed.select("part", "seq", F.posexplode("cells").alias("col_idx", "cell")).select("part", "seq", "col_idx", "cell.num", "cell.str").write.parquet(f"{base}/query={number}")
         return len(kinds)
 
     done = each(texts, run, workers)
@@ -78,9 +116,11 @@ def run_queries(spark: SparkSession, queries: DataFrame, databases: dict[str, di
         written = spark.read.schema(CELLS + ", query int").option("basePath", base).parquet(*paths)
     else:
         written = spark.createDataFrame([], CELLS + ", query int")
-    per_part = written.where("col_idx = 0").groupBy("query", "part").agg(F.count(F.lit(1)).alias("n"))
+    per_part = written.where("col_idx = 0").groupBy("query", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("seq").alias("least"))
     before = Window.partitionBy("query").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select("query", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    offsets = per_part.select(
+        "query", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias("off"))
     sizes = per_part.groupBy("query").agg(F.sum("n").alias("n_rows"))
     tagged = queries.select("instance_id", "db_id", "sql").alias("l").join(
         status.alias("r"), null_safe("l", "r", ["db_id", "sql"])).select("l.instance_id", "r.query", "r.n_cols", "r.error")

@@ -20,6 +20,9 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # A small file's row groups are read by several tasks.
+        .config("spark.sql.files.maxPartitionBytes", "1m")
+        .config("spark.sql.files.openCostInBytes", "64k")
         # Generated methods above this size are not compiled by the JVM; Spark then splits them.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
@@ -41,19 +44,26 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def run_root(spark: SparkSession) -> str:
+    """The folder under the shared one that holds everything this application stages."""
+    return f"{shared_dir(spark)}/gridsmith-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path under the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path under the run's folder."""
+    return f"{run_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a file scan at least as many partitions as there are cores.
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it names it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
-    Reading one small file is one task, which costly cell work would then leave the other cores
-    idle. A large scan has enough partitions and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove what this application has staged; tables and results read from there are gone then."""
+    system, where = file_system(spark, run_root(spark))
+    system.delete(where, True)
 
 
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import csv
-from urllib.parse import quote, unquote
+import re
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridsmith.functions import vocabulary as V
+from gridsmith.session import staged
+
+HEAD_LINES = 1000
 
 # Windows-1252 is not a charset of the CSV reader. It is read as Latin-1 and the 32 control
 # positions are then mapped to the characters that Windows-1252 has there.
@@ -19,88 +24,138 @@ WINDOWS_CHARACTERS = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace")
 BYTE_ORDER_MARK = "\ufeff"
 
 
-def _head_sniffer():
-    """The function run by the executors; local, so that it travels by value."""
-    n_bytes, n_chars, delimiters = V.ENCODING_SAMPLE_BYTES, V.DELIMITER_SAMPLE_CHARS, V.DELIMITERS
-
-    def encoding_of(head: bytes) -> str:
-        if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
-            return "UTF-16"
-        # A head that was cut may end inside a character of up to four bytes.
-        for cut in range(1 if len(head) < n_bytes else 4):
-            try:
-                head[: len(head) - cut].decode("utf-8")
-                return "UTF-8"
-            except UnicodeDecodeError:
-                continue
-        return "cp1252"
+def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file_id, uri, path, error`` of the files under a path, empty ones included; nothing is read.
 
-    def delimiter_of(sample: str) -> str:
+    Each requested path is listed on its own: one that is not there is a row with an error.
+    """
+    listed: list[tuple[str, str, str | None]] = []
+    for one in [path] if isinstance(path, str) else path:
         try:
-            return csv.Sniffer().sniff(sample, delimiters=delimiters).delimiter
-        except csv.Error:
-            return ","
-
-    def look(uri: str) -> tuple:
-        from pyarrow import fs
+            listed += [(name, unquote(name), None) for name in spark.read.format("binaryFile").load(one).inputFiles()]
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            listed.append((one, one, f"file not found: {one}"))
+    named = spark.createDataFrame(listed, "uri string, path string, error string")
+    # The file names that scans report have a single slash after the scheme of local files.
+    return named.select(F.regexp_replace("uri", "^file:/+", "file:/").alias("file_id"), "uri", "path", "error")
 
-        try:
-            system, name = fs.FileSystem.from_uri(quote(uri, safe="%/:?=&+@,;~!$'()*"))
-            with system.open_input_stream(name) as stream:
-                head = stream.read(n_bytes)
-        except (OSError, ValueError) as error:
-            return None, None, str(error)
-        encoding = encoding_of(head)
-        sample = head.decode(encoding, errors="replace")[:n_chars].lstrip("\ufeff")
-        return encoding, delimiter_of(sample), None
 
-    def sniff(batches):
-        for batch in batches:
-            found = pd.DataFrame([look(uri) for uri in batch["uri"]], columns=["encoding", "sep", "error"])
-            found.insert(0, "path", [unquote(uri) for uri in batch["uri"]])
-            found.insert(0, "file_id", list(batch["file_id"]))
-            yield found.astype(object).where(found.notna(), None)
+def _count(text: Column | str, char: str) -> Column:
+    c = F.col(text) if isinstance(text, str) else text
+    return F.length(c) - F.length(F.replace(c, F.lit(char), F.lit("")))
 
-    return sniff
 
+def delimiters_outside_quotes(text: str, sep: str) -> Column:
+    """How often a delimiter stands outside quoted cells.
 
-def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file_id, uri`` of the files under a path, empty ones included; nothing is read."""
-    names = spark.read.format("binaryFile").load(path).inputFiles()
-    listed = spark.createDataFrame([(n,) for n in names], "uri string")
-    # The file names that scans report have a single slash after the scheme of local files.
-    return listed.select(F.regexp_replace("uri", "^file:/+", "file:/").alias("file_id"), "uri")
+    A quoted cell opens and closes next to a delimiter or an end. A quote mark anywhere else is
+    text, and so is what follows it: then a line may count too wide, never too narrow.
+    """
+    edge = re.escape(sep)
+    cell = rf'(?<=^|{edge})[ \t]*"[^"]*+(?:""[^"]*+)*+"(?={edge}|$)'
+    bare = F.when(F.contains(text, F.lit('"')), F.regexp_replace(text, cell, "")).otherwise(F.col(text))
+    return _count(bare, sep)
 
 
-def sniff_heads(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file_id, path, encoding, sep, error`` from the head of each file, read by the executors."""
-    schema = "file_id string, path string, encoding string, sep string, error string"
-    return list_files(spark, path).mapInPandas(_head_sniffer(), schema)
+def line_facts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Per file: its first bytes, whether it is UTF-8 throughout, whether a quoted cell spans lines,
+    and per delimiter the most fields of a line and the evidence for it.
 
+    Evidence is how many lines agree on the delimiter's number; where cells span lines, and lines
+    are no records, how often it stands beside a quote mark.
 
-def _count(text: Column | str, char: str) -> Column:
-    c = F.col(text) if isinstance(text, str) else text
-    return F.length(c) - F.length(F.replace(c, F.lit(char), F.lit("")))
+    One scan of the raw text serves all: lines are counted by file and delimiter counts first, a
+    few short rows per file and task. A line with an odd number of quote marks opens or closes a
+    cell that spans lines.
+    """
+    counts = [f"n{i}" for i in range(len(V.DELIMITERS))]
+    beside = [f"q{i}" for i in range(len(V.DELIMITERS))]
+    at_quotes = lambda d: _count("value", f'"{d}') / 2 + _count("value", f'{d}"') / 2
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"), "value",
+        *[delimiters_outside_quotes("value", d).alias(n) for n, d in zip(counts, V.DELIMITERS, strict=True)])
+    kinds = lines.groupBy("file_id", *counts).agg(
+        *[F.sum(at_quotes(d)).alias(q) for q, d in zip(beside, V.DELIMITERS, strict=True)],
+        F.count(F.lit(1)).alias("lines"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.bool_or(_count("value", '"') % 2 == 1).alias("odd"),
+        F.min(F.struct("block", "seq", F.substring(F.col("value").cast("binary"), 1, 2).alias("bytes"))).alias("head"))
+    one = kinds.groupBy("file_id").agg(
+        F.bool_and("utf8").alias("utf8"), F.bool_or("odd").alias("quoted_newlines"),
+        F.min("head").getField("bytes").alias("head"),
+        *[(F.max(n) + 1).alias(f"w{i}") for i, n in enumerate(counts)])
+    votes = kinds.select("file_id", "lines", F.posexplode(F.array(*counts)).alias("sep", "n"))
+    agreed = votes.groupBy("file_id", "sep", "n").agg(F.sum("lines").alias("lines")).groupBy("file_id", "sep").agg(
+        F.max(F.when(F.col("n") > 0, F.col("lines"))).alias("lines"))
+    quoted = kinds.select("file_id", F.posexplode(F.array(*beside)).alias("sep", "q")).groupBy("file_id", "sep").agg(
+        F.sum("q").alias("q"))
+    odd = kinds.groupBy("file_id").agg(F.bool_or("odd").alias("odd"))
+    both = agreed.join(quoted, ["file_id", "sep"]).join(odd, "file_id")
+    evidence = F.when(F.col("odd") & (F.col("q") > 0), F.col("q")).when(~F.col("odd"), F.col("lines").cast("double"))
+    best = both.withColumn("evidence", evidence).where("evidence IS NOT NULL").groupBy("file_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("sep", "evidence"))).alias("agreed"))
+    return one.join(best, "file_id", "left")
+
+
+def head_choice(head: Column) -> Column:
+    """The delimiter that the first characters of a file suggest; a comma if they suggest none."""
+    n_chars, delimiters = V.DELIMITER_SAMPLE_CHARS, V.DELIMITERS
+
+    # Local, so that it travels to the executors by value.
+    @F.pandas_udf("string")
+    def sniff(heads: pd.Series) -> pd.Series:
+        def one(sample: str) -> str:
+            try:
+                return csv.Sniffer().sniff(sample[:n_chars].lstrip("\ufeff"), delimiters=delimiters).delimiter
+            except csv.Error:
+                return ","
+        return heads.map(one)
 
+    return sniff(head)
 
-def line_facts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Per file: whether a quoted cell spans lines, and the most fields a line can have.
 
-    One scan of the raw text serves all delimiters. A line with an odd number of quote marks
-    opens or closes a cell that spans lines.
-    """
-    lines = spark.read.text(path)
-    return lines.groupBy(F.col("_metadata.file_path").alias("file_id")).agg(
-        F.bool_or(_count("value", '"') % 2 == 1).alias("quoted_newlines"),
-        *[F.max(_count("value", d) + 1).alias(f"w{i}") for i, d in enumerate(V.DELIMITERS)])
+def head_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file_id, head``: the first lines of each file. Each task keeps its own before the shuffle."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"), F.substring("value", 1, V.DELIMITER_SAMPLE_CHARS).alias("value"))
+    w = Window.partitionBy("file_id").orderBy("block", "seq")
+    first = lines.withColumn("n", F.row_number().over(w)).where(F.col("n") <= HEAD_LINES)
+    return first.groupBy("file_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]), "\n").alias("head"))
 
 
 def sniff_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file_id, path, encoding, sep, quoted_newlines, width, error`` per file."""
-    facts = line_facts(spark, path)
+    """``file_id, path, encoding, sep, quoted_newlines, width, error`` per file and per missing path.
+
+    Encoding: UTF-16 by its byte order mark, UTF-8 if all of the file is, else Windows-1252. The
+    delimiter is the one with most evidence in the whole file; where several are equal, what the head of the file suggests if it is among them, else the first of the list.
+    """
+    listed = list_files(spark, path)
+    paths = [r["path"] for r in listed.where("error IS NULL").collect()]
+    if not paths:
+        return listed.select("file_id", "path", F.lit("UTF-8").alias("encoding"), F.lit(",").alias("sep"),
+                             F.lit(False).alias("quoted_newlines"), F.lit(0).alias("width"), "error")
+    facts = staged(line_facts(spark, paths), "facts")
+    most = F.array_max(F.map_values("agreed"))
+    tied = F.map_keys(F.map_filter("agreed", lambda _, evidence: evidence == most))
+    evidence = staged(listed.join(facts, "file_id", "left").withColumn("tied", F.array_sort(tied)), "evidence")
+    unclear = [r["path"] for r in evidence.where(F.size("tied") > 1).select("path").collect()]
+    if unclear:
+        heads = head_texts(spark, unclear).select("file_id", head_choice(F.col("head")).alias("choice"))
+        evidence = evidence.join(heads, "file_id", "left")
+    else:
+        evidence = evidence.withColumn("choice", F.lit(None).cast("string"))
+    names = F.array(*[F.lit(d) for d in V.DELIMITERS])
+    chosen = F.when(F.array_contains("tied", F.array_position(names, F.col("choice")).cast("int") - 1), F.col("choice")).otherwise(
+        F.coalesce(F.get(names, F.get(F.col("tied"), F.lit(0))), F.lit(",")))
+    marked = F.coalesce(F.hex("head").isin("FFFE", "FEFF"), F.lit(False))
+    encoding = F.when(marked, "UTF-16").when(F.col("utf8") | F.col("utf8").isNull(), "UTF-8").otherwise("cp1252")
     width = F.coalesce(*[F.when(F.col("sep") == d, F.col(f"w{i}")) for i, d in enumerate(V.DELIMITERS)])
-    return sniff_heads(spark, path).join(facts, "file_id", "left").select(
-        "file_id", "path", "encoding", "sep",
+    return evidence.withColumn("sep", chosen).select(
+        "file_id", "path", encoding.alias("encoding"), "sep",
         F.coalesce("quoted_newlines", F.lit(False)).alias("quoted_newlines"),
         F.coalesce(width, F.lit(0)).alias("width"), "error")
 
@@ -118,7 +173,7 @@ def _record_width(spark: SparkSession, paths: list[str], encoding: str, sep: str
     records = (
         _reader(spark, encoding, sep, True).option("columnNameOfCorruptRecord", "whole")
         .schema("c0 string, whole string").csv(paths))
-    return records.select("c0", (_count("whole", sep) + 1).alias("n")).agg(
+    return records.select("c0", (delimiters_outside_quotes("whole", sep) + 1).alias("n")).agg(
         F.max("n"), F.count("c0")).first()[0] or 1
 
 

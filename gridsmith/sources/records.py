@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,39 +17,64 @@ PREDICTION_SCHEMA = "instance_id string, db_id string, sql_answer string, sql st
 REPARSED_SCHEMA = "index bigint, db_id string, sql string, result string"
 
 
-def _is_array(spark: SparkSession, path: str) -> bool:
-    """One JSON array, as against one object per line: told by the first character."""
-    head = spark.read.text(path).where(F.trim("value") != "").limit(1).first()
-    return bool(head) and head.value.lstrip("\ufeff \t").startswith("[")
+def layouts(spark: SparkSession, path: str | list[str]) -> dict[str, bool]:
+    """Per file whether it is one JSON array, told by its first character that is no blank; empty files are absent."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
+        F.substring(F.ltrim("value", F.lit("\ufeff \t\r")), 1, 1).alias("first")).where("first <> ''")
+    heads = lines.groupBy("file").agg(F.min(F.struct("block", "seq", "first")).getField("first").alias("first"))
+    return {unquote(r["file"]): r["first"] == "[" for r in heads.collect()}
 
 
-def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records with their 0-based ``pos``, from JSON lines or from one JSON array.
+def read_records(spark: SparkSession, path: str | list[str], schema: str, broken: str = "fail") -> DataFrame:
+    """Records with their 0-based ``pos``, from JSON lines, from files that are one JSON array, or both.
 
     Lines are split over tasks and numbered by split; an array is one document and cannot be.
-    Positions continue over the files of a folder, in name order.
-    Fields declared as text keep nested JSON as text.
+    Positions continue over the files of a folder, in name order. Fields declared as text keep
+    nested JSON as text. Text that is no JSON fails the job that reads it, with the file's name;
+    with ``broken="report"`` it is a row of NULLs with the text in ``corrupt`` and the name in ``file``.
     """
-    if _is_array(spark, path):
-        text = spark.read.text(path, wholetext=True)
-        items = text.select(
-            F.col("_metadata.file_path").alias("_file"),
-            F.posexplode(F.from_json("value", f"array<struct<{_as_struct(schema)}>>")).alias("_seq", "r"))
-        rows = items.select("r.*", "_file", "_seq")
-        return positions(rows, [], [["_file"]], ["_seq"], "pos").drop("_file", "_seq")
-    rows = spark.read.schema(schema).json(path).select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seq"))
-    return positions(rows, [], [["_file", "_block"]], ["_seq"], "pos").drop("_file", "_block", "_seq")
-
-
-def _as_struct(schema: str) -> str:
-    return ", ".join(f"{name}: {kind}" for name, kind in (f.split(" ", 1) for f in schema.split(", ")))
-
-
-def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    if broken not in ("fail", "report"):
+        raise ValueError(f"unknown way to treat broken records: {broken}")
+    found = layouts(spark, path)
+    parts = []
+    for array in (False, True):
+        files = sorted(f for f, is_array in found.items() if is_array == array)
+        if not files:
+            continue
+        place = [F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_seq")]
+        whole = f"{schema}, corrupt string"
+        if array:
+            rows = spark.read.schema(whole).option("columnNameOfCorruptRecord", "corrupt").option("multiLine", True).json(files)
+            # Spark refuses to read nothing but the corrupt column: an empty text of another one is added.
+            none = F.substring(F.coalesce(F.col(rows.columns[0]).cast("string"), F.lit("")), 1, 0)
+            rows = rows.select(*[c for c in rows.columns if c != "corrupt"], F.concat("corrupt", none).alias("corrupt"),
+                               *place, F.lit(0).cast("bigint").alias("_block"))
+        else:
+            lines = spark.read.text(files).where(F.trim("value", F.lit("\ufeff \t\r")) != "")
+            record = F.from_json(F.ltrim("value", F.lit("\ufeff")), whole, {"columnNameOfCorruptRecord": "corrupt"})
+            rows = lines.select(record.alias("r"), *place, F.col("_metadata.file_block_start").alias("_block")).select(
+                "r.*", "file", "_seq", "_block")
+        parts.append(rows)
+    if not parts:
+        extra = "" if broken == "fail" else ", corrupt string, file string"
+        return spark.createDataFrame([], f"{schema}, pos bigint{extra}")
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # A record whose values do not fit the schema is JSON all the same: its fields are NULL.
+    no_json = F.col("corrupt").isNotNull() & F.try_parse_json(F.col("corrupt")).isNull() & (F.trim("corrupt") != "")
+    placed = positions(both.withColumn("corrupt", F.when(no_json, F.col("corrupt"))), [], [["file", "_block"]], ["_seq"], "pos")
+    placed = placed.drop("_block", "_seq")
+    if broken == "report":
+        return placed
+    message = F.concat(F.lit("no valid JSON in "), F.col("file"))
+    sound = F.when(F.col("corrupt").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return placed.where(sound).drop("corrupt", "file")
+
+
+def read_questions(spark: SparkSession, path: str | list[str], broken: str = "fail") -> DataFrame:
     """Questions with their position; missing keys are NULL."""
-    return read_records(spark, path, QUESTION_SCHEMA)
+    return read_records(spark, path, QUESTION_SCHEMA, broken)
 
 
 def read_predictions(spark: SparkSession, folder: str, models: list[str]) -> dict[str, DataFrame]:

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridsmith.session import file_system
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-        return True
-    except Exception as error:  # noqa: BLE001 - a missing path is the expected answer
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return False
-        raise
+
+def is_published(spark: SparkSession, path: str) -> bool:
+    """A finished table: its folder has the success mark, which a write that died has not."""
+    system, where = file_system(spark, f"{path}/_SUCCESS")
+    return system.exists(where)
 
 
 def publish(df: DataFrame, name: str, overwrite: bool = False, path: str | None = None,
@@ -21,25 +21,37 @@ def publish(df: DataFrame, name: str, overwrite: bool = False, path: str | None
     """Write a table and say what happened: ``published`` or ``skipped``; empty is an error.
 
     The target is a catalog table, or a Parquet folder if ``path`` is given. With ``order`` the
-    files hold the rows in that order (a range shuffle, then a sort inside each task).
+    files hold the rows in that order (a range shuffle, then a sort inside each task). A folder
+    is written beside its place, looked at, and only then moved there: an empty table or a failed
+    write leaves what was there before.
     """
     spark = df.sparkSession
-    present = _exists(spark, path) if path else spark.catalog.tableExists(name)
+    present = is_published(spark, path) if path else spark.catalog.tableExists(name)
     if present and not overwrite:
         return "skipped"
     if order:
         df = df.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order)
-    if path:
-        df.write.mode("overwrite").parquet(path)
-        written = spark.read.schema(df.schema).parquet(path)
-    else:
+    if not path:
         df.write.mode("overwrite").format("parquet").saveAsTable(name)
-        written = spark.table(name)
-    # Asked of the written files, so the job does not run twice.
-    if written.isEmpty():
-        if not path:
+        if spark.table(name).isEmpty():
             spark.sql(f"DROP TABLE IF EXISTS {name}")
-        raise ValueError(f"no data after cleaning: {name}")
+            raise ValueError(f"no data after cleaning: {name}")
+        return "published"
+    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    system, source = file_system(spark, fresh)
+    _, target = file_system(spark, path)
+    try:
+        df.write.parquet(fresh)
+        # Asked of the written files, so the job does not run twice.
+        if spark.read.schema(df.schema).parquet(fresh).isEmpty():
+            raise ValueError(f"no data after cleaning: {name}")
+        system.mkdirs(target.getParent())
+        if system.exists(target):
+            system.delete(target, True)
+        if not system.rename(source, target):
+            raise OSError(f"cannot move the table to {path}")
+    finally:
+        system.delete(source, True)
     return "published"
 
 
