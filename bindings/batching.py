@@ -8,7 +8,10 @@ from bindings.registry import case, query, table
 from gridsmith.functions.statements import extract_sql
 from gridsmith.operators import batches as B
 from gridsmith.plans import collect
+from gridsmith.plans.scoring import score_run
 from gridsmith.session import fresh_path
+from gridsmith.sources import records
+from gridsmith.sources.responses import read_responses
 from gridsmith.streaming import responses as R
 
 
@@ -201,7 +204,55 @@ def streamed_responses(spark, sf):
     for delivery in (0, 1):
         lines.where(F.col("conv_id") % 2 == delivery).select("value").write.mode("append").text(inbox)
         R.follow_responses(spark, inbox, "chat_completions", results, marks).awaitTermination()
-    return spark.read.parquet(results).select("instance_id", "sql", "error")
+    return R.collected(spark.read.parquet(results)).select("instance_id", "sql", "error")
+
+
+@query("response_files", BASE + """
+    SELECT 'chat_completions' AS layout, instance_id, trim(prompt, chr(9)||chr(10)||chr(13)||chr(32)) AS sql FROM r
+    UNION ALL SELECT 'messages', instance_id, trim(prompt, chr(9)||chr(10)||chr(13)||chr(32)) FROM r
+    UNION ALL SELECT 'inline', instance_id, trim(prompt, chr(9)||chr(10)||chr(13)||chr(32)) FROM r""")
+def response_files(spark, sf):
+    """The three layouts as files, read back; keyed ones answer each id twice, and the last counts."""
+    asked = requests(spark, sf)
+    out = None
+    for layout in ("chat_completions", "messages", "inline"):
+        folder = fresh_path(spark, "responses")
+        if layout == "inline":
+            numbered = B.numbered(asked, "pos", "at").drop("pos").withColumnRenamed("at", "pos")
+            lines = numbered.select("pos", F.to_json(F.struct(F.struct(F.col("prompt").alias("text")).alias("response"))).alias("value"))
+            lines.repartitionByRange(3, "pos").sortWithinPartitions("pos").select("value").write.text(folder)
+            found = read_responses(spark, folder, layout, numbered.select("instance_id", "pos"))
+        else:
+            for n, text in enumerate((F.lit("SELECT 0"), F.col("prompt"))):
+                content = F.struct(text.alias("text"))
+                if layout == "messages":
+                    body = F.struct("instance_id", F.struct(F.lit("succeeded").alias("type"), F.struct(
+                        F.array(content).alias("content")).alias("message")).alias("result"))
+                else:
+                    body = F.struct("instance_id", F.struct(F.lit(200).alias("status_code"), F.struct(F.array(F.struct(
+                        F.struct(text.alias("content")).alias("message"))).alias("choices")).alias("body")).alias("response"))
+                line = F.replace(F.to_json(body), F.lit('"instance_id"'), F.lit('"custom_id"'))
+                asked.select(line.alias("value")).write.text(f"{folder}/{n}")
+            found = read_responses(spark, folder, layout)
+        part = B.collect_results(asked.select("instance_id"), found, layout).select(
+            F.lit(layout).alias("layout"), "instance_id", "sql")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("pending_recorded", BASE + """
+    SELECT instance_id, CASE WHEN conv_id % 4 = 1 THEN 'collect' WHEN conv_id % 4 = 2 THEN 'done' ELSE 'send' END AS way FROM r""")
+def pending_recorded(spark, sf):
+    """Two batches are noted before they go out; one is done when the next run looks."""
+    path = fresh_path(spark, "pending")
+    r = requests(spark, sf)
+    for k in (1, 2):
+        B.record_pending(r.where(F.col("conv_id") % 4 == k), path, f"batch-{k}")
+    done = r.where("conv_id % 4 = 2").select("instance_id")
+    to_collect, to_send = B.split_pending(B.remaining(r, done), B.read_pending(spark, path, done))
+    ways = [(to_collect, "collect"), (to_send, "send"), (done, "done")]
+    parts = [rows.select("instance_id", F.lit(way).alias("way")) for rows, way in ways]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def part_questions(spark, sf):
@@ -232,3 +283,47 @@ def merged_results(spark, sf):
         spark, results.unionByName(stray), q, {"parts": {"part": f"{sf}/part.parquet"}})
     return predictions.join(cells.select("instance_id", F.col("num").alias("answer")), "instance_id", "left").select(
         "instance_id", "sql_answer", "n_rows", "error", "answer")
+
+
+@query("whole_scoring", """
+    WITH c AS (SELECT k, (SELECT count(*) FROM part WHERE p_size = k) AS n, (SELECT count(*) FROM part WHERE p_size = (k + 3) % 10) AS other
+               FROM range(10) t(k)),
+    d AS (SELECT 'json' AS model, CASE WHEN p_partkey % 3 = 0 THEN true ELSE false END AS correct, false AS failed FROM part
+      UNION ALL SELECT 'tables', CASE p_partkey % 5 WHEN 2 THEN n = other WHEN 3 THEN false WHEN 4 THEN false ELSE true END,
+             p_partkey % 5 IN (3, 4) FROM part JOIN c ON k = p_size % 10)
+    SELECT model, round(count(*) FILTER (correct) / count(*), 4) AS score, count(*) FILTER (correct) AS correct, count(*) AS total,
+           count(*) FILTER (failed) AS pred_errors, count(*) FILTER (NOT correct AND NOT failed) AS wrong_results, 0::BIGINT AS no_gold
+    FROM d GROUP BY model""")
+def whole_scoring(spark, sf):
+    """Gold statements run, two models read (a JSON record and saved tables), compared and reported in one plan."""
+    folder, database = fresh_path(spark, "predictions"), {"parts": {"part": f"{sf}/part.parquet"}}
+    size = lambda c: F.concat(F.lit("SELECT count(*) FROM part WHERE p_size = "), (c % 10).cast("string"))
+    asked = part_questions(spark, sf).withColumn("sql", size(F.col("p_size")))
+    asked = asked.withColumns({c: F.lit(None).cast("string") for c in ("sql_gold", "query", "gold_sql")})
+    kind = F.col("pos") % 5
+    results = asked.select(
+        "instance_id", F.when(kind == 3, "").when(kind == 2, size(F.col("p_size") + 3)).otherwise(size(F.col("p_size"))).alias("sql"),
+        F.when(kind == 4, "rate limit").alias("error"))
+    records.save_predictions(*collect.merge_results(spark, results, part_questions(spark, sf), database), folder, "tables")
+    counts = table(spark, sf, "part").groupBy((F.col("p_size") - 0).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    right = asked.withColumn("size", F.col("p_size") % 10).join(counts, "size", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    right.select("instance_id", "db_id", F.col("sql").alias("sql_answer"), F.to_json(F.array(F.array(
+        F.when(F.col("pos") % 3 == 0, F.col("n")).otherwise(F.col("n") + 7)))).alias("exec_answer")).write.json(f"{folder}/json.json")
+    run = score_run(spark, asked, folder, ["json", "tables", "absent"], database)
+    return run.scoreboard.join(run.breakdown.drop("correct"), "model")
+
+
+@query("predictions_round_trip", """
+    WITH c AS (SELECT p_size AS s, count(*) AS n FROM part GROUP BY 1)
+    SELECT 'q' || p_partkey AS instance_id, p_partkey AS pos, 1::BIGINT AS n_rows, coalesce(n, 0)::DOUBLE AS answer
+    FROM part LEFT JOIN c ON s = p_size % 10""")
+def predictions_round_trip(spark, sf):
+    """Answers saved as tables and loaded again: every cell in its place."""
+    folder = fresh_path(spark, "predictions")
+    asked = part_questions(spark, sf)
+    results = asked.select("instance_id", F.concat(F.lit("SELECT count(*) FROM part WHERE p_size = "), (F.col("p_size") % 10).cast("string"))
+                           .alias("sql"), F.lit(None).cast("string").alias("error"))
+    records.save_predictions(*collect.merge_results(
+        spark, results, asked, {"parts": {"part": f"{sf}/part.parquet"}}), folder, "m")
+    rows, cells = records.load_predictions(spark, folder, ["m", "absent"])
+    return rows.join(cells.select("instance_id", F.col("num").alias("answer")), "instance_id").select("instance_id", "pos", "n_rows", "answer")

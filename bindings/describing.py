@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from bindings.registry import case, query, table
 from gridsmith.functions import text
 from gridsmith.operators import describe as D
+from gridsmith.session import fresh_path
+from gridsmith.sources.tables import publish
 
 
 @query("table_names", """
@@ -85,3 +87,18 @@ def schema_text(spark, sf):
         F.col("s_suppkey").alias("place"), "s_suppkey", "s_name", "s_acctbal",
         F.concat(F.lit("it's "), F.col("s_suppkey").cast("string")).alias("motto"))
     return D.m_schema(supplier, "supplier", ["place"], keys=["s_suppkey"])
+
+
+@query("described_folder", """
+    SELECT 'nations' AS db_id, '【DB_ID】 nations' || chr(10) || '【Schema】' || chr(10) || '# Table: nations' || chr(10) || '[' || chr(10) ||
+      '(n_nationkey:INTEGER, Examples: [' || (SELECT string_agg(n_nationkey::VARCHAR, ', ' ORDER BY n_nationkey) FROM nation WHERE n_nationkey < 3) || ']),' || chr(10) ||
+      '(n_name:TEXT, Examples: [' || (SELECT string_agg(chr(39) || n_name || chr(39), ', ' ORDER BY n_nationkey) FROM nation WHERE n_nationkey < 3) || ']),' || chr(10) || ']' || chr(10) ||
+      'Sample rows from `nations`:' || chr(10) || (SELECT string_agg(n_nationkey || ', ' || n_name, chr(10) ORDER BY n_nationkey) FROM nation WHERE n_nationkey < 3) AS text,
+      1::BIGINT AS unavailable""")
+def described_folder(spark, sf):
+    """A published table described in stored order; a table that is not there is described as unavailable."""
+    path = fresh_path(spark, "published")
+    publish(table(spark, sf, "nation").select("n_nationkey", "n_name", F.col("n_nationkey").alias("at")), "nations", path=path, order=["at"])
+    found = D.describe_tables(spark, {"nations": path, "gone": f"{path}-gone"})
+    gone = found.where(F.col("text").startswith("(schema unavailable: ")).agg(F.count(F.lit(1)).alias("unavailable"))
+    return found.where("db_id = 'nations'").withColumn("_one", F.lit(1)).join(gone.withColumn("_one", F.lit(1)), "_one").drop("_one")

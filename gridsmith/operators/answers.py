@@ -39,10 +39,11 @@ def parsed_answers(predictions: DataFrame, text: str = "exec_answer", unreadable
     A list of plain values becomes rows of one cell. An object's ``error`` is carried over; any
     other shape is an error of its own.
     """
-    v = predictions.withColumn("_v", F.try_parse_json(F.col(text)))
+    # A list is taken apart row by row: there is a largest variant, and a long answer is beyond it.
+    is_list = F.coalesce(F.ltrim(text).startswith("["), F.lit(False))
+    listed = predictions.withColumn("_v", F.when(~is_list, F.try_parse_json(F.col(text)))).withColumn(
+        "_items", F.when(is_list, F.from_json(F.col(text), "array<variant>")))
     kind = _kind(F.col("_v"))
-    as_array = F.col("_v").try_cast("array<variant>")
-    listed = v.withColumn("_items", F.when(kind.startswith("ARRAY"), as_array))
     first = _kind(F.get(F.col("_items"), F.lit(0)))
     nested = F.transform("_items", lambda r: F.coalesce(r.try_cast("array<variant>"), F.array(r)))
     flat = F.transform("_items", lambda r: F.array(r))

@@ -6,7 +6,7 @@ a result type) and ``inline`` (positional, without keys).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsmith.functions import vocabulary as V
@@ -107,6 +107,8 @@ def parse_inline(lines: DataFrame, requests: DataFrame, keys: tuple[str, ...] =
 
 
 def parse_responses(lines: DataFrame, layout: str, requests: DataFrame | None = None) -> DataFrame:
+    if layout not in MISSING:
+        raise ValueError(f"unknown layout: {layout}")
     if layout == "inline":
         return parse_inline(lines, requests)
     return parse_chat(lines) if layout == "chat_completions" else parse_messages(lines)
@@ -155,3 +157,15 @@ def split_pending(requests: DataFrame, pending: DataFrame, lost: DataFrame | Non
     live = pending if lost is None else pending.join(lost.select("batch_id"), "batch_id", "left_anti")
     ids = live.select("instance_id").distinct()
     return requests.join(ids, "instance_id", "left_semi"), requests.join(ids, "instance_id", "left_anti")
+
+
+def record_pending(requests: DataFrame, path: str, batch_id: str) -> None:
+    """Note which requests go out as a batch, before they are sent: a run that dies while it waits
+    finds them by ``read_pending`` and collects the batch."""
+    requests.select(F.lit(batch_id).alias("batch_id"), "instance_id").write.mode("append").parquet(path)
+
+
+def read_pending(spark: SparkSession, path: str, done: DataFrame | None = None) -> DataFrame:
+    """``batch_id, instance_id`` of the requests sent and not done yet."""
+    rows = spark.read.schema("batch_id string, instance_id string").parquet(path)
+    return rows if done is None else rows.join(done.select("instance_id"), "instance_id", "left_anti")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridsmith.plans.submission import each
+from gridsmith.sources.tables import with_scan_order
+
 
 def type_label(c: Column) -> Column:
     """INTEGER, REAL, DATE, BOOLEAN or TEXT by what the type name contains, in that order."""
@@ -124,3 +129,18 @@ def m_schema(df: DataFrame, table: str, order: list[str], keys: list[str] | None
     lines = schema_lines(df, table, order, keys, foreign_keys, n_rows, n_values)
     return lines.groupBy(F.lit(table).alias("table_name")).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("part", "idx", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+def describe_tables(spark: SparkSession, databases: dict[str, str], workers: int = 4) -> DataFrame:
+    """``db_id, text``: the description of every database's published table, rows in stored order.
+
+    A table that cannot be read is described as unavailable, with the reason.
+    """
+    def one(db_id: str) -> DataFrame:
+        return m_schema(with_scan_order(spark.read.parquet(databases[db_id])), db_id, ["block", "seq"])
+
+    parts = [
+        described.select(F.col("table_name").alias("db_id"), "text") if error is None
+        else spark.createDataFrame([(db_id, f"(schema unavailable: {error})")], "db_id string, text string")
+        for db_id, described, error in each(sorted(databases), one, workers)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "db_id string, text string")

@@ -7,9 +7,7 @@ are compared, row by row, in a join spread over row positions.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsmith.functions import vocabulary as V
@@ -59,7 +57,8 @@ def column_summary(cells: DataFrame, key: str) -> DataFrame:
         F.coalesce(F.bool_or(F.isnan(num)), F.lit(False)).alias("has_nan"),
         F.min(num).alias("lo"), F.max(num).alias("hi"), F.sum(num).alias("total"), F.sum(F.abs(num)).alias("weight"),
         F.coalesce(F.bit_xor(F.xxhash64(text)), F.lit(0)).alias("text_xor"),
-        F.sum(F.pmod(F.xxhash64(text, F.lit(1)), F.lit(1 << 30))).alias("text_sum"))
+        # Twenty bits a cell: no column is long enough for the sum to overflow.
+        F.sum(F.pmod(F.xxhash64(text, F.lit(1)), F.lit(1 << 20))).alias("text_sum"))
 
 
 def _near(a: Column, b: Column, abs_tol: float, rel_tol: float) -> Column:
@@ -95,32 +94,18 @@ def candidate_pairs(pairs: DataFrame, pred: DataFrame, gold: DataFrame, abs_tol:
         .select("pred_id", "gold_id", "ordered", "gcol", "pcol", "n"))
 
 
-def _placed(cells: DataFrame, key: str, wanted: DataFrame, modes: set[tuple[bool, bool]]) -> DataFrame:
-    """The wanted columns with ``rank``: row order as it is, or each column sorted on its own.
-
-    ``modes`` says which of ordered and long columns occur at all, so that absent cases cost nothing.
-    """
+def _placed(cells: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The wanted columns with ``rank``: row order as it is, or each column sorted on its own."""
     columns = [key, "col_idx", "ordered", "rank", "num", "str"]
 
-    def pick(ordered: bool, long: bool | None = None) -> DataFrame:
-        keys = wanted.where(F.col("ordered") == F.lit(ordered))
-        if long is not None:
-            keys = keys.where(F.col("long") == F.lit(long))
-        keys = with_blocks(keys.select(key, "col_idx", "n").distinct())
+    def pick(ordered: bool) -> DataFrame:
+        keys = with_blocks(wanted.where(F.col("ordered") == F.lit(ordered)).select(key, "col_idx", "n").distinct())
         chosen = cells.select(key, "row_idx", "col_idx", "num", "str", row_block("row_idx").alias("_rows")).join(
             keys, [key, "col_idx", "_rows"], "left_semi")
         return chosen.drop("_rows").withColumn("ordered", F.lit(ordered))
 
-    parts = []
-    if any(ordered for ordered, _ in modes):
-        parts.append(pick(True).withColumn("rank", F.col("row_idx")))
-    if (False, False) in modes:
-        # At most ROWS_PER_CHUNK cells meet in a task here.
-        w = Window.partitionBy(key, "col_idx").orderBy(F.col("num").asc_nulls_last(), F.col("str").asc_nulls_last())
-        parts.append(pick(False, False).withColumn("rank", (F.row_number().over(w) - 1).cast("bigint")))
-    if (False, True) in modes:
-        parts.append(rank_cells(pick(False, True), key))
-    return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
+    in_order = pick(True).withColumn("rank", F.col("row_idx"))
+    return in_order.select(*columns).unionByName(rank_cells(pick(False), key).select(*columns))
 
 
 def matching_columns(pairs: DataFrame, pred: DataFrame, gold: DataFrame, abs_tol: float = V.ABS_TOLERANCE,
@@ -128,15 +113,11 @@ def matching_columns(pairs: DataFrame, pred: DataFrame, gold: DataFrame, abs_tol
     """``pred_id, gold_id, gcol, pcol``: the column pairs whose cells agree at every rank.
 
     The candidate pairs, a few short rows per answer, are written to the shared folder: they are
-    needed on both sides and decide which kinds of ranking occur.
+    needed on both sides.
     """
-    candidates = staged(candidate_pairs(pairs, pred, gold, abs_tol, rel_tol).withColumn(
-        "long", F.col("n") > ROWS_PER_CHUNK), "candidates")
-    modes = {(r["ordered"], r["long"]) for r in candidates.select("ordered", "long").distinct().collect()}
-    if not modes:
-        return candidates.select("pred_id", "gold_id", "gcol", "pcol")
-    p = _placed(pred, "pred_id", candidates.withColumnRenamed("pcol", "col_idx"), modes)
-    g = _placed(gold, "gold_id", candidates.withColumnRenamed("gcol", "col_idx"), modes)
+    candidates = staged(candidate_pairs(pairs, pred, gold, abs_tol, rel_tol), "candidates")
+    p = _placed(pred, "pred_id", candidates.withColumnRenamed("pcol", "col_idx"))
+    g = _placed(gold, "gold_id", candidates.withColumnRenamed("gcol", "col_idx"))
     left = g.select("gold_id", F.col("col_idx").alias("gcol"), "ordered", "rank",
                     F.col("num").alias("gnum"), F.col("str").alias("gstr"))
     right = p.select("pred_id", F.col("col_idx").alias("pcol"), "ordered", "rank",

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridsmith.functions import vocabulary as V
 from gridsmith.functions.statements import is_ordered
 from gridsmith.operators.answers import INVALID, UNPARSEABLE, answer_cells, parsed_answers, reparsed
+from gridsmith.operators.questions import gold_sql
 from gridsmith.operators.score import compare_results
+from gridsmith.plans.execute import gold_answers
 from gridsmith.session import staged
+from gridsmith.sources.records import load_predictions, read_predictions
 
 NO_GOLD = "no gold found"
 
@@ -84,14 +90,19 @@ def first_failures(details: DataFrame, n: int = 5, by: str = "model", order: str
 def id_overlap(pred: DataFrame, gold: DataFrame, by: str = "model") -> DataFrame:
     """Per model: distinct gold ids it has a prediction for, and whether it can be scored at all."""
     ids = gold.select("instance_id").distinct()
-    n_gold = ids.count()
+    # A scalar subquery: counted in the same job.
+    n_gold = ids.agg(F.count(F.lit(1))).scalar()
     seen = pred.select(by, "instance_id").distinct().join(ids.withColumn("_gold", F.lit(True)), "instance_id", "left")
     return seen.groupBy(by).agg(F.count("_gold").alias("matched")).select(
-        by, "matched", F.lit(n_gold).cast("bigint").alias("gold"), (F.col("matched") > 0).alias("scored"))
+        by, "matched", n_gold.alias("gold"), (F.col("matched") > 0).alias("scored"))
 
 
-def score_files(files: dict[str, DataFrame], questions: DataFrame, gold: DataFrame, gold_cells: DataFrame) -> DataFrame:
-    """Verdicts of all models from their stored predictions; models without a known id are left out."""
+PRED = ["pred_id", "model", "pos", "instance_id", "sql_answer", "n_rows", "n_cols", "error"]
+
+
+def stored_answers(files: dict[str, DataFrame], questions: DataFrame,
+                   saved: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(pred, cells)`` of all models, from JSON records and from saved tables; keyed by model and position."""
     parts = []
     if "standard" in files:
         parts.append(parsed_answers(files["standard"].select(
@@ -99,10 +110,79 @@ def score_files(files: dict[str, DataFrame], questions: DataFrame, gold: DataFra
     if "reparsed" in files:
         rows = reparsed(files["reparsed"], questions).select("model", "pos", "instance_id", "sql_answer", "exec_answer")
         parts.append(parsed_answers(rows, unreadable=UNPARSEABLE))
-    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    both = both.withColumn("pred_id", F.struct("model", "pos"))
-    # The JSON texts are taken apart once; the cells are read several times from here on.
-    cells = staged(answer_cells(both, "pred_id"), "cells")
-    pred = staged(both.drop("answer_rows", "exec_answer"), "answers")
+    pred = cells = None
+    if parts:
+        both = reduce(DataFrame.unionByName, parts).withColumn("pred_id", F.struct("model", "pos"))
+        # The JSON texts are taken apart once; the cells are read several times from here on.
+        cells = staged(answer_cells(both, "pred_id"), "cells")
+        pred = staged(both.select(*PRED), "answers")
+    if saved:
+        rows = saved[0].withColumn("pred_id", F.struct("model", "pos"))
+        keyed = saved[1].join(rows.select("model", "instance_id", "pred_id"), ["model", "instance_id"]).drop("model", "instance_id")
+        rows = rows.select(*[F.col(c).cast("int") if c == "n_cols" else F.col(c) for c in PRED])
+        pred = rows if pred is None else pred.unionByName(rows)
+        cells = keyed if cells is None else cells.unionByName(keyed)
+    if pred is None:
+        raise ValueError("no predictions of any model")
+    return pred, cells
+
+
+def score_files(files: dict[str, DataFrame], questions: DataFrame, gold: DataFrame, gold_cells: DataFrame,
+                saved: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Verdicts of all models from their stored predictions; models without a known id are left out."""
+    pred, cells = stored_answers(files, questions, saved)
     known = id_overlap(pred, gold).where("scored").select("model")
     return verdicts(pred.join(known, "model", "left_semi"), cells, gold, gold_cells)
+
+
+def first_rows(cells: DataFrame, key: str, n: int = 3) -> DataFrame:
+    """``key, rows``: the first rows of an answer as texts, cells joined by a comma."""
+    value = F.coalesce("str", F.col("num").cast("string"), F.lit("NULL"))
+    lines = cells.where(F.col("row_idx") < n).groupBy(key, "row_idx").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("col_idx", value.alias("v")))), lambda c: c["v"]), ", ").alias("line"))
+    return lines.groupBy(key).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("row_idx", "line"))), lambda r: r["line"]).alias("rows"))
+
+
+def failure_report(details: DataFrame, questions: DataFrame, pred_cells: DataFrame, gold_cells: DataFrame, n: int = 5) -> DataFrame:
+    """The first failed and wrong predictions of each model with both statements and the first rows of both answers."""
+    failures = staged(first_failures(details, n), "failures")
+    gold = gold_sql(questions).select(F.col("pos").alias("gold_id"), F.col("gold").alias("gold_sql"))
+    mine = first_rows(pred_cells.join(failures.select("pred_id"), "pred_id", "left_semi"), "pred_id")
+    theirs = first_rows(gold_cells.join(failures.select("gold_id"), "gold_id", "left_semi"), "gold_id")
+    return (failures.join(gold, "gold_id", "left").join(mine.withColumnRenamed("rows", "pred_rows"), "pred_id", "left")
+            .join(theirs.withColumnRenamed("rows", "gold_rows"), "gold_id", "left")
+            .select("model", "group", "place", "instance_id", "error", "sql_answer", "gold_sql", "pred_rows", "gold_rows"))
+
+
+@dataclass
+class ScoreRun:
+    """What a scoring job gives: verdicts, and the reports made of them."""
+
+    details: DataFrame
+    overlap: DataFrame
+    breakdown: DataFrame
+    failures: DataFrame
+    scoreboard: DataFrame
+    gold: DataFrame
+
+
+def score_run(spark: SparkSession, questions: DataFrame, folder: str, models: list[str],
+              databases: dict[str, dict[str, str]], workers: int = 4) -> ScoreRun:
+    """Questions to scores: run the gold statements, read every model's predictions, compare and report.
+
+    A model's predictions are its saved tables, else its JSON record. Verdicts are staged: all
+    reports read them.
+    """
+    answers, answer_rows, summary = gold_answers(spark, questions, databases, workers)
+    gold = staged(answers.withColumnRenamed("pos", "gold_id"), "gold")
+    gold_cells = staged(answer_rows.withColumnRenamed("pos", "gold_id"), "gold-cells")
+    saved = load_predictions(spark, folder, models)
+    names = {r["model"] for r in saved[0].select("model").distinct().collect()} if saved else set()
+    files = read_predictions(spark, folder, [m for m in models if m not in names])
+    pred, cells = stored_answers(files, questions, saved)
+    overlap = id_overlap(pred, gold)
+    details = staged(verdicts(
+        pred.join(overlap.where("scored").select("model"), "model", "left_semi"), cells, gold, gold_cells), "verdicts")
+    return ScoreRun(details, overlap, breakdown(details), failure_report(details, questions, cells, gold_cells),
+                    scoreboard(details, ["model"]), summary)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsmith.operators.ordering import positions
+from gridsmith.sources.tables import is_published
 
 QUESTION_FIELDS = [
     "db_id", "question", "sql", "external_knowledge", "csv_file", "evidence", "instance_id",
@@ -100,6 +102,23 @@ def read_predictions(spark: SparkSession, folder: str, models: list[str]) -> dic
     return out
 
 
+def save_predictions(predictions: DataFrame, cells: DataFrame, folder: str, model: str) -> None:
+    """The prediction record of a model as two tables: ``pos, instance_id, db_id, sql_answer, llm_error,
+    n_rows, n_cols, error``, and the cells of the answers. No answer is ever one value."""
+    for name, rows in (("rows", predictions), ("cells", cells)):
+        rows.write.mode("overwrite").parquet(f"{folder}/{model}.answers/{name}")
+
+
+def load_predictions(spark: SparkSession, folder: str, models: list[str]) -> tuple[DataFrame, DataFrame] | None:
+    """``(rows, cells)`` of the models saved so, tagged with ``model``; None if there are none."""
+    found = [m for m in models if all(is_published(spark, f"{folder}/{m}.answers/{name}") for name in ("rows", "cells"))]
+    if not found:
+        return None
+    return tuple(
+        reduce(DataFrame.unionByName, [spark.read.parquet(f"{folder}/{m}.answers/{name}").withColumn("model", F.lit(m)) for m in found])
+        for name in ("rows", "cells"))
+
+
 def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One UTF-8 JSON object per line, non-ASCII characters as they are."""
     df.write.mode(mode).json(path)

@@ -7,26 +7,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridsmith.functions.statements import extract_sql
-from gridsmith.operators.batches import parse_chat, parse_messages
+from gridsmith.operators.batches import parse_responses
+
+
+LAYOUTS = ("chat_completions", "messages")
 
 
 def response_stream(spark: SparkSession, folder: str, layout: str) -> DataFrame:
-    """Keyed response lines of a folder as a stream of ``instance_id, sql, raw_response, error``."""
-    lines = spark.readStream.schema("value string").text(folder).select(
-        "value", F.lit(0).cast("bigint").alias("pos"))
-    parsed = parse_chat(lines) if layout == "chat_completions" else parse_messages(lines)
+    """Keyed response lines of a folder as a stream of ``instance_id, sql, raw_response, error, at``.
+
+    ``at`` is the place of the answer's file: time, name and split. A layout without ids has none to
+    collect by as files arrive; it is refused, ``read_responses`` reads it.
+    """
+    if layout not in LAYOUTS:
+        raise ValueError(f"only {' and '.join(LAYOUTS)} can be followed, not {layout}")
+    place = F.struct(
+        F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"))
+    lines = spark.readStream.schema("value string").text(folder).select("value", place.alias("pos"))
+    parsed = parse_responses(lines, layout)
     sql = F.when(F.col("error").isNull(), extract_sql(F.col("raw_response"))).otherwise("")
-    return parsed.select("instance_id", sql.alias("sql"), "raw_response", "error")
+    return parsed.select("instance_id", sql.alias("sql"), "raw_response", "error", F.col("pos").alias("at"))
+
+
+def collected(results: DataFrame) -> DataFrame:
+    """One result per id of what ``follow_responses`` has written: the last answer counts."""
+    last = results.groupBy("instance_id").agg(F.max_by(
+        F.struct("sql", "raw_response", "error"), F.struct("at", "line")).alias("r"))
+    return last.select("instance_id", "r.*")
 
 
 def follow_responses(spark: SparkSession, folder: str, layout: str, results: str, checkpoint: str) -> StreamingQuery:
     """Append the results of all files not collected before, then stop.
 
-    The stream's checkpoint remembers the collected files, and the file sink commits each of them
-    exactly once: an interrupted run is simply started again.
+    The stream's checkpoint remembers the collected files. Each delivery is a folder of its own,
+    replaced if it is written again: an interrupted run is simply started again. ``line`` rises
+    within a split; ``collected`` reads the last answer of each id.
     """
+    def keep(delivery: DataFrame, number: int) -> None:
+        delivery.withColumn("line", F.monotonically_increasing_id()).write.mode("overwrite").parquet(
+            f"{results}/delivery={number}")
+
     return (
-        response_stream(spark, folder, layout).writeStream.format("parquet")
-        .option("path", results).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        response_stream(spark, folder, layout).writeStream.foreachBatch(keep)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
