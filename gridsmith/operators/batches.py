@@ -167,5 +167,6 @@ def record_pending(requests: DataFrame, path: str, batch_id: str) -> None:
 
 def read_pending(spark: SparkSession, path: str, done: DataFrame | None = None) -> DataFrame:
     """``batch_id, instance_id`` of the requests sent and not done yet."""
-    rows = spark.read.schema("batch_id string, instance_id string").parquet(path)
-    return rows if done is None else rows.join(done.select("instance_id"), "instance_id", "left_anti")
+    rows = spark.read.parquet(path)
+    left = rows if done is None else rows.join(done.select("instance_id"), "instance_id", "left_anti")
+    return left.select("batch_id", "instance_id")
