@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,17 +156,28 @@ def clean_column_names(names: DataFrame, ascii_names: bool = False) -> DataFrame
 
 
 def unique_names(names: DataFrame, table: list[str] = TABLE) -> DataFrame:
-    """Give repeated names the smallest free suffix from ``_2`` on; ``idx`` order, per table."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", "name"))), lambda x: x["name"])
+    """Give repeated names the smallest free suffix from ``_2`` on; ``idx`` order, per table.
 
-    def add(done: Column, name: Column) -> Column:
-        suffixed = F.transform(F.sequence(F.lit(2), F.size(done) + 2), lambda k: F.concat_ws("_", name, k.cast("string")))
-        free = F.filter(suffixed, lambda s: ~F.array_contains(done, s))
-        return F.concat(done, F.array(F.when(F.array_contains(done, name), free[0]).otherwise(name)))
-
-    lists = names.groupBy(*table).agg(ordered.alias("n"), F.array_sort(F.collect_list("idx")).alias("i"))
-    empty = F.array().cast("array<string>")
-    unique = lists.select(*table, F.explode(F.arrays_zip("i", F.aggregate("n", empty, add).alias("u"))).alias("x"))
+    The names of one table, a short text per column, meet in a list and are walked through once.
+    """
+    # Local, so that it travels to the executors by value.
+    @F.pandas_udf("array<string>")
+    def distinct(lists: pd.Series) -> pd.Series:
+        def one(wanted: list[str]) -> list[str]:
+            taken, tried, out = set(), {}, []
+            for name in wanted:
+                unique = name
+                while unique in taken:
+                    tried[name] = tried.get(name, 1) + 1
+                    unique = f"{name}_{tried[name]}"
+                taken.add(unique)
+                out.append(unique)
+            return out
+        return lists.map(one)
+
+    lists = names.groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("idx", "name"))).alias("n"))
+    unique = lists.select(*table, F.explode(F.arrays_zip(
+        F.transform("n", lambda x: x["idx"]).alias("i"), distinct(F.transform("n", lambda x: x["name"])).alias("u"))).alias("x"))
     return names.drop("name").join(
         unique.select(*table, F.col("x.i").alias("idx"), F.col("x.u").alias("name")), [*table, "idx"])
 

@@ -125,7 +125,8 @@ def clean_table(spark: SparkSession, path: str, strict: bool = False, ascii_name
     if not usable:
         return spark.createDataFrame([], "struct<>")
     (table_id, shape), = usable.items()
-    rows = cleaned_rows(grid, usable)
+    # The votes and every later action read the clean cells; they are made once.
+    rows = staged(cleaned_rows(grid, usable), "clean")
     votes = profile(rows, list(shape.names), bool_digits=bool_digits).collect()
     return typed_table(rows, shape, votes, typed_dates, typed_bools, keep_order)
 
