@@ -102,7 +102,8 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     found = staged(near_duplicates(docs, **options).select("doc_id", "component_id"), "near")
     per_id = staged(found.groupBy("doc_id").agg(
         F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("rows")), "near")
-    gone = per_id.where("NOT stays").select(F.col("doc_id").alias("_gone"))
+    # Staged on its own, so that Spark knows its size: small, it goes to the texts, not the texts to it.
+    gone = staged(per_id.where("NOT stays").select(F.col("doc_id").alias("_gone")), "gone")
     kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
     repeated = per_id.where("stays AND rows > 1").select(F.col("doc_id").alias("_twice"))
     if repeated.isEmpty():
