@@ -21,7 +21,7 @@ from gridsmith.session import staged
 
 LENGTH = 200
 GRAM = 48
-BUCKET = 20_000  # segments merged by one task, about
+BUCKET = 5_000  # segments merged by one task, about
 DENSE = 50_000  # segments of one anchor that are still merged in one task
 
 
@@ -84,9 +84,9 @@ def spans(docs: DataFrame, length: int, gram: int, bucket: int, dense: int) -> D
         wanted = chosen.select("t", bits(F.col("at"), 47, 16).alias("e"), "g", "c", "shape", "n", "at",
                                start.alias("start"), (end - start).alias("size"))
         lists = wanted.groupBy("t", "e").agg(F.collect_list(F.struct("g", "c", "shape", "n", "at", "start", "size")).alias("w"))
-        # doc_id stays so that this is the same shuffle of texts as the caller's.
+        # doc_id goes along so that this is the same shuffle of texts as the caller's, made once.
         rows = docs.join(lists, ["t", "e"]).select("doc_id", "t", "e", "raw", F.explode("w").alias("w"))
-        return rows.select("t", "e", "w.g", "w.c", "w.shape", "w.n", "w.at", "w.start",
+        return rows.select("doc_id", "t", "e", "w.g", "w.c", "w.shape", "w.n", "w.at", "w.start",
                            F.substring(F.col("raw"), F.col("w.start") + 1, F.col("w.size")).alias("segment"))
 
     buckets = max(1, -(-int(sizes[0]) // bucket))
