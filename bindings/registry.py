@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for queries whose time goes into cell work. The rebalance hint lets Spark deal the rows
+    of a file with one row group to all tasks, by the size it measures."""
+    return table(spark, sf_dir, name).hint("rebalance")
+
+
 def case(selector: Column, *choices: Column | str | None) -> Column:
     """The i-th choice for selector value i."""
     out = None
