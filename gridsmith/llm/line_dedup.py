@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsmith.llm.base import query, table
+from gridsmith.llm.near_dedup import near_copies
 from gridsmith.session import staged
 
 MIN_SITES = 10
@@ -41,13 +42,22 @@ def spread_lines(lines: DataFrame, min_sites: int, lg_k: int = LG_K, band: float
     return staged(sure.union(exact), "boilerplate")
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, most: float = MOST) -> DataFrame:
+def sites_of_copies(parts: DataFrame) -> DataFrame:
+    """``t1, t2, one``: the least site of each group of copies (``t1, t2, part, site``) that stands on several."""
+    groups = parts.groupBy("part").agg(F.min("site").alias("one"), F.max("site").alias("last")).where("one <> last")
+    return staged(parts.select("t1", "t2", "part").distinct().join(groups, "part").select("t1", "t2", "one"), "copied")
+
+
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, most: float | None = MOST,
+                        copies_once: bool = False) -> DataFrame:
     """All columns of ``docs`` as a struct ``doc``, with ``n_lines, n_removed, kept`` (the remaining text).
 
     A site is a ``source``; rows without one belong to one unnamed site. Lines are compared without
     blanks at their ends; blank lines stay. A document of which more than the share ``most`` of the
     characters would go is itself a copy, not a page with boilerplate: it stays whole, for the
-    near-duplicate stage to choose one of its copies. A NULL text has no lines and stays NULL, an
+    near-duplicate stage to choose one of its copies. Without a share (``most=None``) every spread line goes;
+    ``copies_once`` then counts near copies as one document on one site, so that they do not make
+    their own lines spread. A NULL text has no lines and stays NULL, an
     empty one has one blank line. Repeated rows have equal results; extra columns pass through.
     Positions to remove are found per distinct text, so neither copies nor repeated ids matter.
     """
@@ -56,14 +66,21 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, most: float
     lines = (docs.where("text IS NOT NULL")
              .select(*text_keys, site.alias("site"), F.posexplode(line_array(F.col("text"))).alias("pos", "line"))
              .where(F.btrim("line", F.lit(BLANKS)) != "").select("t1", "t2", "site", "pos", *line_keys(F.col("line"))))
-    spread = spread_lines(lines, min_sites)
+    if copies_once:
+        copied = sites_of_copies(near_copies(docs.withColumn("doc_id", site)).withColumnRenamed("doc_id", "site"))
+        counted = lines.join(copied, ["t1", "t2"], "left").withColumn("site", F.coalesce("one", "site")).drop("one")
+    else:
+        counted = lines
+    spread = spread_lines(counted.select("k1", "k2", "site"), min_sites)
     places = staged(lines.join(spread, ["k1", "k2"]).groupBy("t1", "t2").agg(F.collect_set("pos").alias("gone")), "places")
     rows = docs.select(F.struct("*").alias("doc"), "text", *text_keys).join(places, ["t1", "t2"], "left")
     array = line_array(F.col("text"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(array) - 1), F.col("gone"))
     rest = F.array_join(F.transform(stay, lambda i: F.get(array, i)), "\n")
     cut = rows.withColumn("rest", F.when(F.col("gone").isNotNull(), rest))
-    removed = F.col("rest").isNotNull() & (F.length("text") - F.length("rest") <= most * F.length("text"))
+    removed = F.col("rest").isNotNull()
+    if most is not None:
+        removed &= F.length("text") - F.length("rest") <= most * F.length("text")
     return cut.select(
         "doc", F.when(F.col("text").isNull(), 0).otherwise(F.size(array)).alias("n_lines"),
         F.when(removed, F.size("gone")).otherwise(0).alias("n_removed"),
@@ -71,8 +88,11 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, most: float
 
 
 def cleaned(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with boilerplate lines removed from ``text``; ``n_chars``, if there, counts what is left."""
-    rows = without_boilerplate(docs, **options)
+    """``docs`` with boilerplate lines removed from ``text``; ``n_chars``, if there, counts what is left.
+
+    Pages lose every spread line, however much of them that is; near copies count as one page.
+    """
+    rows = without_boilerplate(docs, **{"most": None, "copies_once": True} | options)
     new = {"text": F.col("kept"), "n_chars": F.length("kept")}
     return rows.select(*[
         new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("doc").getField(c).alias(c)

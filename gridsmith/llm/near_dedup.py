@@ -144,7 +144,8 @@ def text_keys() -> list[Column]:
 
 def near_copies(docs: DataFrame, width: int = SHINGLE, threshold: tuple[int, int] = SIMILAR, bands: int = BANDS,
                 rows: int = ROWS) -> DataFrame:
-    """``doc_id, component_id`` per row: the smallest doc_id reachable over pairs of similar texts, itself included.
+    """``doc_id, t1, t2, part, component_id`` per row: the keys of its text, a number of its component of similar
+    texts, and the smallest doc_id in that.
 
     Two texts are similar if the Jaccard similarity of their sets of word shingles is at least the
     threshold; texts of fewer words have one shingle, those without words are alike. Texts of one
@@ -183,11 +184,12 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, threshold: tuple[int, int
     edges = edges.union(similar(rest, classes, docs, width, threshold))
     roots = components(edges)
     named = roots.join(classes.select("node", "first"), "node")
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
+    named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "root", "component_id")
     # A NULL doc_id is the smallest only of a component without any other.
-    labels = staged(classes.select("node", "cls", "first").join(named.withColumn("linked", F.lit(True)), "node", "left").select(
-        "cls", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id")), "labels")
-    return found.select("doc_id", "cls").join(labels, "cls").select("doc_id", "component_id")
+    labels = staged(classes.select("node", "cls", "first").join(named, "node", "left").select(
+        "cls", F.coalesce("root", "node").alias("part"),
+        F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")), "labels")
+    return found.select("doc_id", "t1", "t2", "cls").join(labels, "cls").select("doc_id", "t1", "t2", "part", "component_id")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
@@ -196,7 +198,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Rows that share a doc_id, NULL included, are one document. A doc_id with texts in several
     components stays if it is the smallest of any of them.
     """
-    found = staged(near_copies(docs, **options), "near")
+    found = staged(near_copies(docs, **options).select("doc_id", "component_id"), "near")
     per_id = staged(found.groupBy("doc_id").agg(
         F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("rows")), "near")
     # Staged on its own, so that Spark knows its size: small, it goes to the texts, not the texts to it.

@@ -175,6 +175,19 @@ def test_lines_as_by_hand(spark, awkward):
     assert LD.cleaned(empty(spark)).count() == 0
 
 
+def test_pages_mostly_of_boilerplate_lose_it_and_copies_keep_their_lines(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+    menu = "\n".join(words(6) for _ in range(4))
+    own = {i: words(12) for i in range(15)}
+    article = [words(40) for _ in range(5)]
+    rows = [(i, f"{menu}\n{own[i]}", None, f"s{i}", 0) for i in own]
+    rows += [(100 + i, "\n".join(article), None, f"s{i}", 0) for i in range(15)]  # copies, then near copies
+    rows += [(200 + i, "\n".join([*article, f"edit {i}"]), None, f"s{i}", 0) for i in range(15)]
+    out = {r.doc_id: r.text for r in LD.cleaned(docs_of(spark, rows)).collect()}
+    assert out == {d: own.get(d, text) for d, text, *_ in rows}
+
+
 def test_sketch_and_exact_count_agree_at_the_threshold(spark):
     rows = [(i, f"spread {k}\n{'own text ' * 20}{i}", None, f"s{i}", None) for k in range(8, 60) for i in range(k)]
     out = LD.spread_lines(docs_of(spark, rows).selectExpr(
