@@ -65,7 +65,7 @@ def letter_flags() -> np.ndarray:
 
 
 def spectrum(text: str, longest: int, dim_bits: int) -> np.ndarray:
-    """The set of hashed character n-grams, n from 1 to ``longest``: sorted places below 2^dim_bits.
+    """The set of hashed character n-grams, n from 1 to ``longest``: sorted hashes of ``dim_bits`` bits.
 
     Letters count in lower case; everything between them is one blank.
     """
@@ -73,15 +73,23 @@ def spectrum(text: str, longest: int, dim_bits: int) -> np.ndarray:
     codes = np.where(letter_flags()[np.minimum(codes, SCRIPT_PLANES)], codes, 32)
     blank = codes == 32
     codes = codes[~(blank & np.roll(blank, 1)) | (np.arange(len(codes)) == 0)].astype(np.uint64)
-    seen = np.zeros(1 << dim_bits, bool)
+    found = []
     rolled = np.zeros(len(codes), np.uint64)
     for n in range(1, longest + 1):
         if len(codes) < n:
             break
         rolled = rolled[:len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1:]
         mixed = (rolled ^ (rolled >> np.uint64(29)) ^ np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15)
-        seen[(mixed >> np.uint64(64 - dim_bits)).astype(np.int64)] = True
-    return np.flatnonzero(seen).astype(np.int32)
+        found.append(np.unique(mixed >> np.uint64(64 - dim_bits)))
+    return np.unique(np.concatenate(found))
+
+
+def places_in(held: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Places in the sorted ``held`` of those ``grams`` that it has."""
+    if not len(held):
+        return np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(held, grams), len(held) - 1)
+    return at[held[at] == grams]
 
 
 STATISTICS = 20

@@ -14,40 +14,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsmith.llm.base import query, table
-from gridsmith.llm.kernels import spectrum
+from gridsmith.llm.kernels import places_in, spectrum
 from gridsmith.session import staged
 
 LONGEST = 4
-DIM_BITS = 16
+DIM_BITS = 64  # hashes, not places: no text is long enough to fill them
 SAMPLE = 2400  # most training texts, in equal parts of the languages
 LANDMARKS = 160
 RIDGE = 0.3
-BATCH = 64
 UNKNOWN = "und"
 
 
 @dataclass
 class LanguageModel:
     names: list[str]
-    column: np.ndarray  # place of an n-gram among those of the landmarks; -1 if none holds it
+    held: np.ndarray  # hashes of the landmarks' n-grams, sorted
     weights: np.ndarray  # n-grams of the landmarks x languages
     bias: np.ndarray
     longest: int
     dim_bits: int
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Texts x languages; 1 for a sure yes, -1 for a sure no. One matrix product per batch."""
+        """Texts x languages; 1 for a sure yes, -1 for a sure no. One sum of sparse rows per text."""
         out = np.empty((len(texts), len(self.names)))
-        for start in range(0, len(texts), BATCH):
-            part = texts[start:start + BATCH]
-            present = np.zeros((len(part), len(self.weights)), np.float32)
-            norms = np.empty(len(part))
-            for i, text in enumerate(part):
-                grams = spectrum(text, self.longest, self.dim_bits)
-                columns = self.column[grams]
-                present[i, columns[columns >= 0]] = 1
-                norms[i] = np.sqrt(max(len(grams), 1))
-            out[start:start + BATCH] = present @ self.weights / norms[:, None] + self.bias
+        for i, text in enumerate(texts):
+            grams = spectrum(text, self.longest, self.dim_bits)
+            rows = self.weights[places_in(self.held, grams)]
+            out[i] = rows.sum(axis=0, dtype=np.float64) / np.sqrt(max(len(grams), 1)) + self.bias
         return out
 
 
@@ -58,21 +51,20 @@ def fit_model(labels: list[str], grams: list[np.ndarray], landmarks: int = LANDM
     by_name = {name: [i for i, x in enumerate(labels) if x == name] for name in names}
     each = max(1, landmarks // max(1, len(names)))
     marks = [i for name in names for i in by_name[name][:each]]
-    held = np.unique(np.concatenate([grams[i] for i in marks])) if marks else np.empty(0, np.int32)
-    column = np.full(1 << dim_bits, -1, np.int32)
-    column[held] = np.arange(len(held))
-
-    def presence(rows: list[int]) -> np.ndarray:
-        out = np.zeros((len(rows), len(held)), np.float32)
-        for k, i in enumerate(rows):
-            columns = column[grams[i]]
-            out[k, columns[columns >= 0]] = 1
-        return out
-
+    held = np.unique(np.concatenate([grams[i] for i in marks])) if marks else np.empty(0, np.uint64)
     norms = np.sqrt([max(len(g), 1) for g in grams])
-    mark_rows = presence(marks) / norms[marks][:, None]
-    kernel = np.vstack([presence(list(range(s, min(s + BATCH, len(grams))))) @ mark_rows.T
-                        for s in range(0, len(grams), BATCH)]) / norms[:, None]
+    # The landmarks of each n-gram, so that a text meets only those that share one with it.
+    columns = [places_in(held, grams[i]) for i in marks]
+    holders = np.repeat(np.arange(len(marks)), [len(c) for c in columns])
+    flat = np.concatenate(columns) if columns else np.empty(0, np.int64)
+    holders = holders[np.argsort(flat, kind="stable")]
+    ends = np.cumsum(np.bincount(flat, minlength=len(held)))
+    kernel = np.zeros((len(grams), len(marks)))
+    for i, text in enumerate(grams):
+        at = places_in(held, text)
+        counts = ends[at] - np.where(at > 0, ends[at - 1], 0)
+        first = np.repeat(ends[at] - np.cumsum(counts), counts)
+        kernel[i] = np.bincount(holders[first + np.arange(len(first))], minlength=len(marks)) / norms[marks] / norms[i]
     # Nystroem features: the landmarks' kernel to the power of -1/2.
     values, vectors = np.linalg.eigh(kernel[marks])
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
@@ -81,8 +73,11 @@ def fit_model(labels: list[str], grams: list[np.ndarray], landmarks: int = LANDM
     penalty = ridge * np.eye(features.shape[1])
     penalty[-1, -1] = 1e-6
     solved = np.linalg.solve(features.T @ features + penalty, features.T @ target)
-    weights = mark_rows.T @ (root @ solved[:-1]).astype(np.float32)
-    return LanguageModel(names, column, weights.astype(np.float32), solved[-1], longest, dim_bits)
+    strength = (root @ solved[:-1]) / norms[marks][:, None]
+    weights = np.zeros((len(held), len(names)))
+    for at, row in zip(columns, strength, strict=True):
+        weights[at] += row
+    return LanguageModel(names, held, weights.astype(np.float32), solved[-1], longest, dim_bits)
 
 
 def has_letter(text: Column) -> Column:
@@ -113,7 +108,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS,
         return pa.array([spectrum(t.as_py(), longest, dim_bits).tobytes() for t in texts], pa.binary())
 
     picked = chosen.select("lang", "h", spectra("text").alias("grams")).toPandas().sort_values(["lang", "h"])
-    return fit_model(list(picked["lang"]), [np.frombuffer(g, np.int32) for g in picked["grams"]],
+    return fit_model(list(picked["lang"]), [np.frombuffer(g, np.uint64) for g in picked["grams"]],
                      landmarks, ridge, longest, dim_bits)
 
 

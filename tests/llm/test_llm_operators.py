@@ -140,6 +140,25 @@ def test_spectrum_kernel_is_that_of_sets():
     assert len(set(spectrum(a, 4, 22)) & set(spectrum(b, 4, 22))) == len(sets(a) & sets(b))
 
 
+def test_language_of_very_long_texts_of_large_alphabets():
+    import numpy as np
+
+    from gridsmith.llm.kernels import spectrum
+    rng = np.random.default_rng(13)
+    shares = {name: rng.permutation(1 / np.arange(1, 3001)) for name in "abc"}  # one alphabet, other frequencies
+    starts = {name: 0x4E00 + 1500 * k for k, name in enumerate(shares)}
+
+    def write(name, n):
+        return "".join(map(chr, starts[name] + rng.choice(3000, n, p=shares[name] / shares[name].sum())))
+
+    labels = [name for name in shares for _ in range(30)]
+    model = LI.fit_model(labels, [spectrum(write(name, 400), LI.LONGEST, LI.DIM_BITS) for name in labels])
+    names = [name for name in shares for _ in range(2)]
+    for n in (400, 100_000, 400_000):
+        found = model.scores([write(name, n) for name in names]).argmax(axis=1)
+        assert [model.names[k] for k in found] == names
+
+
 # -- 3
 
 def brute_lines(rows, min_sites=3):
