@@ -38,23 +38,6 @@ def majority(hashes: np.ndarray, block: int = 1 << 16) -> int:
 
 
 CACHE: dict[str, np.ndarray] = {}
-
-
-def band_keys(hashes: np.ndarray, bands: int, rows: int, block: int = 512) -> np.ndarray:
-    """MinHash signature of a set of hashes in bands: one key for the ``rows`` least values of each band."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    name = f"minhash-{bands}-{rows}"
-    if name not in CACHE:
-        CACHE[name] = np.random.default_rng(42).integers(0, 1 << 64, (2, bands * rows), np.uint64)
-    mask, factor = CACHE[name][0], CACHE[name][1] | np.uint64(1)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max)
-    for i in range(0, len(hashes), block):
-        mixed = hashes[i:i + block, None] ^ mask
-        mixed *= factor
-        np.minimum(least, mixed.min(axis=0), out=least)
-    parts = least.astype("<u8").reshape(bands, rows)
-    return np.array([xxhash.xxh64_intdigest(p.tobytes(), k) for k, p in enumerate(parts)], np.uint64).view(np.int64)
 SCRIPT_PLANES = 0x30000  # beyond them no letters are assigned for living scripts
 
 

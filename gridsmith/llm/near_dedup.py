@@ -1,18 +1,15 @@
-"""Near duplicates: by SimHash (fingerprints, pigeonhole blocks, verified links, components), and by
-the similarity of word shingles (MinHash bands, verified exactly), as the pipeline's stage takes them."""
+"""Near duplicates by SimHash: fingerprints, pigeonhole blocks, verified links, components."""
 
 from __future__ import annotations
 
 from itertools import combinations
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsmith.llm.base import block_keys, components, distance, query, table
-from gridsmith.llm.kernels import band_keys, majority, shingle_hashes, words_of
+from gridsmith.llm.kernels import majority, shingle_hashes, words_of
 from gridsmith.session import staged
 
 WIDTH = 3
@@ -20,12 +17,6 @@ RADIUS = 2
 BLOCKS = 4
 DENSE = 64  # rows of a block that are still compared in pairs
 
-# The pipeline's stage: shingles of five words, similar from 0.8 on.
-SHINGLE = 5
-SIMILAR = (4, 5)
-BANDS = 40
-ROWS = 5  # a pair at 0.8 shares no band with probability (1 - 0.8^5)^40 = 1.2e-7, one above it with less
-
 
 def simhash(text: Column, width: int = WIDTH) -> Column:
     """Fingerprint of the word shingles, repeats included; 0 for a text without words or NULL."""
@@ -102,114 +93,26 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, b
     return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """The distinct word shingles of a text as sorted hashes."""
-    return np.unique(shingle_hashes(words_of(text), width))
-
-
-def signatures(text: Column, width: int, bands: int, rows: int) -> Column:
-    """``cls, n, keys``: 128 bits of the set of shingles, its size, and its MinHash bands."""
-    @F.arrow_udf("cls binary, n int, keys array<long>")
-    def sign(texts: pa.Array) -> pa.Array:
-        sets = [shingle_set(t.as_py(), width) for t in texts]
-        return pa.StructArray.from_arrays(
-            [pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
-             pa.array([band_keys(s, bands, rows) for s in sets], pa.list_(pa.int64()))], ["cls", "n", "keys"])
-
-    return sign(text)
-
-
-def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
-    """The ``pairs`` (a, b) of classes whose shingle sets have the threshold's Jaccard similarity, counted exactly."""
-    pairs = staged(pairs, "candidates")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = staged(classes.join(nodes, "node", "left_semi").select("node", "t1", "t2"), "candidate-texts")
-
-    @F.arrow_udf("array<long>")
-    def shingles(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t.as_py(), width).view(np.int64) for t in texts], pa.list_(pa.int64()))
-
-    texts = docs.select(*text_keys(), "text").join(wanted, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
-    sets = staged(texts.select("node", shingles(F.col("text")).alias("set")), "shingle-sets")
-    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b"))
-    shared = F.size(F.array_intersect("x", "y")).cast("long")
-    part, whole = threshold
-    return staged(both.where(shared * (part + whole) >= part * (F.size("x").cast("long") + F.size("y"))).select("a", "b"), "similar")
-
-
-def text_keys() -> list[Column]:
-    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
-
-
-def near_copies(docs: DataFrame, width: int = SHINGLE, threshold: tuple[int, int] = SIMILAR, bands: int = BANDS,
-                rows: int = ROWS) -> DataFrame:
-    """``doc_id, t1, t2, part, component_id`` per row: the keys of its text, a number of its component of similar
-    texts, and the smallest doc_id in that.
-
-    Two texts are similar if the Jaccard similarity of their sets of word shingles is at least the
-    threshold; texts of fewer words have one shingle, those without words are alike. Texts of one
-    set are one class. Classes that share a MinHash band are candidates, verified on whole sets.
-    First each is held against the least of its band only, which links a group of any number of
-    copies by one pair for each; then only those of a band that are still apart meet in pairs: one
-    of two such is always apart from the least of the band. So no link between components is left out.
-    """
-    sizes_fit = lambda x, y: F.least(x, y) * threshold[1] >= F.greatest(x, y) * threshold[0]
-    signed = docs.select("doc_id", *text_keys(), signatures(F.col("text"), width, bands, rows).alias("s"))
-    found = staged(signed.select("doc_id", "t1", "t2", "s.*"), "signatures")
-    classes = staged(found.groupBy("cls").agg(
-        F.min("doc_id").alias("first"), F.min(F.struct("t1", "t2", "n", "keys")).alias("one"))
-        .select(F.monotonically_increasing_id().alias("node"), "cls", "first", "one.*"), "classes")
-    keyed = staged(classes.select("node", F.col("n").cast("long").alias("n"), F.explode("keys").alias("key")), "bands")
-    least = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n")).alias("least"))
-                   .where("members > 1").select("key", F.col("least.node").alias("b"), F.col("least.n").alias("n_b")), "least")
-    shared = staged(keyed.join(least, "key"), "shared-bands")
-    stars = shared.where((F.col("node") != F.col("b")) & sizes_fit(F.col("n"), F.col("n_b"))).select(
-        F.col("node").alias("a"), "b").distinct()
-    edges = similar(stars, classes, docs, width, threshold)
-    roots = components(edges).withColumnRenamed("node", "_node")
-    member = shared.join(roots, F.col("node") == F.col("_node"), "left").select(
-        "key", "node", "n", "b", F.coalesce("root", "node").alias("root"))
-    least_root = roots.select(F.col("_node").alias("_b"), F.col("root").alias("_root"))
-    member = staged(member.join(least_root, F.col("b") == F.col("_b"), "left").select(
-        "key", "node", "n", "b", "root", (F.col("root") != F.coalesce("_root", "b")).alias("apart")), "apart")
-    apart = member.where("apart")
-    other = member.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"),
-                          F.col("apart").alias("apart2"))
-    # Pairs with the least of the band are known; two that are both apart would meet twice.
-    rest = (apart.join(other, "key").where((F.col("root") != F.col("root2")) & (F.col("node2") != F.col("b"))
-                                           & (~F.col("apart2") | (F.col("node") < F.col("node2")))
-                                           & sizes_fit(F.col("n"), F.col("n2")))
-            .select(F.least("node", "node2").alias("b"), F.greatest("node", "node2").alias("a")).distinct().select("a", "b"))
-    edges = edges.union(similar(rest, classes, docs, width, threshold))
-    roots = components(edges)
-    named = roots.join(classes.select("node", "first"), "node")
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "root", "component_id")
-    # A NULL doc_id is the smallest only of a component without any other.
-    labels = staged(classes.select("node", "cls", "first").join(named, "node", "left").select(
-        "cls", F.coalesce("root", "node").alias("part"),
-        F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")), "labels")
-    return found.select("doc_id", "t1", "t2", "cls").join(labels, "cls").select("doc_id", "t1", "t2", "part", "component_id")
-
-
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component of near copies: that of the smallest doc_id, in one row.
+    """``docs`` with one document of each component of near duplicates: that of the smallest doc_id, in one row.
 
     Rows that share a doc_id, NULL included, are one document. A doc_id with texts in several
-    components stays if it is the smallest of any of them.
+    components stays if it is the smallest of any of them. Columns of any name pass through; an
+    empty table stays empty.
     """
-    found = staged(near_copies(docs, **options).select("doc_id", "component_id"), "near")
+    found = staged(near_duplicates(docs, **options).select("doc_id", "component_id"), "near")
     per_id = staged(found.groupBy("doc_id").agg(
         F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("rows")), "near")
     # Staged on its own, so that Spark knows its size: small, it goes to the texts, not the texts to it.
-    gone = staged(per_id.where("NOT stays").select(F.col("doc_id").alias("_gone")), "gone")
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    repeated = per_id.where("stays AND rows > 1").select(F.col("doc_id").alias("_twice"))
+    gone = staged(per_id.where("NOT stays").select("doc_id"), "gone").alias("g")
+    rows = docs.select("doc_id", F.struct("*").alias("doc")).alias("r")
+    same = lambda side: F.col("r.doc_id").eqNullSafe(F.col(f"{side}.doc_id"))
+    kept = rows.join(gone, same("g"), "left_anti")
+    repeated = per_id.where("stays AND rows > 1").select("doc_id").alias("t")
     if repeated.isEmpty():
-        return kept
-    several = F.col("doc_id").eqNullSafe(F.col("_twice"))
-    return kept.join(repeated, several, "left_anti").unionByName(
-        kept.join(repeated, several, "left_semi").dropDuplicates(["doc_id"]))
+        return kept.select("doc.*")
+    twice = kept.alias("r").join(repeated, same("t"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.alias("r").join(repeated, same("t"), "left_anti").unionByName(twice).select("doc.*")
 
 
 @query("op8_simhash_near_dedup")
