@@ -106,9 +106,10 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH,
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    found = staged(contained_items(docs, items, **options).select(F.col("doc_id").alias("_doc")).distinct(), "leaks")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+    """``docs`` without the documents that hold a benchmark item; columns of any name pass through."""
+    found = staged(contained_items(docs, items, **options).select("doc_id").distinct(), "leaks").alias("f")
+    rows = docs.select("doc_id", F.struct("*").alias("doc")).alias("r")
+    return rows.join(found, F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")), "left_anti").select("doc.*")
 
 
 def word_sql(text: str) -> str:

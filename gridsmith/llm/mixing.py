@@ -118,9 +118,12 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The mixture itself: each document as often as it is taken, numbered by ``copy`` from 1."""
+    """The mixture itself: each document as often as it is taken, numbered from 1 by ``copy``, or, where ``docs`` has
+    that column, by the first of ``mix_copy``, ``mix_mix_copy`` and so on that it does not have."""
     rows = mixed(docs, **options).where("repeats > 0")
-    copy = "copy" if "copy" not in docs.columns else "mix_copy"
+    copy, taken = "copy", {c.lower() for c in docs.columns}
+    while copy in taken:
+        copy = f"mix_{copy}"
     return rows.select("doc.*", F.explode(F.sequence(F.lit(1).cast("long"), "repeats")).alias(copy))
 
 
