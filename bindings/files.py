@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bindings.registry import query, table, vn_text
 from gridsmith.plans import cleaning
-from gridsmith.session import file_system, fresh_path
+from gridsmith.session import file_system, fresh_path, staged
 from gridsmith.sources import files, records, tables
 
 DELIMITERS = [",", ";", "\t", "|"]
@@ -60,6 +61,15 @@ def raw_grid_quoted(spark, sf):
     return files.read_grid(spark, path).select("c0", "c1", "c2")
 
 
+@query("quoted_lines_split", "SELECT CAST(doc_id AS VARCHAR) AS c0, text AS c1, lang AS c2, source AS c3 FROM documents")
+def quoted_lines_split(spark, sf):
+    """All texts, line breaks and quote marks included, in one file that several tasks read."""
+    path = fresh_path(spark, "csv")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", "source")
+    docs.coalesce(1).write.option("sep", ";").option("escape", '"').csv(path)
+    return files.read_grid(spark, path).select("c0", "c1", "c2", "c3")
+
+
 @query("raw_grid_windows", """
     SELECT CAST(doc_id AS VARCHAR) AS c0, replace(text, chr(10), ' ') || ' €' AS c1 FROM documents""")
 def raw_grid_windows(spark, sf):
@@ -216,15 +226,64 @@ def published_table(spark, sf):
     return spark.read.parquet(path).withColumn("second_run", F.lit(again))
 
 
+@contextmanager
+def own_database(spark):
+    """A catalog database for one query."""
+    base = fresh_path(spark, "db")
+    name = "gs_" + base.rsplit("-", 1)[1][:12]
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{base}'")
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
 @query("first_table", "SELECT s_suppkey, s_name FROM supplier")
 def first_table(spark, sf):
     """The first table of a database holds the suppliers; a later name does not."""
-    base = fresh_path(spark, "db")
-    database = "gs_" + base.rsplit("-", 1)[1][:12]
-    spark.sql(f"CREATE DATABASE {database} LOCATION '{base}'")
-    tables.publish(table(spark, sf, "supplier").select("s_suppkey", "s_name"), f"{database}.b_suppliers")
-    tables.publish(table(spark, sf, "part").select("p_partkey"), f"{database}.c_parts")
-    return spark.table(f"{database}.{tables.first_table(spark, database)}")
+    with own_database(spark) as database:
+        tables.publish(table(spark, sf, "supplier").select("s_suppkey", "s_name"), f"{database}.b_suppliers")
+        tables.publish(table(spark, sf, "part").select("p_partkey"), f"{database}.c_parts")
+        return staged(spark.table(f"{database}.{tables.first_table(spark, database)}"))
+
+
+@query("replaced_table", """
+    SELECT place, p_partkey, p_name || ' new' AS p_name, 'published,error,skipped,published,error' AS runs
+    FROM part, (VALUES ('catalog'), ('folder')) AS v(place) WHERE p_partkey % 3 <> 0""")
+def replaced_table(spark, sf):
+    """Published, not replaced by an empty table, skipped, replaced; as a folder and in the catalog."""
+    part = table(spark, sf, "part").select("p_partkey", "p_name")
+    new = part.where("p_partkey % 3 <> 0").withColumn("p_name", F.concat("p_name", F.lit(" new")))
+    none = part.where("p_partkey < 0")
+    with own_database(spark) as database:
+        out = []
+        for place, path in (("catalog", None), ("folder", fresh_path(spark, "published"))):
+            runs = []
+            for rows, overwrite in ((part, False), (none, True), (new, False), (new, True), (none, True)):
+                try:
+                    runs.append(tables.publish(rows, f"{database}.part", overwrite, path))
+                except ValueError:
+                    runs.append("error")
+            found = spark.read.parquet(path) if path else spark.table(f"{database}.part")
+            out.append(found.select(F.lit(place).alias("place"), "p_partkey", "p_name", F.lit(",".join(runs)).alias("runs")))
+        return staged(out[0].union(out[1]))
+
+
+@query("catalog_names", """
+    SELECT CASE c_custkey % 3 WHEN 0 THEN 'sales_2020' WHEN 1 THEN 'diem_thi_v2' ELSE 'table_of_all' END AS table_name, c_custkey, c_name FROM customer""")
+def catalog_names(spark, sf):
+    """Files with blanks, accents and dots in their names, published to the catalog."""
+    base = fresh_path(spark, "csv")
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name")
+    for i, name in enumerate(("sales 2020.csv", "điểm thi.v2.csv", "Table of-all.csv")):
+        part = f"{base}/part{i}"
+        _write_delimited(customers.where(F.col("c_custkey") % 3 == i).repartition(1), part, ";")
+        system, source = file_system(spark, spark.read.format("binaryFile").load(part).inputFiles()[0])
+        system.rename(source, file_system(spark, f"{base}/{name}")[1])
+    with own_database(spark) as database:
+        status = cleaning.clean_corpus(spark, f"{base}/*.csv", database=database).where("status = 'published'").collect()
+        return staged(reduce(DataFrame.unionByName, [
+            spark.table(f"{database}.{r.table_name}").withColumn("table_name", F.lit(r.table_name)) for r in status]))
 
 
 QUESTION_FILE_SQL = """
@@ -257,6 +316,21 @@ def questions_array(spark, sf):
     return records.read_questions(spark, path).select("pos", "db_id", "question", "external_knowledge")
 
 
+@query("questions_array_split", QUESTION_FILE_SQL)
+def questions_array_split(spark, sf):
+    """All questions as one indented JSON array that several tasks read: positions as in the array."""
+    path = fresh_path(spark, "questions")
+    rows = question_records(spark, sf).withColumn("of", F.struct(F.lit("{").alias("open"), F.array(F.lit("]")).alias("shut")))
+    ordered = rows.repartitionByRange(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+    line = F.to_json(F.struct("db_id", "question", "external_knowledge", "of"), {"pretty": "true"})
+    first = rows.agg(F.min(F.struct("conv_id", "turn"))).first()[0]
+    opens = (F.col("conv_id") == first.conv_id) & (F.col("turn") == first.turn)
+    texts = ordered.select(F.concat(F.when(opens, "[\n").otherwise(",\n"), line).alias("value"))
+    end = spark.range(1).select(F.lit("\n]").alias("value"))
+    texts.union(end).coalesce(1).write.option("lineSep", "\n").text(path)
+    return records.read_questions(spark, path).select("pos", "db_id", "question", "external_knowledge")
+
+
 def _array_files(rows, path):
     """A JSON array per conversation, a few turns each, in a file of its own."""
     per_file = rows.groupBy("conv_id").agg(F.to_json(F.transform(

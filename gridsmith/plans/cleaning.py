@@ -14,7 +14,7 @@ from gridsmith.operators.typing import apply_types, drop_duplicates, profile
 from gridsmith.plans.submission import each
 from gridsmith.session import fresh_path, staged
 from gridsmith.sources.files import read_grid, sniff_files
-from gridsmith.sources.tables import publish
+from gridsmith.sources.tables import catalog_name, publish
 
 
 @dataclass
@@ -136,12 +136,13 @@ STATUS = "path string, table_name string, status string, error string, n_columns
 
 def clean_corpus(spark: SparkSession, path: str, target: str | None = None, overwrite: bool = False,
                  strict: bool = False, ascii_names: bool = False, bool_digits: bool = True,
-                 keep_order: bool = True, workers: int = 4) -> DataFrame:
+                 keep_order: bool = True, workers: int = 4, database: str | None = None) -> DataFrame:
     """Clean and publish every file under ``path``; one status row per file.
 
     Sniffing, shapes and profiles are computed for all files in the same few jobs; only the
     final write is one job per table, as every table has its own schema. ``target`` is a folder;
-    without it tables go to the catalog. A file that fails, a path that is not there, and a file
+    without it tables go to the catalog, to ``database`` or the current one, under names that it
+    takes (a blank in a file's name becomes an underscore). A file that fails, a path that is not there, and a file
     whose table name an earlier one has are status rows; the others go on.
     """
     sniffed = sniff_files(spark, path).collect()
@@ -155,7 +156,7 @@ def clean_corpus(spark: SparkSession, path: str, target: str | None = None, over
             votes.setdefault(v["table_id"], []).append(v)
     named = spark.createDataFrame([(f["path"],) for f in sniffed], "path string").select(
         "path", text.table_name(F.col("path")).alias("name")).collect()
-    names = {r["path"]: r["name"] for r in named}
+    names = {r["path"]: r["name"] if target else catalog_name(r["name"]) for r in named}
     # Equal names are settled before anything is written: the first file by path has it.
     owner: dict[str, str] = {}
     for f in sorted(sniffed, key=lambda f: f["path"]):
@@ -174,7 +175,7 @@ def clean_corpus(spark: SparkSession, path: str, target: str | None = None, over
         mine = clean.where(F.col("table_key") == F.sha2(F.lit(file["file_id"]), 256)).drop("table_key")
         table = typed_table(mine, shape, votes[file["file_id"]], keep_order=keep_order)
         name = names[file["path"]]
-        status = publish(table, name, overwrite, f"{target}/{name}" if target else None,
+        status = publish(table, f"{database}.{name}" if database else name, overwrite, f"{target}/{name}" if target else None,
                          G.ORDER if keep_order else None)
         return status, len(shape.names)
 

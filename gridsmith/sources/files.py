@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridsmith.functions import vocabulary as V
 from gridsmith.session import staged
+from gridsmith.sources.spans import quoted_records, read_pieces
 
 HEAD_LINES = 1000
 
@@ -177,6 +178,19 @@ def _record_width(spark: SparkSession, paths: list[str], encoding: str, sep: str
         F.max("n"), F.count("c0")).first()[0] or 1
 
 
+def _quoted_grid(spark: SparkSession, paths: list[str], encoding: str, sep: str, width: int) -> tuple[DataFrame, int]:
+    """``table_id, block, seq, cells`` of files with cells over several lines, read in splits, and the width of ``cells``."""
+    raw = read_pieces(spark, paths, "\n")
+    text = F.decode(F.col("value").cast("binary"), "ISO-8859-1") if encoding == "cp1252" else F.col("value")
+    # Line ends of two characters count as one, in cells too.
+    lines = raw.withColumn("value", F.regexp_replace(text, "\r$", ""))
+    records = staged(quoted_records(lines, sep).where(F.trim("record") != ""), "records")
+    width = max(width, records.agg(F.max(delimiters_outside_quotes("record", sep) + 1)).first()[0] or 1)
+    options = {"sep": sep, "escape": '"', "maxColumns": "1000000"}
+    cells = F.from_csv("record", F.lit(", ".join(f"c{i} string" for i in range(width))), options)
+    return records.select("table_id", "block", "seq", cells.alias("cells")), width
+
+
 def read_grid(spark: SparkSession, path: str | list[str], sniffed: list | None = None) -> DataFrame:
     """``table_id, block, seq, c0..cN`` for all files: one scan per encoding and delimiter.
 
@@ -189,17 +203,23 @@ def read_grid(spark: SparkSession, path: str | list[str], sniffed: list | None =
     groups: dict[tuple, list] = {}
     for f in rows:
         if f["error"] is None and f["width"]:
-            # UTF-16 cannot be split at line ends by the reader.
+            # UTF-16 cannot be split at line ends by the reader; other files are, and records put together.
             whole = f["quoted_newlines"] or f["encoding"] == "UTF-16"
             groups.setdefault((f["encoding"], f["sep"], whole), []).append(f)
     out = None
     for (encoding, sep, whole), files in sorted(groups.items()):
         paths = [f["path"] for f in files]
         width = max(f["width"] for f in files)
-        if whole:
+        in_splits = whole and encoding != "UTF-16"
+        if in_splits:
+            records, width = _quoted_grid(spark, paths, encoding, sep, width)
+        elif whole:
             width = max(width, _record_width(spark, paths, encoding, sep))
         cells = [f"c{i}" for i in range(width)]
-        grid = _reader(spark, encoding, sep, whole).schema(", ".join(f"{c} string" for c in cells)).csv(paths)
+        if in_splits:
+            grid = records.select("table_id", "block", "seq", "cells.*")
+        else:
+            grid = _reader(spark, encoding, sep, whole).schema(", ".join(f"{c} string" for c in cells)).csv(paths)
 
         def cell(name: str) -> Column:
             c = F.col(name)
@@ -212,11 +232,12 @@ def read_grid(spark: SparkSession, path: str | list[str], sniffed: list | None =
         seq = F.monotonically_increasing_id()
         # A file that cannot be split is cut into blocks of rows instead of bytes.
         row_block = F.floor(seq.bitwiseAND(F.lit((1 << 33) - 1)) / WHOLE_FILE_BLOCK_ROWS)
-        part = grid.select(
-            F.col("_metadata.file_path").alias("table_id"),
-            (row_block if whole else F.col("_metadata.file_block_start")).alias("block"),
-            seq.alias("seq"),
-            *[cell(c) for c in cells])
+        if in_splits:
+            place = [F.col(c) for c in ("table_id", "block", "seq")]
+        else:
+            place = [F.col("_metadata.file_path").alias("table_id"),
+                     (row_block if whole else F.col("_metadata.file_block_start")).alias("block"), seq.alias("seq")]
+        part = grid.select(*place, *[cell(c) for c in cells])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         return spark.createDataFrame([], "table_id string, block bigint, seq bigint, c0 string")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsmith.operators.ordering import positions
+from gridsmith.session import staged
+from gridsmith.sources.spans import array_elements, read_pieces
 from gridsmith.sources.tables import is_published
 
 QUESTION_FIELDS = [
@@ -32,7 +34,8 @@ def layouts(spark: SparkSession, path: str | list[str]) -> dict[str, bool]:
 def read_records(spark: SparkSession, path: str | list[str], schema: str, broken: str = "fail") -> DataFrame:
     """Records with their 0-based ``pos``, from JSON lines, from files that are one JSON array, or both.
 
-    Lines are split over tasks and numbered by split; an array is one document and cannot be.
+    Lines and elements of arrays are split over tasks and numbered by split. An array that is not
+    sound throughout is read as one document and refused as a whole.
     Positions continue over the files of a folder, in name order. Fields declared as text keep
     nested JSON as text. Text that is no JSON fails the job that reads it, with the file's name;
     with ``broken="report"`` it is a row of NULLs with the text in ``corrupt`` and the name in ``file``.
@@ -41,31 +44,38 @@ def read_records(spark: SparkSession, path: str | list[str], schema: str, broken
         raise ValueError(f"unknown way to treat broken records: {broken}")
     found = layouts(spark, path)
     parts = []
-    for array in (False, True):
-        files = sorted(f for f, is_array in found.items() if is_array == array)
-        if not files:
-            continue
-        place = [F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_seq")]
-        whole = f"{schema}, corrupt string"
-        if array:
-            rows = spark.read.schema(whole).option("columnNameOfCorruptRecord", "corrupt").option("multiLine", True).json(files)
-            # Spark refuses to read nothing but the corrupt column: an empty text of another one is added.
-            none = F.substring(F.coalesce(F.col(rows.columns[0]).cast("string"), F.lit("")), 1, 0)
-            rows = rows.select(*[c for c in rows.columns if c != "corrupt"], F.concat("corrupt", none).alias("corrupt"),
-                               *place, F.lit(0).cast("bigint").alias("_block"))
-        else:
-            lines = spark.read.text(files).where(F.trim("value", F.lit("\ufeff \t\r")) != "")
-            record = F.from_json(F.ltrim("value", F.lit("\ufeff")), whole, {"columnNameOfCorruptRecord": "corrupt"})
-            rows = lines.select(record.alias("r"), *place, F.col("_metadata.file_block_start").alias("_block")).select(
-                "r.*", "file", "_seq", "_block")
-        parts.append(rows)
+    lines, arrays = (sorted(f for f, is_array in found.items() if is_array == kind) for kind in (False, True))
+    place = [F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_seq")]
+    whole = f"{schema}, corrupt string"
+    options = {"columnNameOfCorruptRecord": "corrupt"}
+    if lines:
+        texts = spark.read.text(lines).where(F.trim("value", F.lit("\ufeff \t\r")) != "")
+        record = F.from_json(F.ltrim("value", F.lit("\ufeff")), whole, options)
+        parts.append(texts.select(record.alias("r"), *place, F.col("_metadata.file_block_start").alias("_block")).select(
+            "r.*", "file", "_seq", "_block"))
+    if arrays:
+        elements = staged(array_elements(read_pieces(spark, arrays, "}")), "elements")
+        unsound = ~F.col("sound") | (F.col("element").isNotNull() & F.try_parse_json("element").isNull())
+        checked = elements.groupBy("table_id").agg(F.bool_or(unsound).alias("unsound"), F.count_if(F.col("element").isNull()).alias("ends"))
+        broken_files = [r["table_id"] for r in checked.where("unsound OR ends <> 1").collect()]
+        fine = elements.where(F.col("element").isNotNull() & ~F.col("table_id").isin(broken_files))
+        parts.append(fine.select(F.from_json("element", whole, options).alias("r"), F.col("table_id").alias("file"), F.col("seq").alias("_seq"),
+                                 F.col("block").alias("_block")).select("r.*", "file", "_seq", "_block"))
+        if broken_files:
+            texts = spark.read.option("wholetext", True).text([unquote(f) for f in broken_files])
+            none = F.from_json(F.lit(None).cast("string"), whole)
+            parts.append(texts.select(none.alias("r"), "value", *place).select(
+                "r.*", "file", "_seq", F.lit(0).cast("bigint").alias("_block"), F.col("value").alias("refused")))
     if not parts:
         extra = "" if broken == "fail" else ", corrupt string, file string"
         return spark.createDataFrame([], f"{schema}, pos bigint{extra}")
-    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     # A record whose values do not fit the schema is JSON all the same: its fields are NULL.
     no_json = F.col("corrupt").isNotNull() & F.try_parse_json(F.col("corrupt")).isNull() & (F.trim("corrupt") != "")
-    placed = positions(both.withColumn("corrupt", F.when(no_json, F.col("corrupt"))), [], [["file", "_block"]], ["_seq"], "pos")
+    corrupt = F.when(no_json, F.col("corrupt"))
+    if "refused" in both.columns:
+        corrupt = F.coalesce("refused", corrupt)
+    placed = positions(both.withColumn("corrupt", corrupt).drop("refused"), [], [["file", "_block"]], ["_seq"], "pos")
     placed = placed.drop("_block", "_seq")
     if broken == "report":
         return placed

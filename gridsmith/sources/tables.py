@@ -1,7 +1,8 @@
-"""Published tables: write once, look up."""
+"""Published tables: write once, look up, replace without a moment of loss."""
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,43 @@ from pyspark.sql import functions as F
 from gridsmith.session import file_system
 
 
+OLD = "__replaced"  # what a table is called between its removal and its successor's arrival
+
+
+def catalog_name(name: str) -> str:
+    """A name as the catalog takes it: ASCII letters, digits and underscores; all else is an underscore."""
+    return re.sub(r"[^A-Za-z0-9_]", "_", name) or "table"
+
+
+def identifier(name: str) -> str:
+    """A table's name, with its database before a dot, as SQL text writes it."""
+    return ".".join("`" + part.replace("`", "``") + "`" for part in name.split("."))
+
+
 def is_published(spark: SparkSession, path: str) -> bool:
-    """A finished table: its folder has the success mark, which a write that died has not."""
-    system, where = file_system(spark, f"{path}/_SUCCESS")
-    return system.exists(where)
+    """A finished table: its folder has the success mark, which a write that died has not.
+
+    A replacement that died after it had put the old table aside is undone first.
+    """
+    path = path.rstrip("/")
+    system, target = file_system(spark, path)
+    done = lambda where: system.exists(file_system(spark, f"{where}/_SUCCESS")[1])
+    if done(path):
+        return True
+    if not done(path + OLD):
+        return False
+    system.delete(target, True)
+    return system.rename(file_system(spark, path + OLD)[1], target)
+
+
+def in_catalog(spark: SparkSession, name: str) -> bool:
+    """Whether a table is in the catalog; a replacement that died half way is undone first, as for folders."""
+    if spark.catalog.tableExists(identifier(name)):
+        return True
+    if not spark.catalog.tableExists(identifier(name + OLD)):
+        return False
+    spark.sql(f"ALTER TABLE {identifier(name + OLD)} RENAME TO {identifier(name)}")
+    return True
 
 
 def publish(df: DataFrame, name: str, overwrite: bool = False, path: str | None = None,
@@ -21,38 +55,62 @@ def publish(df: DataFrame, name: str, overwrite: bool = False, path: str | None
     """Write a table and say what happened: ``published`` or ``skipped``; empty is an error.
 
     The target is a catalog table, or a Parquet folder if ``path`` is given. With ``order`` the
-    files hold the rows in that order (a range shuffle, then a sort inside each task). A folder
-    is written beside its place, looked at, and only then moved there: an empty table or a failed
-    write leaves what was there before.
+    files hold the rows in that order (a range shuffle, then a sort inside each task). Either is
+    written beside its place and looked at; then the old table is renamed, the new one takes its
+    name, and the old one goes. So an empty table or a failed write leaves what was there before,
+    and a run that dies between the renames leaves an old table that the next look-up puts back.
     """
     spark = df.sparkSession
-    present = is_published(spark, path) if path else spark.catalog.tableExists(name)
+    present = is_published(spark, path) if path else in_catalog(spark, name)
     if present and not overwrite:
         return "skipped"
     if order:
         df = df.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order)
-    if not path:
-        df.write.mode("overwrite").format("parquet").saveAsTable(name)
-        if spark.table(name).isEmpty():
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-            raise ValueError(f"no data after cleaning: {name}")
-        return "published"
-    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    if path:
+        replace_folder(df, name, path.rstrip("/"))
+    else:
+        replace_in_catalog(df, name)
+    return "published"
+
+
+def replace_folder(df: DataFrame, name: str, path: str) -> None:
+    spark = df.sparkSession
+    fresh = f"{path}.{uuid.uuid4().hex}"
     system, source = file_system(spark, fresh)
-    _, target = file_system(spark, path)
+    target, old = (file_system(spark, p)[1] for p in (path, path + OLD))
     try:
         df.write.parquet(fresh)
         # Asked of the written files, so the job does not run twice.
         if spark.read.schema(df.schema).parquet(fresh).isEmpty():
             raise ValueError(f"no data after cleaning: {name}")
         system.mkdirs(target.getParent())
-        if system.exists(target):
+        if is_published(spark, path):
+            system.delete(old, True)
+            if not system.rename(target, old):
+                raise OSError(f"cannot put aside the table at {path}")
+        else:
             system.delete(target, True)
         if not system.rename(source, target):
             raise OSError(f"cannot move the table to {path}")
+        system.delete(old, True)
     finally:
         system.delete(source, True)
-    return "published"
+
+
+def replace_in_catalog(df: DataFrame, name: str) -> None:
+    spark = df.sparkSession
+    fresh = f"{name}__{uuid.uuid4().hex}"
+    try:
+        df.write.format("parquet").saveAsTable(identifier(fresh))
+        if spark.table(identifier(fresh)).isEmpty():
+            raise ValueError(f"no data after cleaning: {name}")
+        if in_catalog(spark, name):
+            spark.sql(f"DROP TABLE IF EXISTS {identifier(name + OLD)}")
+            spark.sql(f"ALTER TABLE {identifier(name)} RENAME TO {identifier(name + OLD)}")
+        spark.sql(f"ALTER TABLE {identifier(fresh)} RENAME TO {identifier(name)}")
+        spark.sql(f"DROP TABLE IF EXISTS {identifier(name + OLD)}")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {identifier(fresh)}")
 
 
 def first_table(spark: SparkSession, database: str | None = None) -> str | None:

@@ -134,3 +134,73 @@ def test_scratch_can_be_dropped(spark):
     root = session.run_root(spark)
     system, where = session.file_system(spark, root)
     assert staged.count() == 3 and system.exists(where)
+
+
+def test_a_replacement_that_dies_half_way_loses_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    tables.publish(spark.range(3), "t", path=path)
+    real = tables.file_system
+
+    class Dying:
+        """A file system that fails to move the new table to its place."""
+
+        def __init__(self, system):
+            self.system = system
+
+        def __getattr__(self, name):
+            return getattr(self.system, name)
+
+        def rename(self, source, target):
+            if target.toString().endswith("/t"):
+                raise OSError("died")
+            return self.system.rename(source, target)
+
+    monkeypatch.setattr(tables, "file_system", lambda s, p: (Dying(real(s, p)[0]), real(s, p)[1]))
+    with pytest.raises(OSError, match="died"):
+        tables.publish(spark.range(5), "t", overwrite=True, path=path)
+    monkeypatch.undo()
+    assert not (tmp_path / "t").exists()
+    assert tables.is_published(spark, path) and spark.read.parquet(path).count() == 3
+    assert tables.publish(spark.range(5), "t", overwrite=True, path=path) == "published"
+    assert spark.read.parquet(path).count() == 5 and sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
+def test_the_catalog_keeps_its_table_until_the_new_one_is_there(spark):
+    from bindings.files import own_database
+
+    with own_database(spark) as database:
+        name = f"{database}.kept"
+        tables.publish(spark.range(3), name)
+        with pytest.raises(ValueError, match="no data"):
+            tables.publish(spark.range(0), name, overwrite=True)
+        assert spark.table(name).count() == 3
+        # As after a run that died between the renames.
+        spark.sql(f"ALTER TABLE {name} RENAME TO {name}{tables.OLD}")
+        assert tables.publish(spark.range(7), name) == "skipped" and spark.table(name).count() == 3
+        assert tables.publish(spark.range(7), name, overwrite=True) == "published" and spark.table(name).count() == 7
+        assert [t.name for t in spark.catalog.listTables(database)] == ["kept"]
+
+
+def test_names_with_blanks_accents_and_dots_in_the_catalog(spark, tmp_path):
+    from bindings.files import own_database
+
+    for name in ("sales 2020.csv", "điểm thi.csv", "a.b-c.csv", "a b-c.csv"):
+        (tmp_path / name).write_text("k;v\nx;5\ny;6\n", encoding="utf-8")
+    with own_database(spark) as database:
+        status = cleaning.clean_corpus(spark, str(tmp_path), database=database).collect()
+        assert sorted((r.table_name, r.status) for r in status) == [
+            ("a_b_c", "failed"), ("a_b_c", "published"), ("diem_thi", "published"), ("sales_2020", "published")]
+        assert spark.table(f"{database}.sales_2020").count() == 2
+
+
+def test_entry_without_a_module_of_the_text_operators(monkeypatch):
+    import importlib
+    import sys
+
+    for module in [m for m in sys.modules if m.startswith("gridsmith.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, module)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+    entry = importlib.import_module("__spark_entry__")
+    assert "cleaned_revenue" in entry.queries() and not any(n.startswith("op") for n in entry.queries())
+    monkeypatch.delitem(sys.modules, "__spark_entry__")
