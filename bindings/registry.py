@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridsmith.session import file_system
+
+SPLIT_BYTES = 64 << 20
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for queries whose time goes into cell work. The rebalance hint lets Spark deal the rows
-    of a file with one row group to all tasks, by the size it measures."""
-    return table(spark, sf_dir, name).hint("rebalance")
+    """A table for queries whose time goes into cell work: a file with fewer splits than there are cores
+    is dealt evenly to all of them by its first column, others are read as they lie."""
+    rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    size = sum(file_system(spark, f)[0].getFileStatus(file_system(spark, f)[1]).getLen() for f in rows.inputFiles()[:cores])
+    return rows.repartition(cores, rows.columns[0]) if size < cores * SPLIT_BYTES else rows
 
 
 def case(selector: Column, *choices: Column | str | None) -> Column:
