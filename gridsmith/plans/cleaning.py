@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
@@ -14,7 +15,7 @@ from gridsmith.operators.typing import apply_types, drop_duplicates, profile
 from gridsmith.plans.submission import each
 from gridsmith.session import fresh_path, staged
 from gridsmith.sources.files import read_grid, sniff_files
-from gridsmith.sources.tables import catalog_name, publish
+from gridsmith.sources.tables import catalog_name, is_published, publish, publish_together
 
 
 @dataclass
@@ -139,8 +140,8 @@ def clean_corpus(spark: SparkSession, path: str, target: str | None = None, over
                  keep_order: bool = True, workers: int = 4, database: str | None = None) -> DataFrame:
     """Clean and publish every file under ``path``; one status row per file.
 
-    Sniffing, shapes and profiles are computed for all files in the same few jobs; only the
-    final write is one job per table, as every table has its own schema. ``target`` is a folder;
+    Sniffing, shapes and profiles are computed for all files in the same few jobs; tables of one
+    schema (names, types, ways of writing) are written by one job. ``target`` is a folder;
     without it tables go to the catalog, to ``database`` or the current one, under names that it
     takes (a blank in a file's name becomes an underscore). A file that fails, a path that is not there, and a file
     whose table name an earlier one has are status rows; the others go on.
@@ -163,7 +164,7 @@ def clean_corpus(spark: SparkSession, path: str, target: str | None = None, over
         if not f["error"]:
             owner.setdefault(names[f["path"]], f["path"])
 
-    def write(file: Row) -> tuple[str, int]:
+    def usable_shape(file: Row) -> Shape:
         if file["error"]:
             raise ValueError(file["error"])
         first = owner[names[file["path"]]]
@@ -172,6 +173,11 @@ def clean_corpus(spark: SparkSession, path: str, target: str | None = None, over
         shape = usable.get(file["file_id"])
         if shape is None:
             raise ValueError(f"no data after cleaning: {names[file['path']]}")
+        return shape
+
+    def write(file: Row) -> tuple[str, int]:
+        """One table by a job of its own."""
+        shape = usable_shape(file)
         mine = clean.where(F.col("table_key") == F.sha2(F.lit(file["file_id"]), 256)).drop("table_key")
         table = typed_table(mine, shape, votes[file["file_id"]], keep_order=keep_order)
         name = names[file["path"]]
@@ -179,6 +185,35 @@ def clean_corpus(spark: SparkSession, path: str, target: str | None = None, over
                          G.ORDER if keep_order else None)
         return status, len(shape.names)
 
-    done = each(sniffed, write, workers)
-    return spark.createDataFrame(
-        [(f["path"], names[f["path"]], r[0] if r else "failed", e, r[1] if r else None) for f, r, e in done], STATUS)
+    def write_together(files: list[Row]) -> dict[str, tuple[str, int] | str]:
+        """Tables of one schema by one job: per path its status and width, or what failed."""
+        keys = {hashlib.sha256(f["file_id"].encode()).hexdigest(): f for f in files}
+        shape, n_columns = usable[files[0]["file_id"]], len(usable[files[0]["file_id"]].names)
+        key = "table_key"
+        while key in shape.names.values():
+            key += "_"
+        mine = clean.where(F.col("table_key").isin(list(keys)))
+        order = G.ORDER if keep_order else []
+        typed = apply_types(mine.select("table_key", *order, *shape.names), votes[files[0]["file_id"]])
+        distinct = drop_duplicates(typed, list(shape.names), order or None, ["table_key"])
+        rows = distinct.select(F.col("table_key").alias(key), *[F.col(c).alias(n) for c, n in shape.names.items()], *order)
+        errors = publish_together(rows, key, {k: f"{target}/{names[f['path']]}" for k, f in keys.items()}, order)
+        return {f["path"]: f"{errors[k]}: {names[f['path']]}" if k in errors else ("published", n_columns) for k, f in keys.items()}
+
+    together: dict[tuple, list[Row]] = {}
+    for file in sniffed if target else []:
+        shape = usable.get(file["file_id"])
+        if shape is None or file["error"] or owner[names[file["path"]]] != file["path"] or (
+                not overwrite and is_published(spark, f"{target}/{names[file['path']]}")):
+            continue
+        kinds = tuple(sorted((v["column"], v["type"], v["style"], v["has_time"]) for v in votes[file["file_id"]] if v["column"] in shape.names))
+        together.setdefault((tuple(shape.names.items()), kinds), []).append(file)
+    written: dict[str, tuple[str, int] | str] = {}
+    for _, found, _ in each([files for files in together.values() if len(files) > 1], write_together, workers):
+        # A job that failed leaves its tables to jobs of their own, so one bad table is one bad row.
+        written |= found or {}
+    alone = [f for f in sniffed if f["path"] not in written]
+    done = each(alone, write, workers)
+    rows = [(f["path"], names[f["path"]], r[0] if r else "failed", e, r[1] if r else None) for f, r, e in done]
+    rows += [(p, names[p], "failed", r, None) if isinstance(r, str) else (p, names[p], r[0], None, r[1]) for p, r in written.items()]
+    return spark.createDataFrame(rows, STATUS)

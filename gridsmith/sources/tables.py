@@ -76,27 +76,59 @@ def publish(df: DataFrame, name: str, overwrite: bool = False, path: str | None
 def replace_folder(df: DataFrame, name: str, path: str) -> None:
     spark = df.sparkSession
     fresh = f"{path}.{uuid.uuid4().hex}"
-    system, source = file_system(spark, fresh)
-    target, old = (file_system(spark, p)[1] for p in (path, path + OLD))
     try:
         df.write.parquet(fresh)
         # Asked of the written files, so the job does not run twice.
         if spark.read.schema(df.schema).parquet(fresh).isEmpty():
             raise ValueError(f"no data after cleaning: {name}")
-        system.mkdirs(target.getParent())
-        if is_published(spark, path):
-            system.delete(old, True)
-            if not system.rename(target, old):
-                raise OSError(f"cannot put aside the table at {path}")
-        else:
-            system.delete(target, True)
-        if not system.rename(source, target):
-            raise OSError(f"cannot move the table to {path}")
-        system.delete(old, True)
+        take_place(spark, fresh, path)
     finally:
+        system, source = file_system(spark, fresh)
         system.delete(source, True)
 
 
+def take_place(spark: SparkSession, fresh: str, path: str) -> None:
+    """Move a finished folder to its place; what is there goes aside first, and goes only when the new one has come."""
+    system, source = file_system(spark, fresh)
+    target, old = (file_system(spark, p)[1] for p in (path, path + OLD))
+    system.mkdirs(target.getParent())
+    if is_published(spark, path):
+        system.delete(old, True)
+        if not system.rename(target, old):
+            raise OSError(f"cannot put aside the table at {path}")
+    else:
+        system.delete(target, True)
+    if not system.rename(source, target):
+        raise OSError(f"cannot move the table to {path}")
+    system.delete(old, True)
+
+
+def publish_together(df: DataFrame, key: str, paths: dict[str, str], order: list[str] | None = None) -> dict[str, str]:
+    """Write many tables of one schema in one job; ``paths`` says where the rows of each value of ``key`` go.
+
+    Returns an error for each table that has no rows. The tables are moved one by one, each as by
+    :func:`publish`.
+    """
+    spark = df.sparkSession
+    fresh = f"{next(iter(paths.values())).rstrip('/')}.{uuid.uuid4().hex}"
+    if order:
+        df = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).drop(*order)
+    errors = {}
+    try:
+        df.write.partitionBy(key).parquet(fresh)
+        for value, path in paths.items():
+            system, folder = file_system(spark, f"{fresh}/{key}={value}")
+            if not system.exists(folder):
+                errors[value] = "no data after cleaning"
+                continue
+            system.create(file_system(spark, f"{fresh}/{key}={value}/_SUCCESS")[1]).close()
+            take_place(spark, f"{fresh}/{key}={value}", path.rstrip("/"))
+    finally:
+        system, folder = file_system(spark, fresh)
+        system.delete(folder, True)
+    return errors
+
+
 def replace_in_catalog(df: DataFrame, name: str) -> None:
     spark = df.sparkSession
     fresh = f"{name}__{uuid.uuid4().hex}"
