@@ -88,12 +88,13 @@ def train(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS,
           longest: int = LONGEST, dim_bits: int = DIM_BITS, seed: str = "language-1") -> LanguageModel | None:
     """A model of ``text, lang`` rows, or None if no row has both a letter and a language.
 
-    At most ``sample`` rows are used: of each language those with the least seeded hash of their
-    text, whichever task holds them. Their spectra, not their texts, come to the driver.
+    At most ``sample`` distinct texts are used, 900 of a language at most: of each language those
+    with the least seeded hash, whichever task holds them; copies count once, so a much copied text
+    takes one place. Their spectra, not their texts, come to the driver.
     """
     rows = labelled.where(has_letter(F.col("text")) & F.col("lang").isNotNull()).select(
         "lang", "text", F.xxhash64(F.lit(seed), "text").alias("h"))
-    hashes = staged(rows.select("lang", "h"), "hashes")
+    hashes = staged(rows.select("lang", "h").distinct(), "hashes")
     classes = hashes.select("lang").distinct().count()
     if not classes:
         return None

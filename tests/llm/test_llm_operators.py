@@ -118,6 +118,15 @@ def test_language_awkward(spark, awkward):
     assert LI.predict(empty(spark), model).count() == 0
 
 
+def test_language_learns_from_distinct_texts(spark, monkeypatch):
+    texts = [f"satz nummer {'abcdefghij'[i % 10] * (i // 10 + 1)}" for i in range(50)]
+    rows = [(i, t, "aa", None, None) for i, t in enumerate(texts)] + [(100 + i, texts[0], "aa", None, None) for i in range(3000)]
+    seen = []
+    monkeypatch.setattr(LI, "fit_model", lambda names, spectra, *_: seen.extend(names))
+    LI.train(docs_of(spark, rows), sample=40)
+    assert seen == ["aa"] * 40
+
+
 def test_language_held_out(spark):
     from pyspark.sql import functions as F
     sf = "/root/testdata/sf0.01"
