@@ -89,16 +89,35 @@ def schema_text(spark, sf):
     return D.m_schema(supplier, "supplier", ["place"], keys=["s_suppkey"])
 
 
-@query("described_folder", """
-    SELECT 'nations' AS db_id, '【DB_ID】 nations' || chr(10) || '【Schema】' || chr(10) || '# Table: nations' || chr(10) || '[' || chr(10) ||
-      '(n_nationkey:INTEGER, Examples: [' || (SELECT string_agg(n_nationkey::VARCHAR, ', ' ORDER BY n_nationkey) FROM nation WHERE n_nationkey < 3) || ']),' || chr(10) ||
-      '(n_name:TEXT, Examples: [' || (SELECT string_agg(chr(39) || n_name || chr(39), ', ' ORDER BY n_nationkey) FROM nation WHERE n_nationkey < 3) || ']),' || chr(10) || ']' || chr(10) ||
-      'Sample rows from `nations`:' || chr(10) || (SELECT string_agg(n_nationkey || ', ' || n_name, chr(10) ORDER BY n_nationkey) FROM nation WHERE n_nationkey < 3) AS text,
-      1::BIGINT AS unavailable""")
+DESCRIBED = {
+    "orders": ("o_orderkey", [("o_orderkey", "INTEGER"), ("o_orderpriority", "TEXT"), ("o_orderstatus", "TEXT")]),
+    "customer": ("c_custkey", [("c_custkey", "INTEGER"), ("c_name", "TEXT"), ("c_mktsegment", "TEXT")]),
+    "part": ("p_partkey", [("p_partkey", "INTEGER"), ("p_name", "TEXT")]),
+}
+
+
+def _described_sql(name: str, key: str, columns: list[tuple[str, str]]) -> str:
+    """The description of one table from the places at which its values stand first."""
+    def examples(column: str, kind: str) -> str:
+        shown = f"chr(39) || {column} || chr(39)" if kind == "TEXT" else f"{column}::VARCHAR"
+        return (f"'({column}:{kind}, Examples: [' || (SELECT string_agg({shown}, ', ' ORDER BY place) FROM (SELECT {column}, min({key}) AS place FROM {name} "
+                f"GROUP BY {column} ORDER BY place LIMIT 3)) || ']),' || chr(10)")
+    lines = " || ".join(examples(*c) for c in columns)
+    row = " || ', ' || ".join(f"{c}::VARCHAR" for c, _ in columns)
+    return f"""
+    SELECT '{name}' AS db_id, '【DB_ID】 {name}' || chr(10) || '【Schema】' || chr(10) || '# Table: {name}' || chr(10) || '[' || chr(10) || {lines}
+      || ']' || chr(10) || 'Sample rows from `{name}`:' || chr(10)
+      || (SELECT string_agg(line, chr(10) ORDER BY {key}) FROM (SELECT {key}, {row} AS line FROM {name} ORDER BY {key} LIMIT 3)) AS text,
+      1::BIGINT AS unavailable"""
+
+
+@query("described_folder", " UNION ALL ".join(_described_sql(n, *of) for n, of in DESCRIBED.items()))
 def described_folder(spark, sf):
-    """A published table described in stored order; a table that is not there is described as unavailable."""
-    path = fresh_path(spark, "published")
-    publish(table(spark, sf, "nation").select("n_nationkey", "n_name", F.col("n_nationkey").alias("at")), "nations", path=path, order=["at"])
-    found = D.describe_tables(spark, {"nations": path, "gone": f"{path}-gone"})
+    """Published tables described in stored order; a table that is not there is described as unavailable."""
+    paths = {name: fresh_path(spark, "published") for name in DESCRIBED}
+    for name, (key, columns) in DESCRIBED.items():
+        rows = table(spark, sf, name).select(*[c for c, _ in columns], F.col(key).alias("at"))
+        publish(rows, name, path=paths[name], order=["at"])
+    found = D.describe_tables(spark, paths | {"gone": fresh_path(spark, "gone")})
     gone = found.where(F.col("text").startswith("(schema unavailable: ")).agg(F.count(F.lit(1)).alias("unavailable"))
-    return found.where("db_id = 'nations'").withColumn("_one", F.lit(1)).join(gone.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return found.where("db_id <> 'gone'").withColumn("_one", F.lit(1)).join(gone.withColumn("_one", F.lit(1)), "_one").drop("_one")
