@@ -287,23 +287,24 @@ def catalog_names(spark, sf):
 
 
 @query("many_tables", """
-    SELECT c_nationkey, c_mktsegment, c_custkey, round(c_acctbal, 2) AS c_acctbal,
+    SELECT c_nationkey + 10 AS nation, c_mktsegment AS segment, c_custkey + 1000 AS customer, c_name AS name,
            (SELECT count(DISTINCT (c_nationkey, c_mktsegment)) FROM customer) AS n_published FROM customer""")
 def many_tables(spark, sf):
     """A file for each nation and segment, every one a table of its own; those of one schema are written by one job."""
     base, out = fresh_path(spark, "csv"), fresh_path(spark, "published")
-    # A name in letters, and a second row for each customer: no file is too short for a table.
-    customers = table(spark, sf, "customer").select("c_nationkey", "c_mktsegment", "c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"),
-                                                    F.explode(F.sequence(F.lit(1), F.lit(2))).alias("_copy"))
-    key = F.concat_ws("_", F.lit("t"), F.col("c_nationkey").cast("string"), F.regexp_replace("c_mktsegment", "[^A-Za-z]", "")).alias("file")
+    # Every customer twice, so that no file is too short for a table; no number reads as a truth value.
+    customers = table(spark, sf, "customer").select(
+        (F.col("c_nationkey") + 10).alias("nation"), F.col("c_mktsegment").alias("segment"), (F.col("c_custkey") + 1000).alias("customer"),
+        F.col("c_name").alias("name"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("_copy"))
+    key = F.concat_ws("_", F.lit("t"), F.col("nation").cast("string"), F.regexp_replace("segment", "[^A-Za-z]", "")).alias("file")
     rows = customers.drop("_copy").withColumn("file", key).repartition(8, "file")
     rows.write.partitionBy("file").option("sep", ";").option("header", True).csv(base)
     for name in spark.read.format("binaryFile").load(base).inputFiles():
         system, source = file_system(spark, name)
         system.rename(source, file_system(spark, f"{base}/{name.split('/file=')[1].split('/')[0]}.csv")[1])
     status = cleaning.clean_corpus(spark, f"{base}/*.csv", out).where("status = 'published'").collect()
-    read = spark.read.schema("c_nationkey long, c_mktsegment string, c_custkey long, c_acctbal double").parquet(*[f"{out}/{r.table_name}" for r in status])
-    return read.select(F.col("c_nationkey").cast("int"), "c_mktsegment", "c_custkey", "c_acctbal", F.lit(len(status)).cast("long").alias("n_published"))
+    read = spark.read.schema("nation long, segment string, customer long, name string").parquet(*[f"{out}/{r.table_name}" for r in status])
+    return read.withColumn("n_published", F.lit(len(status)).cast("long"))
 
 
 QUESTION_FILE_SQL = """
