@@ -136,36 +136,80 @@ def token_spans(text: str) -> tuple[list[str], list[int], list[int]]:
     return [f[0] for f in found], [f[1] for f in found], [f[2] for f in found]
 
 
-def banded_alignment(template: list[str], tokens: list[str], start: int, band: int) -> tuple[int, int, int]:
-    """Most template tokens that match in order near the diagonal from ``start``; the first and last place.
+def banded_alignment(template: list[str], tokens: list[str], low: list[int], high: list[int]) -> tuple[int, int, int]:
+    """Most template tokens that match in order inside a band; the first and last place matched.
 
-    Template token i may only meet text tokens within ``band`` places of ``start + i``; either
-    side may skip tokens. Of equal alignments the shortest span counts.
+    Template token i may only meet text tokens from ``low[i]`` to ``high[i]``, neither of which
+    falls; either side may skip tokens. Of equal alignments the shortest span counts, then the first.
     """
-    width = 2 * band + 1
-    none = (0, -1, -1)  # matches, minus the first place, last place
-
-    def better(a, b):
-        if a[0] != b[0]:
-            return a if a[0] > b[0] else b
-        return a if a[0] == 0 or a[1] + a[2] * -1 >= b[1] + b[2] * -1 else b
-
-    row = [none] * width
-    for i, word in enumerate(template):
-        new = [none] * width
-        for o in range(width):
-            j = start + i + o - band
-            best = better(row[o + 1], none) if o + 1 < width else none  # template token skipped
-            if o:
-                best = better(best, new[o - 1])  # text token skipped
-            if 0 <= j < len(tokens) and tokens[j] == word:
-                n, first, _ = row[o]
-                best = better((n + 1, first if n else -j, j), best)
-            else:
-                best = better(row[o], best)
-            new[o] = best
-        row = new
-    best = none
-    for cell in row:
-        best = better(cell, best)
-    return best[0], -best[1], best[2]
+    unit = len(tokens) + 1  # a cell is matches * unit + first place: more matches, then a later start
+    best = (0, 0, 0, -1)  # matches, minus the length, minus the first place, last place
+    row: list[int] = []
+    start = 0
+    for word, lo, hi in zip(template, low, high, strict=True):
+        lo, hi = max(lo, 0), min(hi, len(tokens) - 1)
+        if lo > hi:
+            continue
+        new, left, end = [], 0, start + len(row) - 1
+
+        def above(j: int) -> int:
+            return row[min(j, end) - start] if row and j >= start else 0
+
+        for j in range(lo, hi + 1):
+            left = max(left, above(j))
+            if tokens[j] == word:
+                before = above(j - 1)
+                cell = before + unit if before else unit + j
+                n, first = divmod(cell, unit)
+                best = max(best, (n, first - j, -first, j))
+                left = max(left, cell)
+            new.append(left)
+        row, start = new, lo
+    n, _, first, last = best
+    return (n, -first, last) if n else (0, -1, -1)
+
+
+def gram_chains(hits: list[tuple[int, int]], band: int) -> list[list[tuple[int, int]]]:
+    """``(place in the text, place in the template)`` of shared grams as chains that rise in both.
+
+    Neighbours of a chain lie on diagonals at most ``band`` apart, so words that a copy has more or
+    fewer add up along the chain without leaving it. Longest chains first; each hit is in one.
+    """
+    hits = sorted(set(hits))
+    on: dict[int, list[int]] = {}
+    size, link = [1] * len(hits), [-1] * len(hits)
+    for k, (place, at) in enumerate(hits):
+        here, best = place - at, (0, 0, -1)
+        for diagonal in range(here - band, here + band + 1):
+            for i in reversed(on.get(diagonal, ())):
+                if hits[i][0] < place and hits[i][1] < at:
+                    best = max(best, (size[i], -abs(diagonal - here), i))
+                    break
+        size[k], link[k] = best[0] + 1, best[2]
+        on.setdefault(here, []).append(k)
+    out, used = [], [False] * len(hits)
+    for k in sorted(range(len(hits)), key=lambda k: (-size[k], k)):
+        chain = []
+        while k >= 0 and not used[k]:
+            used[k] = True
+            chain.append(hits[k])
+            k = link[k]
+        if chain:
+            out.append(chain[::-1])
+    return sorted(out, key=lambda c: (-len(c), c))
+
+
+def chain_band(chain: list[tuple[int, int]], length: int, band: int) -> tuple[list[int], list[int]]:
+    """The text places that each of ``length`` template tokens may meet: those of the chain, ``band`` to either side."""
+    low, high, k = [], [], 0
+    for i in range(length):
+        while k < len(chain) and chain[k][1] <= i:
+            k += 1
+        near = [place - at for place, at in chain[max(k - 1, 0):k + 1]]
+        low.append(i + min(near) - band)
+        high.append(i + max(near) + band)
+    for i in range(length - 2, -1, -1):
+        low[i] = min(low[i], low[i + 1])
+    for i in range(1, length):
+        high[i] = max(high[i], high[i - 1])
+    return low, high

@@ -259,8 +259,74 @@ def test_banded_alignment_is_the_longest_common_sequence():
     rng = random.Random(3)
     for _ in range(200):
         a, b = (rng.choices("abcd", k=rng.randrange(1, 12)) for _ in range(2))
-        n, first, last = banded_alignment(a, b, 0, 30)
+        n, first, last = banded_alignment(a, b, [-30] * len(a), [30] * len(a))
         assert n == lcs(a, b) and (n == 0 or lcs(a, b[first:last + 1]) == n)
+        spans = [j - i for i in range(len(b)) for j in range(i, len(b)) if n and lcs(a, b[i:j + 1]) == n]
+        assert n == 0 or last - first == min(spans)
+
+
+def ordered_matches(a, b, longest):
+    """Per place of ``b`` the most words of ``a`` that stand in order in the ``longest`` words from there, bit by bit."""
+    at = {x: sum(1 << i for i, y in enumerate(a) if x == y) for x in set(a)}
+    out = []
+    for start in range(len(b)):
+        row = full = (1 << len(a)) - 1
+        for y in b[start:start + longest]:
+            met = row & at.get(y, 0)
+            row = ((row + met) | (row - met)) & full
+        out.append(len(a) - row.bit_count())
+    return out
+
+
+def edited_copies(template, rng):
+    """A template's words as they stand in files, with the words that still match."""
+    lines = [template[i:i + 10] for i in range(0, len(template), 10)]
+    swapped = set(rng.sample(range(len(template)), len(template) // 12))
+    return {
+        "as it is": (template, len(template)),
+        "a mark on each line": ([w for line in lines for w in ["rem", *line]], len(template)),
+        "two marks on each line": ([w for line in lines for w in ["rem", *line, "rem"]], len(template)),
+        "words changed": (["changed" if i in swapped else w for i, w in enumerate(template)], len(template) - len(swapped)),
+        "a word less on each line": ([w for line in lines for w in line[1:]], len(template) - len(lines)),
+    }
+
+
+def test_long_templates_against_every_place(spark):
+    """A template of 300 words with a word more, changed or less on each line is found whole; brute
+    force over all places of all texts finds the same texts, no others."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    template = [rng.choice(vocabulary) for _ in range(300)]
+    short = [rng.choice(vocabulary) for _ in range(12)]
+    templates = {"long": " ".join(template), "short": " ".join(short)}
+    copies = edited_copies(template, rng)
+    rows, expected = [], {}
+    for i, (words, n) in enumerate(copies.values()):
+        before = [rng.choice(vocabulary) for _ in range(rng.randrange(40))]
+        rows.append((i, " ".join(before + words + ["end", *short, *short]), None, None, None))
+        where = len(before) + (words[0] == "rem")
+        expected[i] = (n, where)
+    half = template[:150]
+    rows += [(90, " ".join(half + [rng.choice(vocabulary) for _ in range(200)]), None, None, None),
+             (91, " ".join(rng.choice(vocabulary) for _ in range(400)), None, None, None), (92, "", None, None, None)]
+    out = LS.scan(docs_of(spark, rows), templates).select("doc_id", "template", "matched", "span_start").collect()
+    texts = {r[0]: r[1] for r in rows}
+    placed = {(r.doc_id): (r.matched, len(texts[r.doc_id][:r.span_start].split())) for r in out if r.template == "long"}
+    assert {d: n for d, (n, _) in placed.items()} == {d: n for d, (n, _) in expected.items()}
+    assert all(placed[d][1] == expected[d][1] for d in (0, 1, 2))
+    assert Counter(r.doc_id for r in out if r.template == "short") == {d: 2 for d in expected}
+    for name, words, longest in (("long", template, 370), ("short", short, 18)):
+        brute = {d for d, text in texts.items() if max(ordered_matches(words, text.split(), longest), default=0) >= 0.8 * len(words)}
+        assert brute == {r.doc_id for r in out if r.template == name}
+
+
+def test_a_notice_is_the_template_that_matches_most(spark):
+    """Notices that differ in a word are told apart; the line inside a notice is part of it."""
+    names = [n for n in LS.TEMPLATES]
+    docs = docs_of(spark, [(i, f"before {LS.TEMPLATES[n]} after", None, None, None) for i, n in enumerate(names)])
+    assert got(LS.scan(docs).select("doc_id", "template", "coverage")) == sorted(((i, n, 1.0) for i, n in enumerate(names)), key=str)
+    both = {r.template for r in LS.scan(docs, every=True).where(f"doc_id = {names.index('agpl-3.0-notice')}").collect()}
+    assert both == {"agpl-3.0-notice", "gpl-3.0-notice", "lgpl-2.1-notice"}
 
 
 # -- 5
