@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridsmith.plans.submission import each
 from gridsmith.sources.tables import with_scan_order
@@ -51,32 +54,84 @@ def quoted(c: Column) -> Column:
     return F.when(c.contains("'") & ~c.contains('"'), double).otherwise(single)
 
 
-def example_values(df: DataFrame, order: list[str], n: int = 3) -> DataFrame:
-    """``idx, column, rank, value``: the first ``n`` distinct non-NULL values of every column.
+def leaves(name: str, kind: T.DataType) -> list[str]:
+    """The paths of a column's plain fields, in the order in which structs are compared."""
+    if isinstance(kind, T.StructType):
+        return [leaf for f in kind.fields for leaf in leaves(f"{name}.`{f.name}`", f.dataType)]
+    return [name]
+
+
+ROWS = -1  # the column number under which the sample rows travel
+
+
+def earliest(df: DataFrame, order: list[str], n_values: int, n_rows: int = 0) -> DataFrame:
+    """``idx, rank, value``: the first ``n_values`` distinct non-NULL values of every column as text, and
+    under ROWS the first ``n_rows`` rows, cells joined by a comma, missing ones written NULL.
 
-    One pass per rank: each finds, for all columns at once, the earliest value not found before.
-    A task passes on one value per column, so columns of long distinct texts cost no shuffle and
-    no column is ever grouped by its values.
+    One scan of the table: each task keeps the earliest few of what it reads, so it passes on a handful
+    of short rows for each column whatever the number of rows, and no column is grouped by its
+    values. A value among the first of the table is among the first of the task that holds it there.
     """
     names = [c for c in df.columns if c not in order]
     kinds = dict(df.dtypes)
-    at = F.struct(*order)
-    texts = df.select(at.alias("_at"), *[plain_text(F.col(f"`{c}`"), kinds[c]).alias(f"v{i}") for i, c in enumerate(names)])
-    found: list[tuple[int, str, int, str]] = []
-    open_columns = list(range(len(names)))
-    for rank in range(1, n + 1):
-        if not open_columns:
-            break
+    keys = [leaf for o in order for leaf in leaves(f"`{o}`", df.schema[o].dataType)]
+    texts = df.select(*[F.col(k).alias(f"o{i}") for i, k in enumerate(keys)],
+                      *[plain_text(F.col(f"`{c}`"), kinds[c]).alias(f"v{i}") for i, c in enumerate(names)])
+    depth, width, rows_at = len(keys), len(names), ROWS
+
+    def first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[dict] = [{} for _ in range(width)]  # value -> its place
+        heads: list[tuple[tuple, str]] = []
+        fields = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fields = list(batch.schema)[:depth]
+            at = pc.sort_indices(pa.Table.from_batches([batch.select(range(depth))]),
+                                 sort_keys=[(f.name, "ascending") for f in fields], null_placement="at_start")
+
+            def place(spot: int, batch: pa.RecordBatch = batch, at: pa.Array = at) -> tuple:
+                values = (batch.column(i)[at[spot].as_py()].as_py() for i in range(depth))
+                return tuple((v is not None, v) for v in values)
+
+            start = place(0)
+            for c, values in enumerate(known):
+                # Rows mostly come in stored order: later batches hold nothing earlier.
+                if len(values) == n_values and start > max(values.values()):
+                    continue
+                column = batch.column(depth + c).take(at)
+                for value in pc.unique(column.drop_null())[:n_values]:
+                    here = place(pc.index(column, value).as_py())
+                    values[value.as_py()] = min(here, values.get(value.as_py(), here))
+                known[c] = dict(sorted(values.items(), key=lambda v: v[1])[:n_values])
+            if n_rows and (len(heads) < n_rows or start < heads[-1][0]):
+                for spot in range(min(n_rows, batch.num_rows)):
+                    cells = (batch.column(depth + c)[at[spot].as_py()].as_py() for c in range(width))
+                    heads.append((place(spot), ", ".join("NULL" if v is None else v for v in cells)))
+                heads = sorted(heads, key=lambda h: h[0])[:n_rows]
+        found = [(c, p, v) for c, values in enumerate(known) for v, p in values.items()] + [(rows_at, p, v) for p, v in heads]
+        if found:
+            places = pa.array([{f.name: v for f, (_, v) in zip(fields, p, strict=True)} for _, p, _ in found], pa.struct(fields))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c for c, _, _ in found], pa.int32()), places, pa.array([v for _, _, v in found], pa.string())],
+                names=["idx", "place", "value"])
+
+    found = texts.mapInArrow(first_of_task, T.StructType([
+        T.StructField("idx", T.IntegerType()), T.StructField("place", T.StructType(texts.schema.fields[:depth])),
+        T.StructField("value", T.StringType())]))
+    # Values of a column meet over tasks; equal rows stay rows of their own.
+    own = F.when(F.col("idx") == ROWS, F.col("place"))
+    met = found.groupBy("idx", "value", own.alias("own")).agg(F.min("place").alias("place"))
+    rank = F.row_number().over(Window.partitionBy("idx").orderBy("place"))
+    limit = F.when(F.col("idx") == ROWS, n_rows).otherwise(n_values)
+    return met.select("idx", rank.alias("rank"), "value").where(F.col("rank") <= limit)
 
-        def fresh(i: int) -> Column:
-            known = [v for j, _, _, v in found if j == i]
-            c = F.col(f"v{i}")
-            return c.isNotNull() & ~c.isin(known) if known else c.isNotNull()
 
-        first = texts.agg(*[F.min_by(f"v{i}", F.when(fresh(i), F.col("_at"))).alias(f"v{i}") for i in open_columns]).first()
-        found += [(i, names[i], rank, first[f"v{i}"]) for i in open_columns if first[f"v{i}"] is not None]
-        open_columns = [i for i in open_columns if first[f"v{i}"] is not None]
-    return df.sparkSession.createDataFrame(found, "idx int, column string, rank int, value string")
+def example_values(df: DataFrame, order: list[str], n: int = 3) -> DataFrame:
+    """``idx, column, rank, value``: the first ``n`` distinct non-NULL values of every column, from one scan."""
+    names = [c for c in df.columns if c not in order]
+    column = F.get(F.array(*[F.lit(c) for c in names]), F.col("idx"))
+    return earliest(df, order, n).select("idx", column.alias("column"), "rank", "value")
 
 
 def sample_rows(df: DataFrame, order: list[str], n: int = 3) -> DataFrame:
@@ -89,58 +144,49 @@ def sample_rows(df: DataFrame, order: list[str], n: int = 3) -> DataFrame:
         F.row_number().over(Window.orderBy(*order)).alias("rank"), line.alias("line"))
 
 
-def schema_lines(df: DataFrame, table: str, order: list[str], keys: list[str] | None = None,
-                 foreign_keys: list[str] | None = None, n_rows: int = 3, n_values: int = 3) -> DataFrame:
-    """``part, idx, line``: the description line by line; every line comes from a few short rows."""
-    spark = df.sparkSession
-    names = [c for c in df.columns if c not in order]
-    text_columns = [c for c, kind in df.dtypes if kind == "string"]
-    # The marks around the parts of a description.
-    opening = [f"【DB_ID】 {table}", "【Schema】", f"# Table: {table}", "["]
-    fixed = [(0, i, line) for i, line in enumerate(opening)] + [(2, 0, "]")]
-    if foreign_keys:
-        fixed += [(5, 0, "【Foreign keys】")] + [(5, i + 1, k) for i, k in enumerate(foreign_keys)]
-    examples = example_values(df, order, n_values).withColumn(
-        "value", F.when(F.col("column").isin(text_columns), quoted(F.col("value"))).otherwise(F.col("value")))
-    lists = examples.groupBy("column").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]), ", ").alias("list"))
-    columns = column_types(df.select(*[F.col(f"`{c}`") for c in names])).join(lists, "column", "left").select(
-        F.lit(1).alias("part"), "idx",
-        F.concat(
-            F.lit("("),
-            F.concat_ws(
-                ", ", F.concat_ws(":", "column", "label"),
-                F.when(F.col("column").isin(keys or []), "Primary Key"),
-                F.when(F.col("list").isNotNull(), F.concat(F.lit("Examples: ["), "list", F.lit("]")))),
-            F.lit("),")).alias("line"))
-    rows = sample_rows(df, order, n_rows).select(F.lit(4).alias("part"), F.col("rank").alias("idx"), "line")
-    title = rows.limit(1).select(
-        F.lit(3).alias("part"), F.lit(0).alias("idx"), F.lit(f"Sample rows from `{table}`:").alias("line"))
-    head = spark.createDataFrame(fixed, "part int, idx int, line string")
-    return head.unionByName(columns).unionByName(title).unionByName(rows)
-
-
 def m_schema(df: DataFrame, table: str, order: list[str], keys: list[str] | None = None,
              foreign_keys: list[str] | None = None, n_rows: int = 3, n_values: int = 3) -> DataFrame:
-    """``table_name, text``: one row describing the table for a prompt."""
-    if len(df.columns) == len(order):
+    """``table_name, text``: one row describing the table for a prompt.
+
+    One scan, run when the row is asked for: everything that depends on rows comes from :func:`earliest`,
+    the rest is known from the schema.
+    """
+    names = [c for c in df.columns if c not in order]
+    if not names:
         return df.sparkSession.createDataFrame(
             [(table, f"【DB_ID】 {table}\n(no columns found)")], "table_name string, text string")
-    lines = schema_lines(df, table, order, keys, foreign_keys, n_rows, n_values)
-    return lines.groupBy(F.lit(table).alias("table_name")).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("part", "idx", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    kinds = dict(df.dtypes)
+    text_columns = [i for i, c in enumerate(names) if kinds[c] == "string"]
+    shown = F.when(F.col("idx").isin(text_columns), quoted(F.col("value"))).otherwise(F.col("value"))
+    lists = earliest(df, order, n_values, n_rows).groupBy("idx").agg(
+        F.array_sort(F.collect_list(F.struct("rank", shown.alias("value")))).alias("list")).select(
+        "idx", F.when(F.col("idx") == ROWS, F.array_join("list.value", "\n")).otherwise(F.array_join("list.value", ", ")).alias("list"))
+    by_column = lists.agg(F.map_from_entries(F.collect_list(F.struct("idx", "list"))).alias("lists"))
+
+    def line(i: int, name: str) -> Column:
+        examples = F.col("lists")[F.lit(i)]
+        return F.concat(
+            F.lit("("), F.concat(F.lit(f"{name}:"), type_label(F.lit(kinds[name]))), F.lit(", Primary Key" if name in (keys or []) else ""),
+            F.when(examples.isNotNull(), F.concat(F.lit(", Examples: ["), examples, F.lit("]"))).otherwise(""), F.lit("),"))
+
+    # The marks around the parts of a description.
+    opening = [f"【DB_ID】 {table}", "【Schema】", f"# Table: {table}", "["]
+    rows = F.col("lists")[F.lit(ROWS)]
+    closing = "\n".join(["【Foreign keys】", *foreign_keys]) if foreign_keys else None
+    parts = [*map(F.lit, opening), *[line(i, c) for i, c in enumerate(names)], F.lit("]"),
+             F.concat(F.lit(f"Sample rows from `{table}`:\n"), rows), F.lit(closing).cast("string")]
+    return by_column.select(F.lit(table).alias("table_name"), F.concat_ws("\n", *parts).alias("text"))
 
 
 def describe_tables(spark: SparkSession, databases: dict[str, str], workers: int = 4) -> DataFrame:
     """``db_id, text``: the description of every database's published table, rows in stored order.
 
-    A table that cannot be read is described as unavailable, with the reason.
+    One scan and one short text per table. A table that cannot be read is described as unavailable,
+    with the reason.
     """
-    def one(db_id: str) -> DataFrame:
-        return m_schema(with_scan_order(spark.read.parquet(databases[db_id])), db_id, ["block", "seq"])
-
-    parts = [
-        described.select(F.col("table_name").alias("db_id"), "text") if error is None
-        else spark.createDataFrame([(db_id, f"(schema unavailable: {error})")], "db_id string, text string")
-        for db_id, described, error in each(sorted(databases), one, workers)]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "db_id string, text string")
+    def one(db_id: str) -> str:
+        return m_schema(with_scan_order(spark.read.parquet(databases[db_id])), db_id, ["block", "seq"]).first().text
+
+    rows = [(db_id, text if error is None else f"(schema unavailable: {error})")
+            for db_id, text, error in each(sorted(databases), one, workers)]
+    return spark.createDataFrame(rows, "db_id string, text string")
