@@ -5,7 +5,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindings.registry import query, table, vn_text
@@ -307,6 +307,27 @@ def many_tables(spark, sf):
     return read.withColumn("n_published", F.lit(len(status)).cast("long"))
 
 
+@query("marked_beside_plain", """
+    SELECT 'marked' AS table_name, c_custkey + 1000 AS id, 'nation ' || c_nationkey AS label FROM customer
+    UNION ALL SELECT 'plain', o_orderkey + 1000, o_orderpriority FROM orders""")
+def marked_beside_plain(spark, sf):
+    """A table with ditto marks beside a larger one without: only the first passes the window that fills them."""
+    base, out = fresh_path(spark, "csv"), fresh_path(spark, "published")
+    above = F.lag("c_nationkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    marked = table(spark, sf, "customer").select(
+        (F.col("c_custkey") + 1000).alias("id"), F.when(above.isNotNull(), "nt").otherwise(
+            F.concat(F.lit("nation "), F.col("c_nationkey").cast("string"))).alias("label"), "c_nationkey")
+    plain = table(spark, sf, "orders").select((F.col("o_orderkey") + 1000).alias("id"), F.col("o_orderpriority").alias("label"))
+    for name, rows in (("marked", marked.repartition(1).sortWithinPartitions("c_nationkey", "id").drop("c_nationkey")),
+                       ("plain", plain.repartition(1))):
+        _write_delimited(rows, f"{base}/{name}", ";")
+        system, source = file_system(spark, spark.read.format("binaryFile").load(f"{base}/{name}").inputFiles()[0])
+        system.rename(source, file_system(spark, f"{base}/{name}.csv")[1])
+    status = cleaning.clean_corpus(spark, f"{base}/*.csv", out).where("status = 'published'").collect()
+    return reduce(DataFrame.unionByName, [spark.read.parquet(f"{out}/{r.table_name}").select(
+        F.lit(r.table_name).alias("table_name"), "id", "label") for r in status])
+
+
 QUESTION_FILE_SQL = """
     SELECT (row_number() OVER (ORDER BY conv_id, turn) - 1)::BIGINT AS pos, 'db_' || (conv_id % 7) AS db_id, text AS question,
            CASE WHEN turn % 3 = 0 THEN 'hint ' || turn END AS external_knowledge

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -92,15 +93,34 @@ def stage_grid(grid: DataFrame) -> DataFrame:
     return by_table(G.drop_empty_rows(grid), "grid")
 
 
+def folder_key(table_id: str) -> str:
+    """The subfolder in which :func:`by_table` keeps a table."""
+    return hashlib.sha256(table_id.encode()).hexdigest()
+
+
 def cleaned_rows(grid: DataFrame, shapes: dict[str, Shape]) -> DataFrame:
-    """Data rows of all usable tables with ditto marks filled and cells cleaned."""
+    """Data rows of all usable tables with ditto marks filled and cells cleaned.
+
+    Tables take the way they need: only those with ditto marks pass the window and its shuffle, only
+    those with text that NFC changes pass the Unicode step. A grid of :func:`by_table` is pruned to
+    each way's folders, so every row is read once.
+    """
     usable = {t: s for t, s in shapes.items() if s.start}
-    starts = grid.sparkSession.createDataFrame(
-        [(t, s.start[0], s.start[1]) for t, s in usable.items()], "table_id string, block bigint, seq bigint")
     cells = [c for c in G.cell_columns(grid) if any(c in s.names for s in usable.values())]
-    rows = G.data_rows(grid.select("table_id", *G.ORDER, *cells), starts)
-    rows = G.fill_ditto(rows, [c for c in cells if any(c in s.ditto for s in usable.values())])
-    return clean_cells(rows, cells, [c for c in cells if any(c in s.nfc for s in usable.values())])
+    ways: dict[tuple[bool, bool], dict[str, Shape]] = {}
+    for t, s in usable.items():
+        ways.setdefault((bool(s.ditto), bool(s.nfc)), {})[t] = s
+    parts = []
+    for _, tables in sorted(ways.items()):
+        starts = grid.sparkSession.createDataFrame(
+            [(t, s.start[0], s.start[1]) for t, s in tables.items()], "table_id string, block bigint, seq bigint")
+        mine = grid
+        if len(ways) > 1 and "table_key" in grid.columns:
+            mine = grid.where(F.col("table_key").isin([folder_key(t) for t in tables]))
+        rows = G.data_rows(mine.select("table_id", *G.ORDER, *cells), starts)
+        rows = G.fill_ditto(rows, [c for c in cells if any(c in s.ditto for s in tables.values())])
+        parts.append(clean_cells(rows, cells, [c for c in cells if any(c in s.nfc for s in tables.values())]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def typed_table(rows: DataFrame, shape: Shape, votes: list[Row], typed_dates: bool = False,
@@ -147,8 +167,8 @@ def clean_corpus(spark: SparkSession, path: str, target: str | None = None, over
     whose table name an earlier one has are status rows; the others go on.
     """
     sniffed = sniff_files(spark, path).collect()
-    grid = stage_grid(read_grid(spark, path, sniffed)).drop("table_key")
-    shapes = table_shapes(grid, strict, ascii_names)
+    grid = stage_grid(read_grid(spark, path, sniffed))
+    shapes = table_shapes(grid.drop("table_key"), strict, ascii_names)
     usable = {t: s for t, s in shapes.items() if s.start}
     votes: dict[str, list[Row]] = {}
     if usable:
@@ -187,7 +207,7 @@ def clean_corpus(spark: SparkSession, path: str, target: str | None = None, over
 
     def write_together(files: list[Row]) -> dict[str, tuple[str, int] | str]:
         """Tables of one schema by one job: per path its status and width, or what failed."""
-        keys = {hashlib.sha256(f["file_id"].encode()).hexdigest(): f for f in files}
+        keys = {folder_key(f["file_id"]): f for f in files}
         shape, n_columns = usable[files[0]["file_id"]], len(usable[files[0]["file_id"]].names)
         key = "table_key"
         while key in shape.names.values():

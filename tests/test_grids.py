@@ -108,6 +108,24 @@ def test_corpus(spark, tmp_path):
     assert [r[0] for r in spark.read.parquet(f"{out}/a").collect()] == ["001", "002", "003", "004", "005", "006"]
 
 
+def test_tables_take_the_way_they_need(spark, tmp_path):
+    """Ditto marks, decomposed letters, both, neither: each table as if it were alone, read once in its own folder."""
+    decomposed = "te\u0302n"
+    write(tmp_path, "plain.csv", "k;v\nx;5\ny;6\nz;7\n")
+    write(tmp_path, "marked.csv", "k;v\nx;5\nnt;6\nz;7\n")
+    write(tmp_path, "composed.csv", f"k;v\n{decomposed};5\ny;6\nz;7\n")
+    write(tmp_path, "both.csv", f"k;v\n{decomposed};5\nnt;6\nz;7\n")
+    grid = cleaning.stage_grid(cleaning.read_grid(spark, str(tmp_path / "*.csv")))
+    shapes = cleaning.table_shapes(grid.drop("table_key"))
+    rows = cleaning.cleaned_rows(grid, shapes)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("table_key#") >= 4
+    status = cleaning.clean_corpus(spark, str(tmp_path / "*.csv"), str(tmp_path / "out")).collect()
+    assert {r.status for r in status} == {"published"}
+    first = {r.table_name: [x[0] for x in spark.read.parquet(str(tmp_path / "out" / r.table_name)).collect()] for r in status}
+    assert first == {"plain": ["x", "y", "z"], "marked": ["x", "x", "z"], "composed": ["t\u00ean", "y", "z"], "both": ["t\u00ean", "t\u00ean", "z"]}
+
+
 def test_unique_names(spark):
     for given, expected in ((["a", "a", "b", "a"], ["a", "a_2", "b", "a_3"]), (["a", "a", "a_2"], None)):
         df = spark.createDataFrame([("t", i, n) for i, n in enumerate(given)], "table_id string, idx int, name string")
