@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bindings.files import own_database
 from bindings.registry import case, query, table
 from gridsmith.functions.statements import extract_sql
 from gridsmith.operators import batches as B
 from gridsmith.plans import collect
 from gridsmith.plans.scoring import score_run
-from gridsmith.session import fresh_path
+from gridsmith.session import fresh_path, staged
 from gridsmith.sources import records
 from gridsmith.sources.responses import read_responses
 from gridsmith.streaming import responses as R
@@ -181,6 +182,24 @@ def remaining_questions(spark, sf):
     return B.remaining(r, done).select("instance_id")
 
 
+@query("remaining_bucketed", BASE + """
+    SELECT instance_id, CAST(conv_id % 4 AS INTEGER) AS run FROM r WHERE conv_id % 4 < 3
+    UNION ALL SELECT instance_id, 3 FROM r WHERE conv_id % 4 = 3""")
+def remaining_bucketed(spark, sf):
+    """Three runs that append to one bucketed table, each a part of what remains; a last look finds the rest.
+
+    Every row of ``run`` is a request that was still open then and done by it, or open after all.
+    """
+    asked = requests(spark, sf).select("instance_id", "conv_id")
+    with own_database(spark) as database:
+        results = f"{database}.results"
+        for run in range(3):
+            todo = B.remaining(asked, collect.done(spark, results))
+            collect.append_bucketed(todo.where(F.col("conv_id") % 4 == run).select("instance_id", F.lit(run).alias("run")), results, 8)
+        left = B.remaining(asked, collect.done(spark, results)).select("instance_id", F.lit(3).alias("run"))
+        return staged(spark.table(results).select("instance_id", "run").unionByName(left))
+
+
 @query("pending_split", BASE + """
     SELECT instance_id, CASE WHEN conv_id % 4 = 1 THEN 'collect' ELSE 'send' END AS way FROM r""")
 def pending_split(spark, sf):

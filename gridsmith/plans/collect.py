@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from gridsmith.operators import batches, questions as Q
 from gridsmith.plans.execute import run_queries
+from gridsmith.sources.tables import identifier
 
 NO_SQL = "no SQL generated"
+BUCKETS = 200
 
 
 def prepare(questions: DataFrame, schemas: DataFrame, done: DataFrame | None, layout: str, model: str = "",
@@ -49,3 +51,26 @@ def merge_results(spark: SparkSession, results: DataFrame, questions: DataFrame,
 def append_results(results: DataFrame, path: str) -> None:
     """Append to the results table: the append is what a later run resumes from."""
     results.write.mode("append").parquet(path)
+
+
+def append_bucketed(results: DataFrame, table: str, buckets: int = BUCKETS) -> None:
+    """Append to a catalog table that is bucketed by id, one file per bucket and run.
+
+    A resume reads it with ``remaining(questions, done(spark, table))``: only the questions are
+    shuffled, to the buckets; however many results there are, none of them moves. An existing table
+    keeps the number of buckets it was made with.
+    """
+    spark, name = results.sparkSession, identifier(table)
+    if spark.catalog.tableExists(name):
+        described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Num Buckets'").first()
+        if described is None:
+            raise ValueError(f"{table} is not bucketed by id")
+        buckets = int(described.data_type)
+    rows = results.repartition(buckets, "instance_id")
+    rows.write.format("parquet").bucketBy(buckets, "instance_id").mode("append").saveAsTable(name)
+
+
+def done(spark: SparkSession, table: str) -> DataFrame | None:
+    """The ids of a results table; None before the first run has written it."""
+    name = identifier(table)
+    return spark.table(name).select("instance_id") if spark.catalog.tableExists(name) else None

@@ -108,3 +108,29 @@ def test_publish(spark, tmp_path):
     assert tables.publish(df.where("seq > 5"), "p", path=path) == "skipped"
     with pytest.raises(ValueError, match="no data"):
         tables.publish(df.where("seq > 5"), "p", path=path, overwrite=True)
+
+
+def test_resume_moves_no_results(spark):
+    """Results of several runs stay in their buckets: the plan shuffles the questions only."""
+    name = "resumed.results"
+    where = spark.sparkContext.getCheckpointDir() + "/resumed"
+    spark.sql(f"CREATE DATABASE resumed LOCATION '{where}'")
+    asked = spark.range(1000).selectExpr("cast(id as string) as instance_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert collect.done(spark, name) is None
+        assert B.remaining(asked, collect.done(spark, name)).count() == 1000
+        # The second run asks for other buckets and meets those of the first; NULL ids are never done.
+        for run, buckets in ((0, 6), (1, 50)):
+            part = asked.where(f"cast(instance_id as int) % 3 = {run}").selectExpr("instance_id", "'s' as sql")
+            collect.append_bucketed(part.unionByName(part.limit(1)).unionByName(part.limit(1).selectExpr("cast(null as string) as instance_id", "sql")), name, buckets)
+        left = B.remaining(asked, collect.done(spark, name))
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(instance_id" in plan and ", 6)" in plan
+        assert {int(r.instance_id) for r in left.collect()} == set(range(2, 1000, 3))
+        spark.sql("CREATE TABLE resumed.plain (instance_id string) USING parquet")
+        with pytest.raises(ValueError):
+            collect.append_bucketed(asked, "resumed.plain")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE resumed CASCADE")
