@@ -11,6 +11,7 @@ from gridsmith.operators.ordering import null_safe
 from gridsmith.operators.questions import gold_sql
 from gridsmith.plans.submission import each
 from gridsmith.session import fresh_path
+from gridsmith.sources.tables import stored_place
 
 CELLS = "part string, seq bigint, col_idx int, num double, str string"
 SCAN_NODES = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation"}
@@ -100,9 +101,8 @@ def run_queries(spark: SparkSession, queries: DataFrame, databases: dict[str, di
         cells = F.array(*[cell_value(F.col(f"c{i}"), kind) for i, kind in enumerate(kinds)])
         # The id is partition number and row number in one: rows keep their place in the result.
         number_of = F.monotonically_increasing_id()
-        number20 = lambda c: F.lpad(c.cast("string"), 20, "0")
-        stored = F.concat_ws(" ", F.input_file_name(), number20(F.input_file_block_start()))
-        part = stored if scan else number20(F.shiftright(number_of, 33))
+        stored = stored_place(F.input_file_name(), F.input_file_block_start())
+        part = stored if scan else F.lpad(F.shiftright(number_of, 33).cast("string"), 20, "0")
         placed = flat.select(part.alias("part"), number_of.alias("seq"), cells.alias("cells"))
         placed.select("part", "seq", F.posexplode("cells").alias("col_idx", "cell")).select("part", "seq", "col_idx", "cell.num", "cell.str").write.parquet(f"{base}/query={number}")
         return len(kinds)

@@ -99,6 +99,20 @@ def test_stored_order_and_own_tables(spark, tmp_path):
     assert as_query("SELECT 1 /* ; */ ; /* x */ -- y\n") == "SELECT * FROM (\nSELECT 1 /* ; */\n)"
 
 
+def test_part_files_beyond_five_digits(spark, tmp_path):
+    """Part 100000 comes after part 99999, as it was written, for statements and for descriptions."""
+    folder = tmp_path / "t"
+    folder.mkdir()
+    for number, value in (("99999", "first"), ("100000", "second")):
+        spark.createDataFrame([(value,)], "word string").coalesce(1).write.parquet(str(tmp_path / value))
+        (written,) = (tmp_path / value).glob("part-*.parquet")
+        (folder / f"part-{number}-x.c000.parquet").write_bytes(written.read_bytes())
+    asked = spark.createDataFrame([("q", "d", "SELECT word FROM t")], "instance_id string, db_id string, sql string")
+    _, cells = run_queries(spark, asked, {"d": {"t": str(folder)}})
+    assert [r.str for r in cells.orderBy("row_idx").collect()] == ["first", "second"]
+    assert "Examples: ['first', 'second']" in describe_tables(spark, {"t": str(folder)}).first().text
+
+
 def chat(iid, sql):
     return json.dumps({"custom_id": iid, "response": {"status_code": 200, "body": {"choices": [{"message": {"content": sql}}]}}})
 
