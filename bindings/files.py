@@ -328,6 +328,30 @@ def marked_beside_plain(spark, sf):
         F.lit(r.table_name).alias("table_name"), "id", "label") for r in status])
 
 
+WIDE = 120
+
+
+@query("wide_beside_narrow", f"""
+    SELECT 'wide' AS table_name, c_custkey + 1000 AS id, {WIDE} * (c_custkey * 200 + 1000) + {WIDE * (WIDE - 1) // 2} AS total FROM customer
+    UNION ALL SELECT 'narrow', o_orderkey + 1000, CAST(round(o_totalprice * 100) AS BIGINT) FROM orders""")
+def wide_beside_narrow(spark, sf):
+    """A file of many columns beside a longer one of two: each is cleaned in a grid of its own width."""
+    base, out = fresh_path(spark, "csv"), fresh_path(spark, "published")
+    measures = [f"m{i}" for i in range(WIDE)]
+    wide = table(spark, sf, "customer").select((F.col("c_custkey") + 1000).alias("id"), *[
+        (F.col("c_custkey") * 200 + 1000 + i).alias(m) for i, m in enumerate(measures)])
+    narrow = table(spark, sf, "orders").select(
+        (F.col("o_orderkey") + 1000).alias("id"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    for name, rows in (("wide", wide), ("narrow", narrow)):
+        _write_delimited(rows.repartition(1), f"{base}/{name}", ";")
+        system, source = file_system(spark, spark.read.format("binaryFile").load(f"{base}/{name}").inputFiles()[0])
+        system.rename(source, file_system(spark, f"{base}/{name}.csv")[1])
+    cleaning.clean_corpus(spark, f"{base}/*.csv", out)
+    total = reduce(lambda a, b: a + b, [F.col(m) for m in measures])
+    return spark.read.parquet(f"{out}/wide").select(F.lit("wide").alias("table_name"), "id", total.alias("total")).unionByName(
+        spark.read.parquet(f"{out}/narrow").select(F.lit("narrow").alias("table_name"), "id", F.col("cents").alias("total")))
+
+
 QUESTION_FILE_SQL = """
     SELECT (row_number() OVER (ORDER BY conv_id, turn) - 1)::BIGINT AS pos, 'db_' || (conv_id % 7) AS db_id, text AS question,
            CASE WHEN turn % 3 = 0 THEN 'hint ' || turn END AS external_knowledge

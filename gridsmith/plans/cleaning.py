@@ -15,7 +15,7 @@ from gridsmith.operators.cells import clean_cells
 from gridsmith.operators.typing import apply_types, drop_duplicates, profile
 from gridsmith.plans.submission import each
 from gridsmith.session import fresh_path, staged
-from gridsmith.sources.files import read_grid, sniff_files
+from gridsmith.sources.files import read_grid, read_grids, sniff_files
 from gridsmith.sources.tables import catalog_name, is_published, publish, publish_together
 
 
@@ -160,21 +160,35 @@ def clean_corpus(spark: SparkSession, path: str, target: str | None = None, over
                  keep_order: bool = True, workers: int = 4, database: str | None = None) -> DataFrame:
     """Clean and publish every file under ``path``; one status row per file.
 
-    Sniffing, shapes and profiles are computed for all files in the same few jobs; tables of one
-    schema (names, types, ways of writing) are written by one job. ``target`` is a folder;
+    Sniffing, shapes and profiles are computed for all files of a width class in the same few jobs, so
+    a wide file costs narrow ones nothing; tables of one schema (names, types, ways of writing) are written by one job. ``target`` is a folder;
     without it tables go to the catalog, to ``database`` or the current one, under names that it
     takes (a blank in a file's name becomes an underscore). A file that fails, a path that is not there, and a file
     whose table name an earlier one has are status rows; the others go on.
     """
     sniffed = sniff_files(spark, path).collect()
-    grid = stage_grid(read_grid(spark, path, sniffed))
-    shapes = table_shapes(grid.drop("table_key"), strict, ascii_names)
-    usable = {t: s for t, s in shapes.items() if s.start}
+
+    def prepared(files: tuple[list[str], DataFrame]) -> tuple[dict[str, Shape], dict[str, list[Row]], DataFrame | None]:
+        """Shapes, votes and clean rows of the tables of one width class."""
+        grid = stage_grid(files[1])
+        shapes = {t: s for t, s in table_shapes(grid.drop("table_key"), strict, ascii_names).items() if s.start}
+        if not shapes:
+            return {}, {}, None
+        rows = by_table(cleaned_rows(grid, shapes), "clean")
+        found: dict[str, list[Row]] = {}
+        for v in profile(rows, G.cell_columns(rows), ["table_id"], bool_digits).collect():
+            found.setdefault(v["table_id"], []).append(v)
+        return shapes, found, rows
+
+    usable: dict[str, Shape] = {}
     votes: dict[str, list[Row]] = {}
-    if usable:
-        clean = by_table(cleaned_rows(grid, usable), "clean")
-        for v in profile(clean, G.cell_columns(clean), ["table_id"], bool_digits).collect():
-            votes.setdefault(v["table_id"], []).append(v)
+    clean: dict[str, tuple[int, DataFrame]] = {}  # the class of a file, and the clean rows of its class
+    broken: dict[str, str] = {}
+    for number, ((ids, _), result, error) in enumerate(each(read_grids(spark, sniffed), prepared, workers)):
+        broken |= {i: error for i in ids} if error else {}
+        if result:
+            usable, votes = usable | result[0], votes | result[1]
+            clean |= {t: (number, result[2]) for t in result[0]}
     named = spark.createDataFrame([(f["path"],) for f in sniffed], "path string").select(
         "path", text.table_name(F.col("path")).alias("name")).collect()
     names = {r["path"]: r["name"] if target else catalog_name(r["name"]) for r in named}
@@ -190,6 +204,8 @@ def clean_corpus(spark: SparkSession, path: str, target: str | None = None, over
         first = owner[names[file["path"]]]
         if first != file["path"]:
             raise ValueError(f"table name {names[file['path']]} is taken by {first}")
+        if file["file_id"] in broken:
+            raise ValueError(broken[file["file_id"]])
         shape = usable.get(file["file_id"])
         if shape is None:
             raise ValueError(f"no data after cleaning: {names[file['path']]}")
@@ -198,7 +214,7 @@ def clean_corpus(spark: SparkSession, path: str, target: str | None = None, over
     def write(file: Row) -> tuple[str, int]:
         """One table by a job of its own."""
         shape = usable_shape(file)
-        mine = clean.where(F.col("table_key") == F.sha2(F.lit(file["file_id"]), 256)).drop("table_key")
+        mine = clean[file["file_id"]][1].where(F.col("table_key") == folder_key(file["file_id"])).drop("table_key")
         table = typed_table(mine, shape, votes[file["file_id"]], keep_order=keep_order)
         name = names[file["path"]]
         status = publish(table, f"{database}.{name}" if database else name, overwrite, f"{target}/{name}" if target else None,
@@ -212,7 +228,7 @@ def clean_corpus(spark: SparkSession, path: str, target: str | None = None, over
         key = "table_key"
         while key in shape.names.values():
             key += "_"
-        mine = clean.where(F.col("table_key").isin(list(keys)))
+        mine = clean[files[0]["file_id"]][1].where(F.col("table_key").isin(list(keys)))
         order = G.ORDER if keep_order else []
         typed = apply_types(mine.select("table_key", *order, *shape.names), votes[files[0]["file_id"]])
         distinct = drop_duplicates(typed, list(shape.names), order or None, ["table_key"])
@@ -227,7 +243,7 @@ def clean_corpus(spark: SparkSession, path: str, target: str | None = None, over
                 not overwrite and is_published(spark, f"{target}/{names[file['path']]}")):
             continue
         kinds = tuple(sorted((v["column"], v["type"], v["style"], v["has_time"]) for v in votes[file["file_id"]] if v["column"] in shape.names))
-        together.setdefault((tuple(shape.names.items()), kinds), []).append(file)
+        together.setdefault((clean[file["file_id"]][0], tuple(shape.names.items()), kinds), []).append(file)
     written: dict[str, tuple[str, int] | str] = {}
     for _, found, _ in each([files for files in together.values() if len(files) > 1], write_together, workers):
         # A job that failed leaves its tables to jobs of their own, so one bad table is one bad row.

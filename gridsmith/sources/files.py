@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import re
+from functools import reduce
 from urllib.parse import unquote
 
 import pandas as pd
@@ -16,6 +17,7 @@ from gridsmith.session import staged
 from gridsmith.sources.spans import quoted_records, read_pieces
 
 HEAD_LINES = 1000
+NARROW = 16  # columns up to which all tables share a grid
 
 # Windows-1252 is not a charset of the CSV reader. It is read as Latin-1 and the 32 control
 # positions are then mapped to the characters that Windows-1252 has there.
@@ -74,15 +76,19 @@ def line_facts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     counts = [f"n{i}" for i in range(len(V.DELIMITERS))]
     beside = [f"q{i}" for i in range(len(V.DELIMITERS))]
     at_quotes = lambda d: _count("value", f'"{d}') / 2 + _count("value", f'{d}"') / 2
+    # Signs of UTF-16 have a zero byte before or behind them, which would part delimiters from quote marks.
+    bare = F.when(F.contains("value", F.lit("\0")), F.translate("value", "\0", "")).otherwise(F.col("value"))
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"), "value",
+        F.monotonically_increasing_id().alias("seq"), F.substring(F.col("value").cast("binary"), 1, 2).alias("bytes"),
+        F.is_valid_utf8("value").alias("valid"), bare.alias("value")).select(
+        "file_id", "block", "seq", "bytes", "valid", "value",
         *[delimiters_outside_quotes("value", d).alias(n) for n, d in zip(counts, V.DELIMITERS, strict=True)])
     kinds = lines.groupBy("file_id", *counts).agg(
         *[F.sum(at_quotes(d)).alias(q) for q, d in zip(beside, V.DELIMITERS, strict=True)],
-        F.count(F.lit(1)).alias("lines"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.count(F.lit(1)).alias("lines"), F.bool_and("valid").alias("utf8"),
         F.bool_or(_count("value", '"') % 2 == 1).alias("odd"),
-        F.min(F.struct("block", "seq", F.substring(F.col("value").cast("binary"), 1, 2).alias("bytes"))).alias("head"))
+        F.min(F.struct("block", "seq", "bytes")).alias("head"))
     one = kinds.groupBy("file_id").agg(
         F.bool_and("utf8").alias("utf8"), F.bool_or("odd").alias("quoted_newlines"),
         F.min("head").getField("bytes").alias("head"),
@@ -169,77 +175,112 @@ def _reader(spark: SparkSession, encoding: str, sep: str, whole_files: bool):
     )
 
 
-def _record_width(spark: SparkSession, paths: list[str], encoding: str, sep: str) -> int:
-    """Most fields of a record that may span lines: records wider than the schema come back whole."""
+def _record_widths(spark: SparkSession, paths: list[str], encoding: str, sep: str) -> dict[str, int]:
+    """Per file the most fields of a record that may span lines: records wider than the schema come back whole."""
     records = (
         _reader(spark, encoding, sep, True).option("columnNameOfCorruptRecord", "whole")
         .schema("c0 string, whole string").csv(paths))
-    return records.select("c0", (delimiters_outside_quotes("whole", sep) + 1).alias("n")).agg(
-        F.max("n"), F.count("c0")).first()[0] or 1
+    widths = records.select(F.col("_metadata.file_path").alias("table_id"), "c0", (delimiters_outside_quotes("whole", sep) + 1).alias("n")).groupBy(
+        "table_id").agg(F.max("n").alias("n"), F.count("c0").alias("records"))
+    return {r["table_id"]: r["n"] or 1 for r in widths.collect()}
 
 
-def _quoted_grid(spark: SparkSession, paths: list[str], encoding: str, sep: str, width: int) -> tuple[DataFrame, int]:
-    """``table_id, block, seq, cells`` of files with cells over several lines, read in splits, and the width of ``cells``."""
+def _quoted_records(spark: SparkSession, paths: list[str], encoding: str, sep: str) -> tuple[DataFrame, dict[str, int]]:
+    """``table_id, block, seq, record`` of files with cells over several lines, read in splits, and the width of each file."""
     raw = read_pieces(spark, paths, "\n")
     text = F.decode(F.col("value").cast("binary"), "ISO-8859-1") if encoding == "cp1252" else F.col("value")
     # Line ends of two characters count as one, in cells too.
     lines = raw.withColumn("value", F.regexp_replace(text, "\r$", ""))
     records = staged(quoted_records(lines, sep).where(F.trim("record") != ""), "records")
-    width = max(width, records.agg(F.max(delimiters_outside_quotes("record", sep) + 1)).first()[0] or 1)
-    options = {"sep": sep, "escape": '"', "maxColumns": "1000000"}
-    cells = F.from_csv("record", F.lit(", ".join(f"c{i} string" for i in range(width))), options)
-    return records.select("table_id", "block", "seq", cells.alias("cells")), width
+    widths = records.groupBy("table_id").agg(F.max(delimiters_outside_quotes("record", sep) + 1).alias("n"))
+    return records, {r["table_id"]: r["n"] or 1 for r in widths.collect()}
 
 
-def read_grid(spark: SparkSession, path: str | list[str], sniffed: list | None = None) -> DataFrame:
-    """``table_id, block, seq, c0..cN`` for all files: one scan per encoding and delimiter.
+def width_class(width: int) -> int:
+    """Tables of one class share a grid: those of up to 16 columns, then up to 64, 256 and so on."""
+    step = 0
+    while width > NARROW << 2 * step:
+        step += 1
+    return step
 
-    ``table_id`` is the file, ``block`` the byte offset of the split (or a block of rows) and ``seq`` rises within it, so
-    ``(block, seq)`` is the row order of the file although many tasks read it. The width is given
-    to the reader, which would otherwise take it from the first row, often a title; surplus
-    columns turn out empty and are dropped later.
-    """
-    rows = sniffed if sniffed is not None else sniff_files(spark, path).collect()
+
+def _cell(name: str, encoding: str) -> Column:
+    c = F.col(name)
+    if encoding == "cp1252":
+        c = F.translate(c, LATIN1_CONTROLS, WINDOWS_CHARACTERS)
+    if name == "c0":
+        c = F.ltrim(c, F.lit(BYTE_ORDER_MARK))
+    return F.nullif(c, F.lit("")).alias(name)
+
+
+def _grid_parts(spark: SparkSession, sniffed: list, apart: bool) -> list[tuple[int, list[str], DataFrame]]:
+    """``(width class, files, grid)``: one scan per encoding and delimiter, and per width class if they are kept ``apart``."""
     groups: dict[tuple, list] = {}
-    for f in rows:
+    for f in sniffed:
         if f["error"] is None and f["width"]:
             # UTF-16 cannot be split at line ends by the reader; other files are, and records put together.
             whole = f["quoted_newlines"] or f["encoding"] == "UTF-16"
             groups.setdefault((f["encoding"], f["sep"], whole), []).append(f)
-    out = None
+    parts = []
     for (encoding, sep, whole), files in sorted(groups.items()):
         paths = [f["path"] for f in files]
-        width = max(f["width"] for f in files)
         in_splits = whole and encoding != "UTF-16"
+        found: dict[str, int] = {}
         if in_splits:
-            records, width = _quoted_grid(spark, paths, encoding, sep, width)
+            records, found = _quoted_records(spark, paths, encoding, sep)
         elif whole:
-            width = max(width, _record_width(spark, paths, encoding, sep))
-        cells = [f"c{i}" for i in range(width)]
-        if in_splits:
-            grid = records.select("table_id", "block", "seq", "cells.*")
-        else:
-            grid = _reader(spark, encoding, sep, whole).schema(", ".join(f"{c} string" for c in cells)).csv(paths)
-
-        def cell(name: str) -> Column:
-            c = F.col(name)
-            if encoding == "cp1252":
-                c = F.translate(c, LATIN1_CONTROLS, WINDOWS_CHARACTERS)
-            if name == "c0":
-                c = F.ltrim(c, F.lit(BYTE_ORDER_MARK))
-            return F.nullif(c, F.lit("")).alias(name)
-
-        seq = F.monotonically_increasing_id()
-        # A file that cannot be split is cut into blocks of rows instead of bytes.
-        row_block = F.floor(seq.bitwiseAND(F.lit((1 << 33) - 1)) / WHOLE_FILE_BLOCK_ROWS)
-        if in_splits:
-            place = [F.col(c) for c in ("table_id", "block", "seq")]
-        else:
-            place = [F.col("_metadata.file_path").alias("table_id"),
-                     (row_block if whole else F.col("_metadata.file_block_start")).alias("block"), seq.alias("seq")]
-        part = grid.select(*place, *[cell(c) for c in cells])
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        return spark.createDataFrame([], "table_id string, block bigint, seq bigint, c0 string")
+            found = _record_widths(spark, paths, encoding, sep)
+        widths = {f["file_id"]: max(f["width"], found.get(f["file_id"], 1)) for f in files}
+        classes: dict[int, list] = {}
+        for f in files:
+            classes.setdefault(width_class(widths[f["file_id"]]) if apart else 0, []).append(f)
+        for step, mine in sorted(classes.items()):
+            ids = [f["file_id"] for f in mine]
+            cells = [f"c{i}" for i in range(max(widths[i] for i in ids))]
+            schema = ", ".join(f"{c} string" for c in cells)
+            if in_splits:
+                rows = records.where(F.col("table_id").isin(ids)) if len(classes) > 1 else records
+                options = {"sep": sep, "escape": '"', "maxColumns": "1000000"}
+                grid = rows.select("table_id", "block", "seq", F.from_csv("record", F.lit(schema), options).alias("cells")).select(
+                    "table_id", "block", "seq", "cells.*")
+                place = [F.col(c) for c in ("table_id", "block", "seq")]
+            else:
+                grid = _reader(spark, encoding, sep, whole).schema(schema).csv([f["path"] for f in mine])
+                seq = F.monotonically_increasing_id()
+                # A file that cannot be split is cut into blocks of rows instead of bytes.
+                row_block = F.floor(seq.bitwiseAND(F.lit((1 << 33) - 1)) / WHOLE_FILE_BLOCK_ROWS)
+                place = [F.col("_metadata.file_path").alias("table_id"),
+                         (row_block if whole else F.col("_metadata.file_block_start")).alias("block"), seq.alias("seq")]
+            parts.append((step, ids, grid.select(*place, *[_cell(c, encoding) for c in cells])))
+    return parts
+
+
+def _one_grid(parts: list[DataFrame]) -> DataFrame:
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     ordered = sorted((c for c in out.columns if c not in ("table_id", "block", "seq")), key=lambda c: int(c[1:]))
     return out.select("table_id", "block", "seq", *ordered)
+
+
+def read_grid(spark: SparkSession, path: str | list[str], sniffed: list | None = None) -> DataFrame:
+    """``table_id, block, seq, c0..cN`` for all files: one scan per encoding and delimiter.
+
+    ``table_id`` is the file, ``block`` the byte offset of the split (or a block of rows) and ``seq`` rises within it, so
+    ``(block, seq)`` is the row order of the file although many tasks read it. The width is given
+    to the reader, which would otherwise take it from the first row, often a title; surplus
+    columns turn out empty and are dropped later.
+    """
+    rows = sniffed if sniffed is not None else sniff_files(spark, path).collect()
+    parts = [grid for _, _, grid in _grid_parts(spark, rows, False)]
+    return _one_grid(parts) if parts else spark.createDataFrame([], "table_id string, block bigint, seq bigint, c0 string")
+
+
+def read_grids(spark: SparkSession, sniffed: list) -> list[tuple[list[str], DataFrame]]:
+    """``(files, grid)`` per width class, each grid as by :func:`read_grid`.
+
+    No file carries more than four times its own columns (sixteen if it has fewer), however wide another
+    one is; there are as many grids as powers of four between the narrowest and the widest.
+    """
+    classes: dict[int, list] = {}
+    for step, ids, grid in _grid_parts(spark, sniffed, True):
+        classes.setdefault(step, []).append((ids, grid))
+    return [([i for ids, _ in parts for i in ids], _one_grid([grid for _, grid in parts])) for _, parts in sorted(classes.items())]

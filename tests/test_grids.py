@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gridsmith.operators import grid as G
 from gridsmith.plans import cleaning
+from gridsmith.sources import files
 
 
 def write(folder, name, content, encoding="utf-8"):
@@ -126,6 +127,49 @@ def test_tables_take_the_way_they_need(spark, tmp_path):
     assert first == {"plain": ["x", "y", "z"], "marked": ["x", "x", "z"], "composed": ["t\u00ean", "y", "z"], "both": ["t\u00ean", "t\u00ean", "z"]}
 
 
+def test_wide_files_cost_narrow_ones_nothing(spark, tmp_path):
+    """Files of 2, 40 and 2,000 columns, one of them wide by a record that spans lines only: a grid for each class."""
+    many = ";".join(f"c{i}" for i in range(2000))
+    write(tmp_path, "wide.csv", many + "\n" + ";".join(["7"] * 2000) + "\n")
+    write(tmp_path, "narrow.csv", "k;v\nx;5\ny;6\n")
+    write(tmp_path, "middle.csv", ";".join("abcd" * 10) + "\n" + ";".join(["3"] * 40) + "\n")
+    cells = ";".join(f'"{i}\n{i}"' for i in range(30))
+    write(tmp_path, "lines.csv", "k;v\n" + cells + "\n")
+    write(tmp_path, "plain_lines.csv", 'k;v\n"a\nb";5\n')
+    write(tmp_path, "words.csv", "k;v\n" + cells + "\n", "utf-16")
+    sniffed = files.sniff_files(spark, str(tmp_path)).collect()
+    assert {r.path.rsplit("/", 1)[1]: r.width for r in sniffed}["lines.csv"] < 30
+    found = [({i.rsplit("/", 1)[1] for i in ids}, len(G.cell_columns(grid)), grid) for ids, grid in files.read_grids(spark, sniffed)]
+    assert [(names, width) for names, width, _ in found] == [
+        ({"narrow.csv", "plain_lines.csv"}, 2), ({"middle.csv", "lines.csv", "words.csv"}, 40), ({"wide.csv"}, 2000)]
+    whole = files.read_grid(spark, str(tmp_path), sniffed)
+    for _, width, grid in found:
+        columns = ["table_id", "block", *[f"c{i}" for i in range(width)]]
+        mine = grid.select("table_id").distinct()
+        assert sorted(map(tuple, grid.select(columns).collect()), key=str) == sorted(
+            map(tuple, whole.join(mine, "table_id").select(columns).collect()), key=str)
+    assert files.read_grids(spark, []) == []
+
+
+def test_a_class_that_fails_is_its_files_status(spark, tmp_path, monkeypatch):
+    write(tmp_path, "narrow.csv", "k;v\nx;5\ny;6\n")
+    write(tmp_path, "wide.csv", ";".join(f"c{i}" for i in range(40)) + "\n" + ";".join(["7"] * 40) + "\n" + ";".join(["8"] * 40) + "\n")
+    shapes = cleaning.table_shapes
+
+    def failing(grid, *rest):
+        if len(G.cell_columns(grid)) == 40:
+            raise OSError("disk gone")
+        return shapes(grid, *rest)
+
+    monkeypatch.setattr(cleaning, "table_shapes", failing)
+    status = cleaning.clean_corpus(spark, str(tmp_path / "*.csv"), str(tmp_path / "out")).collect()
+    assert {(r.table_name, r.status, r.error) for r in status} == {("narrow", "published", None), ("wide", "failed", "disk gone")}
+    monkeypatch.undo()
+    status = cleaning.clean_corpus(spark, str(tmp_path / "*.csv"), str(tmp_path / "out")).collect()
+    assert {(r.table_name, r.status, r.n_columns) for r in status} == {("narrow", "skipped", 2), ("wide", "published", 40)}
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "wide")).collect()] == [(7,) * 40, (8,) * 40]
+
+
 def test_unique_names(spark):
     for given, expected in ((["a", "a", "b", "a"], ["a", "a_2", "b", "a_3"]), (["a", "a", "a_2"], None)):
         df = spark.createDataFrame([("t", i, n) for i, n in enumerate(given)], "table_id string, idx int, name string")
