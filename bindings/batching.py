@@ -226,6 +226,26 @@ def streamed_responses(spark, sf):
     return R.collected(spark.read.parquet(results)).select("instance_id", "sql", "error")
 
 
+@query("streamed_last_answer", BASE + """
+    SELECT instance_id, trim(prompt, chr(9)||chr(10)||chr(13)||chr(32)) || ' -- ' || (conv_id % 3) AS sql,
+           NULL AS error FROM r WHERE conv_id % 9 >= 3
+    UNION ALL SELECT instance_id, '', 'missing from batch output' FROM r WHERE conv_id % 9 < 3""")
+def streamed_last_answer(spark, sf):
+    """Three deliveries that answer most requests again, each twice in a file: the state keeps the last answer of each."""
+    inbox, results, marks = (fresh_path(spark, n) for n in ("inbox", "results", "marks"))
+    asked = requests(spark, sf)
+    for delivery in range(3):
+        answers = F.array(F.lit("SELECT 0"), F.concat(F.trim("prompt", F.lit("\t\n\r ")), F.lit(f" -- {delivery}")))
+        rows = asked.where((F.col("conv_id") % 9 >= 3) & (F.col("conv_id") % 3 >= delivery)).select(
+            F.col("instance_id").alias("custom_id"), F.explode(answers).alias("text"))
+        body = F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices"))
+        response = F.struct(F.lit(200).alias("status_code"), body.alias("body"))
+        rows.select(F.to_json(F.struct("custom_id", response.alias("response"))).alias("value")).write.mode("append").text(inbox)
+        R.follow_last_answers(spark, inbox, "chat_completions", results, marks).awaitTermination()
+    last = spark.read.parquet(results).withColumn("pos", F.lit(0))
+    return B.collect_results(asked.select("instance_id"), last, "chat_completions").select("instance_id", "sql", "error")
+
+
 @query("response_files", BASE + """
     SELECT 'chat_completions' AS layout, instance_id, trim(prompt, chr(9)||chr(10)||chr(13)||chr(32)) AS sql FROM r
     UNION ALL SELECT 'messages', instance_id, trim(prompt, chr(9)||chr(10)||chr(13)||chr(32)) FROM r

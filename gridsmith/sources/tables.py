@@ -73,13 +73,14 @@ def publish(df: DataFrame, name: str, overwrite: bool = False, path: str | None
     return "published"
 
 
-def replace_folder(df: DataFrame, name: str, path: str) -> None:
+def replace_folder(df: DataFrame, name: str, path: str, empty: bool = False) -> None:
+    """Write beside a folder and take its place; without rows only if it may be ``empty``."""
     spark = df.sparkSession
     fresh = f"{path}.{uuid.uuid4().hex}"
     try:
         df.write.parquet(fresh)
         # Asked of the written files, so the job does not run twice.
-        if spark.read.schema(df.schema).parquet(fresh).isEmpty():
+        if not empty and spark.read.schema(df.schema).parquet(fresh).isEmpty():
             raise ValueError(f"no data after cleaning: {name}")
         take_place(spark, fresh, path)
     finally:
