@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridsmith.operators.ordering import null_safe
 from gridsmith.operators.questions import gold_sql
 from gridsmith.plans.submission import each
-from gridsmith.session import fresh_path
+from gridsmith.session import fresh_path, staged
 from gridsmith.sources.tables import stored_place
 
-CELLS = "part string, seq bigint, col_idx int, num double, str string"
+CELLS = "query bigint, part string, seq bigint, col_idx int, num double, str string"
+STATUS = "query bigint, db_id string, sql string, n_cols int, error string"
+CHUNK = 256  # statements that the driver holds at once
+PACK = 16  # short statements of one database that share a job
+SHORT_BYTES = 64 << 20  # what a short statement reads, and the most its result is estimated to have
 SCAN_NODES = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation"}
 SHARED_SETTINGS = ["spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.shuffle.partitions"]
 
@@ -78,6 +86,53 @@ def analysed(session: SparkSession, sql: str) -> tuple[DataFrame, bool]:
     return result, set(kinds) <= SCAN_NODES and kinds.count("LogicalRelation") == 1
 
 
+class Prepared(NamedTuple):
+    """An analysed statement: its cells as a DataFrame not yet run."""
+
+    number: int
+    db_id: str
+    cells: DataFrame
+    n_cols: int
+    short: bool
+
+
+def is_short(result: DataFrame) -> bool:
+    """Whether a statement reads little and is estimated to give little, so that it may share a job with others."""
+    plan = result._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    read = sum(leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size()))
+    return max(read, plan.stats().sizeInBytes()) < SHORT_BYTES
+
+
+def statement_cells(session: SparkSession, number: int, db_id: str, sql: str) -> Prepared:
+    """The cells of a statement's result, one row each, with what keeps rows in their place."""
+    result, scan = analysed(session, sql)
+    kinds = [kind for _, kind in result.dtypes]
+    flat = result.toDF(*[f"c{i}" for i in range(len(kinds))])
+    cells = F.array(*[cell_value(F.col(f"c{i}"), kind) for i, kind in enumerate(kinds)])
+    # The id is partition number and row number in one: rows keep their place in the result.
+    number_of = F.monotonically_increasing_id()
+    stored = stored_place(F.input_file_name(), F.input_file_block_start())
+    part = stored if scan else F.lpad(F.shiftright(number_of, 33).cast("string"), 20, "0")
+    placed = flat.select(part.alias("part"), number_of.alias("seq"), cells.alias("cells"))
+    rows = placed.select("part", "seq", F.posexplode("cells").alias("col_idx", "cell")).select(
+        F.lit(number).cast("bigint").alias("query"), "part", "seq", "col_idx", "cell.num", "cell.str")
+    return Prepared(number, db_id, rows, len(kinds), is_short(result))
+
+
+def packs(statements: list[Prepared]) -> Iterator[list[Prepared]]:
+    """Statements that run as one job: short ones of a database together, any other alone."""
+    short: dict[str, list[Prepared]] = {}
+    for s in statements:
+        if s.short:
+            short.setdefault(s.db_id, []).append(s)
+        else:
+            yield [s]
+    for of_one in short.values():
+        for start in range(0, len(of_one), PACK):
+            yield of_one[start:start + PACK]
+
+
 def run_queries(spark: SparkSession, queries: DataFrame, databases: dict[str, dict[str, str]],
                 workers: int = 4) -> tuple[DataFrame, DataFrame]:
     """Run ``instance_id, db_id, sql`` and return ``(answers, cells)``.
@@ -85,37 +140,43 @@ def run_queries(spark: SparkSession, queries: DataFrame, databases: dict[str, di
     ``answers`` is ``instance_id, n_rows, n_cols, error``; ``cells`` is ``instance_id, row_idx, col_idx,
     num, str`` with rows in result order; a statement that only scans, filters and projects gives its
     rows in the order in which the table stores them, whichever task reads which file. Every distinct text runs once, distributed, and writes its
-    cells to the shared folder; the driver holds one status per text and no result row.
+    cells to the shared folder. Short statements of a database share a job; if it fails, its halves
+    run again, down to the statement whose error it is. The driver reads the texts in chunks and appends their status
+    to a table: it holds one chunk and a folder's name per job, and no result row.
     """
-    base = fresh_path(spark, "answers")
-    texts = [(i, r.db_id, r.sql) for i, r in enumerate(queries.select("db_id", "sql").distinct().collect())]
+    base, statuses = fresh_path(spark, "answers"), fresh_path(spark, "statuses")
     opened = {d: s for d, s, e in each(sorted(databases), lambda d: open_database(spark, databases[d]), workers) if not e}
-
-    def run(item: tuple[int, str, str]) -> int:
-        number, db_id, sql = item
-        if db_id not in opened:
-            raise LookupError(f"database not found: {db_id}")
-        result, scan = analysed(opened[db_id], sql)
-        kinds = [kind for _, kind in result.dtypes]
-        flat = result.toDF(*[f"c{i}" for i in range(len(kinds))])
-        cells = F.array(*[cell_value(F.col(f"c{i}"), kind) for i, kind in enumerate(kinds)])
-        # The id is partition number and row number in one: rows keep their place in the result.
-        number_of = F.monotonically_increasing_id()
-        stored = stored_place(F.input_file_name(), F.input_file_block_start())
-        part = stored if scan else F.lpad(F.shiftright(number_of, 33).cast("string"), 20, "0")
-        placed = flat.select(part.alias("part"), number_of.alias("seq"), cells.alias("cells"))
-        placed.select("part", "seq", F.posexplode("cells").alias("col_idx", "cell")).select("part", "seq", "col_idx", "cell.num", "cell.str").write.parquet(f"{base}/query={number}")
-        return len(kinds)
-
-    done = each(texts, run, workers)
-    status = spark.createDataFrame(
-        [(n, d, s, width, error) for (n, d, s), width, error in done],
-        "query int, db_id string, sql string, n_cols int, error string")
-    paths = [f"{base}/query={n}" for (n, _, _), _, error in done if error is None]
-    if paths:
-        written = spark.read.schema(CELLS + ", query int").option("basePath", base).parquet(*paths)
-    else:
-        written = spark.createDataFrame([], CELLS + ", query int")
+    texts = staged(queries.select("db_id", "sql").distinct().withColumn("number", F.monotonically_increasing_id()), "texts")
+    folders: list[str] = []
+
+    def prepared(r: Row) -> Prepared:
+        if r["db_id"] not in opened:
+            raise LookupError(f"database not found: {r['db_id']}")
+        return statement_cells(opened[r["db_id"]], r["number"], r["db_id"], r["sql"])
+
+    def write(pack: list[Prepared]) -> str:
+        folder = f"{base}/{pack[0].number}-{len(pack)}"
+        reduce(DataFrame.unionAll, [s.cells for s in pack]).write.parquet(folder)
+        return folder
+
+    # An empty table first, for the case that there is no statement.
+    spark.createDataFrame([], STATUS).write.parquet(statuses)
+    waiting = texts.toLocalIterator()
+    while chunk := list(islice(waiting, CHUNK)):
+        ready = each(chunk, prepared, workers)
+        done, open_packs = [], list(packs([s for _, s, error in ready if error is None]))
+        while open_packs:
+            ran = each(open_packs, write, workers)
+            done += [d for d in ran if d[2] is None or len(d[0]) == 1]
+            failing = [pack for pack, _, error in ran if error and len(pack) > 1]
+            open_packs = [half for p in failing for half in (p[:len(p) // 2], p[len(p) // 2:])]
+        folders += [folder for _, folder, error in done if error is None]
+        failed = {pack[0].number: error for pack, _, error in done if error}
+        rows = [(r["number"], r["db_id"], r["sql"], s.n_cols if s and r["number"] not in failed else None,
+                 error or failed.get(r["number"])) for r, s, error in ready]
+        spark.createDataFrame(rows, STATUS).coalesce(1).write.mode("append").parquet(statuses)
+    status = spark.read.schema(STATUS).parquet(statuses)
+    written = spark.read.schema(CELLS).parquet(*folders) if folders else spark.createDataFrame([], CELLS)
     per_part = written.where("col_idx = 0").groupBy("query", "part").agg(
         F.count(F.lit(1)).alias("n"), F.min("seq").alias("least"))
     before = Window.partitionBy("query").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

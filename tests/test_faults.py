@@ -3,17 +3,19 @@
 import json
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from gridsmith import session
 from gridsmith.operators import batches
 from gridsmith.operators.answers import parsed_answers
 from gridsmith.operators.describe import describe_tables
-from gridsmith.plans import cleaning
+from gridsmith.plans import cleaning, execute
 from gridsmith.plans.execute import as_query, run_queries
 from gridsmith.sources import files, records, tables
 from gridsmith.sources.responses import read_responses
-from gridsmith.streaming.responses import collected, follow_responses
+from gridsmith.streaming import responses
+from gridsmith.streaming.responses import collected, follow_last_answers, follow_responses
 
 
 def test_encoding_of_the_whole_file(spark, tmp_path):
@@ -133,6 +135,60 @@ def test_response_files_and_streams(spark, tmp_path):
             read_responses(spark, str(folder), layout)
 
 
+def test_last_answers_are_state(spark, tmp_path, monkeypatch):
+    """Nothing readable, answers, a run that dies before its table is in place, the same again, later answers, nothing new."""
+    folder, out, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
+    folder.mkdir()
+
+    def follow():
+        follow_last_answers(spark, str(folder), "chat_completions", out, marks).awaitTermination()
+        return {(r.instance_id, r.sql) for r in spark.read.parquet(out).collect()}
+
+    (folder / "0.jsonl").write_text("no answer\n", encoding="utf-8")
+    assert follow() == set()
+    (folder / "1.jsonl").write_text("\n".join([chat("a", "old"), chat("b", "b1"), chat("a", "new")]) + "\n", encoding="utf-8")
+
+    def dies(*_, **__):
+        raise OSError("gone")
+
+    monkeypatch.setattr(responses, "replace_folder", dies)
+    with pytest.raises(StreamingQueryException):
+        follow()
+    assert spark.read.parquet(out).count() == 0
+    monkeypatch.undo()
+    assert follow() == {("a", "new"), ("b", "b1")}
+    (folder / "2.jsonl").write_text("\n".join([chat("c", "c1"), chat("b", "b2")]) + "\n", encoding="utf-8")
+    assert follow() == {("a", "new"), ("b", "b2"), ("c", "c1")} == follow()
+
+
+def test_statements_in_packs(spark, tmp_path, monkeypatch):
+    """Short statements share a job; one that fails in it, or is long, ends up alone, and no answer changes."""
+    path = str(tmp_path / "t")
+    spark.range(40).selectExpr("id", "id % 3 AS k").repartition(3).write.parquet(path)
+    texts = {f"q{i}": f"SELECT id, k FROM t WHERE id >= {i} ORDER BY id DESC" for i in range(38)}
+    texts |= {"zero": "SELECT id % (id - 7) FROM t", "gone": "SELECT x FROM t", "same": texts["q5"], "none": "SELECT id FROM t WHERE id > 99"}
+    queries = spark.createDataFrame([(i, "db", s) for i, s in texts.items()] + [("other", "nowhere", "SELECT 1")], "instance_id string, db_id string, sql string")
+    found = []
+    for short, chunk in ((execute.SHORT_BYTES, 256), (0, 256), (execute.SHORT_BYTES, 7)):
+        monkeypatch.setattr(execute, "SHORT_BYTES", short)
+        monkeypatch.setattr(execute, "CHUNK", chunk)
+        base = str(tmp_path / f"answers-{short}-{chunk}")
+        monkeypatch.setattr(execute, "fresh_path", lambda _, label, base=base: f"{base}/{label}")
+        answers, cells = run_queries(spark, queries, {"db": {"t": path}})
+        status = {r.instance_id: (r.n_rows, r.n_cols, bool(r.error)) for r in answers.collect()}
+        rows = {}
+        for r in cells.orderBy("instance_id", "row_idx", "col_idx").collect():
+            rows.setdefault(r.instance_id, []).append((r.row_idx, r.col_idx, r.num))
+        found.append((status, rows, len(list((tmp_path / f"answers-{short}-{chunk}" / "answers").glob("*/_SUCCESS")))))
+    status, rows, n_folders = found[0]
+    assert status["zero"] == status["gone"] == status["other"] == (None, None, True)
+    assert status["none"] == (0, 1, False) and all(status[f"q{i}"] == (40 - i, 2, False) for i in range(38))
+    assert rows["same"] == rows["q5"] == [(n, c, float((39 - n) if c == 0 else (39 - n) % 3)) for n in range(35) for c in (0, 1)]
+    assert all(f[:2] == found[0][:2] for f in found[1:])
+    # Three packs, of which that of the failing statement was halved four times.
+    assert n_folders <= 6 and found[1][2] == 39
+
+
 def test_pending_batches_and_unavailable_schemas(spark, tmp_path):
     path = str(tmp_path / "pending")
     requests = spark.createDataFrame([("a",), ("b",), ("c",)], "instance_id string")
