@@ -150,6 +150,39 @@ def test_spectrum_kernel_is_that_of_sets():
     assert len(set(spectrum(a, 4, 22)) & set(spectrum(b, 4, 22))) == len(sets(a) & sets(b))
 
 
+def test_language_scores_are_plain_kernel_ridge(monkeypatch):
+    """With every text a landmark the scores are those of kernel ridge regression on sets of n-grams, in any batch."""
+    import numpy as np
+
+    from gridsmith.llm.kernels import spectrum
+
+    def sets(text):
+        flat = f" {' '.join(text.lower().split())} "
+        return {flat[i:i + n] for n in range(1, 5) for i in range(len(flat) - n + 1)}
+
+    def kernel(xs, ys):
+        return np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in ys] for x in xs])
+
+    known = [("the old house by the lake", "en"), ("a garden and a house", "en"), ("where is the boat", "en"), ("das alte haus am see", "de"),
+             ("ein garten und ein haus", "de"), ("wo ist das boot", "de"), ("la vieille maison du lac", "fr"), ("un jardin et une maison", "fr")]
+    asked = ["the boat", "das boot am see", "une vieille maison", "x", "the boat"] + [t for t, _ in known]
+    names = sorted({n for _, n in known})
+    target = np.array([[1.0 if n == m else -1.0 for m in names] for _, n in known])
+    held = [sets(t) for t, _ in known]
+    # The constant is a feature of its own, with a penalty of a millionth.
+    shift = LI.RIDGE / 1e-6
+    dual = np.linalg.solve(kernel(held, held) + shift + LI.RIDGE * np.eye(len(held)), target)
+    expected = (kernel([sets(t) for t in asked], held) + shift) @ dual
+    model = LI.fit_model([n for _, n in known], [spectrum(t, 4, 64) for t, _ in known], landmarks=9)
+    found = model.scores(asked)
+    assert model.names == names and np.abs(found - expected).max() < 1e-4
+    for batch, block in ((1, 8192), (4, 7), (128, 1)):
+        monkeypatch.setattr(LI, "BATCH", batch)
+        monkeypatch.setattr(LI, "BLOCK", block)
+        assert (model.scores(asked) == found).all()
+    assert model.scores([]).shape == (0, 3)
+
+
 def test_language_of_very_long_texts_of_large_alphabets():
     import numpy as np
 
