@@ -17,7 +17,8 @@ QUICK = [
     "header_rows_strict", "merged_headers", "unique_names", "ditto_marks", "drop_empty_columns", "raw_grid_quoted", "table_names",
     "example_values", "schema_text", "prompts", "minibatches_lines", "chat_requests", "extracted_sql", "collected_results",
     "query_status", "column_ranks", "execution_accuracy", "reparsed_cells", "late_windows_text", "quoted_commas",
-    "mixed_question_folder", "broken_question_file", "empty_table_twice", "unordered_gold", "foreign_tables", "pending_recorded"]
+    "mixed_question_folder", "broken_question_file", "empty_table_twice", "unordered_gold", "foreign_tables", "pending_recorded",
+    "wide_beside_narrow", "streamed_last_answer", "packed_statements"]
 PLANS = ["cleaned_revenue", "ditto_marks", "header_rows", "prompts", "column_ranks", "execution_accuracy", "collected_results",
          "minibatches_lines", "dedup_rows"]
 
