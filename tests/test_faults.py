@@ -10,7 +10,7 @@ from gridsmith import session
 from gridsmith.operators import batches
 from gridsmith.operators.answers import parsed_answers
 from gridsmith.operators.describe import describe_tables
-from gridsmith.plans import cleaning, execute
+from gridsmith.plans import cleaning, execute, submission
 from gridsmith.plans.execute import as_query, run_queries
 from gridsmith.sources import files, records, tables
 from gridsmith.sources.responses import read_responses
@@ -189,6 +189,27 @@ def test_statements_in_packs(spark, tmp_path, monkeypatch):
     assert n_folders <= 6 and found[1][2] == 39
 
 
+def test_many_failing_statements_cost_the_others_few_runs(spark, tmp_path, monkeypatch):
+    """Where many statements fail, packs are not halved again and again, and shrink."""
+    path, submitted = str(tmp_path / "t"), []
+    spark.range(4).write.parquet(path)
+    texts = [f"SELECT id % (id - 3) + {i} FROM t" if i % 10 == 9 else f"SELECT count(*) + {i} FROM t" for i in range(60)]
+    queries = spark.createDataFrame([(i, "db", s) for i, s in enumerate(texts)], "instance_id long, db_id string, sql string")
+
+    def each(items, job, workers=4):
+        items = list(items)
+        submitted.extend(s.number for pack in items if isinstance(pack, list) for s in pack)
+        return submission.each(items, job, workers)
+
+    monkeypatch.setattr(execute, "each", each)
+    monkeypatch.setattr(execute, "CHUNK", 20)
+    answers, cells = run_queries(spark, queries, {"db": {"t": path}})
+    assert {r.instance_id for r in answers.where("error IS NOT NULL").collect()} == set(range(9, 60, 10))
+    assert {r.instance_id: r.num for r in cells.collect()} == {i: 4.0 + i for i in range(60) if i % 10 != 9}
+    assert max(map(submitted.count, submitted)) <= 3 and len(submitted) < 130
+    assert execute.pack_size(0, 0) == execute.PACK and execute.pack_size(160, 16) == 3 and execute.pack_size(5, 5) == 1
+
+
 def test_pending_batches_and_unavailable_schemas(spark, tmp_path):
     path = str(tmp_path / "pending")
     requests = spark.createDataFrame([("a",), ("b",), ("c",)], "instance_id string")
