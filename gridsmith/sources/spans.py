@@ -132,12 +132,13 @@ def array_elements(pieces: DataFrame) -> DataFrame:
     depth = F.col("depth") + F.when(F.col("entry"), F.col("depth1")).otherwise(F.col("depth0"))
     known = rows.join(splits, SPLIT).select(*SPLIT, "seq", "value", (~inside & (depth == 1)).alias("ends"))
     # An element goes by the place of the piece that ends it: the next end at or after each piece.
-    after = Window.partitionBy(*SPLIT).orderBy("seq").rowsBetween(0, Window.unboundedFollowing)
-    found = staged(known.withColumn("at", F.first(F.when(F.col("ends"), F.col("seq")), ignorenulls=True).over(after)), "elements")
-    later = Window.partitionBy("table_id").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    # Backwards, as a frame with an open end would be gone through again for each piece.
+    after = Window.partitionBy(*SPLIT).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
+    found = staged(known.withColumn("at", F.last(F.when(F.col("ends"), F.col("seq")), ignorenulls=True).over(after)), "elements")
+    later = Window.partitionBy("table_id").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     first = found.groupBy(*SPLIT).agg(F.min(F.when(F.col("ends"), F.col("seq"))).alias("end"))
-    following = staged(first.select(*SPLIT, F.first(F.when(F.col("end").isNotNull(), F.struct("block", F.col("end").alias("seq"))),
-                                                    ignorenulls=True).over(later).alias("next")), "next")
+    following = staged(first.select(*SPLIT, F.last(F.when(F.col("end").isNotNull(), F.struct("block", F.col("end").alias("seq"))),
+                                                   ignorenulls=True).over(later).alias("next")), "next")
     own = F.when(F.col("at").isNotNull(), F.struct("block", F.col("at").alias("seq"))).otherwise(F.col("next"))
     whole = found.join(following, SPLIT).select("table_id", "block", "seq", "value", own.alias("key")).groupBy("table_id", "key").agg(
         F.array_sort(F.collect_list(F.struct("block", "seq", "value"))).alias("parts"))

@@ -72,6 +72,17 @@ def test_arrays_in_tiny_splits(spark, tmp_path, tiny_splits, indent):
     assert [json.loads(e.element) for e in elements if e.element is not None] == rows and all(e.sound for e in elements)
 
 
+def test_no_window_looks_ahead_for_every_piece(spark, tmp_path, monkeypatch):
+    """A frame with an open end is gone through again for each row: the time of a split would be quadratic."""
+    plans = []
+    monkeypatch.setattr(spans, "staged", lambda df, label: plans.append(df._jdf.queryExecution().analyzed().toString()) or df)
+    (tmp_path / "a.json").write_text('[{"question": "a"}, {"question": "b"}]', encoding="utf-8")
+    elements = spans.array_elements(spans.read_pieces(spark, [str(tmp_path / "a.json")], "}"))
+    plans.append(elements._jdf.queryExecution().analyzed().toString())
+    assert elements.where("sound").count() == 3
+    assert all("windowspecdefinition" in p for p in plans[:1]) and not any("unboundedfollowing" in p for p in plans)
+
+
 @pytest.mark.parametrize("text", ['[{"question": "a"},]', '[{"question": "a"} {"question": "b"}]', '[{"question": "a"}', '[{"question": "a}]',
                                   '[{"question": "a"}] {}', '[, {"question": "a"}]', '[{"question": a}]', '[{"question": "a"}}]'])
 def test_arrays_that_are_not_sound_are_refused_whole(spark, tmp_path, tiny_splits, text):
