@@ -112,6 +112,19 @@ def test_random_answers_against_brute_force(spark, monkeypatch):
     assert 30 < sum(c[3] for c in cases) < 270
 
 
+def test_short_columns_are_compared_as_lists(spark, monkeypatch):
+    """Short columns are never ranked over tasks; long ones are, also beside short ones, with the same verdicts."""
+    rank, ranked = S.rank_cells, []
+    monkeypatch.setattr(S, "rank_cells", lambda cells, key: ranked.append(key) or rank(cells, key))
+    cases = CASES + [([["x" * 300], [None], ["a"]], [["a"], ["x" * 300], [None]], "SELECT", True, None)]
+    for cells, chars, n in ((10_000, 1 << 20, 0), (2, 1 << 20, 2), (10_000, 100, 2), (0, 0, 2)):
+        monkeypatch.setattr(S, "SHORT_CELLS", cells)
+        monkeypatch.setattr(S, "SHORT_TEXT", chars)
+        ranked.clear()
+        got = {r.pred_id: (r.correct, r.error) for r in P.verdicts(*relations(spark, cases)).collect()}
+        assert [got[i] for i in range(len(cases))] == [c[3:] for c in cases] and len(ranked) == n
+
+
 def test_reflexive_and_blind_to_added_columns(spark):
     rng = random.Random(4)
     cases = []
