@@ -18,6 +18,7 @@ from gridsmith.operators.ordering import carried, null_safe
 
 TABLE = ["table_id"]
 ORDER = ["block", "seq"]
+PIECE_ROWS = 100_000  # rows of a block that one window takes
 
 
 def cell_columns(grid: DataFrame) -> list[str]:
@@ -194,11 +195,15 @@ def data_rows(grid: DataFrame, starts: DataFrame, table: list[str] = TABLE,
 
 def fill_ditto(grid: DataFrame, cells: list[str], table: list[str] = TABLE, block: list[str] = ORDER[:1],
                order: list[str] = ORDER) -> DataFrame:
-    """Replace ditto marks by the nearest cell above that is neither NULL nor a mark."""
+    """Replace ditto marks by the nearest cell above that is neither NULL nor a mark.
+
+    Blocks are cut into pieces of rows by the last, numeric order column, as a block of short lines holds millions of them.
+    """
     if not cells:
         return grid
+    pieces = grid.withColumn("_piece", F.floor(F.col(order[-1]) / PIECE_ROWS))
     values = {f"_above_{c}": F.when(F.col(c).isNotNull() & ~text.is_ditto(F.col(c)), F.col(c)) for c in cells}
-    filled = carried(grid, values, table, block, order)
+    filled = carried(pieces, values, table, [*block, "_piece"], order)
     return filled.select(*[
         F.when(text.is_ditto(F.col(c)), F.coalesce(F.col(f"_above_{c}"), F.col(c))).otherwise(F.col(c)).alias(c)
         if c in cells else F.col(c) for c in grid.columns])

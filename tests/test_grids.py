@@ -240,6 +240,16 @@ def test_ditto_across_blocks_and_tables(spark):
         assert (r.c0, r.c1) == (expected[r.table_id, r.seq, 0], expected[r.table_id, r.seq, 1])
 
 
+def test_ditto_within_long_blocks(spark, monkeypatch):
+    """A block of many short rows is no single window: marks are carried from piece to piece."""
+    monkeypatch.setattr(G, "PIECE_ROWS", 10)
+    rows = [("t", 0, i, "nt" if i % 25 else f"v{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "table_id string, block int, seq int, c0 string")
+    filled = G.fill_ditto(df, ["c0"])
+    assert [r.c0 for r in filled.orderBy("seq").collect()] == [f"v{i - i % 25}" for i in range(100)]
+    assert filled.columns == df.columns
+
+
 def test_row_types(spark):
     rows = [
         (["x", None, None], "title"), (["x", "x", "x"], "title"), (["x", "y", None], "title"), (["x", "y", "x"], "header_candidate"),
