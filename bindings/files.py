@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindings.registry import query, table, vn_text
+from bindings.registry import SPLIT_BYTES, file_count, query, table, vn_text
 from gridsmith.plans import cleaning
 from gridsmith.session import file_system, fresh_path, staged
 from gridsmith.sources import files, records, tables
@@ -57,16 +57,16 @@ def raw_grid_quoted(spark, sf):
     """Whole texts with line breaks and delimiters inside quoted cells."""
     path = fresh_path(spark, "csv")
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
-    docs.repartition(8, "doc_id").write.option("sep", ";").option("escape", '"').option("quoteAll", True).csv(path)
+    docs.repartition(file_count(spark, sf, "documents", 8), "doc_id").write.option("sep", ";").option("escape", '"').option("quoteAll", True).csv(path)
     return files.read_grid(spark, path).select("c0", "c1", "c2")
 
 
 @query("quoted_lines_split", "SELECT CAST(doc_id AS VARCHAR) AS c0, text AS c1, lang AS c2, source AS c3 FROM documents")
 def quoted_lines_split(spark, sf):
-    """All texts, line breaks and quote marks included, in one file that several tasks read."""
+    """All texts, line breaks and quote marks included, in one file for each two splits of the table; several tasks read each."""
     path = fresh_path(spark, "csv")
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", "source")
-    docs.coalesce(1).write.option("sep", ";").option("escape", '"').csv(path)
+    docs.coalesce(file_count(spark, sf, "documents", 1, 2 * SPLIT_BYTES)).write.option("sep", ";").option("escape", '"').csv(path)
     return files.read_grid(spark, path).select("c0", "c1", "c2", "c3")
 
 
@@ -79,7 +79,7 @@ def raw_grid_windows(spark, sf):
     docs = table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("doc_id"),
         F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" " + control)).alias("text"))
-    docs.repartition(8, "doc_id").write.option("sep", "|").option("escape", '"').option("encoding", "ISO-8859-1").csv(path)
+    docs.repartition(file_count(spark, sf, "documents", 8), "doc_id").write.option("sep", "|").option("escape", '"').option("encoding", "ISO-8859-1").csv(path)
     return files.read_grid(spark, path).select("c0", "c1")
 
 
@@ -96,8 +96,8 @@ def late_windows_text(spark, sf):
     euro = bytes([0x80]).decode("latin-1")
     last = spark.range(1).select(F.lit("last"), F.lit(f"café 5 {euro}"), F.lit(None).cast("bigint"))
     rows = docs.toDF("c0", "c1", "at").unionByName(last.toDF("c0", "c1", "at"))
-    # Four files, the special line at the end of the last.
-    rows.repartitionByRange(4, F.col("at").asc_nulls_last()).sortWithinPartitions(F.col("at").asc_nulls_last()).drop("at").write.option(
+    # Four files or more, the special line at the end of the last.
+    rows.repartitionByRange(file_count(spark, sf, "documents", 4), F.col("at").asc_nulls_last()).sortWithinPartitions(F.col("at").asc_nulls_last()).drop("at").write.option(
         "sep", "|").option("escape", '"').option("encoding", "ISO-8859-1").csv(path)
     return files.read_grid(spark, path).select("c0", "c1")
 
@@ -109,7 +109,7 @@ def quoted_commas(spark, sf):
     path = fresh_path(spark, "csv")
     table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("doc_id"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"), "lang").repartition(
-        8, "doc_id").write.option("escape", '"').csv(path)
+        file_count(spark, sf, "documents", 8), "doc_id").write.option("escape", '"').csv(path)
     grid = files.read_grid(spark, path)
     return grid.select("c0", "c1", "c2", F.lit(len(grid.columns) - 3).alias("width"))
 

@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def file_count(spark: SparkSession, sf_dir: str, name: str, least: int = 1, each: int = SPLIT_BYTES) -> int:
+    """Into how many files the rows of a table are written: one for each ``each`` bytes, so that no task's share grows with it."""
+    size = sum(file_system(spark, f)[0].getFileStatus(file_system(spark, f)[1]).getLen() for f in table(spark, sf_dir, name).inputFiles())
+    return max(least, -(-size // each))
+
+
 def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table for queries whose time goes into cell work: a file with fewer splits than there are cores
     is dealt evenly to all of them by its first column, others are read as they lie."""

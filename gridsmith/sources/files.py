@@ -59,7 +59,8 @@ def delimiters_outside_quotes(text: str, sep: str) -> Column:
     edge = re.escape(sep)
     cell = rf'(?<=^|{edge})[ \t]*"[^"]*+(?:""[^"]*+)*+"(?={edge}|$)'
     bare = F.when(F.contains(text, F.lit('"')), F.regexp_replace(text, cell, "")).otherwise(F.col(text))
-    return _count(bare, sep)
+    # Most delimiters stand nowhere in a line: it is not searched for cells then.
+    return F.when(~F.contains(text, F.lit(sep)), 0).otherwise(_count(bare, sep))
 
 
 def line_facts(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -53,3 +53,20 @@ def test_scan_reads_only_what_is_needed(spark, con):
     plan = T.drop_duplicates(df, ["l_returnflag"])._jdf.queryExecution().toString()
     scan = plan[plan.index("== Physical Plan =="):]
     assert "ReadSchema: struct<l_partkey:bigint,l_returnflag:string>" in scan and "GreaterThan(l_partkey,100)" in scan
+
+
+@pytest.mark.parametrize("name, least", [("quoted_lines_split", 1), ("late_windows_text", 4), ("quoted_commas", 8)])
+def test_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch, name, least):
+    """A larger table is written into more files, so no task writes or reads a fixed share of it."""
+    from bindings import files, registry
+
+    text = "concat('a \"b\"', chr(10), repeat('text ', 20), id) AS text"
+    spark.range(600).selectExpr("id AS doc_id", text, "'en' AS lang", "'web' AS source").repartition(12).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(files, "fresh_path", lambda _, label: str(tmp_path / label))
+    monkeypatch.setattr(files, "SPLIT_BYTES", 2000)
+    monkeypatch.setattr(registry.file_count, "__defaults__", (1, 1000))
+    got = {r.c0: r.c1 for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    kept = '\n' if name == "quoted_lines_split" else " "
+    assert got.pop("last", None) == ("café 5 €" if name == "late_windows_text" else None)
+    assert got == {str(i): f'a "b"{kept}' + "text " * 20 + str(i) for i in range(600)}
+    assert len(list((tmp_path / "csv").glob("part-*.csv"))) > least
