@@ -378,7 +378,7 @@ def questions_file(spark, sf):
 def questions_array(spark, sf):
     """The same questions as JSON arrays, one per conversation; positions continue over the files."""
     path = fresh_path(spark, "questions")
-    _array_files(question_records(spark, sf), path)
+    _array_files(question_records(spark, sf), path, sf)
     return records.read_questions(spark, path).select("pos", "db_id", "question", "external_knowledge")
 
 
@@ -397,14 +397,18 @@ def questions_array_split(spark, sf):
     return records.read_questions(spark, path).select("pos", "db_id", "question", "external_knowledge")
 
 
-def _array_files(rows, path):
+def _array_files(rows, path, sf):
     """A JSON array per conversation, a few turns each, in a file of its own."""
     per_file = rows.groupBy("conv_id").agg(F.to_json(F.transform(
         F.array_sort(F.collect_list(F.struct("turn", "db_id", "question", "external_knowledge"))),
         lambda q: F.struct(q["db_id"].alias("db_id"), q["question"].alias("question"),
                            q["external_knowledge"].alias("external_knowledge")))).alias("value"))
-    per_file.withColumn("conv", F.format_string("%08d", "conv_id")).select("conv", "value").write.partitionBy(
-        "conv").option("lineSep", "\n").text(path)
+    # A folder for two hundred ids at most, as Spark looks each folder up by a task. Every task moves its own files to their
+    # place: one after the other, the driver would take longer than the tasks.
+    folder = F.format_string("%08d", F.floor(F.col("conv_id") / 200)).alias("convs")
+    per_file.select("conv_id", folder, "value").repartition(file_count(rows.sparkSession, sf, "conversations", 8, 1 << 20), "convs").sortWithinPartitions(
+        "convs", "conv_id").select("convs", "value").write.partitionBy("convs").option("maxRecordsPerFile", 1).option(
+        "lineSep", "\n").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
 
 
 @query("mixed_question_folder", QUESTION_FILE_SQL.replace("ORDER BY conv_id, turn", "ORDER BY conv_id % 2, conv_id, turn"))
@@ -414,7 +418,7 @@ def mixed_question_folder(spark, sf):
     rows = question_records(spark, sf)
     rows.where("conv_id % 2 = 0").repartitionByRange(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn").drop(
         "conv_id", "turn").write.json(f"{path}/lines")
-    _array_files(rows.where("conv_id % 2 = 1"), f"{path}/second")
+    _array_files(rows.where("conv_id % 2 = 1"), f"{path}/second", sf)
     return records.read_questions(spark, [f"{path}/lines", f"{path}/second"]).select(
         "pos", "db_id", "question", "external_knowledge")
 

@@ -21,14 +21,14 @@ PREDICTION_SCHEMA = "instance_id string, db_id string, sql_answer string, sql st
 REPARSED_SCHEMA = "index bigint, db_id string, sql string, result string"
 
 
-def layouts(spark: SparkSession, path: str | list[str]) -> dict[str, bool]:
-    """Per file whether it is one JSON array, told by its first character that is no blank; empty files are absent."""
+def layouts(spark: SparkSession, path: str | list[str]) -> dict[str, bool | None]:
+    """Per file whether it is one JSON array, told by its first character that is no blank; None if all are blank. Empty files are absent."""
+    first = F.substring(F.ltrim("value", F.lit("\ufeff \t\r")), 1, 1)
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(
         F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
-        F.substring(F.ltrim("value", F.lit("\ufeff \t\r")), 1, 1).alias("first")).where("first <> ''")
-    heads = lines.groupBy("file").agg(F.min(F.struct("block", "seq", "first")).getField("first").alias("first"))
-    return {unquote(r["file"]): r["first"] == "[" for r in heads.collect()}
+        F.monotonically_increasing_id().alias("seq"), first.alias("first"))
+    heads = lines.groupBy("file").agg(F.min(F.when(F.col("first") != "", F.struct("block", "seq", "first"))).getField("first").alias("first"))
+    return {unquote(r["file"]): None if r["first"] is None else r["first"] == "[" for r in heads.collect()}
 
 
 def read_records(spark: SparkSession, path: str | list[str], schema: str, broken: str = "fail") -> DataFrame:
@@ -44,17 +44,19 @@ def read_records(spark: SparkSession, path: str | list[str], schema: str, broken
         raise ValueError(f"unknown way to treat broken records: {broken}")
     found = layouts(spark, path)
     parts = []
-    lines, arrays = (sorted(f for f, is_array in found.items() if is_array == kind) for kind in (False, True))
+    lines, arrays = (sorted(f for f, is_array in found.items() if is_array is kind) for kind in (False, True))
+    # Files of one layout are read by their folder: thousands of names take the driver long to look up.
+    alike = len(set(found.values())) == 1
     place = [F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_seq")]
     whole = f"{schema}, corrupt string"
     options = {"columnNameOfCorruptRecord": "corrupt"}
     if lines:
-        texts = spark.read.text(lines).where(F.trim("value", F.lit("\ufeff \t\r")) != "")
+        texts = spark.read.option("recursiveFileLookup", alike).text(path if alike else lines).where(F.trim("value", F.lit("\ufeff \t\r")) != "")
         record = F.from_json(F.ltrim("value", F.lit("\ufeff")), whole, options)
         parts.append(texts.select(record.alias("r"), *place, F.col("_metadata.file_block_start").alias("_block")).select(
             "r.*", "file", "_seq", "_block"))
     if arrays:
-        elements = staged(array_elements(read_pieces(spark, arrays, "}")), "elements")
+        elements = staged(array_elements(read_pieces(spark, path if alike else arrays, "}", alike)), "elements")
         unsound = ~F.col("sound") | (F.col("element").isNotNull() & F.try_parse_json("element").isNull())
         checked = elements.groupBy("table_id").agg(F.bool_or(unsound).alias("unsound"), F.count_if(F.col("element").isNull()).alias("ends"))
         broken_files = [r["table_id"] for r in checked.where("unsound OR ends <> 1").collect()]

@@ -87,9 +87,9 @@ def quoted_records(lines: DataFrame, sep: str) -> DataFrame:
         "table_id", "at.block", "at.seq", "record")
 
 
-def read_pieces(spark: SparkSession, paths: list[str], end: str) -> DataFrame:
+def read_pieces(spark: SparkSession, paths: str | list[str], end: str, recursive: bool = False) -> DataFrame:
     """``table_id, block, seq, value``: pieces of files up to each ``end``, in file order by ``block, seq``."""
-    return spark.read.option("lineSep", end).text(paths).select(
+    return spark.read.option("lineSep", end).option("recursiveFileLookup", recursive).text(paths).select(
         F.col("_metadata.file_path").alias("table_id"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"), "value")
 

@@ -70,3 +70,31 @@ def test_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch, name, le
     assert got.pop("last", None) == ("café 5 €" if name == "late_windows_text" else None)
     assert got == {str(i): f'a "b"{kept}' + "text " * 20 + str(i) for i in range(600)}
     assert len(list((tmp_path / "csv").glob("part-*.csv"))) > least
+
+
+def test_array_files_share_folders(spark, tmp_path, monkeypatch):
+    """A file for each conversation, but a folder for two hundred: folders are looked up by a task each."""
+    from bindings import files
+
+    spark.range(900).selectExpr("id DIV 2 AS conv_id", "id % 2 AS turn", "'user' AS role", "concat('q', id) AS text").repartition(5).write.parquet(
+        str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(files, "fresh_path", lambda _, label: str(tmp_path / label))
+    rows = QUERIES["questions_array"](spark, str(tmp_path)).orderBy("pos").collect()
+    assert [(r.pos, r.question) for r in rows] == [(i, f"q{i}") for i in range(900)]
+    assert len(list((tmp_path / "questions").glob("*"))) <= 5 and len(list((tmp_path / "questions").glob("*/part-*"))) == 450
+
+
+def test_blank_files_beside_arrays_and_lines(spark, tmp_path):
+    """Files of one layout are read by their folder; one of blanks alone is no record in either."""
+    from gridsmith.sources import records
+
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "1.json").write_text('[{"question": "a"}, {"question": "b"}]', encoding="utf-8")
+    (tmp_path / "c.json").write_text('[{"question": "c"}]', encoding="utf-8")
+    asked = lambda: [(r.pos, r.question) for r in records.read_questions(spark, str(tmp_path)).orderBy("pos").collect()]
+    assert asked() == [(0, "a"), (1, "b"), (2, "c")]
+    (tmp_path / "d.json").write_text(" \n\n", encoding="utf-8")
+    (tmp_path / "e.json").write_text("", encoding="utf-8")
+    assert asked() == [(0, "a"), (1, "b"), (2, "c")]
+    (tmp_path / "f.json").write_text('\n{"question": "d"}\n', encoding="utf-8")
+    assert asked() == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
