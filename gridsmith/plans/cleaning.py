@@ -6,6 +6,7 @@ import hashlib
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,21 +77,25 @@ def table_shapes(grid: DataFrame, strict: bool = False, ascii_names: bool = Fals
     return shapes
 
 
-def by_table(df: DataFrame, label: str) -> DataFrame:
+def by_table(df: DataFrame, label: str, tables: list[str] | None = None) -> DataFrame:
     """Write rows to the shared folder, a subfolder per table, and read them back.
 
     Later passes are columnar, pruned to the table they want, and independent of the tasks that
-    computed the rows.
+    computed the rows. To part tables, each task sorts its rows; rows of a single one of known
+    ``tables`` are written as they come.
     """
     keyed = df.withColumn("table_key", F.sha2("table_id", 256))
     path = fresh_path(df.sparkSession, label)
-    keyed.write.partitionBy("table_key").parquet(path)
+    if tables and len(tables) == 1:
+        df.write.parquet(f"{path}/table_key={folder_key(tables[0])}")
+    else:
+        keyed.write.partitionBy("table_key").parquet(path)
     return df.sparkSession.read.schema(keyed.schema).parquet(path)
 
 
-def stage_grid(grid: DataFrame) -> DataFrame:
+def stage_grid(grid: DataFrame, tables: list[str] | None = None) -> DataFrame:
     """The non-empty rows: raw files are parsed once, and row numbers are fixed."""
-    return by_table(G.drop_empty_rows(grid), "grid")
+    return by_table(G.drop_empty_rows(grid), "grid", tables)
 
 
 def folder_key(table_id: str) -> str:
@@ -112,8 +117,11 @@ def cleaned_rows(grid: DataFrame, shapes: dict[str, Shape]) -> DataFrame:
         ways.setdefault((bool(s.ditto), bool(s.nfc)), {})[t] = s
     parts = []
     for _, tables in sorted(ways.items()):
-        starts = grid.sparkSession.createDataFrame(
-            [(t, s.start[0], s.start[1]) for t, s in tables.items()], "table_id string, block bigint, seq bigint")
+        # An Arrow table is a relation whose size Spark knows. A list is not: the rows would be taken for the smaller side,
+        # and broadcast or sorted by table in one task.
+        starts = grid.sparkSession.createDataFrame(pa.table({
+            "table_id": pa.array(list(tables), pa.string()), "block": pa.array([s.start[0] for s in tables.values()], pa.int64()),
+            "seq": pa.array([s.start[1] for s in tables.values()], pa.int64())}))
         mine = grid
         if len(ways) > 1 and "table_key" in grid.columns:
             mine = grid.where(F.col("table_key").isin([folder_key(t) for t in tables]))
@@ -170,11 +178,11 @@ def clean_corpus(spark: SparkSession, path: str, target: str | None = None, over
 
     def prepared(files: tuple[list[str], DataFrame]) -> tuple[dict[str, Shape], dict[str, list[Row]], DataFrame | None]:
         """Shapes, votes and clean rows of the tables of one width class."""
-        grid = stage_grid(files[1])
+        grid = stage_grid(files[1], files[0])
         shapes = {t: s for t, s in table_shapes(grid.drop("table_key"), strict, ascii_names).items() if s.start}
         if not shapes:
             return {}, {}, None
-        rows = by_table(cleaned_rows(grid, shapes), "clean")
+        rows = by_table(cleaned_rows(grid, shapes), "clean", list(shapes))
         found: dict[str, list[Row]] = {}
         for v in profile(rows, G.cell_columns(rows), ["table_id"], bool_digits).collect():
             found.setdefault(v["table_id"], []).append(v)

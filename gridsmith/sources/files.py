@@ -64,7 +64,7 @@ def delimiters_outside_quotes(text: str, sep: str) -> Column:
 
 
 def line_facts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Per file: its first bytes, whether it is UTF-8 throughout, whether a quoted cell spans lines,
+    """Per file: whether it begins with a byte order mark of UTF-16, whether it is UTF-8 throughout, whether a quoted cell spans lines,
     and per delimiter the most fields of a line and the evidence for it.
 
     Evidence is how many lines agree on the delimiter's number; where cells span lines, and lines
@@ -72,27 +72,31 @@ def line_facts(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     One scan of the raw text serves all: lines are counted by file and delimiter counts first, a
     few short rows per file and task. A line with an odd number of quote marks opens or closes a
-    cell that spans lines.
+    cell that spans lines. All that is combined is numbers, which a hash table takes: bytes or a struct
+    would have every task sort all lines of its split first.
     """
     counts = [f"n{i}" for i in range(len(V.DELIMITERS))]
     beside = [f"q{i}" for i in range(len(V.DELIMITERS))]
     at_quotes = lambda d: _count("value", f'"{d}') / 2 + _count("value", f'{d}"') / 2
     # Signs of UTF-16 have a zero byte before or behind them, which would part delimiters from quote marks.
+    # The first split of a file is read by one task, whose row numbers are the lower 33 bits of the id.
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    mark = F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).isin("FFFE", "FEFF").cast("int")
     bare = F.when(F.contains("value", F.lit("\0")), F.translate("value", "\0", "")).otherwise(F.col("value"))
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"), F.substring(F.col("value").cast("binary"), 1, 2).alias("bytes"),
+        F.col("_metadata.file_path").alias("file_id"),
+        F.when(F.col("_metadata.file_block_start") == 0, row * 2 + mark).alias("head"),
         F.is_valid_utf8("value").alias("valid"), bare.alias("value")).select(
-        "file_id", "block", "seq", "bytes", "valid", "value",
+        "file_id", "head", "valid", "value",
         *[delimiters_outside_quotes("value", d).alias(n) for n, d in zip(counts, V.DELIMITERS, strict=True)])
     kinds = lines.groupBy("file_id", *counts).agg(
         *[F.sum(at_quotes(d)).alias(q) for q, d in zip(beside, V.DELIMITERS, strict=True)],
         F.count(F.lit(1)).alias("lines"), F.bool_and("valid").alias("utf8"),
         F.bool_or(_count("value", '"') % 2 == 1).alias("odd"),
-        F.min(F.struct("block", "seq", "bytes")).alias("head"))
+        F.min("head").alias("head"))
     one = kinds.groupBy("file_id").agg(
         F.bool_and("utf8").alias("utf8"), F.bool_or("odd").alias("quoted_newlines"),
-        F.min("head").getField("bytes").alias("head"),
+        (F.min("head") % 2 == 1).alias("marked"),
         *[(F.max(n) + 1).alias(f"w{i}") for i, n in enumerate(counts)])
     votes = kinds.select("file_id", "lines", F.posexplode(F.array(*counts)).alias("sep", "n"))
     agreed = votes.groupBy("file_id", "sep", "n").agg(F.sum("lines").alias("lines")).groupBy("file_id", "sep").agg(
@@ -159,7 +163,7 @@ def sniff_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     names = F.array(*[F.lit(d) for d in V.DELIMITERS])
     chosen = F.when(F.array_contains("tied", F.array_position(names, F.col("choice")).cast("int") - 1), F.col("choice")).otherwise(
         F.coalesce(F.get(names, F.get(F.col("tied"), F.lit(0))), F.lit(",")))
-    marked = F.coalesce(F.hex("head").isin("FFFE", "FEFF"), F.lit(False))
+    marked = F.coalesce("marked", F.lit(False))
     encoding = F.when(marked, "UTF-16").when(F.col("utf8") | F.col("utf8").isNull(), "UTF-8").otherwise("cp1252")
     width = F.coalesce(*[F.when(F.col("sep") == d, F.col(f"w{i}")) for i, d in enumerate(V.DELIMITERS)])
     return evidence.withColumn("sep", chosen).select(

@@ -278,3 +278,26 @@ def test_file_split_over_many_tasks(spark, tmp_path):
     assert [r.name for r in rows] == [f"name {i - i % 50}" for i in range(n)]
     assert df.schema["value"].dataType.simpleString() == "double" and rows[7].value == 7.5
     assert rows[0].block == 0 and F is not None
+
+
+def test_data_rows_stay_where_they_are(spark, tmp_path):
+    """First rows are broadcast to the grid, not the grid to them, and no task gathers or sorts a table."""
+    write(tmp_path, "one.csv", "k;v\n" + "".join(f"x{i};{i + 5}\n" for i in range(500)))
+    facts = files.line_facts(spark, str(tmp_path))
+    assert "SortAggregate" not in facts._jdf.queryExecution().executedPlan().toString()
+    (ids, grid), = files.read_grids(spark, files.sniff_files(spark, str(tmp_path)).collect())
+    alone, parted = cleaning.stage_grid(grid, ids), cleaning.stage_grid(grid)
+    assert alone.schema == parted.schema and sorted(alone.collect()) == sorted(parted.collect())
+    assert alone.where(F.col("table_key") == cleaning.folder_key(ids[0])).count() == 501
+    rows = cleaning.cleaned_rows(alone, cleaning.table_shapes(alone.drop("table_key")))
+    join = [x for x in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert len(join) == 1 and "BroadcastHashJoin" in join[0] and "BuildRight" in join[0]
+    assert sorted(r.c0 for r in rows.collect()) == sorted(f"x{i}" for i in range(500))
+
+
+@pytest.mark.parametrize("encoding, marked", [("utf-16", True), ("utf-8", False), ("utf-8-sig", False)])
+def test_mark_of_the_first_line_only(spark, tmp_path, encoding, marked):
+    write(tmp_path, "one.csv", "k;v\nx;5\n", encoding)
+    (tmp_path / "two.csv").write_bytes(b"k;v\n\xff\xfex;5\n")
+    found = {r.file_id.rsplit("/", 1)[1]: r.marked for r in files.line_facts(spark, str(tmp_path)).collect()}
+    assert found == {"one.csv": marked, "two.csv": False}
