@@ -192,16 +192,19 @@ def run_queries(spark: SparkSession, queries: DataFrame, databases: dict[str, di
     per_part = written.where("col_idx = 0").groupBy("query", "part").agg(
         F.count(F.lit(1)).alias("n"), F.min("seq").alias("least"))
     before = Window.partitionBy("query").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select(
-        "query", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias("off"))
-    sizes = per_part.groupBy("query").agg(F.sum("n").alias("n_rows"))
+    # A row per statement and split, staged so that its size is known: it is broadcast if it is small, and cells are never
+    # gathered by statement.
+    offsets = staged(per_part.select(
+        "query", "part", "n", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias("off")), "offsets")
+    sizes = offsets.groupBy("query").agg(F.sum("n").alias("n_rows"))
     tagged = queries.select("instance_id", "db_id", "sql").alias("l").join(
         status.alias("r"), null_safe("l", "r", ["db_id", "sql"])).select("l.instance_id", "r.query", "r.n_cols", "r.error")
     answers = tagged.join(sizes, "query", "left").select(
         "instance_id",
         F.when(F.col("error").isNull(), F.coalesce("n_rows", F.lit(0))).alias("n_rows"),
         F.when(F.col("error").isNull(), F.col("n_cols")).alias("n_cols"), "error")
-    cells = written.join(offsets, ["query", "part"]).join(tagged.select("instance_id", "query"), "query").select(
+    places = staged(offsets.join(tagged.select("instance_id", "query"), "query").select("instance_id", "query", "part", "off"), "places")
+    cells = written.join(places, ["query", "part"]).select(
         "instance_id", (F.col("off") + F.col("seq")).alias("row_idx"), "col_idx", "num", "str")
     return answers, cells
 

@@ -295,3 +295,17 @@ def test_entry_without_a_module_of_the_text_operators(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert "cleaned_revenue" in entry.queries() and not any(n.startswith("op") for n in entry.queries())
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def test_cells_of_a_statement_are_not_gathered_by_it(spark, tmp_path):
+    """The result of one statement is as long as its table: it meets its offsets where it stands."""
+    path = str(tmp_path / "t")
+    spark.range(0, 1000, 1, 4).write.parquet(path)
+    asked = spark.createDataFrame([("a", "d", "SELECT id FROM t"), ("b", "d", "SELECT id FROM t"), ("a", "d", "SELECT 5")],
+                                  "instance_id string, db_id string, sql string")
+    answers, cells = run_queries(spark, asked, {"d": {"t": path}})
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    got = sorted((r.instance_id, r.row_idx, r.num) for r in cells.collect())
+    assert got == sorted([(i, k, float(k)) for i in "ab" for k in range(1000)] + [("a", 0, 5.0)])
+    assert sorted((r.instance_id, r.n_rows) for r in answers.collect()) == [("a", 1), ("a", 1000), ("b", 1000)]
