@@ -1,11 +1,13 @@
-"""Byte-pair encoding by folds of ranked merges over distinct words, and decoding by joining pieces."""
+"""Byte-pair encoding by folds of ranked merges over the distinct words of a batch, and decoding by joining pieces."""
 
 from __future__ import annotations
 
 import base64
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from public_tokenizers import PATTERN, path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,19 +15,76 @@ from pyspark.sql import functions as F
 from gridsmith.llm.base import query, table
 from gridsmith.session import staged
 
-FREQUENT = 1 << 18  # words whose ids are kept in a table for all tasks; the others are folded where they stand
-WORD_SLOTS = 1 << 17
-PAIR_SLOTS = 1 << 16
-SPREAD = 0x9E3779B1  # an odd factor that spreads pairs over the slots
-FOLDING = ("singles", "doubles", "pairs")
-LONG_WORD = 96  # bytes from which all pairs of a rank merge in one step
+TEXTS = 256  # texts of a batch that are put together at a time
+AT_ONCE = 1 << 18  # distinct words of a batch that are folded together
+NO_RANK = np.iinfo(np.int32).max
+
+
+class Ranks:
+    """Ids of single bytes, and the merged ids of pairs of ids in sorted order of the pairs."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = {}
+        for piece, rank in ranks.items():
+            for cut in range(1, len(piece)):
+                left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        self.singles = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.pairs = np.array(sorted(pairs), np.int64)
+        # One more place, where pairs beyond the last are looked up.
+        self.ids = np.array([pairs[p] for p in self.pairs.tolist()] + [NO_RANK], np.int32)
+        self.pairs = np.append(self.pairs, np.iinfo(np.int64).max)
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ids that neighbouring ids merge to, NO_RANK if none."""
+        keys = left << 32 | right
+        at = np.searchsorted(self.pairs, keys)
+        return np.where(self.pairs[at] == keys, self.ids[at], NO_RANK)
+
+    def folded(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and how many each has. ``data`` holds the bytes of words that end before ``ends``.
+
+        In each round every word merges its pairs of the least rank, from the left, until none has a
+        rank; a word that is done leaves. No merge makes a pair of a lower rank: a piece's own merges
+        all rank below it, so they are done.
+        """
+        ids, word = self.singles[data], np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        ranks = np.full(len(ids), NO_RANK, np.int32)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        ranks[inner] = self.merged(ids[inner], ids[inner + 1])
+        done = []
+        while len(ids):
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            sizes = np.diff(starts, append=len(ids))
+            least = np.repeat(np.minimum.reduceat(ranks, starts), sizes)
+            left = least != NO_RANK
+            done.append((word[~left], ids[~left]))
+            ids, word, ranks, least = ids[left], word[left], ranks[left], least[left]
+            place = np.arange(len(ids))
+            hit = ranks == least
+            # Of pairs that overlap, every second one merges, counted from the first.
+            opens = hit & ~np.concatenate([[False], hit[:-1]])
+            hit &= (place - np.maximum.accumulate(np.where(opens, place, 0))) % 2 == 0
+            kept = np.concatenate([[True], ~hit[:-1]])[:len(ids)]
+            ids = np.where(hit, least, ids)[kept]
+            word, ranks, new = word[kept], ranks[kept], np.flatnonzero(hit[kept])
+            # Only pairs with a merged id change.
+            stale = np.union1d(new, new[new > 0] - 1)
+            ranks[stale] = NO_RANK
+            stale = stale[stale + 1 < len(ids)]
+            stale = stale[word[stale] == word[stale + 1]]
+            ranks[stale] = self.merged(ids[stale], ids[stale + 1])
+        word, ids = (np.concatenate([d[i] for d in done] or [np.zeros(0, np.int64)]) for i in (0, 1))
+        return ids[np.argsort(word, kind="stable")].astype(np.int32), np.bincount(word, minlength=len(ends))
 
 
 @dataclass
 class Tokenizer:
-    """The pattern of words, and one staged row: ids of single bytes and of two, merged ids of pairs of ids, pieces of ids in hex."""
+    """The pattern of words, the ranks, and one staged row: the pieces of ids in hex."""
 
     pattern: str
+    ranks: Ranks
     tables: DataFrame
 
 
@@ -44,22 +103,12 @@ def tokenizer(spark: SparkSession, where: str, pattern: str = PATTERN) -> Tokeni
     ranks = read_ranks(where)
     if any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("the ranks must hold all single bytes")
-    slots: list[list[tuple[int, int]]] = [[] for _ in range(PAIR_SLOTS)]
-    for piece, rank in ranks.items():
-        for cut in range(1, len(piece)):
-            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
-            if left is not None and right is not None:
-                key = left << 32 | right
-                slots[(left * SPREAD + right) % PAIR_SLOTS].append((key, rank))
     pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex()
-    kinds = {"singles": pa.list_(pa.int32()), "doubles": pa.list_(pa.int32()), "pairs": pa.list_(pa.map_(pa.int64(), pa.int32())), "pieces": pa.list_(pa.string())}
-    rows = {"singles": [[ranks[bytes([b])] for b in range(256)]],
-            "doubles": [[ranks.get(bytes([a, b])) for a in range(256) for b in range(256)]], "pairs": [slots], "pieces": [pieces]}
-    tables = staged(spark.createDataFrame(pa.table({c: pa.array(rows[c], kind) for c, kind in kinds.items()})), "vocabulary")
+    tables = staged(spark.createDataFrame(pa.table({"pieces": pa.array([pieces], pa.list_(pa.string()))})), "vocabulary")
     # (?U): blanks are those of Unicode.
-    return Tokenizer("(?U)" + pattern, tables)
+    return Tokenizer("(?U)" + pattern, Ranks(ranks), tables)
 
 
 def held(tables: DataFrame, names: tuple[str, ...]) -> Column:
@@ -71,108 +120,45 @@ def held(tables: DataFrame, names: tuple[str, ...]) -> Column:
     return F.struct(*[tables.select(c).scalar().alias(c) for c in names])
 
 
-def merged(pairs: Column, left: Column, right: Column) -> Column:
-    """The id that two neighbouring ids merge to, NULL if none."""
-    left, right = left.cast("long"), right.cast("long")
-    slot = F.pmod(left * F.lit(SPREAD) + right, F.lit(PAIR_SLOTS)).cast("int")
-    return F.try_element_at(F.get(pairs, slot), F.shiftleft(left, 32).bitwiseOR(right))
-
-
-def neighbours(pairs: Column, ids: Column) -> Column:
-    """For each id the one that it merges to with the next."""
-    return F.transform(ids, lambda x, i: merged(pairs, x, F.get(ids, i + 1)))
-
-
-def first_merged(pairs: Column, ids: Column, ranks: Column) -> Column:
-    """The state after the first pair of the least rank has merged; NULL if no pair has a rank."""
-    def step(found: Column) -> Column:
-        least = F.shiftright(found, 32).cast("int")
-        return let(found.bitwiseAND(0xFFFFFFFF).cast("int"), lambda at: F.when(at.isNotNull(), F.struct(
-            F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda i: F.when(i < at, F.get(ids, i)).when(i > at, F.get(ids, i + 1))
-                        .otherwise(least)).alias("ids"),
-            F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda i: F.when(i > at, F.get(ranks, i + 1)).when(
-                i < at - 1, F.get(ranks, i)).when(i == at, merged(pairs, least, F.get(ids, at + 2)))
-                .otherwise(merged(pairs, F.get(ids, i), least))).alias("ranks"))))
-
-    return let(F.array_min(F.transform(ranks, lambda r, i: F.shiftleft(r.cast("long"), 32).bitwiseOR(i))), step)
-
-
-def all_merged(pairs: Column, ids: Column, ranks: Column) -> Column:
-    """The state after all pairs of the least rank have merged, from the left; NULL if no pair has a rank.
-
-    No merge makes a pair of a lower rank: a piece's own merges all rank below it, so they are done.
-    """
-    def marked(least: Column) -> Column:
-        marks = F.array_join(F.transform(ranks, lambda r: F.when(r == least, "1").otherwise("0")), "")
-        # 2 merges with its right neighbour, 3.
-        return F.when(least.isNotNull(), let(F.split(F.regexp_replace(marks, "1.", "23"), ""), lambda plan: step(plan, least)))
-
-    def step(plan: Column, least: Column) -> Column:
-        left = F.filter(F.transform(ids, lambda x, i: F.when(F.get(plan, i) == "2", least).when(F.get(plan, i) == "0", x)),
-                        lambda x: x.isNotNull())
-        return let(left, lambda new: F.struct(new.alias("ids"), neighbours(pairs, new).alias("ranks")))
-
-    return let(F.array_min(ranks), marked)
-
-
-def folded(word: Column, held: Column) -> Column:
-    """The ids of a word: its bytes, merged in the order of ranks until no pair is left that has one."""
-    singles, doubles, pairs = (held[c] for c in FOLDING)
-
-    def fold(ids: Column, ranks: Column, merge) -> Column:
-        steps = F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1)))
-
-        def step(s: Column, _: Column) -> Column:
-            return F.when(s["done"], s).otherwise(let(merge(pairs, s["ids"], s["ranks"]), lambda new: F.when(
-                new.isNull(), F.struct(s["ids"].alias("ids"), s["ranks"].alias("ranks"), F.lit(True).alias("done")))
-                .otherwise(F.struct(new["ids"].alias("ids"), new["ranks"].alias("ranks"), F.lit(False).alias("done")))))
-        start = F.struct(ids.alias("ids"), ranks.alias("ranks"), F.lit(False).alias("done"))
-        return F.aggregate(steps, start, step, lambda s: s["ids"])
-
-    def ids(codes: Column) -> Column:
-        first = F.transform(codes, lambda x: F.get(singles, x))
-        ranks = F.transform(codes, lambda x, i: F.get(doubles, x * 256 + F.get(codes, i + 1)))
-        return F.when(F.size(codes) <= LONG_WORD, fold(first, ranks, first_merged)).otherwise(fold(first, ranks, all_merged))
-
-    return let(F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), F.ascii), ids)
-
-
 def word_array(text: Column, t: Tokenizer) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(t.pattern), F.lit(0))
 
 
-def word_slot(word: Column) -> Column:
-    return F.pmod(F.hash(word), F.lit(WORD_SLOTS)).cast("int")
-
-
-def frequent_words(docs: DataFrame, t: Tokenizer, most: int = FREQUENT) -> DataFrame:
-    """One row ``words``, a table for all tasks: the ids of the ``most`` words that stand oftenest in all texts, each folded once.
-
-    Its size is bounded by ``most`` words of at most ``LONG_WORD`` bytes.
-    """
-    words = docs.select(F.explode(word_array(F.col("text"), t)).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.octet_length("word") <= LONG_WORD)
-    top = staged(counts.orderBy(F.desc("n"), "word").limit(most).select("word"), "frequent")
-    spread = top.repartition(top.sparkSession.sparkContext.defaultParallelism * 2, "word")
-    ids = spread.select("word", held(t.tables, FOLDING).alias("held")).select(
-        "word", let(F.col("held"), lambda tables: folded(F.col("word"), tables)).alias("ids"))
-    slots = ids.groupBy(word_slot(F.col("word")).alias("slot")).agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("words"))
-    every = top.sparkSession.range(WORD_SLOTS).select(F.col("id").cast("int").alias("slot"))
-    whole = every.join(slots, "slot", "left").agg(F.sort_array(F.collect_list(F.struct("slot", F.map_entries("words").alias("e")))).alias("s"))
-    return staged(whole.select(F.transform("s", lambda x: F.map_from_entries(x["e"])).alias("words")), "frequent-ids")
-
-
-def encoded(docs: DataFrame, t: Tokenizer, frequent: DataFrame) -> DataFrame:
-    """``doc`` (all columns) and ``ids`` of whole texts. Words that are not frequent are folded where they stand."""
-    def ids(words: Column, tables: Column) -> Column:
-        return F.flatten(F.transform(word_array(F.col("text"), t), lambda w: F.coalesce(
-            F.try_element_at(F.get(words, word_slot(w)), w), folded(w, tables))))
-
-    rows = docs.select(F.struct("*").alias("doc"), "text", held(frequent, ("words",)).alias("frequent"),
-                       held(t.tables, FOLDING).alias("held"))
-    return rows.select("doc", let(F.col("frequent"), lambda f: let(f["words"], lambda words: let(
-        F.col("held"), lambda tables: ids(words, tables)))).alias("ids"))
+def word_ids(words: Column, t: Tokenizer, most: int) -> Column:
+    """The ids of arrays of words, one after the other. The distinct words of a batch are folded once, ``most`` at a time."""
+    ranks = t.ranks
+
+    # Local, so that it travels to the executors by value.
+    @F.arrow_udf("array<int>")
+    def ids(words: pa.Array) -> pa.Array:
+        coded = words.flatten().dictionary_encode()
+        found, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for start in range(0, len(coded.dictionary), most):
+            some = pa.concat_arrays([coded.dictionary[start:start + most]]).cast(pa.large_binary())
+            ends = np.frombuffer(some.buffers()[1], np.int64)[some.offset:some.offset + len(some) + 1]
+            data = np.frombuffer(some.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+            for whole, out in zip(ranks.folded(data, ends[1:] - ends[0]), (found, sizes)):
+                out.append(whole)
+        of_word, size = np.concatenate(found), np.concatenate(sizes)
+        first = np.cumsum(size) - size
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))])
+        # A few texts at a time, as places take more memory than ids.
+        texts, n_ids = [], [np.zeros(1, np.int64)]
+        for start in range(0, len(words), TEXTS):
+            edges = cuts[start:start + TEXTS + 1]
+            mine = at[edges[0]:edges[-1]]
+            n = np.concatenate([[0], np.cumsum(size[mine])])
+            texts.append(of_word[np.repeat(first[mine] - n[:-1], size[mine]) + np.arange(n[-1])])
+            n_ids.append(n_ids[-1][-1] + n[edges[1:] - edges[0]])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(n_ids).astype(np.int32)), pa.array(np.concatenate([found[0], *texts])))
+
+    return ids(words)
+
+
+def encoded(docs: DataFrame, t: Tokenizer, most: int = AT_ONCE) -> DataFrame:
+    """``doc`` (all columns) and ``ids`` of whole texts."""
+    return docs.select(F.struct("*").alias("doc"), word_ids(word_array(F.col("text"), t), t, most).alias("ids"))
 
 
 def decoded(rows: DataFrame, t: Tokenizer) -> DataFrame:
@@ -185,12 +171,11 @@ def tokenized(docs: DataFrame, where: str | None = None, **options) -> tuple[Dat
     """``docs`` as a struct ``doc`` with the ``ids`` of its whole text, and the tokenizer that decodes them.
 
     NULL and empty texts have no ids. Rows are encoded on their own: repeated rows and ids change
-    nothing but how often a word counts. An empty table gives an empty result; columns of any name
+    nothing. An empty table gives an empty result; columns of any name
     pass through in ``doc``.
     """
     t = tokenizer(docs.sparkSession, where or path("byte_bpe_50k.tiktoken"))
-    frequent = frequent_words(docs.select("text"), t, **options)
-    return encoded(docs, t, frequent), t
+    return encoded(docs, t, **options), t
 
 
 @query("op12_byte_bpe")

@@ -104,6 +104,17 @@ def test_ids_as_the_library_has_them(spark, encoding):
     assert rows.count() == 0 and rows.columns == ["doc", "ids"]
 
 
+def test_words_are_folded_side_by_side(encoding):
+    """All words in one call, long ones and runs of one letter among them."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("aabcdehinorst '’0é中🙂", k=rng.choice([1, 2, 5, 12]))) for _ in range(20_000)]
+    words += ["", "x" * 5000, "a" * 7, "=" * 777, "".join(rng.choices("etaoinshr", k=3000))]
+    data = [w.encode() for w in words]
+    ids, sizes = BP.Ranks(encoding._mergeable_ranks).folded(np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(b) for b in data]))
+    own = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=encoding._mergeable_ranks, special_tokens={})
+    assert [list(x) for x in np.split(ids, np.cumsum(sizes)[:-1])] == [own.encode_ordinary(w) for w in words]
+
+
 def test_every_piece_is_reached_by_its_own_merges(encoding):
     """What lets all pairs of the least rank merge at once."""
     ranks = BP.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
