@@ -16,12 +16,12 @@ from gridsmith.functions.text import strip
 
 def _point_text(c: Column) -> Column:
     """Commas group digits, a point starts the decimals."""
-    return F.translate(c, ",", "")
+    return F.replace(c, F.lit(","), F.lit(""))
 
 
 def _comma_text(c: Column) -> Column:
     """Points group digits, a comma starts the decimals."""
-    return F.translate(c, ",.", ".")
+    return F.replace(F.replace(c, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
 
 
 def is_vn(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -25,12 +26,24 @@ WHITESPACE = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+# A cell that begins and ends with a printable ASCII character has nothing to strip.
+BARE_ENDS = r"^[!-~](?s:.*[!-~])?\z"
+# How a cell begins that may be an error or NA token, in any case.
+_TOKENS = sorted(set(V.EXCEL_ERRORS) | set(V.NA_TOKENS))
+TOKEN_START = "^(?:[" + "".join(re.escape(x) for x in sorted({f(t[0]) for t in _TOKENS if t for f in (str.lower, str.upper)})) + r"]|\z)"
+
 
 def strip(c: Column) -> Column:
     """Strip Unicode whitespace; ordinary ``trim`` would leave NBSP and TAB."""
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def strip_cell(name: str) -> Column:
+    """The same of a stored column, whose test comes cheaper than the strip."""
+    c = F.col(name)
+    return F.when(c.rlike(BARE_ENDS), c).otherwise(strip(c))
+
+
 def blank_to_null(c: Column) -> Column:
     """Strip a cell; a blank one becomes NULL. Inner whitespace stays."""
     return F.nullif(strip(c), F.lit(""))
@@ -77,7 +90,7 @@ def na_to_null(c: Column) -> Column:
 
 def tokens_to_null(c: Column) -> Column:
     """Excel errors and NA tokens in one membership test, for cells already stripped."""
-    return F.when(~F.lower(c).isin(sorted(set(V.EXCEL_ERRORS) | set(V.NA_TOKENS))), c)
+    return F.when(c.rlike(TOKEN_START) & F.lower(c).isin(_TOKENS), None).otherwise(c)
 
 
 def is_ditto(c: Column) -> Column:

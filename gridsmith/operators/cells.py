@@ -9,12 +9,12 @@ from gridsmith.functions import text
 
 
 def clean_cells(df: DataFrame, cells: list[str], nfc_cells: list[str] | None = None) -> DataFrame:
-    """NFC, strip, blank to NULL, spreadsheet errors and NA tokens to NULL, in one projection.
+    """NFC, strip, blank to NULL, spreadsheet errors and NA tokens to NULL, each step a projection.
 
     ``nfc_cells`` limits the Unicode step to the columns known to need it; default is all.
     """
     wanted = set(cells if nfc_cells is None else nfc_cells)
     formed = df.select(*[
         text.nfc(F.col(c)).alias(c) if c in wanted and c in cells else F.col(c) for c in df.columns])
-    return formed.select(*[
-        text.tokens_to_null(text.strip(F.col(c))).alias(c) if c in cells else F.col(c) for c in df.columns])
+    stripped = formed.select(*[text.strip_cell(c).alias(c) if c in cells else F.col(c) for c in df.columns])
+    return stripped.select(*[text.tokens_to_null(F.col(c)).alias(c) if c in cells else F.col(c) for c in df.columns])

@@ -16,9 +16,9 @@ def classified(df: DataFrame, keep: list[str], cell: str = "cell", bool_digits:
     """Add what later steps combine: ``ts``, the number patterns that fit, and ``class``: the first of
     date, bool, percentage, currency, number, text. ``cell`` has no whitespace at its ends."""
     c = F.col(cell)
-    # Most numbers are all digits, which a trim finds without any pattern. Other cells that do not
-    # start like a number skip the number patterns.
-    whole = F.when((c != "") & (F.btrim(c, F.lit("0123456789")) == ""), c).try_cast("bigint")
+    # Most numbers are all digits, which one short pattern finds. Other cells that do not start like
+    # a number skip the number patterns.
+    whole = F.when(c.rlike(r"^[0-9]+\z"), c).try_cast("bigint")
     digit_first = F.ascii(c).between(48, 57) | (F.ascii(c) == 45)
     cast = df.select(*keep, cell, whole.alias("whole"))
     is_int = F.col("whole").isNotNull()
@@ -47,12 +47,16 @@ def profile(df: DataFrame, cells: list[str], table: list[str] | None = None,
             bool_digits: bool = True) -> DataFrame:
     """One row per table and column: class counts, number style and voted type.
 
-    The columns are turned into rows inside the scan stage and counted map-side, so the shuffle
-    carries one short row per column and task, whatever the size of the table.
+    The columns are turned into rows inside the scan stage. What decides about a cell takes few
+    values (class, style, whether each reading is whole), so cells are first counted by these, in
+    one hash table per task; the shuffle carries those counts, a few short rows per column and task,
+    whatever the size of the table.
     """
     table = table or []
-    long = df.select(*table, *[text.strip(F.col(c)).alias(c) for c in cells]).unpivot(
-        table, cells, "column", "cell")
+    stripped = df.select(*table, *[text.strip_cell(c).alias(c) for c in cells])
+    # Not an unpivot: over its rows Spark cannot compile the many tests of a cell, and interprets them.
+    long = stripped.select(*table, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("cell")) for c in cells])))
     keys = [*table, "column"]
     plain, comma, us, vn = (F.col(k) for k in ("plain", "comma", "us", "vn"))
     # A number has at most two readings, by what its commas mean, and each is made only where a
@@ -63,22 +67,30 @@ def profile(df: DataFrame, cells: list[str], table: list[str] | None = None,
     decimal_comma = F.when(is_number & (vn | comma), numbers.comma_reading(F.col("cell")))
     read = classified(long, keys, "cell", bool_digits).select(
         "*", point.alias("point"), decimal_comma.alias("decimal_comma"))
-    marked = read.select("*", numbers.is_whole(F.col("point")).alias("w_point"),
-                         numbers.is_whole(F.col("decimal_comma")).alias("w_comma"))
+    alike = ["filled", "class", "plain", "comma", "us", "vn", "w_point", "w_comma", "zero", "clock"]
+    marked = read.select(
+        *keys, F.col("cell").isNotNull().alias("filled"), "class", "plain", "comma", "us", "vn",
+        numbers.is_whole(F.col("point")).alias("w_point"), numbers.is_whole(F.col("decimal_comma")).alias("w_comma"),
+        (F.col("cell").startswith("0") & numbers.has_leading_zero(F.col("cell"))).alias("zero"),
+        dates.has_time(F.col("ts")).alias("clock"))
     w_point, w_comma = F.col("w_point"), F.col("w_comma")
-    counted = marked.groupBy(*keys).agg(
-        F.count("cell").alias("n"),
-        F.count("class").alias("n_styled"),
-        *[F.count_if(F.col("class") == k).alias(f"n_{k}")
+
+    def cells_where(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("_cells"))), F.lit(0))
+
+    counted = marked.groupBy(*keys, *alike).agg(F.count(F.lit(1)).alias("_cells")).groupBy(*keys).agg(
+        cells_where(F.col("filled")).alias("n"),
+        cells_where(F.col("class").isNotNull()).alias("n_styled"),
+        *[cells_where(F.col("class") == k).alias(f"n_{k}")
           for k in ("date", "bool", "percentage", "currency", "number", "text")],
-        F.count_if(plain).alias("n_plain"),
-        F.count_if(~plain & us).alias("n_us"),
-        F.count_if(~plain & ~us & (vn | comma)).alias("n_vn"),
+        cells_where(plain).alias("n_plain"),
+        cells_where(~plain & us).alias("n_us"),
+        cells_where(~plain & ~us & (vn | comma)).alias("n_vn"),
         F.bool_and(F.when(vn | comma, w_comma).otherwise(w_point)).alias("whole_vn"),
         F.bool_and(F.when(us | plain, w_point).otherwise(w_comma)).alias("whole_us"),
         F.bool_and(F.when(plain, w_point).when(comma | ~us, w_comma).otherwise(w_point)).alias("whole_auto"),
-        F.coalesce(F.bool_or(F.col("cell").startswith("0") & numbers.has_leading_zero(F.col("cell"))), F.lit(False)).alias("leading_zero"),
-        F.coalesce(F.bool_or(dates.has_time(F.col("ts"))), F.lit(False)).alias("has_time"),
+        F.coalesce(F.bool_or("zero"), F.lit(False)).alias("leading_zero"),
+        F.coalesce(F.bool_or("clock"), F.lit(False)).alias("has_time"),
     )
     return vote(counted)
 
@@ -135,13 +147,15 @@ def apply_types(df: DataFrame, votes: Iterable[Row], typed_dates: bool = False,
     meaning in the column metadata, as the symbol itself is dropped.
     """
     by_column = {v["column"]: v for v in votes}
+    # Stripped in a projection of its own: each reader names its cell several times.
+    df = df.select(*[text.strip_cell(n).alias(n) if n in by_column else F.col(n) for n in df.columns])
     out = []
     for name in df.columns:
         v = by_column.get(name)
         if v is None:
             out.append(F.col(name))
             continue
-        col = converted(text.strip(F.col(name)), v["type"], v["style"], v["has_time"], typed_dates, typed_bools)
+        col = converted(F.col(name), v["type"], v["style"], v["has_time"], typed_dates, typed_bools)
         meta = {"semantic": v["type"]} if v["type"] in ("currency", "percentage") else {}
         out.append(col.alias(name, metadata=meta) if meta else col.alias(name))
     kinds = {n: by_column[n]["type"] for n in df.columns if n in by_column}

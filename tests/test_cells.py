@@ -135,3 +135,14 @@ def test_round6(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for v, r in zip(values, [x[0] for x in df.select(numbers.round6(F.col("v"))).collect()]):
         assert r == pytest.approx(round(v, 6), rel=1e-12, abs=1e-12)
+
+
+def test_a_cell_is_stripped_as_any_text(read_cell):
+    """Cells with bare ends pass by a test; the strip decides about all others."""
+    cells = ["a", "a b", "a\nb", "a\n", " a", "a　", " ", "", None, "é", "é ", "\x7fa", "-", "x" * 5000 + "\t", "a\x85"]
+    assert read_cell(lambda c: text.strip_cell("c"), cells) == read_cell(text.strip, cells)
+
+
+def test_tokens_in_any_case(read_cell):
+    tokens = ["#N/A", "#getting_DATA", "NULL", "nAn", "None", "-", "", "no", "n", "-1", "#", None, "x"]
+    assert read_cell(text.tokens_to_null, tokens) == [None] * 7 + ["no", "n", "-1", "#", None, "x"]

@@ -75,3 +75,27 @@ def test_dedup_keeps_the_first_place(spark):
     df = spark.createDataFrame(rows, "a string, b int, seq int")
     got = {tuple(r) for r in T.drop_duplicates(df, ["a", "b"], ["seq"]).collect()}
     assert got == {("x", 1, 3), ("y", 2, 4), (None, None, 8)}
+
+
+def test_the_profile_is_compiled(spark, capsys):
+    """Every stage of the profile compiles as one piece of code; a stage that does not is interpreted at twice the time."""
+    names = list("abcdef")
+    df = spark.range(9).select(*[F.col("id").cast("string").alias(n) for n in names])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # The final plan shows at once.
+    try:
+        T.profile(df, names).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    text = capsys.readouterr().out
+    stages = int(text.split("Found ")[1].split()[0])
+    assert stages == len([s for s in text.split("maxMethodCodeSize:")[1:] if s[0].isdigit()]) > 0
+
+
+def test_votes_count_every_cell_once(spark):
+    """Cells are counted by what decides about them: copies, empty cells and NULLs count as single ones do."""
+    rows = [(t, c) for t in (1, None) for c in ["1.234,5"] * 3 + ["1,234.5", "12", "007", "", None, None, "2024-01-05 10:00", "5 %", "$5", "có", "abc"]]
+    got = {r["t"]: r for r in T.profile(spark.createDataFrame(rows, "t int, c string"), ["c"], ["t"]).collect()}
+    assert set(got) == {1, None}
+    for r in got.values():
+        assert (r.n, r.n_styled, r.n_number, r.n_text, r.n_date, r.n_bool, r.n_percentage, r.n_currency) == (12, 11, 6, 1, 1, 1, 1, 1)
+        assert (r.n_plain, r.n_us, r.n_vn, r.leading_zero, r.has_time, r.whole_auto) == (2, 1, 3, True, True, False)
