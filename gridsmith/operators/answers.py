@@ -69,11 +69,14 @@ def parsed_answers(predictions: DataFrame, text: str = "exec_answer", unreadable
 
 def answer_cells(parsed: DataFrame, key: str) -> DataFrame:
     """``<key>, row_idx, col_idx, num, str``; short rows are padded with NULL up to ``n_cols``."""
-    rows = parsed.where("n_rows > 0").select(key, "n_cols", F.posexplode("answer_rows").alias("row_idx", "row"))
-    padded = F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda i: F.get(F.col("row"), i))
-    cells = rows.where("n_cols > 0").select(
-        key, F.col("row_idx").cast("bigint").alias("row_idx"), F.posexplode(padded).alias("col_idx", "v"))
-    kind = _kind(F.col("v"))
+    # Not a filter on the counts: Spark would push it below the parser and parse every answer for it once more.
+    rows = parsed.select(key, "n_cols", F.posexplode_outer("answer_rows").alias("row_idx", "row"))
+    padded = F.when(F.size("row") == F.col("n_cols"), F.col("row")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda i: F.get(F.col("row"), i)))
+    cells = rows.select(
+        key, F.col("row_idx").cast("bigint").alias("row_idx"), F.posexplode_outer(F.when(F.col("n_cols") > 0, padded)).alias("col_idx", "v")).where(
+        "col_idx IS NOT NULL").select("*", _kind(F.col("v")).alias("_kind"))
+    kind = F.col("_kind")
     is_text = kind == "STRING"
     is_none = F.col("v").isNull() | (kind == "VOID")
     is_number = kind.rlike("^(BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL)")

@@ -167,3 +167,21 @@ def test_breakdown(spark):
     assert P.breakdown(df).first().asDict() == {"model": "m", "correct": 1, "pred_errors": 2, "wrong_results": 1, "no_gold": 1}
     first = {(r.group, r.pred_id) for r in P.first_failures(df, 1).collect()}
     assert first == {("error", 2), ("wrong", 4)}
+
+
+def test_answers_are_parsed_once(spark):
+    """No filter on what the parser gives is pushed below it, where it would parse every answer again."""
+    stored = spark.range(9).select("id", F.concat(F.lit("[[1,"), F.col("id").cast("string"), F.lit("]]")).alias("exec_answer"))
+    plan = answer_cells(parsed_answers(stored), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
+def test_cells_of_odd_answers(spark):
+    """Short, empty and missing rows: padded with NULL; no cell of an answer without rows or columns."""
+    texts = ["[]", "[[]]", "[[1],[2,\"a\",true]]", "[[],[3]]", "[null,4]", None, "{bad", '{"error":"e"}', "[[5],null]"]
+    stored = spark.createDataFrame(list(enumerate(texts)), "k int, exec_answer string")
+    got = {(r.k, r.row_idx, r.col_idx): (r.num, r.str) for r in answer_cells(parsed_answers(stored), "k").collect()}
+    none = (None, None)
+    assert got == {
+        (2, 0, 0): (1.0, None), (2, 0, 1): none, (2, 0, 2): none, (2, 1, 0): (2.0, None), (2, 1, 1): (None, "a"), (2, 1, 2): (1.0, None),
+        (3, 0, 0): none, (3, 1, 0): (3.0, None), (4, 0, 0): none, (4, 1, 0): (4.0, None), (8, 0, 0): (5.0, None), (8, 1, 0): none}
