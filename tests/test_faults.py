@@ -210,6 +210,36 @@ def test_many_failing_statements_cost_the_others_few_runs(spark, tmp_path, monke
     assert execute.pack_size(0, 0) == execute.PACK and execute.pack_size(160, 16) == 3 and execute.pack_size(5, 5) == 1
 
 
+def test_statements_that_fail_alike_leave_the_packs_of_others_whole(spark, tmp_path, monkeypatch):
+    # Statements of a shape with failures run apart; others share full packs, over tables that are not split.
+    path, jobs = str(tmp_path / "t"), []
+    spark.range(0, 90, 1, 3).selectExpr("id", "concat('x', id) AS name").write.parquet(path)
+    texts = [f"SELECT CAST(name AS INT) + {i} FROM t" if i % 10 == 9 else f"SELECT id + {i}, '{i}' FROM t WHERE id % 45 = {i % 45}" for i in range(80)]
+    queries = spark.createDataFrame([(i, "db", s) for i, s in enumerate(texts)], "instance_id long, db_id string, sql string")
+
+    def each(items, job, workers=4):
+        items = list(items)
+        jobs.extend(pack for pack in items if isinstance(pack, list))
+        return submission.each(items, job, workers)
+
+    monkeypatch.setattr(execute, "each", each)
+    found = []
+    for small in (execute.SMALL_BYTES, 0):
+        monkeypatch.setattr(execute, "SMALL_BYTES", small)
+        jobs.clear()
+        answers, cells = run_queries(spark, queries, {"db": {"t": path}})
+        assert {r.instance_id for r in answers.where("error IS NOT NULL").collect()} == set(range(9, 80, 10))
+        found.append(sorted((r.instance_id, r.row_idx, r.col_idx, r.num, r.str) for r in cells.collect()))
+        # Two packs of the right ones; those that fail share one, its halves, and then run alone.
+        assert len(jobs) <= 2 + 1 + 2 + 8
+    right = [i for i in range(80) if i % 10 != 9]
+    expected = [cell for i in right for n, k in enumerate((i % 45, i % 45 + 45)) for cell in ((i, n, 0, float(k + i), None), (i, n, 1, None, str(i)))]
+    assert found[0] == found[1] == expected
+    opened = execute.open_database(spark, {"t": path})
+    assert opened.small.table("t").rdd.getNumPartitions() == 1 and opened.session.table("t").rdd.getNumPartitions() > 1
+    assert execute.shape("d", "SELECT 'a', 5.0 FROM c1") == execute.shape("d", "SELECT 'b', 17 FROM c1") != execute.shape("d", "SELECT 'a', 5 FROM c2")
+
+
 def test_pending_batches_and_unavailable_schemas(spark, tmp_path):
     path = str(tmp_path / "pending")
     requests = spark.createDataFrame([("a",), ("b",), ("c",)], "instance_id string")
